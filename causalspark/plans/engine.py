@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from causalspark.operators import causality, incidents
-from causalspark.session import cut_lineage
+from causalspark.session import write_table
 from causalspark.sources.testmap import Sample
 
 _STORED: dict[tuple, DataFrame] = {}
@@ -16,17 +16,22 @@ _STORED: dict[tuple, DataFrame] = {}
 class Engine(Sample):
     """Source tables (from the adapter) plus the derived tables that many queries read.
 
-    The resource and edge snapshots and ``links`` are stored tables, as the change-log merge
-    and the batch rebuild leave them: written once per session to the shared checkpoint
+    Episodes, the resource and edge snapshots and ``links`` are stored tables, as ingestion,
+    the change-log merge and the batch rebuild leave them: written once per session to the shared checkpoint
     folder, then only read.
     """
 
     def stored(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.directory, name)
         if key not in _STORED:
-            _STORED[key] = cut_lineage(build())
+            folder = "".join(c if c.isalnum() else "_" for c in self.directory)
+            _STORED[key] = write_table(build(), f"{folder}/{name}")
         return _STORED[key]
 
+    @cached_property
+    def episodes(self) -> DataFrame:
+        return self.stored("episodes", lambda: Sample.episodes.fget(self))
+
     @cached_property
     def edges(self) -> DataFrame:
         return self.stored("edges", lambda: Sample.edges.fget(self))

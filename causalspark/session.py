@@ -55,6 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as Parquet to the shared folder and read it back.
+
+    The reader then has file statistics (for broadcast decisions and pruning) and no lineage.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}"
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame (an upper bound taken from file sizes)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
