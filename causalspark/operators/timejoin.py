@@ -124,3 +124,23 @@ def numbered(df: DataFrame, keys: list[str], order: list, width_us: int,
 def latest(df: DataFrame, as_of=None) -> Column:
     """Explicit ``as_of`` micros, or the newest time of the frame as a scalar subquery."""
     return F.lit(as_of) if as_of is not None else df.select(F.max("t")).scalar()
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str],
+                  width_us: int) -> DataFrame:
+    """Add ``prev_<value>`` of the row before, per key, worked out slice by slice.
+
+    ``order`` starts with ``t``. The first row of a slice takes the last row of the slice
+    before it, which is found on one row per slice.
+    """
+    rows = df.withColumn("_slice", slice_of(F.col("t"), width_us))
+    tail = rows.groupBy(*keys, "_slice").agg(
+        F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"))
+    tail = tail.withColumn("_before", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_slice")))
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    out = rows.withColumn("_prev", F.lag(F.struct(*values)).over(inside)).join(
+        tail.select(*keys, "_slice", "_before"), keys + ["_slice"])
+    prev = F.coalesce("_prev", "_before")
+    for value in values:
+        out = out.withColumn(f"prev_{value}", prev[value])
+    return out.drop("_slice", "_prev", "_before")

@@ -96,7 +96,7 @@ def w7(x):
     return I.rate_anomalies(x.episodes, window_min=1440, per_minute=0.01, same_reason=5)
 
 
-@query("w8_operation_churn", """SELECT client_id, kind, slot, operations FROM (SELECT client_id, 'pod' AS kind, at // 604800000000 AS slot, count(*) AS operations
+@query("w8_operation_churn", """SELECT client_id, kind, slot, operations FROM (SELECT client_id, 'pod' AS kind, at_us // 604800000000 AS slot, count(*) AS operations
     FROM resource_changes GROUP BY 1, 2, 3) WHERE operations > 10""")
 def w8(x):
     changes = x.resource_changes.select("client_id", F.split("rid", ":")[0].alias("kind"),

@@ -74,13 +74,13 @@ TABLES = {
           SELECT 'svc-' || CAST(l_suppkey AS STRING) AS src, 'svc-' || CAST(l_partkey % 100 AS STRING) AS dst,
                  sum(l_quantity) AS q FROM lineitem GROUP BY ALL) WHERE src <> dst) WHERE n <= 2""",
     "resource_changes": f"""SELECT {m.TENANT} AS client_id,
-        'pod:' || {m.NAMESPACE} || ':pod-' || CAST(u AS STRING) AS rid, at, offset_, op, image, phase FROM (
-        SELECT o_custkey AS u, o_orderkey AS offset_, epoch_us(o_orderdate) AS at,
+        'pod:' || {m.NAMESPACE} || ':pod-' || CAST(u AS STRING) AS rid, at_us, offset_, op, image, phase FROM (
+        SELECT o_custkey AS u, o_orderkey AS offset_, epoch_us(o_orderdate) AS at_us,
           CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'DELETE' ELSE 'UPSERT' END AS op,
           o_orderpriority AS image, o_orderstatus AS phase FROM orders)""",
     "edge_changes": f"""SELECT *, 'edge:' || src || '->' || dst AS id FROM (SELECT {m.TENANT} AS client_id,
         'service:shop:svc-' || CAST(l_suppkey AS STRING) AS src,
-        'pod:' || {m.NAMESPACE} || ':pod-' || CAST(u AS STRING) AS dst, epoch_us(l_shipdate) AS at,
+        'pod:' || {m.NAMESPACE} || ':pod-' || CAST(u AS STRING) AS dst, epoch_us(l_shipdate) AS at_us,
         l_orderkey * 10 + l_linenumber AS offset_, 'SELECTS' AS type,
         CASE WHEN l_returnflag = 'R' THEN 'DELETE' ELSE 'UPSERT' END AS op
         FROM lineitem JOIN (SELECT o_orderkey, o_custkey AS u FROM orders) ON o_orderkey = l_orderkey)""",
