@@ -112,13 +112,14 @@ def severity_name(rank: Column) -> Column:
 
 
 def confidence_band(c: Column) -> Column:
-    return (F.when(c >= 0.9, "0.9-1.0").when(c >= 0.8, "0.8-0.9").when(c >= 0.7, "0.7-0.8")
-            .when(c >= 0.6, "0.6-0.7").when(c >= 0.5, "0.5-0.6").otherwise("0.0-0.5"))
+    return (F.when(c >= 0.9, "0.90-1.00 (High)").when(c >= 0.7, "0.70-0.89 (Medium-High)")
+            .when(c >= 0.5, "0.50-0.69 (Medium)").when(c >= 0.3, "0.30-0.49 (Low-Medium)")
+            .otherwise("0.00-0.29 (Low)"))
 
 
-def gap_band(seconds: Column) -> Column:
-    return (F.when(seconds < 10, "0-10s").when(seconds < 60, "10-60s")
-            .when(seconds < 300, "1-5m").when(seconds < 600, "5-10m").otherwise(">10m"))
+def gap_band(minutes: Column) -> Column:
+    return (F.when(minutes < 1, "< 1 min").when(minutes < 5, "1-5 min")
+            .when(minutes < 15, "5-15 min").when(minutes < 60, "15-60 min").otherwise("> 1 hour"))
 
 
 def is_failure(sev: Column) -> Column:

@@ -75,15 +75,14 @@ def t7(x):
 
 @query("t8_endpoint_pods", "SELECT client_id, src, dst FROM edges WHERE type = 'SELECTS'")
 def t8(x):
-    """Endpoint records are rebuilt per (service, node) subset and unfolded again."""
-    m = T.service_map(x.edges)
-    subset = m.groupBy("client_id", "service", "node").agg(F.collect_list(F.struct(
-        F.lit("Pod").alias("kind"), F.substring_index("pod", ":", -1).alias("name"))).alias("targets"))
-    ends = subset.groupBy("client_id", "service").agg(F.collect_list(F.struct("targets")).alias("subsets"))
+    """One endpoint record per (service, node), unfolded again."""
+    subset = T.service_map(x.edges).groupBy("client_id", "service", "node").agg(
+        F.collect_list(F.struct(F.lit("Pod").alias("kind"),
+                                F.substring_index("pod", ":", -1).alias("name"))).alias("targets"))
     parts = F.split("service", ":")
-    return T.endpoint_pods(ends.select("client_id", parts[1].alias("ns"), parts[2].alias("name"), "subsets"))
-
-
+    return T.endpoint_pods(subset.select(
+        "client_id", parts[1].alias("ns"), parts[2].alias("name"),
+        F.array(F.struct("targets")).alias("subsets")))
 
 
 @query("t9_dependencies_from_env", f"""SELECT DISTINCT e.client_id, e.src, e.dst, 0.7::DOUBLE AS confidence FROM (
@@ -132,14 +131,12 @@ def t12c(x):
     return T.coverage_by_topology(x.links)
 
 
-@query("t13_hops", """SELECT client_id, src, dst, CAST(hops AS INTEGER) AS hops FROM near JOIN (SELECT client_id AS c, a AS src, b AS dst FROM (
-    SELECT s.client_id, s.rid AS a, d.rid AS b FROM resources s JOIN resources d ON s.client_id = d.client_id AND s.kind = 'Service' AND d.kind <> 'Service'))
-  ON c = client_id AND src = a AND dst = b""")
+@query("t13_hops", """SELECT DISTINCT l.client_id, c_rid AS src, e_rid AS dst, CAST(n.hops AS INTEGER) AS hops
+  FROM lk l JOIN near n ON n.client_id = l.client_id AND n.a = c_rid AND n.b = e_rid""")
 def t13(x):
-    """Distance of every service to the other resources of its tenant within three hops."""
-    s = x.resources.where("kind = 'Service'").select("client_id", F.col("rid").alias("src"))
-    d = x.resources.where("kind <> 'Service'").select("client_id", F.col("rid").alias("dst"))
-    return reach.hops(s.join(d, "client_id"), x.edges)
+    """Distance of the resource pairs that are causally linked."""
+    pairs = x.named_links.select("client_id", F.col("c_rid").alias("src"), F.col("e_rid").alias("dst"))
+    return reach.hops(pairs, x.edges)
 
 
 NEIGHBOURS = """SELECT r.client_id, r.rid AS root, n.b AS node, n.hops AS depth FROM resources r JOIN near n ON n.client_id = r.client_id AND n.a = r.rid WHERE r.kind = 'Deployment'"""
