@@ -90,10 +90,9 @@ def rule_scopes(rules: DataFrame, resources: DataFrame) -> DataFrame:
 
 def rule_emits(rules: DataFrame, episodes: DataFrame) -> DataFrame:
     """A rule emits the events whose reason is the rule's name."""
-    names = rules.select("client_id", "rule").distinct()
-    return episodes.join(names, [episodes["client_id"] == names["client_id"],
-                                 episodes["reason"] == names["rule"]]).select(
-        episodes["client_id"], "rule", "eid")
+    names = rules.select("client_id", F.col("rule").alias("reason")).distinct()
+    return episodes.join(names, ["client_id", "reason"]).select(
+        "client_id", F.col("reason").alias("rule"), "eid")
 
 
 def apply_updates(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
