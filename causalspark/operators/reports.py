@@ -26,6 +26,12 @@ def share(counted: DataFrame, column: str = "n", digits: int = 2, by: list[str]
     return counted.withColumn("percentage", round_to(F.col(column) * 100.0 / total, digits))
 
 
+def mean_score(column: str) -> Column:
+    """Average of three-decimal scores, summed as integers so that the order does not matter."""
+    thousandths = F.sum(F.round(F.col(column) * 1000).cast("long"))
+    return F.floor(thousandths / F.count(column) + 0.5) / 1000.0
+
+
 def counted(df: DataFrame, *by) -> DataFrame:
     return df.groupBy(*by).agg(N.alias("n"))
 
@@ -96,7 +102,7 @@ SCORES = ["confidence", "temporal_score", "distance_score", "domain_score"]
 
 def link_stats(links: DataFrame) -> DataFrame:
     cols = [f(c).alias(f"{n}_{c}") for c in SCORES for n, f in (("min", F.min), ("max", F.max))]
-    avgs = [round_to(F.avg(F.col(c).cast("decimal(12,6)")).cast("double"), 3).alias(f"avg_{c}") for c in SCORES]
+    avgs = [mean_score(c).alias(f"avg_{c}") for c in SCORES]
     return links.groupBy("client_id").agg(N.alias("links"), *cols, *avgs)
 
 
@@ -107,7 +113,7 @@ def null_scores(links: DataFrame) -> DataFrame:
 
 def confidence_histogram(links: DataFrame) -> DataFrame:
     g = links.groupBy(confidence_band(F.col("confidence")).alias("band")).agg(
-        N.alias("n"), round_to(F.avg(F.col("confidence").cast("decimal(12,6)")).cast("double"), 3).alias("average"))
+        N.alias("n"), mean_score("confidence").alias("average"))
     return share(g)
 
 
@@ -125,7 +131,7 @@ def gap_distribution(links: DataFrame) -> DataFrame:
 
 def reason_pairs(named: DataFrame, limit: int | None = None) -> DataFrame:
     g = named.groupBy("c_reason", "e_reason").agg(
-        N.alias("n"), round_to(F.avg(F.col("confidence").cast("decimal(12,6)")).cast("double"), 3).alias("average"))
+        N.alias("n"), mean_score("confidence").alias("average"))
     return g.orderBy(F.desc("n"), "c_reason", "e_reason").limit(limit) if limit else g
 
 

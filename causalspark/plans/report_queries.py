@@ -17,7 +17,7 @@ def pct(n="n", over="()"):
 
 
 def avg3(c):
-    return r3(f"CAST(sum(CAST({c} AS DECIMAL(12,6))) AS DOUBLE) / count(*)")
+    return f"floor(CAST(sum(CAST(round({c} * 1000) AS BIGINT)) AS DOUBLE) / count({c}) + 0.5) / CAST(1000.0 AS DOUBLE)"
 
 
 @query("a1_graph_stats", " UNION ALL ".join(f"SELECT client_id, CASE WHEN g = 1 THEN '{m}_total' ELSE '{m}' END AS metric, CASE WHEN g = 1 THEN '' ELSE item END AS item, n FROM (SELECT client_id, {c} AS item, grouping({c}) AS g, count(*) AS n FROM {t} GROUP BY GROUPING SETS ((client_id, {c}), (client_id)))"
@@ -69,7 +69,7 @@ def a9(x):
 SCORES = ["confidence", "temporal_score", "distance_score", "domain_score"]
 
 
-@query("a10_link_stats", "SELECT client_id, count(*) AS links, " + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}, {r3(f'CAST(CAST(sum(CAST({c} AS DECIMAL(12,6))) AS DECIMAL(24,10)) / count(*) AS DOUBLE)')} AS avg_{c}" for c in SCORES) + " FROM links GROUP BY 1")
+@query("a10_link_stats", "SELECT client_id, count(*) AS links, " + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}, {avg3(c)} AS avg_{c}" for c in SCORES) + " FROM links GROUP BY 1")
 def a10(x):
     return A.link_stats(x.links)
 
