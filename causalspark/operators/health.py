@@ -295,14 +295,14 @@ def typed_findings(roots: DataFrame, steps: DataFrame, blast: DataFrame, cross:
     roots: client_id, eid, blast_radius; steps and blast: client_id, root; cross: client_id.
     """
     w = W.partitionBy("client_id").orderBy(F.desc("blast_radius"), "eid")
-    ranked = roots.withColumn("rank", F.row_number().over(w) - 1)
+    ranked = roots.withColumn("n", F.row_number().over(w)).where("n <= 5").withColumn("rank", F.col("n") - 1)
     conf = lambda top: round_to(top - F.col("rank") * 0.05, 2)
     three = ranked.where("rank < 3").select("client_id", F.col("eid").alias("root"), "rank")
     chain = three.join(steps.groupBy("client_id", "root").agg(N.alias("size")), ["client_id", "root"])
     area = three.join(blast.groupBy("client_id", "root").agg(N.alias("size")), ["client_id", "root"])
     pick = lambda df, kind, subject, c, size: df.select(
         "client_id", F.lit(kind).alias("finding"), F.col(subject).alias("subject"), c.alias("confidence"), size.alias("size"))
-    parts = [pick(ranked.where("rank < 5"), "root_cause", "eid", F.lit(0.85), F.col("blast_radius")),
+    parts = [pick(ranked, "root_cause", "eid", F.lit(0.85), F.col("blast_radius")),
              pick(chain, "causal_chain", "root", conf(0.90), F.col("size")),
              pick(area, "blast_radius", "root", conf(0.88), F.col("size")),
              pick(cross.groupBy("client_id").agg(N.alias("size")).withColumn("subject", F.lit("")),

@@ -1 +1,164 @@
-"""Named queries."""
+"""Named queries for fault graphs, ranking and patterns (F, R, K rows and C13, C14, A31, A32).
+
+The choice of edges feeds back into later scores, so only the parts before it have check SQL;
+the rest is compared with a plain re-derivation in the tests.
+"""
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from causalspark.functions import rules as R
+from causalspark.functions.scalar import round_to
+from causalspark.operators import faults as X
+from causalspark.plans.registry import query
+from causalspark.plans.sqltables import lookup_case, r3
+from causalspark.plans.ingest_queries import ABSTRACT
+
+WINDOW_MIN = 360
+
+
+def depends(x):
+    """Each service depends on the next one by name."""
+    s = x.episodes.select("service").distinct()
+    return s.withColumn("needs", F.lead("service").over(W.orderBy("service"))).where("needs IS NOT NULL")
+
+
+def events(x):
+    return X.fault_events(x.episodes, ["client_id", "s_ns"], WINDOW_MIN)
+
+
+def scored(x):
+    return X.with_predecessors(events(x), depends(x))
+
+
+def nodes(x):
+    """The chosen graphs are stored once, like the links."""
+    return x.stored("fault_nodes", lambda: X.build_fpg(scored(x)))
+
+
+def abstract(x):
+    return x.stored("abstract_faults", lambda: X.abstract_faults(nodes(x)))
+
+
+def patterns(x):
+    return X.pattern_store(abstract(x), min_frequency=2)
+
+
+FAULT_SQL = {
+    "fe0": f"SELECT client_id || CASE WHEN s_ns = '' THEN '|' ELSE '|' || s_ns END || '|' || CAST(t // {WINDOW_MIN * 60000000} AS STRING) AS fault_id, eid, t, service, CASE WHEN s_kind = 'Pod' THEN rid END AS pod, {ABSTRACT} AS a FROM episodes WHERE severity <> 'INFO'",
+    "fe": f"SELECT *, {lookup_case('a', R.FAULT_TYPES, chr(39) + 'custom' + chr(39))} AS type, row_number() OVER (PARTITION BY fault_id ORDER BY t, eid) AS pos FROM fe0",
+    "dep": "SELECT service, lead(service) OVER (ORDER BY service) AS needs FROM (SELECT DISTINCT service FROM episodes)",
+    "fp": """SELECT p.fault_id, p.eid AS source, e.eid AS target, (e.t - p.t) / CAST(1000000.0 AS DOUBLE) AS dt, p.service = e.service AS same, d.service IS NOT NULL AS dep, p.pod IS NOT NULL AND p.pod = e.pod AS pod,
+        CAST(CASE p.type || '>' || e.type """ + " ".join(f"WHEN '{a}>{b}' THEN {v}" for (a, b), v in R.FAULT_CAUSALITY.items()) + """ ELSE 0.1 END AS DOUBLE) AS cause
+      FROM fe e JOIN fe p ON p.fault_id = e.fault_id AND e.pos - p.pos BETWEEN 1 AND 5 LEFT JOIN dep d ON d.service = e.service AND d.needs = p.service""",
+}
+
+
+@query("f2_pair_scores", f"""SELECT fault_id, source, target, {r3('CASE WHEN dt <= 0 THEN 0 ELSE least(1.0, pow(2.0, -dt / 60.0)) END * 0.3 + CASE WHEN same THEN 0.25 ELSE 0 END + CASE WHEN dep THEN 0.25 ELSE 0 END + cause * 0.2 + CASE WHEN pod THEN 0.15 ELSE 0 END', 6)} AS base,
+    CASE WHEN cause > 0.7 THEN 'CAUSES' WHEN dep THEN 'PROPAGATES_TO' WHEN same THEN 'SEQUENTIAL' ELSE 'CORRELATES_WITH' END AS relation, dt AS time_delta FROM fp""", FAULT_SQL)
+def f2(x):
+    return X.pair_scores(scored(x)).withColumn("base", round_to(F.col("base"), 6))
+
+
+@query("f1_fault_graphs")
+def f1(x):
+    return X.fpg_edges(X.build_fpg(scored(x))).withColumn("confidence", round_to(F.col("confidence"), 6))
+
+
+@query("f3_context_scores")
+def f3(x):
+    """What the graph context added to the base score of each chosen edge."""
+    base = X.pair_scores(scored(x)).select("fault_id", "source", "target", "base")
+    return X.fpg_edges(nodes(x)).join(base, ["fault_id", "source", "target"]).select(
+        "fault_id", "source", "target", round_to((F.col("confidence") - F.col("base")) / 0.15, 3).alias("context"))
+
+
+@query("f4_root_candidates")
+def f4(x):
+    return X.root_candidates(nodes(x))
+
+
+@query("f5_propagation_paths")
+def f5(x):
+    return X.propagation_paths(nodes(x)).withColumn("path", F.array_join("path", ">"))
+
+
+@query("f6_expected_paths")
+def f6(x):
+    return X.expected_paths(patterns(x)).withColumn("path", F.array_join("path", ">"))
+
+
+@query("f7_sequence_jaccard", """SELECT a.fault_id, b.fault_id AS next_fault, len(list_intersect(a.types, b.types)) / CAST(len(list_distinct(list_concat(a.types, b.types))) AS DOUBLE) AS jaccard FROM ft a JOIN ft b ON a.k = b.k AND b.n = a.n + 1""",
+       {**FAULT_SQL, "ft": "SELECT fault_id, types, k, row_number() OVER (PARTITION BY k ORDER BY slot) AS n FROM (SELECT fault_id, list_distinct(list(type)) AS types, regexp_replace(fault_id, '\\|[0-9]+$', '') AS k, CAST(regexp_extract(fault_id, '([0-9]+)$', 1) AS BIGINT) AS slot FROM fe GROUP BY 1)"})
+def f7(x):
+    """Event types of consecutive faults of one tenant and namespace."""
+    t = events(x).groupBy("fault_id").agg(F.collect_set("type").alias("types"))
+    w = W.partitionBy(F.regexp_replace("fault_id", r"\|[0-9]+$", "")).orderBy(F.substring_index("fault_id", "|", -1).cast("long"))
+    nxt = t.withColumn("next", F.lead(F.struct("fault_id", "types")).over(w)).where("next IS NOT NULL")
+    return nxt.select("fault_id", F.col("next.fault_id").alias("next_fault"), X.jaccard(F.col("types"), F.col("next.types")).alias("jaccard"))
+
+
+def _scores(x):
+    return X.root_scores(nodes(x), depends(x))
+
+
+@query("r1_root_scores")
+def r1(x):
+    return _scores(x).select("fault_id", "eid", round_to(F.col("time_score"), 6).alias("time_score"), round_to(F.col("distance_score"), 6).alias("distance_score"))
+
+
+@query("r2_ranked_causes")
+def r2(x):
+    return X.rank_root_causes(_scores(x)).select("fault_id", "eid", "rank", round_to(F.col("rank_score"), 6).alias("rank_score"))
+
+
+@query("r3_explanations")
+def r3_(x):
+    return X.rank_root_causes(_scores(x), top_n=1).select("fault_id", "eid", X.explanation().alias("explanation"))
+
+
+@query("r4_fault_analysis")
+def r4(x):
+    return X.analyse(nodes(x), depends(x), abstract(x), patterns(x))
+
+
+@query("k1_pattern_matches")
+def k1(x):
+    return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", "rank", round_to(F.col("similarity"), 6).alias("similarity"))
+
+
+@query("k2_sequence_similarity")
+def k2(x):
+    return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", round_to(F.col("sequence"), 6).alias("sequence"))
+
+
+@query("k3_structure_similarity")
+def k3(x):
+    return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", round_to(F.col("structure"), 6).alias("structure"))
+
+
+@query("k4_match_confidence")
+def k4(x):
+    return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", round_to(F.col("confidence"), 6).alias("confidence"), "matched", "missing", "extra")
+
+
+@query("c13_pattern_store")
+def c13(x):
+    """A first store of the repeated patterns, merged with the patterns of all faults."""
+    merged = X.merge_patterns(patterns(x), X.pattern_store(abstract(x)))
+    return merged.select("pattern_id", "frequency", "root_type")
+
+
+@query("c14_abstract_faults")
+def c14(x):
+    return abstract(x).select("fault_id", "root_type", F.array_join("sequence", ">").alias("sequence"), F.size("edges").alias("edges"))
+
+
+@query("a31_pattern_statistics")
+def a31(x):
+    return X.pattern_statistics(X.pattern_store(abstract(x)))
+
+
+@query("a32_graph_statistics")
+def a32(x):
+    return X.graph_statistics(nodes(x))
