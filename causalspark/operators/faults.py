@@ -217,6 +217,8 @@ def rank_root_causes(scores: DataFrame, wt: float = 0.6, wd: float = 0.4, top_n:
 
     Scores are counted per value before they are ordered, so ties cost one row.
     """
+    scores = cut_lineage(scores)
+
     def ranked(column):
         per = scores.groupBy("fault_id", column).agg(F.count("*").alias("_n"))
         before = W.partitionBy("fault_id").orderBy(F.desc(column)).rowsBetween(W.unboundedPreceding, -1)

@@ -1 +1,153 @@
-"""Named queries."""
+"""Named queries for streaming (ST rows): each runs its stream over the sample's event files
+until nothing is left, and returns what the sink holds."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from causalspark.functions.scalar import round_to
+from causalspark.operators import health, topology
+from causalspark.plans.causal_queries import STREAM_PAIRS, STREAM_SCORED
+from causalspark.plans.incident_queries import FINGERPRINT
+from causalspark.plans.ingest_queries import _raw_events
+from causalspark.plans.health_queries import ATK, RANKS
+from causalspark.plans.registry import query
+from causalspark.plans.sqltables import r3
+from causalspark.session import checkpoint_dir
+from causalspark.sources import records, topics
+from causalspark.streaming import jobs
+
+
+class Run:
+    """Folders of one streaming run under the shared checkpoint folder."""
+
+    def __init__(self, x):
+        self.spark = x.spark
+        self.base = f"{checkpoint_dir(x.spark)}/streams/{uuid.uuid4().hex}"
+        self.out, self.state = f"{self.base}/out", f"{self.base}/state"
+
+    def append(self, df, mode="append"):
+        jobs.run_available(df, self.out, self.state, mode)
+        return self.spark.read.schema(df.schema).parquet(self.out)
+
+    def batches(self, df, handler):
+        jobs.run_batches(df, handler, self.state)
+
+
+def event_stream(x):
+    """The stored event table as a file stream."""
+    folder = "".join(c if c.isalnum() else "_" for c in x.directory)
+    return x.spark.readStream.schema(x.episodes.schema).parquet(f"{checkpoint_dir(x.spark)}/tables/{folder}/episodes")
+
+
+@query("st1_topic_dispatch", "SELECT CASE etype WHEN 'k8s.log' THEN 'logs' ELSE 'events' END AS topic, count(*) AS n FROM episodes GROUP BY 1")
+def st1(x):
+    run = Run(x)
+    rows = event_stream(x).withColumn("topic", F.when(F.col("etype") == "k8s.log", "logs").otherwise("events"))
+    run.batches(rows, jobs.dispatch({t: jobs.to_folder(f"{run.out}/{t}") for t in ("logs", "events")}))
+    read = lambda t: x.spark.read.parquet(f"{run.out}/{t}").groupBy("topic").agg(F.count("*").alias("n"))
+    return read("logs").unionByName(read("events"))
+
+
+@query("st2_upsert_state", "SELECT client_id, rid, at_us AS changed_at, offset_ AS change, phase FROM (SELECT *, row_number() OVER (PARTITION BY client_id, rid ORDER BY at_us DESC, offset_ DESC) AS n FROM resource_changes) WHERE n = 1 AND op <> 'DELETE'")
+def st2(x):
+    run = Run(x)
+    source = f"{run.base}/changes"
+    x.resource_changes.write.parquet(source)
+    stream = x.spark.readStream.schema(x.resource_changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run.batches(stream, jobs.to_folder(run.out))
+    live = jobs.compact(x.spark, run.out, ["client_id", "rid"], f"{run.base}/snapshot")
+    return live.select("client_id", "rid", F.col("at").alias("changed_at"), F.col("offset").alias("change"), "phase")
+
+
+@query("st3_deduplicated", "SELECT client_id, eid FROM episodes")
+def st3(x):
+    twice = event_stream(x).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return Run(x).append(jobs.deduplicated(twice)).select("client_id", "eid")
+
+
+@query("st4_causal_links", f"""SELECT client_id, cause, effect, hops, {r3('temporal_score * 0.3 + distance_score * 0.3 + domain_score * 0.4', 6)} AS confidence FROM (
+    SELECT *, row_number() OVER (PARTITION BY client_id, effect ORDER BY temporal_score * 0.3 + distance_score * 0.3 + domain_score * 0.4 DESC, gap_us, cause) AS rank FROM stream_scored) WHERE rank <= 5""",
+       {"stream_pairs": STREAM_PAIRS, "stream_scored": STREAM_SCORED})
+def st4(x):
+    run = Run(x)
+    pairs = jobs.link_stream(event_stream(x), event_stream(x), x.edges)
+    run.batches(pairs, jobs.write_links(run.out, x.episodes, top_m=5))
+    return x.spark.read.parquet(run.out).select("client_id", "cause", "effect", "hops", round_to(F.col("confidence"), 6).alias("confidence"))
+
+
+ALERT_STATE = {
+    "s1": f"SELECT *, {FINGERPRINT} AS fingerprint FROM episodes WHERE etype = 'prom.alert'",
+    "s2": "SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY client_id, fingerprint ORDER BY t, eid) <= 259200000000 THEN 0 ELSE 1 END AS new FROM s1",
+    "s3": "SELECT *, sum(new) OVER (PARTITION BY client_id, fingerprint ORDER BY t, eid ROWS UNBOUNDED PRECEDING) AS g FROM s2",
+    "s4": "SELECT *, row_number() OVER (PARTITION BY client_id, fingerprint, g ORDER BY t, eid) - 1 AS pos, min(t) OVER (PARTITION BY client_id, fingerprint, g) AS group_start FROM s3",
+}
+
+
+@query("st5_alert_groups", "SELECT client_id, fingerprint, eid, group_start, CAST(pos // 2 AS INTEGER) AS part, CASE WHEN pos % 2 = 0 THEN 'new' ELSE 'grouped' END AS action FROM s4", ALERT_STATE)
+def st5(x):
+    alerts = event_stream(x).where("etype = 'prom.alert'")
+    return Run(x).append(jobs.grouped_alerts(alerts, gap_min=3 * 1440, max_size=2)).drop("t")
+
+
+@query("st6_escalations", """SELECT client_id, eid, n >= 2 AND severity IN ('WARNING','ERROR') AS escalated, CASE WHEN n >= 2 AND severity IN ('WARNING','ERROR') THEN n ELSE 0 END AS repeat_count,
+    CASE WHEN n >= 2 AND severity = 'WARNING' THEN 'ERROR' WHEN n >= 2 AND severity = 'ERROR' THEN 'FATAL' ELSE severity END AS severity
+  FROM (SELECT *, count(*) OVER (PARTITION BY client_id, rid, reason ORDER BY t RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) - 1 AS n FROM episodes)""")
+def st6(x):
+    return Run(x).append(jobs.escalations(event_stream(x), window_min=7 * 1440, threshold=2))
+
+
+@query("st7_incident_sessions", "SELECT client_id, resource_id, window_start, window_end, event_count, severity FROM incidents, clock WHERE window_end + 43200000000 <= now - 900000000")
+def st7(x):
+    """Sessions that the watermark has closed."""
+    return Run(x).append(jobs.incident_sessions(event_stream(x), gap="720 minutes"))
+
+
+@query("st8_rate_windows", "SELECT client_id, severity, reason, n, window_start FROM (SELECT client_id, severity, reason, count(*) AS n, t // 3600000000 * 3600000000 AS window_start FROM episodes WHERE severity IN ('ERROR','FATAL') GROUP BY 1, 2, 3, 5), (SELECT max(t) AS newest FROM episodes WHERE severity IN ('ERROR','FATAL')) WHERE window_start + 3600000000 <= newest - 900000000")
+def st8(x):
+    return Run(x).append(jobs.rate_windows(event_stream(x), "1 hour"))
+
+
+@query("st9_enriched_alerts", "SELECT a.client_id, a.eid, coalesce(r.phase, '') AS phase, coalesce(r.node, '') AS node FROM episodes a LEFT JOIN resources r ON r.client_id = a.client_id AND r.rid = a.rid WHERE a.etype = 'prom.alert'")
+def st9(x):
+    alerts = event_stream(x).where("etype = 'prom.alert'").drop("node")
+    return Run(x).append(jobs.enriched(alerts, x.resources).select("client_id", "eid", "phase", "node")).na.fill("")
+
+
+@query("st10_liveness", "SELECT client_id, max(t) AS t, 'active' AS status FROM episodes GROUP BY 1 UNION ALL SELECT client_id, t + 60000000, 'stale' FROM (SELECT client_id, max(t) AS t FROM episodes GROUP BY 1), clock WHERE (t + 60000000) // 1000 < (now - 60000000) // 1000")
+def st10(x):
+    return Run(x).append(jobs.liveness_changes(event_stream(x), stale_min=1))
+
+
+@query("st11_dead_letter_split", "SELECT 'ok' AS part, count(*) AS n FROM episodes WHERE reason <> 'LOG_INFO' AND severity <> 'FATAL' UNION ALL SELECT 'dead', count(*) FROM episodes WHERE reason = 'LOG_INFO' OR severity = 'FATAL'")
+def st11(x):
+    run = Run(x)
+    raw = _raw_events(x)
+    raw.write.parquet(f"{run.base}/raw")
+    stream = x.spark.readStream.schema(raw.schema).parquet(f"{run.base}/raw")
+    run.batches(stream, jobs.split_dead_letters(records.normalize_events, f"{run.out}/ok", f"{run.out}/dead"))
+    read = lambda p: x.spark.read.parquet(f"{run.out}/{p}").agg(F.count("*").alias("n")).select(F.lit(p).alias("part"), "n")
+    return read("ok").unionByName(read("dead"))
+
+
+@query("st12_periodic_validation", ATK, RANKS)
+def st12(x):
+    """Each trigger measures the links that are stored at that moment."""
+    run = Run(x)
+
+    def measure(batch, batch_id):
+        r = health.accuracy_at_k(health.match_ranks(x.named_links, x.episodes, days=365, sample=None))
+        jobs.to_folder(run.out)(r, 0)
+
+    run.batches(event_stream(x), measure)
+    return x.spark.read.parquet(run.out).drop("batch").withColumn("accuracy", round_to(F.col("accuracy"), 6)).withColumn(
+        "mean_rank", round_to(F.col("mean_rank"), 6))
+
+
+@query("st13_topology_republish", "SELECT client_id, kind AS item, count(*) AS n, 'node' AS part FROM resources GROUP BY 1, 2 UNION ALL SELECT client_id, type, count(*), 'edge' FROM edges GROUP BY 1, 2")
+def st13(x):
+    run = Run(x)
+    build = lambda: topology.snapshot_totals(x.resources, x.edges)
+    run.batches(event_stream(x), jobs.every_n_messages(100, build, run.out))
+    versions = x.spark.read.parquet(run.out)
+    return versions.where(F.col("version") == versions.select(F.max("version")).scalar()).drop("version")
