@@ -47,10 +47,11 @@ def service_of(labels: Column) -> Column:
     return F.coalesce(F.try_element_at(labels, F.lit("app")), F.try_element_at(labels, F.lit("k8s-app")))
 
 
-def log_severity(message: Column, level: Column, severity: Column) -> Column:
+def log_severity(message: Column, level: Column, severity: Column, low: Column | None = None) -> Column:
     """Structured level, then glog prefix, then text prefix; a later layer overrides an earlier
     one. Keywords only raise what is still INFO."""
-    low, lv, sv = F.lower(message), F.upper(level), F.upper(severity)
+    low = F.lower(message) if low is None else low
+    lv, sv = F.upper(level), F.upper(severity)
     structured = R.first_match([
         (lv.isin("DEBUG", "TRACE"), "DEBUG"), (lv.isin("WARN", "WARNING"), "WARNING"),
         (lv.isin("ERROR", "CRITICAL"), "ERROR"), (lv.isin("FATAL", "PANIC", "EMERGENCY"), "FATAL"),
@@ -95,16 +96,19 @@ def log_level(message: Column, level: Column) -> Column:
     return F.when(blank_to_null(level).isNotNull(), given).otherwise(guessed)
 
 
-def high_signal_category(severity: Column, message: Column) -> Column:
-    """Why a log line is kept: its severity, or the first category of terms it contains."""
-    low = F.lower(message)
+def high_signal_category(severity: Column, low: Column) -> Column:
+    """Why a log line is kept: its severity, or the first category of terms it contains.
+
+    ``low`` is the lower-cased line as a column of its own, so that it is worked out once and
+    not once per term.
+    """
     branches = [(F.upper(severity).isin("ERROR", "FATAL"), "severity")]
     branches += [(R.contains_alternatives(low, alts), name) for name, alts in R.HIGH_SIGNAL_LOGS]
     return R.first_match(branches, F.lit(None).cast("string"))
 
 
-def log_reason(severity: Column, message: Column) -> Column:
-    low, sev = F.lower(message), F.upper(severity)
+def log_reason(severity: Column, low: Column) -> Column:
+    sev = F.upper(severity)
     branches = [(R.contains_any(low, parts), name) for parts, name in R.LOG_REASONS]
     branches += [(sev == "FATAL", "LOG_FATAL"), (sev == "ERROR", "LOG_ERROR"),
                  (sev.isin("WARNING", "WARN"), "LOG_WARNING")]

@@ -139,17 +139,21 @@ def score_links_batch(pairs: DataFrame, rules=None, weights=(0.4, 0.3, 0.3)) ->
                         + wk * F.col("domain_score")))
 
 
-def top_causes(scored: DataFrame, min_conf: float = 0.3, top_m: int = 5) -> DataFrame:
-    """Best ``top_m`` causes per effect. The rank filter is pushed below the shuffle."""
+def _best(scored: DataFrame, min_conf: float, top_m: int) -> DataFrame:
     w = W.partitionBy("client_id", "e_eid").orderBy(F.desc("conf"), "gap_us", "c_eid")
     return (scored.where(F.col("conf") > min_conf)
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_m)
-            .select("client_id", F.col("c_eid").alias("cause"), F.col("e_eid").alias("effect"),
-                    F.coalesce("hops", F.lit(0)).alias("hops"),
-                    round_to(F.col("temporal_score")).alias("temporal_score"),
-                    round_to(F.col("distance_score")).alias("distance_score"),
-                    round_to(F.col("domain_score")).alias("domain_score"),
-                    round_to(F.col("conf")).alias("confidence"), "time_gap_seconds", "rank"))
+            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_m))
+
+
+def top_causes(scored: DataFrame, min_conf: float = 0.3, top_m: int = 5) -> DataFrame:
+    """Best ``top_m`` causes per effect. The rank filter is pushed below the shuffle."""
+    return _best(scored, min_conf, top_m).select(
+        "client_id", F.col("c_eid").alias("cause"), F.col("e_eid").alias("effect"),
+        F.coalesce("hops", F.lit(0)).alias("hops"),
+        round_to(F.col("temporal_score")).alias("temporal_score"),
+        round_to(F.col("distance_score")).alias("distance_score"),
+        round_to(F.col("domain_score")).alias("domain_score"),
+        round_to(F.col("conf")).alias("confidence"), "time_gap_seconds", "rank")
 
 
 DENSE_SLICE_ROWS = 4000
@@ -191,9 +195,11 @@ def build_causality(episodes: DataFrame, edges: DataFrame, rules=None, min_conf:
     gap = F.col("e_t") - F.col("c_t")
     inside = (gap > 0) & (gap < adaptive_window_min(F.col("c_reason")) * F.lit(MINUTE_US))
     pairs = with_hops(range_join(c, quiet, ["client_id"], width, inside), edges)
-    near = dense_candidates(c, loud, edges, default_rules, top_m)
     columns = ["client_id", "c_t", "e_t", *_C, *_E, "hops"]
-    both = pairs.select(columns).unionByName(near.select(columns))
+    near = dense_candidates(c, loud, edges, default_rules, top_m, min_conf, weights)
+    # The winners are known now; their hop counts are looked up like those of the other pairs.
+    near = _best(score_links_batch(near, rules, weights), min_conf, top_m).select(columns).drop("hops")
+    both = pairs.select(columns).unionByName(with_hops(near, edges).select(columns))
     return top_causes(score_links_batch(both, rules, weights), min_conf, top_m)
 
 
@@ -212,61 +218,93 @@ def _signatures(rules) -> list[tuple[int, ...]]:
 
 
 def dense_candidates(causes: DataFrame, effects: DataFrame, edges: DataFrame, rules,
-                     top_m: int = 5) -> DataFrame:
+                     top_m: int = 5, min_conf: float = 0.3, weights=(0.4, 0.3, 0.3)) -> DataFrame:
     """A superset of the ``top_m`` best causes of each effect, found without forming all pairs.
 
     Inside a class of causes that share window, matched rules and topological relation, the
     score of a pair only falls with its age, so the ``top_m`` latest causes of every class are
-    enough. (Pairs under one second apart score differently and are a class of their own.)
-    The true top causes always come out with their best relation.
+    enough. (Pairs under one second apart score differently and are probed on their own.) The
+    true top causes always come out with their best relation.
+
+    Window classes that cannot reach ``min_conf`` are not probed, and windows that are longer
+    than the age at which a class falls below ``min_conf`` share one class.
     """
-    window = adaptive_window_min(F.col("c_reason")).cast("string")
+    wt, wd, wk = weights
+    window = adaptive_window_min(F.col("c_reason"))
     signatures = _signatures(rules)
-
-    def signature_of(reason):
-        hits = F.array_compact(F.array(*[F.when(R.matches(reason, c), F.lit(i))
-                                         for i, (c, _, _) in enumerate(rules)]))
-        return F.array_join(hits, ",")
-
-    sig = signature_of(F.col("c_reason"))
+    windows = sorted({n for _, n in R.ADAPTIVE_WINDOWS} | {R.ADAPTIVE_WINDOW_DEFAULT})
+    short = [w for w in windows if w * 60 < _FLAT_AGE_S]
+
+    hits = F.array_compact(F.array(*[F.when(R.matches(F.col("c_reason"), c), F.lit(i))
+                                     for i, (c, _, _) in enumerate(rules)]))
+    sig = F.array_join(hits, ",")
+    merged = F.when(window * 60 < _FLAT_AGE_S, F.concat(F.lit("s"), window.cast("string"))).otherwise("s")
+    text = window.cast("string")
     cause_class = F.array_compact(F.array(
-        F.concat(F.lit("w"), window),
-        F.when(sig != "", F.concat(F.lit("w"), window, F.lit("r"), sig))))
-    windows = sorted({str(n) for _, n in R.ADAPTIVE_WINDOWS} | {str(R.ADAPTIVE_WINDOW_DEFAULT)})
-    probe_class = F.array_compact(F.array(
-        *[F.lit("w" + w) for w in windows],
-        *[F.when(_any_effect(rules, s), F.lit(f"w{w}r{','.join(map(str, s))}"))
-          for s in signatures for w in _signature_windows(rules, s, windows)]))
+        merged, F.concat(F.lit("w"), text),
+        F.when(sig != "", F.concat(F.lit("w"), text, F.lit("r"), sig))))
+
+    # Rule classes depend on the effect only, and are listed once per effect.
+    rule_cls = F.array_compact(F.array(*[
+        F.when(_any_effect(rules, s), F.lit(f"w{w}r{','.join(map(str, s))}"))
+        for s in signatures for w in _signature_windows(rules, s, windows)]))
+
+    def window_cls(temporal: float, flat: float) -> Column:
+        """Window classes worth asking, by the distance score of the group."""
+        def listed(d):
+            reachable = lambda t: wt * t + wd * d + wk * R.BATCH_DOMAIN_DEFAULT > min_conf
+            names = ([f"w{w}" for w in windows] if reachable(flat) else
+                     [f"s{w}" for w in short] + ["s"] if reachable(temporal) else [])
+            return F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+        out = listed(0.20)
+        for d in (0.40, 0.55, 0.70, 0.85, 0.95):
+            out = F.when(F.col("dist") == d, listed(d)).otherwise(out)
+        return out
+
+    def asked() -> Column:
+        mark = lambda cls, shift: F.transform(cls, lambda x: F.struct(x.alias("cls"), F.lit(shift).alias("shift")))
+        return F.concat(mark(F.concat(window_cls(_YOUNGEST, 0.1), F.col("rule_cls")), MICROS - 1),
+                        mark(F.concat(window_cls(0.0, 0.0), F.col("rule_cls")), 0))
 
     ball = reach.balls(edges, 3)
-    met_c = ball.select("client_id", F.col("rid").alias("c_rid"),
-                        F.concat(F.lit("d"), F.col("d").cast("string"), F.lit("@"), F.col("x")).alias("g"))
-    # A probe at distance d2 looks for causes at every d1 with 1 <= d1 + d2 <= 3.
-    met_e = ball.select(
-        "client_id", F.col("rid").alias("e_rid"), F.col("x"), F.col("d"),
-        F.explode(F.sequence(F.greatest(F.lit(0), 1 - F.col("d")),
-                             F.least(F.lit(2), 3 - F.col("d")))).alias("d1"))
-    met_e = met_e.select(
-        "client_id", "e_rid", (F.col("d") + F.col("d1")).cast("int").alias("hops"),
-        F.concat(F.lit("d"), F.col("d1").cast("string"), F.lit("@"), F.col("x")).alias("g"))
-    shared_c = F.array(F.lit("*"), F.concat(F.lit("k@"), F.col("c_s_ns"), F.lit("|"), F.col("c_s_kind")),
-                       F.concat(F.lit("n@"), F.col("c_s_name")))
-    shared_e = F.array(F.lit("*"), F.concat(F.lit("k@"), F.col("e_s_ns"), F.lit("|"), F.col("e_s_kind")),
-                       F.concat(F.lit("n@"), F.col("e_s_name")))
-    c = (causes.withColumn("g", F.explode(shared_c))
-         .unionByName(causes.join(met_c, ["client_id", "c_rid"]))
-         .withColumn("cls", F.explode(cause_class)))
-    e = (effects.withColumn("g", F.explode(shared_e)).withColumn("hops", F.lit(None).cast("int"))
-         .unionByName(effects.join(met_e, ["client_id", "e_rid"]))
-         .withColumn("cls", F.explode(probe_class))
-         .withColumn("p_t", F.explode(F.array(F.col("e_t"), F.col("e_t") - (MICROS - 1)))))
-    found = nearest_earlier(e, c, ["client_id", "g", "cls"],
-                            R.ADAPTIVE_WINDOW_MAX * MINUTE_US, top_m, _C, "c_eid")
+    at = lambda d, x: F.concat(F.lit("d"), d.cast("string"), F.lit("@"), x)
+    met_c = ball.select("client_id", F.col("rid").alias("c_rid"), at(F.col("d"), F.col("x")).alias("g"))
+    # A probe at distance d looks for causes at every d1 with 1 <= d + d1 <= 3.
+    met_e = ball.select("client_id", F.col("rid").alias("e_rid"), "x", "d", F.explode(F.sequence(
+        F.greatest(F.lit(0), 1 - F.col("d")), F.least(F.lit(2), 3 - F.col("d")))).alias("d1"))
+    steps = F.col("d") + F.col("d1")
+    met_e = met_e.select("client_id", "e_rid", at(F.col("d1"), F.col("x")).alias("g"),
+                         F.when(steps == 1, 0.85).when(steps == 2, 0.70).otherwise(0.55).alias("dist"))
+    shared = lambda p: F.array(
+        F.struct(F.lit("*").alias("g"), F.lit(0.20).alias("dist")),
+        F.struct(F.concat(F.lit("k@"), f"{p}_s_ns", F.lit("|"), f"{p}_s_kind").alias("g"), F.lit(0.40).alias("dist")),
+        F.struct(F.concat(F.lit("n@"), f"{p}_s_name").alias("g"), F.lit(0.95).alias("dist")))
+    # Only ids travel through the sorts; the other columns are joined to the few results.
+    tagged = causes.withColumn("cls", cause_class)
+    c = tagged.select("client_id", "c_eid", "c_t", "cls", F.explode(shared("c")).alias("s")).select(
+        "client_id", "c_eid", "c_t", "cls", "s.g").unionByName(
+        tagged.join(met_c, ["client_id", "c_rid"]).select("client_id", "c_eid", "c_t", "cls", "g"))
+    c = c.withColumn("cls", F.explode("cls"))
+    ruled = effects.withColumn("rule_cls", rule_cls)
+    e = ruled.select("client_id", "e_eid", "e_t", "rule_cls", F.explode(shared("e")).alias("s")).select(
+        "client_id", "e_eid", "e_t", "rule_cls", "s.*").unionByName(
+        ruled.join(met_e, ["client_id", "e_rid"]).select("client_id", "e_eid", "e_t", "rule_cls", "g", "dist"))
+    e = e.select("client_id", "e_eid", "e_t", "g", "dist", F.explode(asked()).alias("q")).select(
+        "client_id", "e_eid", "g", "dist", "q.cls", (F.col("e_t") - F.col("q.shift")).alias("p_t"))
+    # the number of classes is bounded by the rules, not by the data
+    present = F.broadcast(causes.select(F.explode(cause_class).alias("cls")).distinct())
+    e = e.join(present, "cls", "left_semi")
+    found = nearest_earlier(e, c, ["client_id", "g", "cls"], R.ADAPTIVE_WINDOW_MAX * MINUTE_US, top_m, ["c_eid"], "c_eid")
+    hops = F.min(F.when(F.col("dist") == 0.85, 1).when(F.col("dist") == 0.70, 2).when(F.col("dist") == 0.55, 3))
+    pairs = found.groupBy("client_id", "c_eid", "e_eid").agg(hops.alias("hops"))
     gap = F.col("e_t") - F.col("c_t")
     live = (gap > 0) & (gap < adaptive_window_min(F.col("c_reason")) * F.lit(MINUTE_US))
-    hops = F.when(F.col("c_rid") != F.col("e_rid"), F.col("hops"))
-    return (found.where(live).withColumn("hops", hops)
-            .groupBy("client_id", "c_t", "e_t", *_C, *_E).agg(F.min("hops").alias("hops")))
+    return (pairs.join(causes, ["client_id", "c_eid"]).join(effects, ["client_id", "e_eid"]).where(live)
+            .withColumn("hops", F.when(F.col("c_rid") != F.col("e_rid"), F.col("hops"))))
+
+
+_FLAT_AGE_S = 300  # from this age on the temporal score no longer falls
+_YOUNGEST = 1.0 - (1 / 300.0) * 0.9  # temporal score at one second
 
 
 def _any_effect(rules, signature) -> Column:
@@ -277,15 +315,15 @@ def _any_effect(rules, signature) -> Column:
     return out
 
 
-def _signature_windows(rules, signature, windows) -> list[str]:
+def _signature_windows(rules, signature, windows) -> list[int]:
     """The window of an exact cause reason is known; a part match may have any window."""
     exact = {rules[i][0] for i in signature if not rules[i][0].startswith("~")}
     if len(exact) == 1:
         value = next(iter(exact))
         for patterns, minutes in R.ADAPTIVE_WINDOWS:
             if any(p == value or (p.startswith("~") and p[1:] in value) for p in patterns):
-                return [str(minutes)]
-        return [str(R.ADAPTIVE_WINDOW_DEFAULT)]
+                return [minutes]
+        return [R.ADAPTIVE_WINDOW_DEFAULT]
     return windows
 
 

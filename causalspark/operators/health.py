@@ -13,7 +13,9 @@ from causalspark.functions.scalar import DAY_US, HOUR_US, MINUTE_US, is_failure,
 from causalspark.operators.paths import true_roots
 from causalspark.operators.timejoin import latest
 
-N = F.count("*")
+
+def _count() -> Column:
+    return F.count("*")
 
 
 def _level(name: str) -> Column:
@@ -25,10 +27,10 @@ def resource_health(resources: DataFrame, episodes: DataFrame, incidents: DataFr
     """Score 0..100 from recent events and open incidents, with a status."""
     now = latest(episodes, as_of)
     ev = episodes.where(F.col("t") >= now - hours * HOUR_US).groupBy("client_id", "rid").agg(
-        N.alias("events"), _level("FATAL").alias("fatal"), _level("ERROR").alias("error"),
+        _count().alias("events"), _level("FATAL").alias("fatal"), _level("ERROR").alias("error"),
         _level("WARNING").alias("warning"))
     inc = incidents.where("status <> 'resolved'").groupBy("client_id", F.col("resource_id").alias("rid")).agg(
-        N.alias("incidents"))
+        _count().alias("incidents"))
     rows = (resources.select("client_id", "rid", "kind").join(ev, ["client_id", "rid"], "left")
             .join(inc, ["client_id", "rid"], "left").na.fill(0))
     score = 100 - 15 * F.col("incidents") - 20 * F.col("fatal") - 10 * F.col("error") - 5 * F.col("warning")
@@ -53,7 +55,7 @@ def health_checks(health: DataFrame) -> DataFrame:
 def health_ratio(resources: DataFrame, episodes: DataFrame, hours: int = 24, below: float = 0.8,
                  as_of=None) -> DataFrame:
     ev = episodes.where(F.col("t") >= latest(episodes, as_of) - hours * HOUR_US).groupBy("client_id", "rid").agg(
-        N.alias("events"), _level("ERROR").alias("errors"), _level("FATAL").alias("fatal"))
+        _count().alias("events"), _level("ERROR").alias("errors"), _level("FATAL").alias("fatal"))
     rows = resources.where(F.col("kind").isin("Pod", "Service", "Deployment")).select("client_id", "rid", "kind").join(
         ev, ["client_id", "rid"], "left").na.fill(0)
     ratio = 1.0 - (F.col("errors") * 0.5 + F.col("fatal") * 1.0) / F.greatest(F.col("events"), F.lit(1))
@@ -72,16 +74,16 @@ def tenant_summary(resources: DataFrame, episodes: DataFrame, links: DataFrame,
     now = latest(episodes, as_of)
     r = resources.groupBy("client_id").agg(
         F.count(F.when(F.col("phase").isin(HEALTHY) | F.col("phase").isNull(), 1)).alias("healthy"),
-        F.count(F.when(F.col("phase").isin(UNHEALTHY), 1)).alias("unhealthy"), N.alias("total"))
+        F.count(F.when(F.col("phase").isin(UNHEALTHY), 1)).alias("unhealthy"), _count().alias("total"))
     recent = episodes.where(F.col("t") >= now - incident_hours * HOUR_US).select("client_id", "eid")
     active = recent.join(true_roots(links), ["client_id", "eid"], "left_semi").groupBy("client_id").agg(
-        N.alias("active_incidents"))
+        _count().alias("active_incidents"))
     return r.join(active, "client_id", "left").na.fill(0)
 
 
 def top_issues(episodes: DataFrame, hours: int = 24, limit: int = 5, as_of=None) -> DataFrame:
     rows = episodes.where(F.col("t") >= latest(episodes, as_of) - hours * HOUR_US)
-    g = rows.groupBy("client_id", "reason").agg(N.alias("n"))
+    g = rows.groupBy("client_id", "reason").agg(_count().alias("n"))
     w = W.partitionBy("client_id").orderBy(F.desc("n"), "reason")
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -97,7 +99,7 @@ def namespace_health(resources: DataFrame, episodes: DataFrame, hours: int = 24,
         F.count(F.when(~F.col("phase").isin("Running", "Failed", "Pending"), 1)).alias("other"))
     err = episodes.where(F.col("reason").isin(FAILING_REASONS)
                          & (F.col("t") >= latest(episodes, as_of) - hours * HOUR_US)).groupBy(
-        "client_id", F.col("s_ns").alias("ns")).agg(N.alias("recent_errors"))
+        "client_id", F.col("s_ns").alias("ns")).agg(_count().alias("recent_errors"))
     out = pods.join(err, ["client_id", "ns"], "left").na.fill(0)
     return out.withColumn("status", F.when((F.col("failed") == 0) & (F.col("pending") == 0), "healthy")
                           .otherwise("degraded")).withColumn(
@@ -110,7 +112,7 @@ def service_health(pods_of: DataFrame, resources: DataFrame) -> DataFrame:
     state = resources.select("client_id", F.col("rid").alias("pod"), F.when(F.col("phase").isin(HEALTHY), 0)
                              .otherwise(1).alias("bad"))
     g = pods_of.join(state, ["client_id", "pod"]).groupBy("client_id", "service").agg(
-        N.alias("pods"), F.sum("bad").alias("unhealthy"))
+        _count().alias("pods"), F.sum("bad").alias("unhealthy"))
     return g.withColumn("health", F.when(F.col("unhealthy") == 0, "Healthy").when(
         F.col("unhealthy") < F.col("pods"), "Degraded").otherwise("Critical"))
 
@@ -121,11 +123,11 @@ def sla_labels(latencies: DataFrame, limits=None) -> DataFrame:
     pick = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v[i])]),
                                       F.col("operation"))
     label = F.when(F.col("ms") > pick(1), "critical").when(F.col("ms") > pick(0), "warning").otherwise("ok")
-    return latencies.groupBy("operation", label.alias("label")).agg(N.alias("n"), F.max("ms").alias("worst_ms"))
+    return latencies.groupBy("operation", label.alias("label")).agg(_count().alias("n"), F.max("ms").alias("worst_ms"))
 
 
 def latency_histogram(latencies: DataFrame, step_ms: int = 50) -> DataFrame:
-    return latencies.groupBy("operation", (F.floor(F.col("ms") / step_ms) * step_ms).alias("from_ms")).agg(N.alias("n"))
+    return latencies.groupBy("operation", (F.floor(F.col("ms") / step_ms) * step_ms).alias("from_ms")).agg(_count().alias("n"))
 
 
 def incident_sla(failures: Column, analysis_seconds: Column) -> dict[str, Column]:
@@ -165,7 +167,7 @@ def match_ranks(named: DataFrame, episodes: DataFrame, days: int = 7, sample: in
 
 
 def accuracy_at_k(ranks: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
-    g = ranks.agg(N.alias("total"), F.avg("rank").alias("mean_rank"),
+    g = ranks.agg(_count().alias("total"), F.avg("rank").alias("mean_rank"),
                   *[F.count(F.when(F.col("rank") <= k, 1)).alias(f"k{k}") for k in ks])
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("correct")) for k in ks])
     out = g.select("total", "mean_rank", F.explode(rows).alias("r")).select("r.*", "total", "mean_rank")
@@ -175,7 +177,7 @@ def accuracy_at_k(ranks: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
 
 def accuracy_by_symptom(ranks: DataFrame, ks=(1, 3, 5)) -> DataFrame:
     known = ranks.where(F.col("reason").isin(list(R.EXPECTED_CAUSES)))
-    return known.groupBy("reason").agg(N.alias("total"), *[
+    return known.groupBy("reason").agg(_count().alias("total"), *[
         F.count(F.when(F.col("rank") <= k, 1)).alias(f"correct_at_{k}") for k in ks])
 
 
@@ -224,7 +226,7 @@ def list_incidents(incidents: DataFrame, severity=None, status=None, resource=No
 
 def error_summary(members: DataFrame) -> DataFrame:
     g = members.groupBy("incident_id").agg(
-        N.alias("errors"), _level("FATAL").alias("fatal"), F.countDistinct("reason").alias("reasons"),
+        _count().alias("errors"), _level("FATAL").alias("fatal"), F.countDistinct("reason").alias("reasons"),
         F.countDistinct("rid").alias("resources"))
     return g.withColumn("overall", F.when(F.col("fatal") > 0, "critical").when(F.col("errors") > 5, "high")
                         .otherwise("medium"))
@@ -273,8 +275,8 @@ def assess_actions(actions: DataFrame) -> DataFrame:
 def enrich_alerts(alerts: DataFrame, resources: DataFrame, edges: DataFrame) -> DataFrame:
     """Alerts with their resource record and the number of edges on each side."""
     r = resources.select("client_id", "rid", "phase", "node", "owner", F.lit(True).alias("known"))
-    out = edges.groupBy("client_id", F.col("src").alias("rid")).agg(N.alias("edges_out"))
-    into = edges.groupBy("client_id", F.col("dst").alias("rid")).agg(N.alias("edges_in"))
+    out = edges.groupBy("client_id", F.col("src").alias("rid")).agg(_count().alias("edges_out"))
+    into = edges.groupBy("client_id", F.col("dst").alias("rid")).agg(_count().alias("edges_in"))
     keys = ["client_id", "rid"]
     return (alerts.join(r, keys, "left").join(out, keys, "left").join(into, keys, "left")
             .na.fill(0, ["edges_out", "edges_in"]).na.fill("", ["phase", "node", "owner"])
@@ -298,13 +300,13 @@ def typed_findings(roots: DataFrame, steps: DataFrame, blast: DataFrame, cross:
     ranked = roots.withColumn("n", F.row_number().over(w)).where("n <= 5").withColumn("rank", F.col("n") - 1)
     conf = lambda top: round_to(top - F.col("rank") * 0.05, 2)
     three = ranked.where("rank < 3").select("client_id", F.col("eid").alias("root"), "rank")
-    chain = three.join(steps.groupBy("client_id", "root").agg(N.alias("size")), ["client_id", "root"])
-    area = three.join(blast.groupBy("client_id", "root").agg(N.alias("size")), ["client_id", "root"])
+    chain = three.join(steps.groupBy("client_id", "root").agg(_count().alias("size")), ["client_id", "root"])
+    area = three.join(blast.groupBy("client_id", "root").agg(_count().alias("size")), ["client_id", "root"])
     pick = lambda df, kind, subject, c, size: df.select(
         "client_id", F.lit(kind).alias("finding"), F.col(subject).alias("subject"), c.alias("confidence"), size.alias("size"))
     parts = [pick(ranked, "root_cause", "eid", F.lit(0.85), F.col("blast_radius")),
              pick(chain, "causal_chain", "root", conf(0.90), F.col("size")),
              pick(area, "blast_radius", "root", conf(0.88), F.col("size")),
-             pick(cross.groupBy("client_id").agg(N.alias("size")).withColumn("subject", F.lit("")),
+             pick(cross.groupBy("client_id").agg(_count().alias("size")).withColumn("subject", F.lit("")),
                   "cross_service", "subject", F.lit(0.92), F.col("size"))]
     return reduce(lambda a, b: a.unionByName(b), parts)

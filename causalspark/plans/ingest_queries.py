@@ -167,7 +167,8 @@ LOG_TABLES = {"lines": LINES, "l1": r"""SELECT *, lower(line) AS low, CASE WHEN
 
 
 def _severity_lines(x):
-    return _lines(x).withColumn("severity", K.log_severity(F.col("line"), F.col("level"), F.lit(None).cast("string")))
+    rows = _lines(x).withColumn("low", F.lower("line"))
+    return rows.withColumn("severity", K.log_severity(F.col("line"), F.col("level"), F.lit(None).cast("string"), F.col("low")))
 
 
 @query("p11_log_severity", "SELECT id, severity FROM sev", LOG_TABLES)
@@ -212,13 +213,13 @@ CATEGORY = _sql_case([("severity IN ('ERROR','FATAL')", "severity")] + [
 
 @query("p16_high_signal_logs", f"SELECT id, category FROM (SELECT id, {CATEGORY} AS category FROM sev) WHERE category IS NOT NULL", LOG_TABLES)
 def p16(x):
-    rows = _severity_lines(x).select("id", K.high_signal_category(F.col("severity"), F.col("line")).alias("category"))
+    rows = _severity_lines(x).select("id", K.high_signal_category(F.col("severity"), F.col("low")).alias("category"))
     return records.high_signal(rows)
 
 
 @query("p17_log_reason", "SELECT id, " + _sql_case([(_sql_contains("low", p), v) for p, v in R.LOG_REASONS] + [("severity = 'FATAL'", "LOG_FATAL"), ("severity = 'ERROR'", "LOG_ERROR"), ("severity = 'WARNING'", "LOG_WARNING")], "'LOG_INFO'") + " AS reason FROM sev", LOG_TABLES)
 def p17(x):
-    return _severity_lines(x).select("id", K.log_reason(F.col("severity"), F.col("line")).alias("reason"))
+    return _severity_lines(x).select("id", K.log_reason(F.col("severity"), F.col("low")).alias("reason"))
 
 
 @query("p18_log_subject", "SELECT eid AS log_key, 'Pod' AS s_kind, CASE WHEN etype = 'k8s.log' THEN 'a-' || eid WHEN etype = 'prom.alert' THEN 'b-' || eid ELSE '' END AS s_uid, s_ns, s_name FROM episodes")

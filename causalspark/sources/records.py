@@ -56,14 +56,14 @@ def unwrap(message: Column) -> Column:
 def normalize_logs(raw: DataFrame) -> DataFrame:
     """Log records (columns of the LOG schema plus ``key`` and ``t``) to normalized rows."""
     text = unwrap(F.coalesce("message", "log", F.lit("")))
-    rows = raw.withColumn("line", text)
-    severity = K.log_severity(F.col("line"), F.col("level"), F.col("severity"))
-    reason = K.log_reason(severity, F.col("line"))
-    eid = F.sha1(F.concat_ws("|", "key", F.col("t").cast("string"), reason, F.substring("line", 1, 64)))
+    rows = raw.withColumn("line", text).withColumn("low", F.lower("line"))
+    rows = rows.withColumn("severity", K.log_severity(F.col("line"), F.col("level"), F.col("severity"), F.col("low")))
+    rows = rows.withColumn("reason", K.log_reason(F.col("severity"), F.col("low")))
+    eid = F.sha1(F.concat_ws("|", "key", F.col("t").cast("string"), "reason", F.substring("line", 1, 64)))
     return rows.select(
         eid.alias("eid"), "client_id", "t", F.lit("k8s.log").alias("etype"),
-        severity.alias("severity"), reason.alias("reason"), F.substring("line", 1, 1000).alias("message"),
-        K.high_signal_category(severity, F.col("line")).alias("category"),
+        "severity", "reason", F.substring("line", 1, 1000).alias("message"),
+        K.high_signal_category(F.col("severity"), F.col("low")).alias("category"),
         F.lit("Pod").alias("s_kind"),
         F.coalesce(blank_to_null(F.col("pod_uid")), blank_to_null(F.col("kubernetes.pod_uid"))).alias("s_uid"),
         F.col("pod_namespace").alias("s_ns"), F.col("pod_name").alias("s_name"))
