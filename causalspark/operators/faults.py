@@ -181,10 +181,12 @@ def alarm_distance(nodes: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_to_alarm, "fault_id string, eid string, dist int")
 
 
-def service_distances(depends_on: DataFrame, max_hops: int = 5) -> DataFrame:
-    """(service, other, hops) along depends-on edges, up to ``max_hops`` (farther scores 0)."""
+def service_distances(depends_on: DataFrame, sources: DataFrame, max_hops: int = 5) -> DataFrame:
+    """(service, other, hops) along depends-on edges from the given services, up to ``max_hops``
+    (farther scores 0)."""
     step = depends_on.select(F.col("service").alias("other"), F.col("needs").alias("next")).distinct()
-    state = depends_on.select("service", F.col("needs").alias("other")).distinct()
+    state = depends_on.join(sources.select("service").distinct(), "service", "left_semi").select(
+        "service", F.col("needs").alias("other")).distinct()
     seen = state.withColumn("hops", F.lit(1))
     for h in range(2, max_hops + 1):
         state = (state.join(step, "other").select("service", F.col("next").alias("other")).distinct()
@@ -200,9 +202,10 @@ def root_scores(nodes: DataFrame, depends_on: DataFrame) -> DataFrame:
     n = nodes.groupBy("fault_id").agg(F.count("*").alias("n"))
     alarm = nodes.where("is_last").select("fault_id", F.col("eid").alias("alarm"), F.col("t").alias("alarm_t"),
                                           F.col("service").alias("other"))
-    rows = (root_candidates(nodes).join(alarm, "fault_id").join(n, "fault_id")
+    roots = root_candidates(nodes)
+    rows = (roots.join(alarm, "fault_id").join(n, "fault_id")
             .join(alarm_distance(nodes), ["fault_id", "eid"])
-            .join(service_distances(depends_on), ["service", "other"], "left"))
+            .join(service_distances(depends_on, roots), ["service", "other"], "left"))
     dt = (F.col("alarm_t") - F.col("t")) / float(MICROS)
     time = F.when(dt < 0, 0.0).otherwise(F.pow(F.lit(2.0), -dt / 120.0))
     graph = F.coalesce(1.0 - F.col("dist") / F.col("n"), F.lit(0.0))

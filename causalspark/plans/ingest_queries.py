@@ -247,7 +247,7 @@ def _webhooks(x):
                      F.when(F.col("severity") == "INFO", "").otherwise(F.md5("eid")).alias("fingerprint"))
     day = F.floor(F.col("t") / C.DAY_US)
     g = a.groupBy("client_id", "rid", "s_ns", day.alias("day")).agg(F.collect_list(alert).alias("alerts"))
-    body = F.struct(F.lit("firing").alias("status"), F.lit("kg").alias("receiver"), F.when(F.col("day") % 2 == 0, F.col("rid")).otherwise("").alias("groupKey"),
+    body = F.struct(F.lit("firing").alias("status"), F.lit("hooks").alias("receiver"), F.when(F.col("day") % 2 == 0, F.col("rid")).otherwise("").alias("groupKey"),
                     F.create_map(F.lit("namespace"), F.col("s_ns"), F.lit("alertname"), F.lit("ignored")).alias("commonLabels"),
                     F.create_map(F.lit("job"), F.col("client_id")).alias("groupLabels"), "alerts")
     return g.select(F.to_json(body).alias("value")).select(F.from_json("value", schemas.ALERT_WEBHOOK).alias("v")).select("v.*")

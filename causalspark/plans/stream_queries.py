@@ -2,6 +2,7 @@
 until nothing is left, and returns what the sink holds."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -27,11 +28,25 @@ class Run:
         self.out, self.state = f"{self.base}/out", f"{self.base}/state"
 
     def append(self, df, mode="append"):
-        jobs.run_available(df, self.out, self.state, mode)
+        with self.state_partitions():
+            jobs.run_available(df, self.out, self.state, mode)
         return self.spark.read.schema(df.schema).parquet(self.out)
 
     def batches(self, df, handler):
-        jobs.run_batches(df, handler, self.state)
+        with self.state_partitions():
+            jobs.run_batches(df, handler, self.state)
+
+    @contextmanager
+    def state_partitions(self):
+        """A run that ends by itself needs no more state partitions than twice the cores."""
+        name = "spark.sql.shuffle.partitions"
+        before = self.spark.conf.get(name)
+        wanted = min(int(before), 2 * self.spark.sparkContext.defaultParallelism)
+        self.spark.conf.set(name, str(wanted))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
 
 
 def event_stream(x):

@@ -172,7 +172,8 @@ def write_links(path: str, episodes: DataFrame | None = None, top_m: int | None
 # --- keyed state ------------------------------------------------------------------------------
 
 def _sorted_rows(frames: Iterator[pd.DataFrame]) -> list:
-    """The rows of one key in one micro-batch, in time order."""
+    """The rows of one key in one micro-batch, in time order. Size micro-batches (offsets or files
+    per trigger) so that the busiest key of one fits in a task."""
     rows = [r for pdf in frames for r in pdf.itertuples(index=False)]
     return sorted(rows, key=lambda r: (r.t, r.eid))
 
