@@ -17,32 +17,29 @@ TOPOLOGY_TYPES = ("SELECTS", "RUNS_ON", "CONTROLS")
 def undirected(edges: DataFrame, types=TOPOLOGY_TYPES) -> DataFrame:
     """(client_id, a, b) in both directions, without loops and doubles."""
     e = edges.where(F.col("type").isin(*types)) if types else edges
-    e = e.where("src <> dst")
-    return (e.select("client_id", F.col("src").alias("a"), F.col("dst").alias("b"))
-            .union(e.select("client_id", F.col("dst").alias("a"), F.col("src").alias("b")))
-            .distinct())
+    ends = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = F.explode(F.array(ends("src", "dst"), ends("dst", "src")))  # one scan gives both directions
+    return e.where("src <> dst").select("client_id", both.alias("e")).select("client_id", "e.a", "e.b").distinct()
 
 
 def balls(edges: DataFrame, k: int = 3, types=TOPOLOGY_TYPES) -> DataFrame:
     """(client_id, rid, x, d): meeting vertices of every resource that has edges."""
     und = undirected(edges, types)
-    one = und.select("client_id", F.col("a").alias("rid"), F.col("b").alias("x"),
-                     F.lit(1).alias("d"))
-    zero = und.select("client_id", F.col("a").alias("rid"), F.col("a").alias("x"),
-                      F.lit(0).alias("d")).distinct()
-    out = zero.unionByName(one)
+    met = lambda x, d: F.struct(F.col(x).alias("x"), F.lit(d).alias("d"))
+    out = und.select("client_id", F.col("a").alias("rid"), F.explode(F.array(met("a", 0), met("b", 1))).alias("m")
+                     ).select("client_id", "rid", "m.x", "m.d")
     if k >= 3:
         degree = und.groupBy("client_id", "a").agg(F.count("*").alias("deg"))
-        ranked = und.join(degree, ["client_id", "a"])
-        first = ranked.select("client_id", F.col("b").alias("rid"), F.col("a").alias("mid"),
-                              F.col("deg").alias("mid_deg"))
-        second = und.join(degree.select("client_id", F.col("a").alias("b"),
-                                        F.col("deg").alias("end_deg")), ["client_id", "b"])
-        second = second.select("client_id", F.col("a").alias("mid"), F.col("b").alias("x"), "end_deg")
-        two = first.join(second, ["client_id", "mid"]).where(
-            (F.col("rid") != F.col("x"))
-            & (F.struct("mid_deg", "mid") < F.struct(F.col("end_deg"), F.col("x"))))
-        out = out.unionByName(two.select("client_id", "rid", "x", F.lit(2).alias("d")).distinct())
+        upward = (und.join(degree.withColumnRenamed("deg", "deg_a"), ["client_id", "a"])
+                  .join(degree.select("client_id", F.col("a").alias("b"), F.col("deg").alias("deg_b")),
+                        ["client_id", "b"])
+                  .where(F.struct("deg_a", "a") < F.struct("deg_b", "b")))
+        # Edges are kept in the direction of more neighbours before they are joined: a hub among
+        # small vertices has no such edge, so nothing is joined below it.
+        two = und.select("client_id", F.col("b").alias("rid"), F.col("a").alias("mid")).join(
+            upward.select("client_id", F.col("a").alias("mid"), F.col("b").alias("x")),
+            ["client_id", "mid"]).where("rid <> x")
+        out = out.unionByName(two.select("client_id", "rid", "x", F.lit(2).alias("d")))
     return out.groupBy("client_id", "rid", "x").agg(F.min("d").alias("d"))
 
 
