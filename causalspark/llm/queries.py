@@ -6,11 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from causalspark.llm.decontaminate import decontaminate
 from causalspark.llm.exact_dedup import exact_dedup
 from causalspark.llm.frames import table
+from causalspark.llm.quality import quality_scores
+from causalspark.llm.sentencepiece_fst import encode_decode
 from causalspark.llm.simhash_dedup import simhash_dedup
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -19,7 +34,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Words as the operators take them: A-Z to lower case, runs of digits, letters and all beyond ASCII.
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
 _SQL = {
+    "op5_benchmark_decontamination": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item_id, len(w) AS m, w AS win FROM i WHERE len(w) BETWEEN 1 AND 9
+            UNION SELECT DISTINCT item_id, 10, w[s:s + 9] FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS s FROM i WHERE len(w) >= 10)),
+        lengths AS (SELECT DISTINCT m FROM windows),
+        places AS (SELECT r, m, unnest(range(1, len(w) - m + 2)) AS s, w FROM d, lengths WHERE len(w) >= m),
+        hits AS MATERIALIZED (SELECT r, s, places.m, item_id FROM places JOIN windows ON places.m = windows.m AND w[s:s + places.m - 1] = win),
+        n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + m)) AS p FROM (SELECT DISTINCT r, s, m FROM hits)) GROUP BY r),
+        k AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)""",
     "op9_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
@@ -28,7 +60,8 @@ _SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_exact_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (
+        op3_quality_classifier, op5_benchmark_decontamination, op6_sentencepiece, op9_exact_dedup, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
