@@ -6,18 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from causalspark.llm.chat import CONTROL, END, START, format_digests, with_probe
 from causalspark.llm.decontaminate import decontaminate
+from causalspark.llm.edited_counts import edited_counts
 from causalspark.llm.exact_dedup import exact_dedup
 from causalspark.llm.frames import table
+from causalspark.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
+from causalspark.llm.packing import packed_rows
+from causalspark.llm.pii import pii_spans
 from causalspark.llm.quality import quality_scores
 from causalspark.llm.sentencepiece_fst import encode_decode
 from causalspark.llm.simhash_dedup import simhash_dedup
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_digests(with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +43,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_counts(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,7 +63,43 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _count(column: str, text: str) -> str:
+    return f"(len({column}) - len(replace({column}, {_quote(text)}, ''))) // {len(text)}"
+
+
+def _escaped(column: str) -> str:
+    """Length of a text after escaping: a backslash more for each backslash and control string."""
+    return f"len({column}) + " + " + ".join(_count(column, c) for c in ["\\", *CONTROL])
+
+
+_TEMPLATES = " UNION ALL ".join(
+    f"SELECT {n} AS t, {_quote(t.label)} AS label, {t.base} AS base, {t.words!r} AS tw, {t.must!r} AS must" for n, t in enumerate(TEMPLATES))
+
 _SQL = {
+    "op1_license_scan": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+        t AS ({_TEMPLATES}),
+        places AS (SELECT r, w, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+        starts AS (SELECT r, w, t.*, p - must[1] AS s FROM places JOIN t ON word = tw[must[1] + 1]),
+        found AS MATERIALIZED (SELECT r, label, base, s, share FROM (
+            SELECT *, CAST(len(list_filter(range(0, len(tw)), j -> s + j >= 0 AND w[s + j + 1] IS NOT DISTINCT FROM tw[j + 1])) AS DOUBLE) / len(tw) AS share FROM starts
+            WHERE len(list_filter(must, j -> w[s + j + 1] IS DISTINCT FROM tw[j + 1])) = 0) WHERE share >= {LEAST_SHARE}),
+        g AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+            FROM found GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+            coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN g USING (r)""",
+    "op2_chat_format": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+            coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+            CAST(sum({len(START) + len(END) + 2} + {_escaped("role")} + {_count("role", chr(10))} + {_escaped("text")}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     "op5_benchmark_decontamination": f"""
         WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
         i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
@@ -61,7 +122,8 @@ _SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_quality_classifier, op5_benchmark_decontamination, op6_sentencepiece, op9_exact_dedup, op10_simhash_dedup)}
+        op1_license_scan, op2_chat_format, op3_quality_classifier, op4_token_packing, op5_benchmark_decontamination, op6_sentencepiece,
+        op7_token_counts, op8_pii, op9_exact_dedup, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable
 
 #: Where the public vocabulary files lie; every operator takes the file's path as a parameter.
@@ -14,7 +15,9 @@ PIECE_BPE = os.path.join(TOKENIZER_DIR, "piece_bpe_32k.model")
 REMEMBERED, LONGEST = 400_000, 48
 
 # Pre-token pattern of the byte-level vocabulary (a fixed value).
-BYTE_BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stretches that no token of that vocabulary crosses: white space (as the pattern takes it), then other characters.
+BYTE_BPE_CUT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+").findall
 
 
 class Segments(dict):
