@@ -38,11 +38,14 @@ class CountTree:
     """The pre-tokens of one text under a segment tree of character and token sums."""
 
     def __init__(self, text: str, count: Segments):
-        self.count = count
-        stretches = CUT(text)
+        self.count, self.encoded = count, 0
+        self._build(CUT(text))
+
+    def _build(self, stretches: list[str]) -> None:
+        count = self.count
         self.leaves = [stretches[i:i + LEAF] for i in range(0, len(stretches), LEAF)] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens, self.encoded = [0] * (2 * self.size), [0] * (2 * self.size), 0
+        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i, leaf in enumerate(self.leaves):
             self.chars[self.size + i] = sum(map(len, leaf))
             self.tokens[self.size + i] = sum(map(count.__getitem__, leaf))
@@ -110,15 +113,13 @@ class CountTree:
         region = "".join(touched)
         region = region[:start - at] + replacement + region[end - at:]
         self.encoded += len(region)
-        head, tail = self.leaves[first][:i], self.leaves[last][j + 1:]
-        if first == last:
-            self._set(first, head + CUT(region) + tail)
-        else:
-            self._set(first, head + CUT(region))
-            for leaf in range(first + 1, last):
-                if self.leaves[leaf]:
-                    self._set(leaf, [])
-            self._set(last, tail)
+        row = self.leaves[first][:i] + CUT(region) + self.leaves[last][j + 1:]
+        if len(row) > 8 * LEAF * (last - first + 1):  # much was inserted here: build anew, once for many insertions
+            self._build([s for leaf in [*self.leaves[:first], row, *self.leaves[last + 1:]] for s in leaf])
+            return
+        share = -(-len(row) // (last - first + 1))  # spread evenly, so that no leaf gathers its neighbours' stretches
+        for k, leaf in enumerate(range(first, last + 1)):
+            self._set(leaf, row[k * share:(k + 1) * share])
 
 
 def repeated_line_edits(text: str) -> list[tuple[int, int, str]]:

@@ -51,7 +51,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list]], sc
         for batch in slices(batches):
             out = step([column.to_pylist() for column in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def one_of_equal(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

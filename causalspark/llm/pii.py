@@ -109,6 +109,8 @@ LOOKALIKES = {
 }
 #: Characters that are not seen: soft hyphen, zero-width ones, direction marks, joiners, byte order mark.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\ufeff"
+#: Last labels that a spelled address must end in; "at" and "dot" are words too (fixed values).
+TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io dev app ai co uk de fr es nl pl ch se no dk fi pt cz ru cn jp kr br mx au nz ca eu".split())
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 
@@ -178,7 +180,8 @@ def disguised_spans(text: str) -> list[Span]:
     traced = traced.rewrite(_BRACKETED, _sign)
     if " dot " in traced.text.lower():
         traced = traced.rewrite(_SPOKEN, _sign)
-    return runs + [(k, traced.starts[s], traced.ends[e - 1]) for k, s, e in plain_spans(traced.text)]
+    return runs + [(k, traced.starts[s], traced.ends[e - 1]) for k, s, e in plain_spans(traced.text)
+                   if k != "email" or not signs or traced.text[s:e].rpartition(".")[2].lower() in TOP_DOMAINS]
 
 
 def _order(spans) -> list[Span]:
