@@ -156,69 +156,36 @@ def top_causes(scored: DataFrame, min_conf: float = 0.3, top_m: int = 5) -> Data
         round_to(F.col("conf")).alias("confidence"), "time_gap_seconds", "rank")
 
 
-DENSE_SLICE_ROWS = 4000
+def build_causality(episodes: DataFrame, edges: DataFrame, rules=None, min_conf: float = 0.3,
+                    top_m: int = 5, weights=(0.4, 0.3, 0.3)) -> DataFrame:
+    """Best causes of every event, all tenants in one job, without forming the pairs.
 
+    The work is linear in the events, whatever their density and whatever the rules
+    (:func:`latest_candidates`).
+    """
+    rules = R.BATCH_DOMAIN_RULES if rules is None else rules
+    c, e = _batch_sides(episodes)
+    near = latest_candidates(c, e, edges, rules, top_m, min_conf, weights)
+    best = _best(score_links_batch(near, rules, weights), min_conf, top_m).select(
+        "client_id", "c_t", "e_t", *_C, *_E)
+    # The winners are known now; their least hop counts are looked up for them alone.
+    return top_causes(score_links_batch(with_hops(best, edges), rules, weights), min_conf, top_m)
 
-def densest_slice(episodes: DataFrame) -> int:
-    """Largest number of events of one tenant inside one slice of the widest window."""
-    width = R.ADAPTIVE_WINDOW_MAX * MINUTE_US
-    row = (episodes.groupBy("client_id", slice_of(F.col("t"), width).alias("s")).count()
-           .agg(F.max("count").alias("n")).first())
-    return int(row["n"] or 0)
 
+def _hits(rules) -> Column:
+    """Numbers of the rules whose cause part the reason matches."""
+    return F.array_compact(F.array(*[F.when(R.matches(F.col("c_reason"), c), F.lit(i))
+                                     for i, (c, _, _) in enumerate(rules)]))
 
-def build_causality(episodes: DataFrame, edges: DataFrame, rules=None, min_conf: float = 0.3,
-                    top_m: int = 5, weights=(0.4, 0.3, 0.3), dense_rows: int | None = None
-                    ) -> DataFrame:
-    """Best causes of every event, all tenants in one job.
 
-    Quiet slices are paired directly. Slices of a tenant above ``dense_rows`` events take the
-    linear route of :func:`dense_candidates`, which gives the same links.
-    """
-    limit = DENSE_SLICE_ROWS if dense_rows is None else dense_rows
-    default_rules = R.BATCH_DOMAIN_RULES if rules is None else rules
-    linear = all(score >= R.BATCH_DOMAIN_DEFAULT for _, _, score in default_rules)
-    if not linear or densest_slice(episodes) <= limit:
-        scored = score_links_batch(with_hops(window_pairs(episodes), edges), rules, weights)
-        return top_causes(scored, min_conf, top_m)
-    width = R.ADAPTIVE_WINDOW_MAX * MINUTE_US
-    counts = episodes.groupBy("client_id", slice_of(F.col("t"), width).alias("s")).agg(
-        F.count("*").alias("n"))
-    # An effect looks into its own slice and the one before; either may be the busy one.
-    busy = (counts.where(F.col("n") > limit)
-            .select("client_id", F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("s"))
-            .distinct())
-    marked = episodes.withColumn("s", slice_of(F.col("t"), width))
-    c, _ = _batch_sides(episodes)
-    _, quiet = _batch_sides(marked.join(busy, ["client_id", "s"], "left_anti"))
-    _, loud = _batch_sides(marked.join(busy, ["client_id", "s"], "left_semi"))
-    gap = F.col("e_t") - F.col("c_t")
-    inside = (gap > 0) & (gap < adaptive_window_min(F.col("c_reason")) * F.lit(MINUTE_US))
-    pairs = with_hops(range_join(c, quiet, ["client_id"], width, inside), edges)
-    columns = ["client_id", "c_t", "e_t", *_C, *_E, "hops"]
-    near = dense_candidates(c, loud, edges, default_rules, top_m, min_conf, weights)
-    # The winners are known now; their hop counts are looked up like those of the other pairs.
-    near = _best(score_links_batch(near, rules, weights), min_conf, top_m).select(columns).drop("hops")
-    both = pairs.select(columns).unionByName(with_hops(near, edges).select(columns))
-    return top_causes(score_links_batch(both, rules, weights), min_conf, top_m)
-
-
-def _signatures(rules) -> list[tuple[int, ...]]:
-    """Sets of rules that one cause reason can match; each set is one cause class."""
-    exact = sorted({c for c, _, _ in rules if not c.startswith("~")})
-    parts = sorted({c for c, _, _ in rules if c.startswith("~")})
-    found = set()
-    for value in exact:
-        found.add(tuple(i for i, (c, _, _) in enumerate(rules)
-                        if c == value or (c.startswith("~") and c[1:] in value)))
-    for mask in range(1, 2 ** len(parts)):
-        chosen = {p for j, p in enumerate(parts) if mask >> j & 1}
-        found.add(tuple(i for i, (c, _, _) in enumerate(rules) if c in chosen))
-    return sorted(found)
-
-
-def dense_candidates(causes: DataFrame, effects: DataFrame, edges: DataFrame, rules,
-                     top_m: int = 5, min_conf: float = 0.3, weights=(0.4, 0.3, 0.3)) -> DataFrame:
+def cause_classes(causes: DataFrame, rules) -> list[tuple[int, tuple[int, ...]]]:
+    """The (window, matched rules) that occur: at most as many as there are distinct reasons."""
+    found = causes.select(adaptive_window_min(F.col("c_reason")).alias("w"), _hits(rules).alias("sig")).distinct().collect()
+    return sorted((int(r["w"]), tuple(r["sig"])) for r in found)
+
+
+def latest_candidates(causes: DataFrame, effects: DataFrame, edges: DataFrame, rules,
+                      top_m: int = 5, min_conf: float = 0.3, weights=(0.4, 0.3, 0.3)) -> DataFrame:
     """A superset of the ``top_m`` best causes of each effect, found without forming all pairs.
 
     Inside a class of causes that share window, matched rules and topological relation, the
@@ -226,35 +193,40 @@ def dense_candidates(causes: DataFrame, effects: DataFrame, edges: DataFrame, ru
     enough. (Pairs under one second apart score differently and are probed on their own.) The
     true top causes always come out with their best relation.
 
+    Causes without a rule below the default also share one class for each window: no other
+    member scores less there than one without a rule. Causes that match a rule below the
+    default stay out of it and are asked for by each effect in their own class.
+
     Window classes that cannot reach ``min_conf`` are not probed, and windows that are longer
     than the age at which a class falls below ``min_conf`` share one class.
     """
     wt, wd, wk = weights
     window = adaptive_window_min(F.col("c_reason"))
-    signatures = _signatures(rules)
-    windows = sorted({n for _, n in R.ADAPTIVE_WINDOWS} | {R.ADAPTIVE_WINDOW_DEFAULT})
+    occurring = cause_classes(causes, rules)
+    low = {s for _, s in occurring if any(rules[i][2] < R.BATCH_DOMAIN_DEFAULT for i in s)}
+    windows = sorted({w for w, s in occurring if s not in low})
     short = [w for w in windows if w * 60 < _FLAT_AGE_S]
 
-    hits = F.array_compact(F.array(*[F.when(R.matches(F.col("c_reason"), c), F.lit(i))
-                                     for i, (c, _, _) in enumerate(rules)]))
-    sig = F.array_join(hits, ",")
+    sig = F.array_join(_hits(rules), ",")
+    name = lambda s: ",".join(map(str, s))
     merged = F.when(window * 60 < _FLAT_AGE_S, F.concat(F.lit("s"), window.cast("string"))).otherwise("s")
     text = window.cast("string")
+    own = F.when(sig != "", F.concat(F.lit("w"), text, F.lit("r"), sig))
+    shares = ~sig.isin([name(s) for s in sorted(low)]) if low else F.lit(True)
     cause_class = F.array_compact(F.array(
-        merged, F.concat(F.lit("w"), text),
-        F.when(sig != "", F.concat(F.lit("w"), text, F.lit("r"), sig))))
+        F.when(shares, merged), F.when(shares, F.concat(F.lit("w"), text)), own))
 
     # Rule classes depend on the effect only, and are listed once per effect.
     rule_cls = F.array_compact(F.array(*[
-        F.when(_any_effect(rules, s), F.lit(f"w{w}r{','.join(map(str, s))}"))
-        for s in signatures for w in _signature_windows(rules, s, windows)]))
+        F.when(F.lit(True) if s in low else _any_effect(rules, s), F.lit(f"w{w}r{name(s)}"))
+        for w, s in occurring if s])) if any(s for _, s in occurring) else F.array().cast("array<string>")
 
     def window_cls(temporal: float, flat: float) -> Column:
         """Window classes worth asking, by the distance score of the group."""
         def listed(d):
             reachable = lambda t: wt * t + wd * d + wk * R.BATCH_DOMAIN_DEFAULT > min_conf
             names = ([f"w{w}" for w in windows] if reachable(flat) else
-                     [f"s{w}" for w in short] + ["s"] if reachable(temporal) else [])
+                     [f"s{w}" for w in short] + ["s"] * (len(windows) > len(short)) if reachable(temporal) else [])
             return F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
         out = listed(0.20)
         for d in (0.40, 0.55, 0.70, 0.85, 0.95):
@@ -291,9 +263,6 @@ def dense_candidates(causes: DataFrame, effects: DataFrame, edges: DataFrame, ru
         ruled.join(met_e, ["client_id", "e_rid"]).select("client_id", "e_eid", "e_t", "rule_cls", "g", "dist"))
     e = e.select("client_id", "e_eid", "e_t", "g", "dist", F.explode(asked()).alias("q")).select(
         "client_id", "e_eid", "g", "dist", "q.cls", (F.col("e_t") - F.col("q.shift")).alias("p_t"))
-    # the number of classes is bounded by the rules, not by the data
-    present = F.broadcast(causes.select(F.explode(cause_class).alias("cls")).distinct())
-    e = e.join(present, "cls", "left_semi")
     found = nearest_earlier(e, c, ["client_id", "g", "cls"], R.ADAPTIVE_WINDOW_MAX * MINUTE_US, top_m, ["c_eid"], "c_eid")
     hops = F.min(F.when(F.col("dist") == 0.85, 1).when(F.col("dist") == 0.70, 2).when(F.col("dist") == 0.55, 3))
     pairs = found.groupBy("client_id", "c_eid", "e_eid").agg(hops.alias("hops"))
@@ -315,18 +284,6 @@ def _any_effect(rules, signature) -> Column:
     return out
 
 
-def _signature_windows(rules, signature, windows) -> list[int]:
-    """The window of an exact cause reason is known; a part match may have any window."""
-    exact = {rules[i][0] for i in signature if not rules[i][0].startswith("~")}
-    if len(exact) == 1:
-        value = next(iter(exact))
-        for patterns, minutes in R.ADAPTIVE_WINDOWS:
-            if any(p == value or (p.startswith("~") and p[1:] in value) for p in patterns):
-                return [minutes]
-        return [R.ADAPTIVE_WINDOW_DEFAULT]
-    return windows
-
-
 def build_causality_basic(episodes: DataFrame, min_conf: float = 0.3, window_min: int = 10
                           ) -> DataFrame:
     """Fixed window, rules that look at the resource, no topology; every link above the bar."""

@@ -106,13 +106,21 @@ def _burst(make, seed, n=400, span=700):
     return make.episodes(out), make.edges(edges)
 
 
-@pytest.mark.parametrize("seed,limit", [(11, 0), (12, 0), (13, 60)])
-def test_busy_tenant_route_gives_the_same_links(make, seed, limit):
+def _all_pairs(ep, edges, rules=None):
+    """The same links from every pair inside the windows."""
+    return L.top_causes(L.score_links_batch(L.with_hops(L.window_pairs(ep), edges), rules))
+
+
+MIXED_RULES = [("OOMKilled", ["BackOff", "~Fail"], 0.9), ("~Image", ["Failed"], 0.05), ("~Err", ["BackOff", "Failed"], 0.6),
+               ("Failed", ["~a"], 0.1), ("Pulled", ["Killing"], 0.0)]
+
+
+@pytest.mark.parametrize("seed,rules", [(11, None), (12, None), (13, MIXED_RULES), (14, MIXED_RULES[::-1]), (15, [])])
+def test_links_of_a_burst_are_the_best_of_all_pairs(make, seed, rules):
+    """Rules above and below the default score, and none."""
     ep, edges = _burst(make, seed)
-    plain = L.build_causality(ep, edges, dense_rows=10 ** 9)
-    dense = L.build_causality(ep, edges, dense_rows=limit)
     cols = ["client_id", "effect", "rank", "cause", "confidence", "hops"]
-    assert rows(dense, *cols) == rows(plain, *cols)
+    assert rows(L.build_causality(ep, edges, rules), *cols) == rows(_all_pairs(ep, edges, R.BATCH_DOMAIN_RULES if rules is None else rules), *cols)
 
 
 def test_link_invariants(make):
@@ -189,6 +197,7 @@ def test_selector_mismatch_selects_nothing(spark):
     assert rows(T.selects_by_labels(svc, both), "src", "dst") == [("s", "p")]
 
 
-def test_rules_have_windows_for_each_signature():
-    for s in L._signatures(R.BATCH_DOMAIN_RULES):
-        assert L._signature_windows(R.BATCH_DOMAIN_RULES, s, [2, 5, 10, 15])
+def test_cause_classes_are_those_that_occur(make):
+    ep = make.episodes([(f"e{i}", i, r, "p") for i, r in enumerate(["OOMKilled", "OOMKilled", "Pulled", "Strange"])])
+    classes = L.cause_classes(L.side(ep, "c"), R.BATCH_DOMAIN_RULES)
+    assert len(classes) == len(set(classes)) <= 3 and any(not s for _, s in classes) and any(s for _, s in classes)
