@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalspark.llm.frames import one_of_equal, slices, text_bytes, text_key
+from causalspark.llm.frames import one_of_equal, or_least, slices, text_bytes, text_key
 
 #: Bytes of distinct content that one table holds before it is emitted (map side) or spills (bucket side).
 TABLE_BYTES = 64 * 1024 * 1024
@@ -186,10 +186,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Of repeated rows the first by the hash of their other columns stays."""
-    groups = equal_groups(docs, id_col, text_col).select("text_sha256", "keep_id")
+    groups = equal_groups(docs, id_col, text_col).select("text_sha256", or_least("keep_id").alias("keep_id"))
     plain = [f"`{f.name}`" for f in docs.schema.fields if f.name not in (id_col, text_col) and "map" not in f.dataType.simpleString()]
     rows = docs.select(
-        F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("keep_id"), F.sha2(text_bytes(text_col), 256).alias("text_sha256"),
+        F.struct("*").alias("row"), or_least(id_col).alias("keep_id"), F.sha2(text_bytes(text_col), 256).alias("text_sha256"),
         F.xxhash64(*plain, F.lit(0)).alias("tie"))
-    kept = rows.join(groups, (rows["text_sha256"] == groups["text_sha256"]) & rows["keep_id"].eqNullSafe(groups["keep_id"]), "left_semi")
+    kept = rows.join(groups, ["text_sha256", "keep_id"], "left_semi")  # the window below reuses this partitioning
     return one_of_equal(kept, ["text_sha256", "keep_id"], [F.col("tie")]).select("row.*")

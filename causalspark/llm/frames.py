@@ -27,6 +27,11 @@ def text_key(name: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
 
+def or_least(name: str) -> Column:
+    """An id as a plain join key: null becomes the smallest number."""
+    return F.coalesce(F.col(name).cast("bigint"), F.lit(-(1 << 63)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes, so that long texts do not pile up as Python objects."""
     for batch in batches:

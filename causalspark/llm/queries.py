@@ -86,8 +86,8 @@ _SQL = {
         places AS (SELECT r, w, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
         starts AS (SELECT r, w, t.*, p - must[1] AS s FROM places JOIN t ON word = tw[must[1] + 1]),
         found AS MATERIALIZED (SELECT r, label, base, s, share FROM (
-            SELECT *, CAST(len(list_filter(range(0, len(tw)), j -> s + j >= 0 AND w[s + j + 1] IS NOT DISTINCT FROM tw[j + 1])) AS DOUBLE) / len(tw) AS share FROM starts
-            WHERE len(list_filter(must, j -> w[s + j + 1] IS DISTINCT FROM tw[j + 1])) = 0) WHERE share >= {LEAST_SHARE}),
+            SELECT *, CAST(len(list_filter(range(0, len(tw)), lambda j: s + j >= 0 AND w[s + j + 1] IS NOT DISTINCT FROM tw[j + 1])) AS DOUBLE) / len(tw) AS share FROM starts
+            WHERE len(list_filter(must, lambda j: w[s + j + 1] IS DISTINCT FROM tw[j + 1])) = 0) WHERE share >= {LEAST_SHARE}),
         g AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
             FROM found GROUP BY r)

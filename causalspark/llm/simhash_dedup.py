@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causalspark.llm.components import components
-from causalspark.llm.frames import one_of_equal, slices, text_bytes, text_key
+from causalspark.llm.frames import one_of_equal, or_least, slices, text_bytes, text_key
 from causalspark.session import cut_lineage
 
 SHINGLE_WORDS, MAX_BITS = 3, 3
@@ -191,8 +191,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One document of each component, the one with the smallest doc_id, with all its columns."""
     fps = cut_lineage(fingerprints(docs, id_col, text_col))
     named = fps.join(near_groups(fps, limit), "fp")
-    kept = named.where("doc_id <=> component_id").groupBy("component_id", "doc_id").agg(F.min("text_hash").alias("text_hash"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_hash"))
-    found = rows.join(kept, (rows["text_hash"] == kept["text_hash"]) & rows["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = named.where("doc_id <=> component_id").groupBy("component_id", "doc_id").agg(F.min("text_hash").alias("text_hash")).select(
+        or_least("doc_id").alias("doc_id"), "text_hash")
+    rows = docs.select(F.struct("*").alias("row"), or_least(id_col).alias("doc_id"), text_key(text_col).alias("text_hash"))
+    found = rows.join(kept, ["doc_id", "text_hash"], "left_semi")  # the window below reuses this partitioning
     plain = [f"row.`{f.name}`" for f in docs.schema.fields if f.name != text_col and "map" not in f.dataType.simpleString()]
     return one_of_equal(found, ["doc_id", "text_hash"], [F.xxhash64(*[F.col(c) for c in plain])]).select("row.*")
