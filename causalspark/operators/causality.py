@@ -445,8 +445,8 @@ def temporal_validity(named: DataFrame) -> DataFrame:
     gap = F.floor((F.col("e_t") - F.col("c_t")) / MICROS)
     label = (F.when(gap > 0, "cause before effect").when(gap == 0, "same time")
              .otherwise("cause after effect"))
-    counted = named.groupBy(label.alias("ordering")).agg(F.count("*").alias("n"))
-    share = F.col("n") * 100.0 / F.sum("n").over(W.partitionBy())
+    counted = named.groupBy("client_id", label.alias("ordering")).agg(F.count("*").alias("n"))
+    share = F.col("n") * 100.0 / F.sum("n").over(W.partitionBy("client_id"))
     return counted.withColumn("percentage", round_to(share, 2))
 
 

@@ -285,7 +285,7 @@ def merge_patterns(store: DataFrame, found: DataFrame) -> DataFrame:
     """Upsert into the store: frequencies of equal patterns add up."""
     cols = [c for c in store.columns if c not in ("pattern_id", "frequency")]
     both = store.unionByName(found)
-    return both.groupBy("pattern_id").agg(F.sum("frequency").alias("frequency"), *[F.first(c).alias(c) for c in cols])
+    return both.groupBy("pattern_id").agg(F.sum("frequency").alias("frequency"), *[F.min(c).alias(c) for c in cols])
 
 
 def pattern_statistics(patterns: DataFrame) -> DataFrame:
@@ -294,16 +294,16 @@ def pattern_statistics(patterns: DataFrame) -> DataFrame:
         F.max(F.size("sequence")).alias("longest"))
 
 
-def expected_paths(patterns: DataFrame, max_hops: int = 6) -> DataFrame:
+def expected_paths(patterns: DataFrame) -> DataFrame:
     """Longest shortest path from a root of each pattern graph; a pattern without roots gives
-    its event sequence."""
+    its event sequence. The walk goes on until no pattern has a new node."""
     e = patterns.select("pattern_id", F.explode("edges").alias("e")).select("pattern_id", "e.*")
     nodes = patterns.select("pattern_id", F.explode("sequence").alias("node"))
     roots = nodes.join(e.select("pattern_id", F.col("target_sig").alias("node")), ["pattern_id", "node"], "left_anti")
     e = cut_lineage(e)
     seen = cut_lineage(roots.select("pattern_id", F.col("node").alias("root"), "node", F.array("node").alias("path")))
     frontier = seen
-    for h in range(1, max_hops + 1):
+    while frontier.limit(1).count():
         grown = (frontier.join(e.withColumnRenamed("source_sig", "node"), ["pattern_id", "node"])
                  .select("pattern_id", "root", F.col("target_sig").alias("node"),
                          F.concat("path", F.array("target_sig")).alias("path"))

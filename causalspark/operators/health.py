@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from causalspark.functions import rules as R
 from causalspark.functions.scalar import DAY_US, HOUR_US, MINUTE_US, is_failure, round_to
 from causalspark.operators.paths import true_roots
-from causalspark.operators.timejoin import latest
+from causalspark.operators.timejoin import latest, top_per
 
 
 def _count() -> Column:
@@ -146,16 +146,17 @@ def _expected(cause: Column, symptom: Column, expected=None) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def match_ranks(named: DataFrame, episodes: DataFrame, days: int = 7, sample: int | None = 500, as_of=None,
+def match_ranks(named: DataFrame, episodes: DataFrame, days: int = 7, sample: int | None = None, as_of=None,
                 expected=None, assume_top: bool = False) -> DataFrame:
     """Rank of the first expected cause of each recent failure that has causes.
 
+    ``sample`` takes the latest failures of each tenant, as many as it says; all without it.
     ``assume_top`` gives rank 1 where nothing matches; strict mode leaves the rank null.
     """
     fail = episodes.where(is_failure(F.col("severity"))
                           & (F.col("t") >= latest(episodes, as_of) - days * DAY_US))
     if sample:
-        fail = fail.orderBy(F.desc("t"), "eid").limit(sample)
+        fail = top_per(fail, ["client_id"], [F.desc("t"), "eid"], sample)
     rows = named.where("e_t > c_t").join(fail.select("client_id", F.col("eid").alias("effect")),
                                          ["client_id", "effect"], "left_semi")
     w = W.partitionBy("client_id", "effect").orderBy(F.desc("confidence"), F.desc("c_t"), "cause")
@@ -167,17 +168,17 @@ def match_ranks(named: DataFrame, episodes: DataFrame, days: int = 7, sample: in
 
 
 def accuracy_at_k(ranks: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
-    g = ranks.agg(_count().alias("total"), F.avg("rank").alias("mean_rank"),
+    g = ranks.groupBy("client_id").agg(_count().alias("total"), F.avg("rank").alias("mean_rank"),
                   *[F.count(F.when(F.col("rank") <= k, 1)).alias(f"k{k}") for k in ks])
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("correct")) for k in ks])
-    out = g.select("total", "mean_rank", F.explode(rows).alias("r")).select("r.*", "total", "mean_rank")
+    out = g.select("client_id", "total", "mean_rank", F.explode(rows).alias("r")).select("client_id", "r.*", "total", "mean_rank")
     accuracy = F.col("correct") / F.greatest(F.col("total"), F.lit(1))
     return out.withColumn("accuracy", accuracy).withColumn("rating", accuracy_rating(F.col("k"), accuracy))
 
 
 def accuracy_by_symptom(ranks: DataFrame, ks=(1, 3, 5)) -> DataFrame:
     known = ranks.where(F.col("reason").isin(list(R.EXPECTED_CAUSES)))
-    return known.groupBy("reason").agg(_count().alias("total"), *[
+    return known.groupBy("client_id", "reason").agg(_count().alias("total"), *[
         F.count(F.when(F.col("rank") <= k, 1)).alias(f"correct_at_{k}") for k in ks])
 
 
@@ -214,6 +215,7 @@ def recommendations(incidents: DataFrame, members: DataFrame) -> DataFrame:
 
 def list_incidents(incidents: DataFrame, severity=None, status=None, resource=None, offset: int = 0,
                    limit: int = 50) -> DataFrame:
+    """A page of each tenant's incidents, latest first, with the number of incidents that match."""
     rows = incidents
     if severity:
         rows = rows.where(F.col("severity").isin(severity))
@@ -221,7 +223,8 @@ def list_incidents(incidents: DataFrame, severity=None, status=None, resource=No
         rows = rows.where(F.col("status").isin(status))
     if resource:
         rows = rows.where(F.contains(F.col("resource_id"), F.lit(resource)))
-    return rows.orderBy(F.desc("window_start"), "incident_id").offset(offset).limit(limit)
+    page = top_per(rows, ["client_id"], [F.desc("window_start"), "incident_id"], limit, offset)
+    return page.join(rows.groupBy("client_id").agg(_count().alias("total")), "client_id")
 
 
 def error_summary(members: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from causalspark.functions.scalar import DAY_US, HOUR_US, MINUTE_US, is_failure, round_to
 from causalspark.operators import reach
 from causalspark.operators.timejoin import (
-    islands, latest, near_join, numbered, slice_of, sliding)
+    islands, latest, near_join, numbered, slice_of, sliding, top_per)
 
 RESOURCE = ["client_id", "rid"]
 
@@ -120,10 +120,9 @@ def around_incident(episodes: DataFrame, incidents: DataFrame, minutes: int = 30
 def impactful_incidents(incidents: DataFrame, limit: int = 10) -> DataFrame:
     minutes = F.floor((F.col("window_end") - F.col("window_start")) / MINUTE_US)
     weight = F.when(F.col("severity") == "FATAL", 10).when(F.col("severity") == "ERROR", 5).otherwise(1)
-    return (incidents.withColumn("duration_minutes", minutes)
-            .withColumn("impact_score", round_to(
-                weight * F.col("event_count") * (F.col("duration_minutes") / 60.0), 3))
-            .orderBy(F.desc("impact_score"), "incident_id").limit(limit))
+    scored = incidents.withColumn("duration_minutes", minutes).withColumn("impact_score", round_to(
+        weight * F.col("event_count") * (F.col("duration_minutes") / 60.0), 3))
+    return top_per(scored, ["client_id"], [F.desc("impact_score"), "incident_id"], limit)
 
 
 def error_spike(episodes: DataFrame, as_of=None, recent_min: int = 15, baseline_hours: int = 24,

@@ -17,7 +17,7 @@ from causalspark.functions import rules as R
 from causalspark.functions.scalar import HOUR_US, MICROS, MINUTE_US, is_failure, round_to
 from causalspark.operators import reach
 from causalspark.operators.causality import link_causes, sequence_pairs
-from causalspark.operators.timejoin import latest, near_join, range_join, sliding
+from causalspark.operators.timejoin import latest, near_join, range_join, sliding, top_per
 from causalspark.session import cut_lineage
 
 ROUNDS_PER_CHECKPOINT = 3
@@ -43,7 +43,7 @@ def degrees(links: DataFrame) -> DataFrame:
 def root_causes(episodes: DataFrame, links: DataFrame, hours: int = 24, limit: int = 10,
                 max_upstream: int = 0, exclude: list[str] | None = None, etypes=None,
                 namespace: str | None = None, as_of=None) -> DataFrame:
-    """Events with effects and at most ``max_upstream`` causes, by number of effects."""
+    """Events with effects and at most ``max_upstream`` causes: the ``limit`` of each tenant with most effects."""
     rows = episodes.where(F.col("t") >= latest(episodes, as_of) - hours * HOUR_US)
     if exclude:
         rows = rows.where(~F.col("reason").isin(exclude))
@@ -52,11 +52,10 @@ def root_causes(episodes: DataFrame, links: DataFrame, hours: int = 24, limit: i
     if namespace:
         rows = rows.where(F.col("s_ns") == namespace)
     d = degrees(links).where((F.col("downstream") > 0) & (F.col("upstream") <= max_upstream))
-    return (rows.join(d, ["client_id", "eid"])
-            .select("client_id", "eid", "reason", "t", "s_kind", "s_ns", "s_name",
-                    F.col("upstream").alias("upstream_causes"),
-                    F.col("downstream").alias("blast_radius"))
-            .orderBy(F.desc("blast_radius"), "t", "eid").limit(limit))
+    found = rows.join(d, ["client_id", "eid"]).select(
+        "client_id", "eid", "reason", "t", "s_kind", "s_ns", "s_name",
+        F.col("upstream").alias("upstream_causes"), F.col("downstream").alias("blast_radius"))
+    return top_per(found, ["client_id"], [F.desc("blast_radius"), "t", "eid"], limit)
 
 
 def best_chains(links: DataFrame, max_hops: int = 3, min_conf: float = 0.0,
@@ -215,7 +214,7 @@ def reason_sequences(named: DataFrame, min_count: int = 3) -> DataFrame:
     second = named.groupBy("client_id", F.col("cause").alias("mid"), F.col("e_reason").alias("last")).agg(
         F.count("*").alias("n2"))
     return (first.join(second, ["client_id", "mid"])
-            .groupBy(F.col("c_reason").alias("a"), F.col("e_reason").alias("b"), F.col("last").alias("c"))
+            .groupBy("client_id", F.col("c_reason").alias("a"), F.col("e_reason").alias("b"), F.col("last").alias("c"))
             .agg(F.sum(F.col("n1") * F.col("n2")).alias("occurrences"))
             .where(F.col("occurrences") >= min_count))
 

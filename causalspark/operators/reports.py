@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from causalspark.functions.scalar import (
     DAY_US, HOUR_US, MICROS, MINUTE_US, confidence_band, gap_band, is_failure, round_to)
-from causalspark.operators.timejoin import latest, numbered
+from causalspark.operators.timejoin import latest, numbered, top_per
 
 
 def _count() -> Column:
@@ -65,8 +65,8 @@ def hourly_rates(episodes: DataFrame) -> DataFrame:
 
 
 def top_reasons(episodes: DataFrame, limit: int = 10) -> DataFrame:
-    rows = share(counted(episodes.where(is_failure(F.col("severity"))), "reason"))
-    return rows.orderBy(F.desc("n"), "reason").limit(limit)
+    rows = share(counted(episodes.where(is_failure(F.col("severity"))), "client_id", "reason"), by=["client_id"])
+    return top_per(rows, ["client_id"], [F.desc("n"), "reason"], limit)
 
 
 def error_prone_resources(episodes: DataFrame, min_errors: int = 5) -> DataFrame:
@@ -114,40 +114,40 @@ def null_scores(links: DataFrame) -> DataFrame:
 
 
 def confidence_histogram(links: DataFrame) -> DataFrame:
-    g = links.groupBy(confidence_band(F.col("confidence")).alias("band")).agg(
+    g = links.groupBy("client_id", confidence_band(F.col("confidence")).alias("band")).agg(
         _count().alias("n"), mean_score("confidence").alias("average"))
-    return share(g)
+    return share(g, by=["client_id"])
 
 
 def links_per_event(links: DataFrame) -> DataFrame:
     per = links.groupBy("client_id", "effect").agg(_count().alias("causes"))
-    return share(per.groupBy("causes").agg(_count().alias("n")))
+    return share(per.groupBy("client_id", "causes").agg(_count().alias("n")), by=["client_id"])
 
 
 def gap_distribution(links: DataFrame) -> DataFrame:
     minutes = F.floor(F.col("time_gap_seconds") / 60).cast("long")
-    g = links.select(minutes.alias("m")).groupBy(gap_band(F.col("m")).alias("band")).agg(
+    g = links.select("client_id", minutes.alias("m")).groupBy("client_id", gap_band(F.col("m")).alias("band")).agg(
         _count().alias("n"), F.min("m").alias("min_minutes"), F.max("m").alias("max_minutes"), F.sum("m").alias("sum_minutes"))
-    return share(g).withColumn("avg_minutes", round_to(F.col("sum_minutes") / F.col("n"), 2)).drop("sum_minutes")
+    return share(g, by=["client_id"]).withColumn("avg_minutes", round_to(F.col("sum_minutes") / F.col("n"), 2)).drop("sum_minutes")
 
 
 def reason_pairs(named: DataFrame, limit: int | None = None) -> DataFrame:
-    g = named.groupBy("c_reason", "e_reason").agg(
+    g = named.groupBy("client_id", "c_reason", "e_reason").agg(
         _count().alias("n"), mean_score("confidence").alias("average"))
-    return g.orderBy(F.desc("n"), "c_reason", "e_reason").limit(limit) if limit else g
+    return top_per(g, ["client_id"], [F.desc("n"), "c_reason", "e_reason"], limit) if limit else g
 
 
 def severity_transitions(named: DataFrame) -> DataFrame:
-    return share(counted(named, "c_severity", "e_severity"))
+    return share(counted(named, "client_id", "c_severity", "e_severity"), by=["client_id"])
 
 
 def common_root_causes(named: DataFrame, limit: int = 15, etype: str | None = None) -> DataFrame:
     rows = named.where(F.col("c_etype") == etype) if etype else named
     # effects are grouped first, so the distinct count needs no second copy of the rows
     per = rows.groupBy("client_id", "c_reason", "c_severity", "effect", "e_reason").agg(_count().alias("_"))
-    g = per.groupBy("c_reason", "c_severity").agg(
+    g = per.groupBy("client_id", "c_reason", "c_severity").agg(
         _count().alias("symptoms"), F.array_join(distinct_sample("e_reason", 5), "|").alias("examples"))
-    return g.orderBy(F.desc("symptoms"), "c_reason", "c_severity").limit(limit)
+    return top_per(g, ["client_id"], [F.desc("symptoms"), "c_reason", "c_severity"], limit)
 
 
 def many_causes(links: DataFrame, at_least: int = 5) -> DataFrame:
@@ -209,13 +209,14 @@ def catalogue(resources: DataFrame) -> DataFrame:
 
 def resource_catalogue(resources: DataFrame, episodes: DataFrame, depends: DataFrame, hours: int = 24,
                        offset: int = 0, limit: int = 50, as_of=None) -> DataFrame:
-    """Page of resources with recent events and number of outgoing edges."""
+    """Page of each tenant's resources with recent events, number of outgoing edges, and the number of resources."""
     recent = episodes.where(F.col("t") >= latest(episodes, as_of) - hours * HOUR_US).groupBy(
         "client_id", "rid").agg(_count().alias("events"), F.count(F.when(is_failure(F.col("severity")), 1)).alias("errors"))
     out = depends.groupBy("client_id", F.col("src").alias("rid")).agg(_count().alias("dependencies"))
     rows = (resources.select("client_id", "rid", "kind").join(recent, ["client_id", "rid"], "left")
             .join(out, ["client_id", "rid"], "left").na.fill(0))
-    return rows.orderBy(F.desc("events"), "client_id", "rid").offset(offset).limit(limit)
+    total = resources.groupBy("client_id").agg(_count().alias("total"))
+    return top_per(rows, ["client_id"], [F.desc("events"), "rid"], limit, offset).join(total, "client_id")
 
 
 def node_distribution(pods: DataFrame) -> DataFrame:
@@ -283,9 +284,9 @@ def expectations(episodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def log_patterns(logs: DataFrame, limit: int = 20) -> DataFrame:
-    """Most common line starts per source and severity."""
+    """Most common line starts of each source."""
     g = logs.groupBy("source", "severity", F.substring("line", 1, 100).alias("pattern")).agg(_count().alias("n"))
-    return g.orderBy(F.desc("n"), "source", "severity", "pattern").limit(limit)
+    return top_per(g, ["source"], [F.desc("n"), "severity", "pattern"], limit)
 
 
 def subject_summary(episodes: DataFrame) -> DataFrame:

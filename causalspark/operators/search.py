@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from causalspark.functions import rules as R
 from causalspark.functions.scalar import HOUR_US
-from causalspark.operators.timejoin import latest
+from causalspark.operators.timejoin import latest, top_per
 from causalspark.session import cut_lineage
 
 
@@ -38,13 +38,13 @@ def text_search(episodes: DataFrame, links: DataFrame, members: DataFrame, text:
                 min_similarity: float = 0.6, days: int = 7, as_of=None, **filters) -> DataFrame:
     """Events whose reason or message has the text, with their causes and incident.
 
-    Filters and the time window come before the top-k; causes are counted before the join.
+    Filters and the time window come before the top-k, which is of each tenant; causes are counted before the join.
     """
     rows = filter_events(episodes, hours=days * 24, text=text, as_of=as_of, **filters)
     in_reason = F.contains(F.lower("reason"), F.lit(text.lower()))
     rows = rows.withColumn("similarity", F.when(in_reason, 0.9).otherwise(0.7)).where(
         F.col("similarity") >= min_similarity)
-    best = rows.orderBy(F.desc("similarity"), F.desc("t"), "eid").limit(top_k)
+    best = top_per(rows, ["client_id"], [F.desc("similarity"), F.desc("t"), "eid"], top_k)
     causes = links.groupBy("client_id", F.col("effect").alias("eid")).agg(F.count("*").alias("root_causes"))
     inc = members.select("client_id", "eid", "incident_id")
     return (best.join(causes, ["client_id", "eid"], "left").join(inc, ["client_id", "eid"], "left")

@@ -121,6 +121,14 @@ def numbered(df: DataFrame, keys: list[str], order: list, width_us: int,
             .drop("_row", "_offset", "_slice"))
 
 
+def top_per(df: DataFrame, keys: list[str], order: list, limit: int, offset: int = 0) -> DataFrame:
+    """The rows at places ``offset + 1 .. offset + limit`` of every key. The rank filter is also
+    applied before the shuffle, so a large key sends only its best rows of each task."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where(
+        (F.col("_place") > offset) & (F.col("_place") <= offset + limit)).drop("_place")
+
+
 def latest(df: DataFrame, as_of=None) -> Column:
     """Explicit ``as_of`` micros, or the newest time of the frame as a scalar subquery."""
     return F.lit(as_of) if as_of is not None else df.select(F.max("t")).scalar()

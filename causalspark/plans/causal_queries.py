@@ -157,9 +157,9 @@ def l14(x):
         F.count("*").alias("changes"), F.countDistinct("rid").alias("changed"))
 
 
-@query("l15_temporal_validity", """SELECT ordering, n, floor(n * 100.0 / sum(n) OVER () * 100.0 + 0.5) / 100.0 AS percentage FROM (
-    SELECT CASE WHEN (e_t - c_t) // 1000000 > 0 THEN 'cause before effect' WHEN (e_t - c_t) // 1000000 = 0 THEN 'same time' ELSE 'cause after effect' END AS ordering,
-    CAST(count(*) AS BIGINT) AS n FROM lk GROUP BY 1)""")
+@query("l15_temporal_validity", """SELECT client_id, ordering, n, floor(n * 100.0 / sum(n) OVER (PARTITION BY client_id) * 100.0 + 0.5) / 100.0 AS percentage FROM (
+    SELECT client_id, CASE WHEN (e_t - c_t) // 1000000 > 0 THEN 'cause before effect' WHEN (e_t - c_t) // 1000000 = 0 THEN 'same time' ELSE 'cause after effect' END AS ordering,
+    CAST(count(*) AS BIGINT) AS n FROM lk GROUP BY 1, 2)""")
 def l15(x):
     return L.temporal_validity(x.named_links)
 

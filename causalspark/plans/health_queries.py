@@ -74,7 +74,7 @@ def h6h(x):
     return H.latency_histogram(_latencies(x))
 
 
-@query("h7_incident_sla", "SELECT incident_id, CASE WHEN s > 120 THEN 'breached' WHEN n > 3 THEN 'within_slo' ELSE 'within_slo' END AS sla_status, CASE WHEN s > 120 THEN 110.0::DOUBLE ELSE 95.2::DOUBLE END AS sla_percentage, CASE WHEN s > 120 THEN 0 ELSE 3 END AS risk_budget FROM (SELECT i.incident_id, count(*) FILTER (contains(lower(m.reason), 'fail')) AS n, any_value((i.window_end - i.window_start) / 1000000000.0) AS s FROM incidents i JOIN incident_members m USING (incident_id) GROUP BY 1)")
+@query("h7_incident_sla", "SELECT incident_id, CASE WHEN s > 120 THEN 'breached' WHEN n > 10 THEN 'breaching' ELSE 'within_slo' END AS sla_status, CASE WHEN s > 120 THEN 110.0::DOUBLE WHEN n > 10 THEN 98.5::DOUBLE ELSE 95.2::DOUBLE END AS sla_percentage, CASE WHEN s > 120 THEN 0 WHEN n > 10 THEN 1 ELSE 3 END AS risk_budget FROM (SELECT i.incident_id, count(*) FILTER (contains(lower(m.reason), 'fail')) AS n, any_value((i.window_end - i.window_start) / 1000000000.0) AS s FROM incidents i JOIN incident_members m USING (incident_id) GROUP BY 1)")
 def h7(x):
     fails = x.incident_members.groupBy("incident_id").agg(F.count(F.when(F.contains(F.lower("reason"), F.lit("fail")), 1)).alias("n"))
     rows = x.incidents.join(fails, "incident_id").withColumn("s", (F.col("window_end") - F.col("window_start")) / 1e9)
@@ -84,10 +84,10 @@ def h7(x):
 EXPECT = " OR ".join("(e_reason = '" + s + "' AND (" + " OR ".join(f"contains(lower(c_reason), '{c.lower()}')" for c in cs) + "))" for s, cs in R.EXPECTED_CAUSES.items())
 RANKS = {"ranks": f"""SELECT client_id, effect, e_reason AS reason, min(CASE WHEN {EXPECT} THEN pos END) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY client_id, effect ORDER BY confidence DESC, c_t DESC, cause) AS pos FROM lk WHERE e_sev IN ('ERROR','FATAL')) GROUP BY 1, 2, 3"""}
-ATK = f"""SELECT k, correct, total, {r3('accuracy', 6)} AS accuracy, {r3('mean_rank', 6)} AS mean_rank, CASE WHEN k = 1 THEN CASE WHEN accuracy >= 0.8 THEN 'Excellent' WHEN accuracy >= 0.7 THEN 'Good' WHEN accuracy >= 0.6 THEN 'Fair' ELSE 'Needs Improvement' END
+ATK = f"""SELECT client_id, k, correct, total, {r3('accuracy', 6)} AS accuracy, {r3('mean_rank', 6)} AS mean_rank, CASE WHEN k = 1 THEN CASE WHEN accuracy >= 0.8 THEN 'Excellent' WHEN accuracy >= 0.7 THEN 'Good' WHEN accuracy >= 0.6 THEN 'Fair' ELSE 'Needs Improvement' END
     WHEN k = 3 THEN CASE WHEN accuracy >= 0.93 THEN 'Exceeds Academic Benchmark' WHEN accuracy >= 0.85 THEN 'Production Ready' WHEN accuracy >= 0.75 THEN 'Acceptable' ELSE 'Needs Improvement' END
     WHEN k = 5 THEN CASE WHEN accuracy >= 0.95 THEN 'Excellent' WHEN accuracy >= 0.9 THEN 'Good' ELSE 'Fair' END ELSE CASE WHEN accuracy >= 0.95 THEN 'Excellent' ELSE 'Good' END END AS rating
-  FROM (SELECT k, correct, total, correct / CAST(total AS DOUBLE) AS accuracy, mean_rank FROM (SELECT k, count(*) FILTER (rank <= k) AS correct, count(*) AS total, avg(rank) AS mean_rank FROM ranks, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY 1))"""
+  FROM (SELECT client_id, k, correct, total, correct / CAST(total AS DOUBLE) AS accuracy, mean_rank FROM (SELECT client_id, k, count(*) FILTER (rank <= k) AS correct, count(*) AS total, avg(rank) AS mean_rank FROM ranks, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY 1, 2))"""
 
 
 def _atk(x, **kw):
@@ -105,16 +105,16 @@ def v1a(x):
     return _atk(x, assume_top=True)
 
 
-@query("v2_accuracy_by_symptom", "SELECT reason, count(*) AS total, count(*) FILTER (rank <= 1) AS correct_at_1, count(*) FILTER (rank <= 3) AS correct_at_3, count(*) FILTER (rank <= 5) AS correct_at_5 FROM ranks WHERE reason IN ('BackOff','CrashLoopBackOff','Evicted','FailedScheduling','Unhealthy','FailedMount','NetworkNotReady') GROUP BY 1", RANKS)
+@query("v2_accuracy_by_symptom", "SELECT client_id, reason, count(*) AS total, count(*) FILTER (rank <= 1) AS correct_at_1, count(*) FILTER (rank <= 3) AS correct_at_3, count(*) FILTER (rank <= 5) AS correct_at_5 FROM ranks WHERE reason IN ('BackOff','CrashLoopBackOff','Evicted','FailedScheduling','Unhealthy','FailedMount','NetworkNotReady') GROUP BY 1, 2", RANKS)
 def v2(x):
     return H.accuracy_by_symptom(H.match_ranks(x.named_links, x.episodes, days=365, sample=None))
 
 
-@query("v3_accuracy_rating", "SELECT e_reason AS reason, CASE WHEN a >= 0.8 THEN 'Excellent' WHEN a >= 0.7 THEN 'Good' WHEN a >= 0.6 THEN 'Fair' ELSE 'Needs Improvement' END AS rating FROM (SELECT reason AS e_reason, count(*) FILTER (rank <= 1) / CAST(count(*) AS DOUBLE) AS a FROM ranks GROUP BY 1)", RANKS)
+@query("v3_accuracy_rating", "SELECT client_id, e_reason AS reason, CASE WHEN a >= 0.8 THEN 'Excellent' WHEN a >= 0.7 THEN 'Good' WHEN a >= 0.6 THEN 'Fair' ELSE 'Needs Improvement' END AS rating FROM (SELECT client_id, reason AS e_reason, count(*) FILTER (rank <= 1) / CAST(count(*) AS DOUBLE) AS a FROM ranks GROUP BY 1, 2)", RANKS)
 def v3(x):
     r = H.match_ranks(x.named_links, x.episodes, days=365, sample=None)
-    g = r.groupBy("reason").agg((F.count(F.when(F.col("rank") <= 1, 1)) / F.count("*")).alias("a"))
-    return g.select("reason", H.accuracy_rating(F.lit(1), F.col("a")).alias("rating"))
+    g = r.groupBy("client_id", "reason").agg((F.count(F.when(F.col("rank") <= 1, 1)) / F.count("*")).alias("a"))
+    return g.select("client_id", "reason", H.accuracy_rating(F.lit(1), F.col("a")).alias("rating"))
 
 
 ADVICE = " UNION ALL ".join(f"SELECT incident_id, '{kind}' AS type, '{action}' AS action, {conf}::DOUBLE AS confidence, '{prio}' AS priority FROM texts WHERE " + " OR ".join(f"contains(body, '{p}')" for p in parts)
@@ -127,9 +127,9 @@ def n1(x):
     return H.recommendations(x.incidents, x.incident_members).drop("client_id")
 
 
-@query("n2_list_incidents", "SELECT incident_id, resource_id, severity, status FROM incidents WHERE severity IN ('FATAL','ERROR') AND status = 'resolved' AND contains(resource_id, 'pod:') ORDER BY window_start DESC, incident_id LIMIT 20 OFFSET 5")
+@query("n2_list_incidents", "SELECT client_id, incident_id, resource_id, severity, status, count(*) OVER (PARTITION BY client_id) AS total FROM incidents WHERE severity IN ('FATAL','ERROR') AND status = 'resolved' AND contains(resource_id, 'pod:') QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY window_start DESC, incident_id) BETWEEN 6 AND 25")
 def n2(x):
-    return H.list_incidents(x.incidents, ["FATAL", "ERROR"], ["resolved"], "pod:", 5, 20).select("incident_id", "resource_id", "severity", "status")
+    return H.list_incidents(x.incidents, ["FATAL", "ERROR"], ["resolved"], "pod:", 5, 20).select("client_id", "incident_id", "resource_id", "severity", "status", "total")
 
 
 @query("n3_error_summary", "SELECT *, CASE WHEN fatal > 0 THEN 'critical' WHEN errors > 5 THEN 'high' ELSE 'medium' END AS overall FROM (SELECT incident_id, count(*) AS errors, count(*) FILTER (severity = 'FATAL') AS fatal, count(DISTINCT reason) AS reasons, count(DISTINCT rid) AS resources FROM incident_members GROUP BY 1)")

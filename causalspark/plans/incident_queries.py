@@ -62,12 +62,12 @@ def w4a(x):
     return I.around_incident(x.episodes, x.incidents)
 
 
-@query("w5_impactful_incidents", f"""SELECT incident_id, event_count, duration_minutes, severity, impact_score FROM (
+@query("w5_impactful_incidents", f"""SELECT client_id, incident_id, event_count, duration_minutes, severity, impact_score FROM (
     SELECT *, {r3("CASE severity WHEN 'FATAL' THEN 10 ELSE 5 END * event_count * (duration_minutes / CAST(60.0 AS DOUBLE))")} AS impact_score
-    FROM (SELECT *, (window_end - window_start) // 60000000 AS duration_minutes FROM incidents)) ORDER BY impact_score DESC, incident_id LIMIT 10""")
+    FROM (SELECT *, (window_end - window_start) // 60000000 AS duration_minutes FROM incidents)) QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY impact_score DESC, incident_id) <= 10""")
 def w5(x):
     return I.impactful_incidents(x.incidents).select(
-        "incident_id", "event_count", "duration_minutes", "severity", "impact_score")
+        "client_id", "incident_id", "event_count", "duration_minutes", "severity", "impact_score")
 
 
 @query("w6_error_spike", f"""SELECT client_id, current_errors, {r3('average_errors', 6)} AS average_errors, {r3('spike_ratio', 6)} AS spike_ratio,

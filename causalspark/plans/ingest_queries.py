@@ -367,9 +367,9 @@ def p34(x):
 
 def _topic_path(x):
     """The events as JSON topic files in the shared folder."""
-    from causalspark.session import checkpoint_dir
+    from causalspark.session import shared_folder
     folder = "".join(c if c.isalnum() else "_" for c in x.directory)
-    path = f"{checkpoint_dir(x.spark)}/topics/{folder}"
+    path = f"{shared_folder(x.spark)}/topics/{folder}"
     body = topics.to_records(x.episodes.select("client_id", "eid", "t", "reason", "severity", "rid", "etype"), "events.normalized",
                              F.col("client_id"), F.col("eid"))
     body.withColumn("topic", F.when(F.get_json_object("value", "$.etype") == "k8s.log", "logs.normalized").otherwise(F.col("topic"))).withColumn(
@@ -391,9 +391,9 @@ def s2(x):
     return topics.expired(x.episodes.withColumn("topic", topic)).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("s3_bounded_replay", "SELECT eid, t FROM episodes, clock WHERE t >= now - 604800000000 AND s_ns = 'ns-1' AND contains(s_name, 'pod-') ORDER BY t DESC, eid LIMIT 1000")
+@query("s3_bounded_replay", "SELECT client_id, eid, t FROM episodes, clock WHERE t >= now - 604800000000 AND s_ns = 'ns-1' AND contains(s_name, 'pod-') QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY t DESC, eid) <= 1000")
 def s3(x):
-    return topics.bounded_replay(x.episodes, 7 * 1440, "ns-1", "pod-").select("eid", "t")
+    return topics.bounded_replay(x.episodes, 7 * 1440, "ns-1", "pod-").select("client_id", "eid", "t")
 
 
 @query("s5_target_changes", """SELECT client_id, name AS target_id, CASE WHEN phase = 'Failed' THEN 'DELETE' ELSE 'UPSERT' END AS op FROM pods WHERE phase <> 'Pending' OR TRUE""")
@@ -421,8 +421,8 @@ def s10(x):
 @query("s11_write_snapshot", "SELECT CAST(CAST(make_timestamp(t) AS DATE) AS STRING) AS day, count(*) AS n FROM episodes GROUP BY 1")
 def s11(x):
     """Written by day, read back by day (the read prunes on the folder)."""
-    from causalspark.session import checkpoint_dir
+    from causalspark.session import shared_folder
     folder = "".join(c if c.isalnum() else "_" for c in x.directory)
-    path = f"{checkpoint_dir(x.spark)}/snapshots/{folder}"
+    path = f"{shared_folder(x.spark)}/snapshots/{folder}"
     export.write_snapshot(x.episodes, path)
     return x.spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))

@@ -35,7 +35,7 @@ FAIL = "severity IN ('ERROR','FATAL')"
 
 
 @query("g1_root_causes", f"""SELECT e.client_id, e.eid, e.reason, e.s_kind, e.s_ns, e.s_name, up AS upstream_causes, down AS blast_radius FROM episodes e JOIN ({DEGREE}) d USING (client_id, eid)
-  WHERE up = 0 AND down > 0 ORDER BY down DESC, t, eid LIMIT 10""")
+  WHERE up = 0 AND down > 0 QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY down DESC, t, eid) <= 10""")
 def g1(x):
     links = L.build_causality(x.episodes, x.edges)
     return P.root_causes(x.episodes, links, hours=24 * 365).drop("t")
@@ -43,7 +43,7 @@ def g1(x):
 
 @query("g2_root_causes_lenient", f"""SELECT e.client_id, e.eid, e.reason, up AS upstream_causes, down AS blast_radius FROM episodes e JOIN ({DEGREE}) d USING (client_id, eid)
   WHERE up <= 10 AND down > 0 AND etype IN ('k8s.event','prom.alert') AND reason NOT IN ('Pulled','Created','Started','Scheduled','Completed','SuccessfulCreate','SuccessfulDelete','Killing','SawCompletedJob','LOG_INFO')
-  ORDER BY down DESC, t, eid LIMIT 50""")
+  QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY down DESC, t, eid) <= 50""")
 def g2(x):
     return P.root_causes(x.episodes, x.links, hours=24 * 365, limit=50, max_upstream=10, exclude=R.NORMAL_REASONS,
                          etypes=["k8s.event", "prom.alert"]).select("client_id", "eid", "reason", "upstream_causes", "blast_radius")
@@ -119,7 +119,7 @@ def g9(x):
     return P.chain_depths(x.links, 5)
 
 
-@query("g10_reason_sequences", "SELECT a.c_reason AS a, a.e_reason AS b, b.e_reason AS c, count(*) AS occurrences FROM lk a JOIN lk b ON a.client_id = b.client_id AND a.effect = b.cause GROUP BY 1, 2, 3 HAVING count(*) >= 3")
+@query("g10_reason_sequences", "SELECT a.client_id, a.c_reason AS a, a.e_reason AS b, b.e_reason AS c, count(*) AS occurrences FROM lk a JOIN lk b ON a.client_id = b.client_id AND a.effect = b.cause GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3")
 def g10(x):
     return P.reason_sequences(x.named_links)
 

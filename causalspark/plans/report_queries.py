@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from causalspark.operators import reports as A
+from causalspark.operators.timejoin import top_per
 from causalspark.plans.ingest_queries import LINES, _lines
 from causalspark.plans.registry import query
 from causalspark.plans.sqltables import r3
@@ -16,6 +17,9 @@ def pct(n="n", over="()"):
     return r3(f"{n} * CAST(100.0 AS DOUBLE) / sum({n}) OVER {over}", 2)
 
 
+TENANT_PCT = pct(over="(PARTITION BY client_id)")
+
+
 def avg3(c):
     return f"floor(CAST(sum(CAST(round({c} * 1000) AS BIGINT)) AS DOUBLE) / count({c}) + 0.5) / CAST(1000.0 AS DOUBLE)"
 
@@ -26,14 +30,14 @@ def a1(x):
     return A.graph_stats(x.resources, x.edges, x.episodes, x.incidents)
 
 
-@query("a2_events_by_type", "SELECT etype, s_kind, severity, count(*) AS n FROM episodes GROUP BY 1, 2, 3")
+@query("a2_events_by_type", "SELECT client_id, etype, s_kind, severity, count(*) AS n FROM episodes GROUP BY 1, 2, 3, 4")
 def a2(x):
-    return A.counted(x.episodes, "etype", "s_kind", "severity")
+    return A.counted(x.episodes, "client_id", "etype", "s_kind", "severity")
 
 
-@query("a3_severity_distribution", f"SELECT severity, n, {pct()} AS percentage FROM (SELECT severity, count(*) AS n FROM episodes GROUP BY 1)")
+@query("a3_severity_distribution", f"SELECT client_id, severity, n, {TENANT_PCT} AS percentage FROM (SELECT client_id, severity, count(*) AS n FROM episodes GROUP BY 1, 2)")
 def a3(x):
-    return A.share(A.counted(x.episodes, "severity"))
+    return A.share(A.counted(x.episodes, "client_id", "severity"), by=["client_id"])
 
 
 @query("a4_hourly_rates", "SELECT client_id, t // 3600000000 AS hour, count(*) AS total, count(*) FILTER (severity = 'FATAL') AS fatal, count(*) FILTER (severity = 'ERROR') AS error, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info FROM episodes GROUP BY 1, 2")
@@ -41,7 +45,7 @@ def a4(x):
     return A.hourly_rates(x.episodes)
 
 
-@query("a5_top_reasons", f"SELECT * FROM (SELECT reason, n, {pct()} AS percentage FROM (SELECT reason, count(*) AS n FROM episodes WHERE {FAIL} GROUP BY 1)) ORDER BY n DESC, reason LIMIT 10")
+@query("a5_top_reasons", f"SELECT * FROM (SELECT client_id, reason, n, {TENANT_PCT} AS percentage FROM (SELECT client_id, reason, count(*) AS n FROM episodes WHERE {FAIL} GROUP BY 1, 2)) QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY n DESC, reason) <= 10")
 def a5(x):
     return A.top_reasons(x.episodes)
 
@@ -79,32 +83,32 @@ def a11(x):
     return A.null_scores(x.links)
 
 
-@query("a12_confidence_histogram", f"SELECT band, n, average, {pct()} AS percentage FROM (SELECT {BAND} AS band, count(*) AS n, {avg3('confidence')} AS average FROM links GROUP BY 1)")
+@query("a12_confidence_histogram", f"SELECT client_id, band, n, average, {TENANT_PCT} AS percentage FROM (SELECT client_id, {BAND} AS band, count(*) AS n, {avg3('confidence')} AS average FROM links GROUP BY 1, 2)")
 def a12(x):
     return A.confidence_histogram(x.links)
 
 
-@query("a13_links_per_event", f"SELECT causes, n, {pct()} AS percentage FROM (SELECT causes, count(*) AS n FROM (SELECT client_id, effect, count(*) AS causes FROM links GROUP BY 1, 2) GROUP BY 1)")
+@query("a13_links_per_event", f"SELECT client_id, causes, n, {TENANT_PCT} AS percentage FROM (SELECT client_id, causes, count(*) AS n FROM (SELECT client_id, effect, count(*) AS causes FROM links GROUP BY 1, 2) GROUP BY 1, 2)")
 def a13(x):
     return A.links_per_event(x.links)
 
 
-@query("a14_gap_distribution", f"SELECT band, n, min_minutes, max_minutes, {r3('s / CAST(n AS DOUBLE)', 2)} AS avg_minutes, {pct()} AS percentage FROM (SELECT {GAP} AS band, count(*) AS n, min(m) AS min_minutes, max(m) AS max_minutes, sum(m) AS s FROM (SELECT time_gap_seconds // 60 AS m FROM links) GROUP BY 1)")
+@query("a14_gap_distribution", f"SELECT client_id, band, n, min_minutes, max_minutes, {r3('s / CAST(n AS DOUBLE)', 2)} AS avg_minutes, {TENANT_PCT} AS percentage FROM (SELECT client_id, {GAP} AS band, count(*) AS n, min(m) AS min_minutes, max(m) AS max_minutes, sum(m) AS s FROM (SELECT client_id, time_gap_seconds // 60 AS m FROM links) GROUP BY 1, 2)")
 def a14(x):
     return A.gap_distribution(x.links)
 
 
-@query("a15_reason_pairs", f"SELECT c_reason, e_reason, count(*) AS n, {avg3('confidence')} AS average FROM lk GROUP BY 1, 2")
+@query("a15_reason_pairs", f"SELECT client_id, c_reason, e_reason, count(*) AS n, {avg3('confidence')} AS average FROM lk GROUP BY 1, 2, 3")
 def a15(x):
     return A.reason_pairs(x.named_links)
 
 
-@query("a16_severity_transitions", f"SELECT c_severity, e_severity, n, {pct()} AS percentage FROM (SELECT c_sev AS c_severity, e_sev AS e_severity, count(*) AS n FROM lk GROUP BY 1, 2)")
+@query("a16_severity_transitions", f"SELECT client_id, c_severity, e_severity, n, {TENANT_PCT} AS percentage FROM (SELECT client_id, c_sev AS c_severity, e_sev AS e_severity, count(*) AS n FROM lk GROUP BY 1, 2, 3)")
 def a16(x):
     return A.severity_transitions(x.named_links)
 
 
-ROOTS = "SELECT c_reason, c_sev AS c_severity, count(DISTINCT client_id || effect) AS symptoms, array_to_string(list_sort(list_distinct(list(e_reason)))[1:5], '|') AS examples FROM lk {w} GROUP BY 1, 2 ORDER BY symptoms DESC, c_reason, c_severity LIMIT 15"
+ROOTS = "SELECT client_id, c_reason, c_sev AS c_severity, count(DISTINCT client_id || effect) AS symptoms, array_to_string(list_sort(list_distinct(list(e_reason)))[1:5], '|') AS examples FROM lk {w} GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY symptoms DESC, c_reason, c_severity) <= 15"
 
 
 @query("a17_common_root_causes", ROOTS.format(w=""))
@@ -140,7 +144,7 @@ def a20(x):
     return A.readiness(x.episodes, x.links, x.resources)
 
 
-@query("a21_pattern_confidence", f"SELECT c_reason, e_reason, count(*) AS n, {avg3('confidence')} AS average FROM lk WHERE (c_reason = 'OOMKilled' AND e_reason = 'BackOff') OR (c_reason = 'ImagePullBackOff' AND e_reason = 'Failed') OR (c_reason = 'Unhealthy' AND e_reason = 'Killing') OR (c_reason = 'FailedMount' AND e_reason = 'Failed') GROUP BY 1, 2")
+@query("a21_pattern_confidence", f"SELECT client_id, c_reason, e_reason, count(*) AS n, {avg3('confidence')} AS average FROM lk WHERE (c_reason = 'OOMKilled' AND e_reason = 'BackOff') OR (c_reason = 'ImagePullBackOff' AND e_reason = 'Failed') OR (c_reason = 'Unhealthy' AND e_reason = 'Killing') OR (c_reason = 'FailedMount' AND e_reason = 'Failed') GROUP BY 1, 2, 3")
 def a21(x):
     return A.pattern_confidence(x.named_links, [("OOMKilled", "BackOff"), ("ImagePullBackOff", "Failed"), ("Unhealthy", "Killing"), ("FailedMount", "Failed")])
 
@@ -150,7 +154,7 @@ def a22(x):
     return A.catalogue(x.resources)
 
 
-@query("a23_resource_catalogue", f"SELECT r.client_id, r.rid, r.kind, coalesce(e.n, 0) AS events, coalesce(e.errors, 0) AS errors, coalesce(d.n, 0) AS dependencies FROM resources r LEFT JOIN (SELECT client_id, rid, count(*) AS n, count(*) FILTER ({FAIL}) AS errors FROM episodes, clock WHERE t >= now - 604800000000 GROUP BY 1, 2) e USING (client_id, rid) LEFT JOIN (SELECT client_id, src AS rid, count(*) AS n FROM edges GROUP BY 1, 2) d USING (client_id, rid) ORDER BY events DESC, r.client_id, r.rid LIMIT 50 OFFSET 20")
+@query("a23_resource_catalogue", f"SELECT r.client_id, r.rid, r.kind, coalesce(e.n, 0) AS events, coalesce(e.errors, 0) AS errors, coalesce(d.n, 0) AS dependencies, count(*) OVER (PARTITION BY r.client_id) AS total FROM resources r LEFT JOIN (SELECT client_id, rid, count(*) AS n, count(*) FILTER ({FAIL}) AS errors FROM episodes, clock WHERE t >= now - 604800000000 GROUP BY 1, 2) e USING (client_id, rid) LEFT JOIN (SELECT client_id, src AS rid, count(*) AS n FROM edges GROUP BY 1, 2) d USING (client_id, rid) QUALIFY row_number() OVER (PARTITION BY r.client_id ORDER BY events DESC, r.rid) BETWEEN 21 AND 70")
 def a23(x):
     return A.resource_catalogue(x.resources, x.episodes, x.edges, hours=168, offset=20, limit=50)
 
@@ -190,11 +194,11 @@ def a29(x):
     return A.pipeline_counts(events=x.episodes, resources=x.resources, edges=x.edges, links=x.links, incidents=x.incidents)
 
 
-@query("a30_resource_age", "SELECT client_id, rid, count(*) AS changes, min(at_us) AS first_seen, (max(at_us) - min(at_us)) // 86400000000 AS age_days FROM resource_changes GROUP BY 1, 2 HAVING count(*) > 3 ORDER BY changes DESC, client_id, rid LIMIT 50")
+@query("a30_resource_age", "SELECT client_id, rid, count(*) AS changes, min(at_us) AS first_seen, (max(at_us) - min(at_us)) // 86400000000 AS age_days FROM resource_changes GROUP BY 1, 2 HAVING count(*) > 3 QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY changes DESC, rid) <= 50")
 def a30(x):
     g = x.resource_changes.groupBy("client_id", "rid").agg(F.count("*").alias("changes"), F.min("at").alias("first_seen"), F.max("at").alias("last"))
     rows = g.where("changes > 3").withColumn("age_days", F.floor((F.col("last") - F.col("first_seen")) / 86400000000)).drop("last")
-    return rows.orderBy(F.desc("changes"), "client_id", "rid").limit(50)
+    return top_per(rows, ["client_id"], [F.desc("changes"), "rid"], 50)
 
 
 @query("a33_expectations", """SELECT "check", bad, bad = 0 AS passed FROM (SELECT 'event without ' || c AS "check", 0::BIGINT AS bad FROM (SELECT unnest(['eid','client_id','reason','severity','rid']) AS c) UNION ALL SELECT 'confidence out of range', count(*) FROM links WHERE NOT confidence BETWEEN 0 AND 1
@@ -208,7 +212,7 @@ def a34(x):
     return A.confidence_percentiles(x.links)
 
 
-@query("a35_log_patterns", "SELECT * FROM (SELECT CASE WHEN starts_with(id, 'doc-') THEN 'documents' ELSE 'events' END AS source, coalesce(level, '') AS severity, substr(line, 1, 100) AS pattern, count(*) AS n FROM lines GROUP BY 1, 2, 3) ORDER BY n DESC, source, severity, pattern LIMIT 20", {"lines": LINES})
+@query("a35_log_patterns", "SELECT * FROM (SELECT CASE WHEN starts_with(id, 'doc-') THEN 'documents' ELSE 'events' END AS source, coalesce(level, '') AS severity, substr(line, 1, 100) AS pattern, count(*) AS n FROM lines GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, severity, pattern) <= 20", {"lines": LINES})
 def a35(x):
     source = F.when(F.startswith(F.col("id"), F.lit("doc-")), "documents").otherwise("events")
     return A.log_patterns(_lines(x).select(source.alias("source"), F.coalesce("level", F.lit("")).alias("severity"), "line"))

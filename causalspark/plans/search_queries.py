@@ -30,7 +30,7 @@ COPIES = {"vectors": """SELECT vec_id AS id, embedding AS vec FROM embeddings UN
 @query("e1_text_search", """SELECT b.client_id, b.eid, b.reason, b.similarity, coalesce(c.n, 0) AS root_causes, coalesce(m.incident_id, '') AS incident_id,
     CASE WHEN similarity >= 0.8 THEN 'Strong match: ''' || b.reason || ''' closely matches query terms: ' || CASE WHEN contains(lower(b.reason), 'oom') THEN 'oom' ELSE '' END ELSE 'Partial match: ''' || b.reason || ''' contains: ' END AS explanation
   FROM (SELECT *, CAST(CASE WHEN contains(lower(reason), 'oom') THEN 0.9 ELSE 0.7 END AS DOUBLE) AS similarity FROM episodes, clock WHERE severity IN ('ERROR','FATAL','INFO') AND t >= now - 1728000000000 AND (contains(lower(reason), 'oom') OR contains(lower(message), 'oom'))
-    ORDER BY similarity DESC, t DESC, eid LIMIT 100) b LEFT JOIN (SELECT client_id, effect, count(*) AS n FROM links GROUP BY 1, 2) c ON c.client_id = b.client_id AND c.effect = b.eid LEFT JOIN incident_members m ON m.client_id = b.client_id AND m.eid = b.eid""")
+    QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY similarity DESC, t DESC, eid) <= 100) b LEFT JOIN (SELECT client_id, effect, count(*) AS n FROM links GROUP BY 1, 2) c ON c.client_id = b.client_id AND c.effect = b.eid LEFT JOIN incident_members m ON m.client_id = b.client_id AND m.eid = b.eid""")
 def e1(x):
     return E.text_search(x.episodes, x.links, x.incident_members, "oom", top_k=100, days=20, severities=["ERROR", "FATAL", "INFO"]).select(
         "client_id", "eid", "reason", "similarity", "root_causes", "incident_id", "explanation")

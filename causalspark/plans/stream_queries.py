@@ -14,7 +14,7 @@ from causalspark.plans.ingest_queries import _raw_events
 from causalspark.plans.health_queries import ATK, RANKS
 from causalspark.plans.registry import query
 from causalspark.plans.sqltables import r3
-from causalspark.session import checkpoint_dir
+from causalspark.session import shared_folder
 from causalspark.sources import records, topics
 from causalspark.streaming import jobs
 
@@ -24,7 +24,7 @@ class Run:
 
     def __init__(self, x):
         self.spark = x.spark
-        self.base = f"{checkpoint_dir(x.spark)}/streams/{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(x.spark)}/streams/{uuid.uuid4().hex}"
         self.out, self.state = f"{self.base}/out", f"{self.base}/state"
 
     def append(self, df, mode="append"):
@@ -52,7 +52,7 @@ class Run:
 def event_stream(x):
     """The stored event table as a file stream."""
     folder = "".join(c if c.isalnum() else "_" for c in x.directory)
-    return x.spark.readStream.schema(x.episodes.schema).parquet(f"{checkpoint_dir(x.spark)}/tables/{folder}/episodes")
+    return x.spark.readStream.schema(x.episodes.schema).parquet(f"{shared_folder(x.spark)}/tables/{folder}/episodes")
 
 
 @query("st1_topic_dispatch", "SELECT CASE etype WHEN 'k8s.log' THEN 'logs' ELSE 'events' END AS topic, count(*) AS n FROM episodes GROUP BY 1")
@@ -88,7 +88,7 @@ def st4(x):
     run = Run(x)
     pairs = jobs.link_stream(event_stream(x), event_stream(x), x.edges)
     run.batches(pairs, jobs.write_links(run.out, x.episodes, top_m=5))
-    return x.spark.read.parquet(run.out).select("client_id", "cause", "effect", "hops", round_to(F.col("confidence"), 6).alias("confidence"))
+    return jobs.read_links(x.spark, run.out, 5).select("client_id", "cause", "effect", "hops", round_to(F.col("confidence"), 6).alias("confidence"))
 
 
 ALERT_STATE = {

@@ -6,9 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
 def get_session(app: str = "causalspark", master: str | None = None, **conf) -> SparkSession:
@@ -55,22 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the shared one, so that two applications never meet."""
+    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet to the shared folder and read it back.
 
     The reader then has file statistics (for broadcast decisions and pruning) and no lineage.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}"
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}"
     df.hint("rebalance").write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (an upper bound taken from file sizes)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimated size is below the limit."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from causalspark import schemas
 from causalspark.functions.scalar import DAY_US, MINUTE_US, blank_to_null, split_tenant_key
-from causalspark.operators.timejoin import latest
+from causalspark.operators.timejoin import latest, top_per
 
 # Retention in days; None is a compacted topic.
 RETENTION_DAYS = {
@@ -57,13 +57,13 @@ def expired(rows: DataFrame, as_of=None) -> DataFrame:
 
 def bounded_replay(events: DataFrame, minutes: int, namespace: str | None = None,
                    name: str | None = None, limit: int = 1000, as_of=None) -> DataFrame:
-    """The latest events of the last minutes, filtered, at most ``limit`` (top-k, no full sort)."""
+    """The latest events of the last minutes, filtered, at most ``limit`` of each tenant."""
     rows = events.where(F.col("t") >= latest(events, as_of) - minutes * MINUTE_US)
     if namespace:
         rows = rows.where(F.col("s_ns") == namespace)
     if name:
         rows = rows.where(F.contains(F.col("s_name"), F.lit(name)))
-    return rows.orderBy(F.desc("t"), "eid").limit(limit)
+    return top_per(rows, ["client_id"], [F.desc("t"), "eid"], limit)
 
 
 def to_records(rows: DataFrame, topic: str, *key: Column) -> DataFrame:

@@ -6,6 +6,7 @@ rebuild. Sinks are idempotent per batch id, so a restarted batch writes the same
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -80,14 +81,20 @@ def compact(spark: SparkSession, log_path: str, keys: list[str], snapshot_path:
 
 
 def every_n_messages(n: int, build: Callable[[], DataFrame], path: str):
-    """Republish a table each time ``n`` more messages have arrived."""
-    seen = {"rows": 0, "version": 0}
+    """Republish a table each time ``n`` more messages have arrived.
+
+    The counts lie in the sink, one per batch id, so a restart goes on counting and a repeated
+    batch replaces its own count.
+    """
+    counts = f"{path}_counts"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        seen["rows"] += batch.count()
-        while seen["rows"] >= n * (seen["version"] + 1):
-            seen["version"] = seen["rows"] // n
-            build().write.mode("overwrite").parquet(f"{path}/version={seen['version']}")
+        batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+        seen = batch.sparkSession.read.parquet(counts).where(F.col("batch") <= batch_id).agg(
+            F.sum("n").alias("after"), F.sum(F.when(F.col("batch") < batch_id, F.col("n"))).alias("before")).first()
+        version = (seen["after"] or 0) // n
+        if version > (seen["before"] or 0) // n:
+            build().write.mode("overwrite").parquet(f"{path}/version={version}")
     return run
 
 
@@ -169,6 +176,16 @@ def write_links(path: str, episodes: DataFrame | None = None, top_m: int | None
     return run
 
 
+def read_links(spark: SparkSession, path: str, top_m: int) -> DataFrame:
+    """The best ``top_m`` links of each effect over all batches. A batch keeps its own best ones,
+    so the best of all are among them; a pair that came twice counts with its least hops."""
+    stored = spark.read.parquet(path).drop("batch", "rank")
+    pair = W.partitionBy("client_id", "cause", "effect").orderBy("hops")
+    once = stored.withColumn("n", F.row_number().over(pair)).where("n = 1").drop("n")
+    best = W.partitionBy("client_id", "effect").orderBy(F.desc("confidence"), "gap_us", "cause")
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_m)
+
+
 # --- keyed state ------------------------------------------------------------------------------
 
 def _sorted_rows(frames: Iterator[pd.DataFrame]) -> list:
@@ -213,8 +230,18 @@ def grouped_alerts(alerts: DataFrame, gap_min: int = 5, max_size: int = 100, del
         "first long, last long, count long, part int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def repeats(times: list[int], t: int, width: int) -> int:
+    """How many of the sorted times lie in ``[t - width, t]``."""
+    return bisect_right(times, t) - bisect_left(times, t - width)
+
+
 def escalations(events: DataFrame, window_min: int = 5, threshold: int = 3, delay: str = LINK_WINDOW) -> DataFrame:
-    """Repeat counts per resource and reason; the state holds the times still inside the window."""
+    """Repeat counts per resource and reason, of the events that have arrived.
+
+    An event counts those at most ``window_min`` older than itself; a late one does not count
+    what happened after it. The state holds the times that an event which the watermark still
+    admits can count.
+    """
     width = window_min * MINUTE_US
 
     def step(key, frames, st: GroupState):
@@ -224,13 +251,14 @@ def escalations(events: DataFrame, window_min: int = 5, threshold: int = 3, dela
         times = list(st.get[0]) if st.exists else []
         out = []
         for r in _sorted_rows(frames):
-            times = [x for x in times if x >= r.t - width]
-            raised = len(times) >= threshold and r.severity in ("WARNING", "ERROR")
+            earlier = repeats(times, r.t, width)
+            raised = earlier >= threshold and r.severity in ("WARNING", "ERROR")
             level = {"WARNING": "ERROR", "ERROR": "FATAL"}[r.severity] if raised else r.severity
-            out.append((key[0], r.eid, level, raised, len(times) if raised else 0))
-            times.append(r.t)
-        st.update((times,))
-        st.setTimeoutTimestamp(max(times[-1] // 1000 + width // 1000, st.getCurrentWatermarkMs() + 1))
+            out.append((key[0], r.eid, level, raised, earlier if raised else 0))
+            insort(times, r.t)
+        newest = times[-1]
+        st.update((times[bisect_left(times, st.getCurrentWatermarkMs() * 1000 - width):],))
+        st.setTimeoutTimestamp(max(newest // 1000 + width // 1000, st.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["client_id", "eid", "severity", "escalated", "repeat_count"])
 
     rows = events.withWatermark("event_time", delay)
