@@ -397,8 +397,8 @@ def errors_before_fatal(episodes: DataFrame, window_s: int) -> DataFrame:
     """For each FATAL event: errors before it in the window, and the last of them."""
     is_error = F.col("severity") == "ERROR"
     rows = sliding(episodes, ["client_id", "rid"], window_s * MICROS, 0, {
-        "errors_before": F.count(F.when(is_error, 1)),
-        "last_error": F.max(F.when(is_error, F.struct("t", "eid", "reason")))})
+        "errors_before": ("count", F.when(is_error, 1)),
+        "last_error": ("max", F.when(is_error, F.struct("t", "eid", "reason")))})
     return rows.where("severity = 'FATAL'").select(
         "client_id", "eid", "rid", "t", "errors_before",
         F.coalesce("last_error.eid", F.lit("")).alias("last_error"),
@@ -420,8 +420,8 @@ def error_cascades(episodes: DataFrame, max_gap_s: int = 300) -> DataFrame:
     """
     fail = episodes.where(is_failure(F.col("severity")))
     rows = sliding(fail, ["client_id"], 0, max_gap_s * MICROS, {
-        "at_or_after": F.count("*"), "end_t": F.max("t"),
-        "reasons": F.collect_set("reason")})
+        "at_or_after": ("count", F.lit(1)), "end_t": ("max", F.col("t")),
+        "reasons": ("set", F.col("reason"))})
     same = rows.groupBy("client_id", "t").agg(F.count("*").alias("at_same_time"))
     return rows.join(same, ["client_id", "t"]).select(
         "client_id", "eid", "reason", "t",
@@ -465,7 +465,7 @@ def cross_tenant_rows(rows: DataFrame, left: DataFrame, right: DataFrame, left_k
 def adjust_confidence(named: DataFrame, episodes: DataFrame, window_min: int = 60) -> DataFrame:
     """Raise confidence when the cause reason keeps recurring before the cause event."""
     counts = sliding(episodes.select("client_id", "eid", "reason", "t"), ["client_id", "reason"],
-                     window_min * MINUTE_US, 0, {"recent": F.count("*")})
+                     window_min * MINUTE_US, 0, {"recent": ("count", F.lit(1))})
     joined = named.join(counts.select("client_id", F.col("eid").alias("cause"), "recent"),
                         ["client_id", "cause"])
     crash = F.col("c_reason").isin("OOMKilled", "CrashLoopBackOff") & (F.col("recent") > 3)

@@ -20,7 +20,7 @@ def escalate_severity(episodes: DataFrame, window_min: int = 5, threshold: int =
     ``severity_raw`` keeps the reported value; link scoring uses that one.
     """
     rows = sliding(episodes, RESOURCE + ["reason"], window_min * MINUTE_US, 0,
-                   {"_n": F.count("*")})
+                   {"_n": ("count", F.lit(1))})
     raised = F.col("severity").isin("WARNING", "ERROR") & (F.col("_n") - 1 >= threshold)
     return (rows.withColumn("severity_raw", F.col("severity"))
             .withColumn("escalated", raised)
@@ -37,7 +37,7 @@ def cluster_incidents(episodes: DataFrame, window_min: int = 15, min_related: in
     failure relates to everything in its window; members are the rows of that interval.
     """
     w = window_min * MINUTE_US
-    rows = sliding(episodes, RESOURCE, w, w, {"event_count": F.count("*")})
+    rows = sliding(episodes, RESOURCE, w, w, {"event_count": ("count", F.lit(1))})
     return (rows.where(is_failure(F.col("severity")) & (F.col("event_count") - 1 >= min_related))
             .select("client_id", F.col("rid").alias("resource_id"), F.col("eid"),
                     (F.col("t") - w).alias("window_start"), (F.col("t") + w).alias("window_end"),
@@ -275,7 +275,7 @@ def group_alerts(alerts: DataFrame, gap_min: int = 5, max_size: int = 100) -> Da
     copies = W.partitionBy(*keys, "eid").orderBy("t")
     rows = rows.withColumn("_copy", F.row_number().over(copies))
     fresh = rows.where("_copy = 1")
-    slices = islands(fresh, keys, gap, {"_n": F.count("*")})
+    slices = islands(fresh, keys, gap, {"_n": ("count", F.lit(1))})
     before = W.partitionBy(*keys, "island").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.select(*keys, "_slice", "island",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

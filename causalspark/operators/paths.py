@@ -244,7 +244,7 @@ def rca_cards(episodes: DataFrame, links: DataFrame, edges: DataFrame, members:
               min_conf: float = 0.5, minutes: int = 30) -> DataFrame:
     """One row per failure: causes, surroundings, timeline size, incident, advice."""
     w = minutes * MINUTE_US
-    rows = sliding(episodes, ["client_id", "rid"], w, w, {"timeline_events": F.count("*")})
+    rows = sliding(episodes, ["client_id", "rid"], w, w, {"timeline_events": ("count", F.lit(1))})
     rows = rows.where(is_failure(F.col("severity")))
     causes = links.where(F.col("confidence") >= min_conf).groupBy(
         "client_id", F.col("effect").alias("eid")).agg(
@@ -290,7 +290,7 @@ def trigger_cascades(episodes: DataFrame, edges: DataFrame, minutes: int = 5) ->
     fail = episodes.where(is_failure(F.col("severity"))).select("client_id", F.col("eid").alias("cause"))
     around = near.join(fail, ["client_id", "cause"], "left_semi").groupBy("client_id", F.col("cause").alias("eid")).agg(
         F.count("*").alias("near_events"), F.min("hops").alias("nearest"))
-    own = sliding(episodes, ["client_id", "rid"], 0, minutes * MINUTE_US, {"own": F.count("*")})
+    own = sliding(episodes, ["client_id", "rid"], 0, minutes * MINUTE_US, {"own": ("count", F.lit(1))})
     own = own.where(is_failure(F.col("severity"))).select("client_id", "eid", (F.col("own") - 1).alias("own_events"))
     return own.join(around, ["client_id", "eid"], "left").na.fill(0, ["near_events", "nearest"])
 
@@ -298,9 +298,9 @@ def trigger_cascades(episodes: DataFrame, edges: DataFrame, minutes: int = 5) ->
 def failure_context(episodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each pod failure with event counts around it and its service, node and owners counted."""
     pod = episodes.where("s_kind = 'Pod'")
-    rows = sliding(pod, ["client_id", "rid"], 10 * MINUTE_US, 5 * MINUTE_US, {"around": F.count("*")})
+    rows = sliding(pod, ["client_id", "rid"], 10 * MINUTE_US, 5 * MINUTE_US, {"around": ("count", F.lit(1))})
     rows = sliding(rows, ["client_id", "rid"], 5 * MINUTE_US, 0, {
-        "error_logs": F.count(F.when((F.col("etype") == "k8s.log") & is_failure(F.col("severity")), 1))})
+        "error_logs": ("count", F.when((F.col("etype") == "k8s.log") & is_failure(F.col("severity")), 1))})
     rows = rows.where(is_failure(F.col("severity")))
     services = edges.where("type = 'SELECTS'").groupBy("client_id", F.col("dst").alias("rid")).agg(
         F.countDistinct("src").alias("services"))

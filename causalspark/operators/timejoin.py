@@ -45,24 +45,43 @@ def near_join(left: DataFrame, right: DataFrame, keys: list[str], width_us: int,
     return c.join(e, keys + ["_slice"]).where(residual).drop("_slice")
 
 
+_MERGE = {
+    "count": (F.count, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "max": (F.max, F.greatest),
+    "set": (F.collect_set, F.array_union),
+}
+
+
 def sliding(df: DataFrame, keys: list[str], before_us: int, after_us: int,
-            aggs: dict[str, Column]) -> DataFrame:
+            aggs: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add aggregates over the rows with the same keys in ``[t - before, t + after]``.
 
-    Each row is copied to the neighbour slices that need it, and only home rows are kept.
+    ``aggs`` name a kind (count, max, set) and the value, whose nulls do not count. With slices
+    as wide as the window, a window is the end of one slice and the start of the next, so two
+    growing frames per slice, one from each side, give all of it: the work is linear however
+    many rows a window has.
     """
-    width = max(before_us, after_us, 1)
-    home = slice_of(F.col("t"), width)
-    copies = [home]
-    if before_us > 0:
-        copies.append(home + 1)
-    if after_us > 0:
-        copies.append(home - 1)
-    w = W.partitionBy(*keys, "_slice").orderBy("t").rangeBetween(-before_us, after_us)
-    out = df.withColumn("_home", home).withColumn("_slice", F.explode(F.array(*copies)))
-    for name, agg in aggs.items():
-        out = out.withColumn(name, agg.over(w))
-    return out.where("_slice = _home").drop("_slice", "_home")
+    width = max(before_us + after_us, 1)
+    values = {f"_v{i}": value for i, (_, value) in enumerate(aggs.values())}
+    events = df.select(*keys, slice_of(F.col("t"), width).alias("_slice"), F.col("t").alias("_at"),
+                       F.lit(0).alias("_probe"), *[v.alias(c) for c, v in values.items()])
+    first = slice_of(F.col("t") - before_us, width)
+
+    def growing(probes: DataFrame, latest_first: bool, prefix: str) -> DataFrame:
+        at = F.desc("_at") if latest_first else F.asc("_at")
+        w = W.partitionBy(*keys, "_slice").orderBy(at, "_probe").rowsBetween(W.unboundedPreceding, 0)
+        both = events.unionByName(probes, allowMissingColumns=True)
+        for i, (kind, _) in enumerate(aggs.values()):
+            both = both.withColumn(f"{prefix}{i}", _MERGE[kind][0](f"_v{i}").over(w))
+        return both.where("_probe = 1")
+
+    probes = df.select(*keys, (first + 1).alias("_slice"), (F.col("t") + after_us).alias("_at"), F.lit(1).alias("_probe"), F.struct("*").alias("_row"))
+    starts = growing(probes, False, "_s")
+    probes = starts.select(*keys, (F.col("_slice") - 1).alias("_slice"), (F.col("_at") - (before_us + after_us)).alias("_at"), "_probe", "_row",
+                           *[f"_s{i}" for i in range(len(aggs))])
+    ends = growing(probes, True, "_e")
+    return ends.select("_row.*", *[_MERGE[kind][1](F.col(f"_e{i}"), F.col(f"_s{i}")).alias(name)
+                                   for i, (name, (kind, _)) in enumerate(aggs.items())])
 
 
 def islands(df: DataFrame, keys: list[str], gap_us: int, aggs: dict[str, Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from causalspark.functions import rules as R
 from causalspark.operators import causality as L, health as H, incidents as I, paths as P, reach, topology as T
-from causalspark.operators.timejoin import numbered, range_join
+from causalspark.operators.timejoin import numbered, range_join, sliding
 from tests.conftest import T0, rows
 
 
@@ -140,6 +140,19 @@ def test_range_join_finds_each_pair_once(make):
     assert got == sorted((i, j) for i, a in enumerate(times) for j, b in enumerate(times) if 0 <= b - a <= 30)
 
 
+@pytest.mark.parametrize("before,after", [(10, 0), (0, 10), (7, 5), (1, 1)])
+def test_sliding_windows_against_brute_force(make, before, after):
+    rnd = random.Random(before)
+    data = [(k, i, rnd.randrange(-40, 60), rnd.choice(["x", "y", None])) for i, k in enumerate("aab" * 30)]
+    df = make.frame(data, "k string, i int, t long, v string")
+    got = {r.i: (r.n, r.xs, r.last, sorted(r.seen)) for r in sliding(df, ["k"], before, after, {
+        "n": ("count", F.lit(1)), "xs": ("count", F.when(F.col("v") == "x", 1)), "last": ("max", F.when(F.col("v") == "y", F.col("t"))),
+        "seen": ("set", F.col("v"))}).collect()}
+    for k, i, t, _ in data:
+        near = [(t2, v) for k2, _, t2, v in data if k2 == k and t - before <= t2 <= t + after]
+        assert got[i] == (len(near), sum(v == "x" for _, v in near), max((t2 for t2, v in near if v == "y"), default=None), sorted({v for _, v in near if v}))
+
+
 def test_numbering_across_slices(make):
     times = [0, 5, 5, 99, 100, 250, 1000]
     df = make.frame([("k", i, t) for i, t in enumerate(times)], "k string, i int, t long")
