@@ -28,9 +28,12 @@ def tumbling_faults(events: DataFrame, keys: list[str], minutes: int) -> DataFra
 
 
 def fault_events(episodes: DataFrame, keys: list[str], minutes: int) -> DataFrame:
-    """(fault_id, eid, t, type, service, pod, severity) of the non-informational events."""
+    """(client_id, fault_id, eid, t, type, service, pod, severity) of the non-informational events.
+
+    A fault belongs to one tenant, so ``keys`` should hold ``client_id``.
+    """
     rows = tumbling_faults(episodes.where("severity <> 'INFO'"), keys, minutes)
-    return rows.select("fault_id", "eid", "t", K.fault_type(K.abstract_type(F.col("reason"))).alias("type"),
+    return rows.select("client_id", "fault_id", "eid", "t", K.fault_type(K.abstract_type(F.col("reason"))).alias("type"),
                        "service", F.when(F.col("s_kind") == "Pod", F.col("rid")).alias("pod"), "severity")
 
 
@@ -42,11 +45,11 @@ def causality_score(source: Column, target: Column) -> Column:
 def with_predecessors(events: DataFrame, depends_on: DataFrame, m: int = LOOKBACK) -> DataFrame:
     """Each event with the base scores of its last ``m`` predecessors (nearest first).
 
-    ``depends_on`` (service, needs) says that ``service`` depends on ``needs``.
+    ``depends_on`` (client_id, service, needs) says that ``service`` depends on ``needs``.
     """
-    needs = depends_on.groupBy("service").agg(F.collect_set("needs").alias("needs"))
+    needs = depends_on.groupBy("client_id", "service").agg(F.collect_set("needs").alias("needs"))
     w = W.partitionBy("fault_id").orderBy("t", "eid")
-    rows = events.join(needs, "service", "left").withColumn("pos", F.row_number().over(w))
+    rows = events.join(needs, ["client_id", "service"], "left").withColumn("pos", F.row_number().over(w))
     prev = F.struct("eid", "t", "type", "service", "pod")
     for j in range(1, m + 1):
         rows = rows.withColumn(f"p{j}", F.lag(prev, j).over(w))
@@ -75,7 +78,7 @@ def pair_scores(scored: DataFrame) -> DataFrame:
         F.col("p.relation").alias("relation"), F.col("p.dt").alias("time_delta"))
 
 
-NODE_SCHEMA = ("fault_id string, pos int, eid string, type string, service string, severity string, t long, is_last boolean, "
+NODE_SCHEMA = ("client_id string, fault_id string, pos int, eid string, type string, service string, severity string, t long, is_last boolean, "
                "sources array<struct<offset:int,eid:string,relation:string,confidence:double,time_delta:double>>, "
                "depth int, root string, path array<string>")
 
@@ -117,16 +120,16 @@ def _chooser(m: int, theta: float):
                 for *_, node in best:
                     node["successors"].append(row.type)
                 recent.append({"indegree": len(best), "successors": [], "depth": depth, "path": path})
-                out.append((row.fault_id, row.pos, row.eid, row.type, row.service, row.severity, row.t, row.is_last,
+                out.append((row.client_id, row.fault_id, row.pos, row.eid, row.type, row.service, row.severity, row.t, row.is_last,
                             sources, depth, path[0], path if row.is_last else None))
-            yield pd.DataFrame(out, columns=["fault_id", "pos", "eid", "type", "service", "severity", "t", "is_last",
+            yield pd.DataFrame(out, columns=["client_id", "fault_id", "pos", "eid", "type", "service", "severity", "t", "is_last",
                                              "sources", "depth", "root", "path"])
     return run
 
 
 def build_fpg(scored: DataFrame, m: int = LOOKBACK, theta: float = 0.3) -> DataFrame:
     """Nodes of the fault graphs with their chosen sources, depth from a root, and alarm path."""
-    ordered = scored.select("fault_id", "pos", "eid", "type", "service", "severity", "t", "is_last", "prev").repartition(
+    ordered = scored.select("client_id", "fault_id", "pos", "eid", "type", "service", "severity", "t", "is_last", "prev").repartition(
         "fault_id").sortWithinPartitions("fault_id", "pos")
     return ordered.mapInPandas(_chooser(m, theta), NODE_SCHEMA)
 
@@ -138,7 +141,7 @@ def fpg_edges(nodes: DataFrame) -> DataFrame:
 
 def root_candidates(nodes: DataFrame) -> DataFrame:
     """Events without a chosen source."""
-    return nodes.where(F.size("sources") == 0).select("fault_id", "eid", "type", "service", "t")
+    return nodes.where(F.size("sources") == 0).select("client_id", "fault_id", "eid", "type", "service", "t")
 
 
 def propagation_paths(nodes: DataFrame) -> DataFrame:
@@ -182,15 +185,15 @@ def alarm_distance(nodes: DataFrame) -> DataFrame:
 
 
 def service_distances(depends_on: DataFrame, sources: DataFrame, max_hops: int = 5) -> DataFrame:
-    """(service, other, hops) along depends-on edges from the given services, up to ``max_hops``
-    (farther scores 0)."""
-    step = depends_on.select(F.col("service").alias("other"), F.col("needs").alias("next")).distinct()
-    state = depends_on.join(sources.select("service").distinct(), "service", "left_semi").select(
-        "service", F.col("needs").alias("other")).distinct()
+    """(client_id, service, other, hops) along depends-on edges from the given services, up to
+    ``max_hops`` (farther scores 0)."""
+    step = depends_on.select("client_id", F.col("service").alias("other"), F.col("needs").alias("next")).distinct()
+    state = depends_on.join(sources.select("client_id", "service").distinct(), ["client_id", "service"], "left_semi").select(
+        "client_id", "service", F.col("needs").alias("other")).distinct()
     seen = state.withColumn("hops", F.lit(1))
     for h in range(2, max_hops + 1):
-        state = (state.join(step, "other").select("service", F.col("next").alias("other")).distinct()
-                 .join(seen.select("service", "other"), ["service", "other"], "left_anti"))
+        state = (state.join(step, ["client_id", "other"]).select("client_id", "service", F.col("next").alias("other")).distinct()
+                 .join(seen.select("client_id", "service", "other"), ["client_id", "service", "other"], "left_anti"))
         if h % 3 == 0:
             state = cut_lineage(state)
         seen = seen.unionByName(state.withColumn("hops", F.lit(h)))
@@ -205,7 +208,7 @@ def root_scores(nodes: DataFrame, depends_on: DataFrame) -> DataFrame:
     roots = root_candidates(nodes)
     rows = (roots.join(alarm, "fault_id").join(n, "fault_id")
             .join(alarm_distance(nodes), ["fault_id", "eid"])
-            .join(service_distances(depends_on, roots), ["service", "other"], "left"))
+            .join(service_distances(depends_on, roots), ["client_id", "service", "other"], "left"))
     dt = (F.col("alarm_t") - F.col("t")) / float(MICROS)
     time = F.when(dt < 0, 0.0).otherwise(F.pow(F.lit(2.0), -dt / 120.0))
     graph = F.coalesce(1.0 - F.col("dist") / F.col("n"), F.lit(0.0))

@@ -18,9 +18,9 @@ WINDOW_MIN = 360
 
 
 def depends(x):
-    """Each service depends on the next one by name."""
-    s = x.episodes.select("service").distinct()
-    return s.withColumn("needs", F.lead("service").over(W.orderBy("service"))).where("needs IS NOT NULL")
+    """Each service of a tenant depends on the next one by name."""
+    s = x.episodes.select("client_id", "service").distinct()
+    return s.withColumn("needs", F.lead("service").over(W.partitionBy("client_id").orderBy("service"))).where("needs IS NOT NULL")
 
 
 def events(x):
@@ -45,12 +45,12 @@ def patterns(x):
 
 
 FAULT_SQL = {
-    "fe0": f"SELECT client_id || CASE WHEN s_ns = '' THEN '|' ELSE '|' || s_ns END || '|' || CAST(t // {WINDOW_MIN * 60000000} AS STRING) AS fault_id, eid, t, service, CASE WHEN s_kind = 'Pod' THEN rid END AS pod, {ABSTRACT} AS a FROM episodes WHERE severity <> 'INFO'",
+    "fe0": f"SELECT client_id, client_id || CASE WHEN s_ns = '' THEN '|' ELSE '|' || s_ns END || '|' || CAST(t // {WINDOW_MIN * 60000000} AS STRING) AS fault_id, eid, t, service, CASE WHEN s_kind = 'Pod' THEN rid END AS pod, {ABSTRACT} AS a FROM episodes WHERE severity <> 'INFO'",
     "fe": f"SELECT *, {lookup_case('a', R.FAULT_TYPES, chr(39) + 'custom' + chr(39))} AS type, row_number() OVER (PARTITION BY fault_id ORDER BY t, eid) AS pos FROM fe0",
-    "dep": "SELECT service, lead(service) OVER (ORDER BY service) AS needs FROM (SELECT DISTINCT service FROM episodes)",
+    "dep": "SELECT client_id, service, lead(service) OVER (PARTITION BY client_id ORDER BY service) AS needs FROM (SELECT DISTINCT client_id, service FROM episodes)",
     "fp": """SELECT p.fault_id, p.eid AS source, e.eid AS target, (e.t - p.t) / CAST(1000000.0 AS DOUBLE) AS dt, p.service = e.service AS same, d.service IS NOT NULL AS dep, p.pod IS NOT NULL AND p.pod = e.pod AS pod,
         CAST(CASE p.type || '>' || e.type """ + " ".join(f"WHEN '{a}>{b}' THEN {v}" for (a, b), v in R.FAULT_CAUSALITY.items()) + """ ELSE 0.1 END AS DOUBLE) AS cause
-      FROM fe e JOIN fe p ON p.fault_id = e.fault_id AND e.pos - p.pos BETWEEN 1 AND 5 LEFT JOIN dep d ON d.service = e.service AND d.needs = p.service""",
+      FROM fe e JOIN fe p ON p.fault_id = e.fault_id AND e.pos - p.pos BETWEEN 1 AND 5 LEFT JOIN dep d ON d.client_id = e.client_id AND d.service = e.service AND d.needs = p.service""",
 }
 
 
@@ -75,7 +75,7 @@ def f3(x):
 
 @query("f4_root_candidates")
 def f4(x):
-    return X.root_candidates(nodes(x))
+    return X.root_candidates(nodes(x)).drop("client_id")
 
 
 @query("f5_propagation_paths")

@@ -51,8 +51,8 @@ def test_graphs_match_the_specification(make, seed):
                "type": rnd.choice(TYPES), "service": rnd.choice("xyz"), "pod": rnd.choice(["p1", "p2", None]), "severity": "ERROR"}
               for i in range(60)]
     needs = {("x", "y"), ("y", "z")}
-    df = make.frame([tuple(e.values()) for e in events], "fault_id string, eid string, t long, type string, service string, pod string, severity string")
-    dep = make.frame(sorted(needs), "service string, needs string")
+    df = make.frame([("a", *e.values()) for e in events], "client_id string, fault_id string, eid string, t long, type string, service string, pod string, severity string")
+    dep = make.frame(sorted(("a", *n) for n in needs), "client_id string, service string, needs string")
     nodes = X.build_fpg(X.with_predecessors(df, dep))
     got = sorted((r.source, r.target, round(r.confidence, 9)) for r in X.fpg_edges(nodes).collect())
     want = sorted(e for f in {e["fault_id"] for e in events} for e in spec([x for x in events if x["fault_id"] == f], needs))
@@ -75,9 +75,9 @@ def test_graphs_match_the_specification(make, seed):
 def test_cpu_cascade(make):
     names = [("cpu_high", 0, "api"), ("latency_high", 30, "api"), ("memory_high", 60, "api"), ("oom_kill", 90, "api"),
              ("pod_restart", 95, "api"), ("error_rate_high", 100, "api"), ("latency_high", 110, "auth")]
-    df = make.frame([("f", f"evt_{i + 1:03d}", T0 + s * 1_000_000, k, svc, None, "ERROR") for i, (k, s, svc) in enumerate(names)],
-                    "fault_id string, eid string, t long, type string, service string, pod string, severity string")
-    dep = make.frame([("api", "auth"), ("api", "user"), ("auth", "db"), ("user", "db")], "service string, needs string")
+    df = make.frame([("a", "f", f"evt_{i + 1:03d}", T0 + s * 1_000_000, k, svc, None, "ERROR") for i, (k, s, svc) in enumerate(names)],
+                    "client_id string, fault_id string, eid string, t long, type string, service string, pod string, severity string")
+    dep = make.frame([("a", "api", "auth"), ("a", "api", "user"), ("a", "auth", "db"), ("a", "user", "db")], "client_id string, service string, needs string")
     nodes = X.build_fpg(X.with_predecessors(df, dep))
     assert ("f", "evt_001") in rows(X.root_candidates(nodes), "fault_id", "eid")
     edges = {(r.source, r.target): r.relation for r in X.fpg_edges(nodes).collect()}
@@ -86,11 +86,23 @@ def test_cpu_cascade(make):
     assert top["rank"] == 1 and 0 <= top.rank_score <= 1
 
 
+def test_dependencies_stay_in_their_tenant(make):
+    """Two tenants with the same service names; only the first one's api needs auth."""
+    df = make.frame([(c, f"{c}|f", f"{c}{i}", T0 + i * 10_000_000, k, svc, None, "ERROR") for c in "ab" for i, (k, svc) in enumerate([("latency_high", "auth"), ("custom", "api")])],
+                    "client_id string, fault_id string, eid string, t long, type string, service string, pod string, severity string")
+    dep = make.frame([("a", "api", "auth")], "client_id string, service string, needs string")
+    scored = X.with_predecessors(df, dep)
+    assert dict(rows(X.pair_scores(scored), "target", "relation")) == {"a1": "PROPAGATES_TO", "b1": "CORRELATES_WITH"}
+    nodes = X.build_fpg(scored)
+    assert rows(nodes, "client_id", "eid") == [("a", "a0"), ("a", "a1"), ("b", "b0"), ("b", "b1")]
+    assert rows(X.service_distances(dep, df), "client_id", "service", "other", "hops") == [("a", "api", "auth", 1)]
+
+
 def test_pattern_matching_against_all_pairs(make):
     rnd = random.Random(4)
-    events = [(f"f{i // 6:02d}", f"e{i:03d}", T0 + i * 7_000_000, rnd.choice(TYPES), rnd.choice(["x", "y", "z", "w"]), None, "ERROR") for i in range(120)]
-    df = make.frame(events, "fault_id string, eid string, t long, type string, service string, pod string, severity string")
-    dep = make.frame([("x", "y")], "service string, needs string")
+    events = [("a", f"f{i // 6:02d}", f"e{i:03d}", T0 + i * 7_000_000, rnd.choice(TYPES), rnd.choice(["x", "y", "z", "w"]), None, "ERROR") for i in range(120)]
+    df = make.frame(events, "client_id string, fault_id string, eid string, t long, type string, service string, pod string, severity string")
+    dep = make.frame([("a", "x", "y")], "client_id string, service string, needs string")
     abstract = X.abstract_faults(X.build_fpg(X.with_predecessors(df, dep)))
     patterns = X.pattern_store(abstract)
     got = {(r.fault_id, r.rank): (r.pattern_id, round(r.similarity, 9)) for r in X.match_patterns(abstract, patterns, 3).collect()}
