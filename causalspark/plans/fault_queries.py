@@ -1,7 +1,8 @@
 """Named queries for fault graphs, ranking and patterns (F, R, K rows and C13, C14, A31, A32).
 
-The choice of edges feeds back into later scores, so only the parts before it have check SQL;
-the rest is compared with a plain re-derivation in the tests.
+The choice of edges feeds back into later scores; the check SQL follows it event by event with a
+recursive table. Pattern matches and expected paths are compared with plain re-derivations in the
+tests.
 """
 
 from pyspark.sql import Window as W
@@ -45,7 +46,7 @@ def patterns(x):
 
 
 FAULT_SQL = {
-    "fe0": f"SELECT client_id, client_id || CASE WHEN s_ns = '' THEN '|' ELSE '|' || s_ns END || '|' || CAST(t // {WINDOW_MIN * 60000000} AS STRING) AS fault_id, eid, t, service, CASE WHEN s_kind = 'Pod' THEN rid END AS pod, {ABSTRACT} AS a FROM episodes WHERE severity <> 'INFO'",
+    "fe0": f"SELECT client_id, severity, client_id || CASE WHEN s_ns = '' THEN '|' ELSE '|' || s_ns END || '|' || CAST(t // {WINDOW_MIN * 60000000} AS STRING) AS fault_id, eid, t, service, CASE WHEN s_kind = 'Pod' THEN rid END AS pod, {ABSTRACT} AS a FROM episodes WHERE severity <> 'INFO'",
     "fe": f"SELECT *, {lookup_case('a', R.FAULT_TYPES, chr(39) + 'custom' + chr(39))} AS type, row_number() OVER (PARTITION BY fault_id ORDER BY t, eid) AS pos FROM fe0",
     "dep": "SELECT client_id, service, lead(service) OVER (PARTITION BY client_id ORDER BY service) AS needs FROM (SELECT DISTINCT client_id, service FROM episodes)",
     "fp": """SELECT p.fault_id, p.eid AS source, e.eid AS target, (e.t - p.t) / CAST(1000000.0 AS DOUBLE) AS dt, p.service = e.service AS same, d.service IS NOT NULL AS dep, p.pod IS NOT NULL AND p.pod = e.pod AS pod,
@@ -60,12 +61,64 @@ def f2(x):
     return X.pair_scores(scored(x)).withColumn("base", round_to(F.col("base"), 6))
 
 
-@query("f1_fault_graphs")
+PAIRS = "MAP {" + ", ".join(f"'{a}>{b}': CAST({v} AS DOUBLE)" for (a, b), v in R.FAULT_CAUSALITY.items()) + "}"
+NODE = "recent[len(recent) - p.j + 1]"
+ALONE = "{'indeg': 0, 'succ': CAST([] AS VARCHAR[]), 'depth': 0, 'path': [eid]}"
+GRAPH = {
+    **FAULT_SQL,
+    "fbase": """SELECT fault_id, source, target, dt, CAST(CASE WHEN dt <= 0 THEN 0 ELSE least(1.0, pow(2.0, -dt / 60.0)) END * 0.3 + CASE WHEN same THEN 0.25 ELSE 0 END + CASE WHEN dep THEN 0.25 ELSE 0 END
+        + cause * 0.2 + CASE WHEN pod THEN 0.15 ELSE 0 END AS DOUBLE) AS base,
+        CASE WHEN cause > 0.7 THEN 'CAUSES' WHEN dep THEN 'PROPAGATES_TO' WHEN same THEN 'SEQUENTIAL' ELSE 'CORRELATES_WITH' END AS relation FROM fp""",
+    "fprev": """SELECT b.fault_id, e.pos, list({'j': CAST(e.pos - p.pos AS INTEGER), 'eid': b.source, 'base': b.base, 'relation': b.relation, 'dt': b.dt} ORDER BY e.pos - p.pos) AS prev
+        FROM fbase b JOIN fe e ON e.fault_id = b.fault_id AND e.eid = b.target JOIN fe p ON p.fault_id = b.fault_id AND p.eid = b.source GROUP BY 1, 2""",
+    "fev": "SELECT fe.*, prev, pos = max(pos) OVER (PARTITION BY fault_id) AS is_last FROM fe LEFT JOIN fprev USING (fault_id, pos)",
+    # one event of every fault in each round; 'recent' holds the last five nodes, 'best' the chosen sources
+    "fgraph": f"""SELECT fault_id, pos, eid, type, CAST([] AS STRUCT(nc DOUBLE, nj INTEGER, eid VARCHAR, relation VARCHAR, dt DOUBLE)[]) AS best, [{ALONE}] AS recent FROM fev WHERE pos = 1
+      UNION ALL SELECT fault_id, pos, eid, type, best, list_append(list_transform(recent, lambda n, i: CASE WHEN list_contains(list_transform(best, lambda b: len(recent) + b.nj + 1), i)
+            THEN {{'indeg': n.indeg, 'succ': list_append(n.succ, type), 'depth': n.depth, 'path': n.path}} ELSE n END)[-4:],
+          CASE WHEN len(best) = 0 THEN {ALONE} ELSE {{'indeg': CAST(len(best) AS INTEGER), 'succ': CAST([] AS VARCHAR[]), 'depth': near.depth + 1, 'path': list_append(near.path, eid)}} END) AS recent
+      FROM (SELECT *, list_sort(list_transform(best, lambda b: {{'depth': recent[len(recent) + b.nj + 1].depth, 'path': recent[len(recent) + b.nj + 1].path}}))[1] AS near
+        FROM (SELECT fault_id, pos, eid, type, recent, list_sort(list_filter(list_transform(prev, lambda p: {{'nc': -least(CAST(1.0 AS DOUBLE), p.base + CAST(0.15 AS DOUBLE) * least(CAST(1.0 AS DOUBLE),
+                CASE WHEN {NODE}.indeg = 0 THEN CAST(0.4 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CASE WHEN len({NODE}.succ) = 0 THEN CAST(0 AS DOUBLE)
+                  WHEN len(list_filter({NODE}.succ, lambda s: coalesce({PAIRS}[s || '>' || type], 0.1) > 0.5)) > 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END)),
+                'nj': -p.j, 'eid': p.eid, 'relation': p.relation, 'dt': p.dt}}), lambda b: b.nc <= -0.3))[1:2] AS best
+          FROM (SELECT e.fault_id, e.pos, e.eid, e.type, e.prev, g.recent FROM fgraph g JOIN fev e ON e.fault_id = g.fault_id AND e.pos = g.pos + 1)))""",
+    "fedges": "SELECT fault_id, s.eid AS source, target, s.relation AS relation, -s.nc AS confidence, s.dt AS time_delta FROM (SELECT fault_id, eid AS target, unnest(best) AS s FROM fgraph)",
+    "froots": "SELECT e.* FROM fev e JOIN fgraph g USING (fault_id, pos) WHERE len(g.best) = 0",
+}
+SIG = "type || '|' || regexp_replace(service, '-[^-]{9,}$', '-*') || '|' || severity"
+SHAPES = {
+    **GRAPH,
+    "fsig": f"SELECT *, {SIG} AS sig FROM fev",
+    "fseq": "SELECT fault_id, list(sig ORDER BY t, eid) AS sequence FROM (SELECT fault_id, sig, min({'t': t, 'eid': eid}).t AS t, min({'t': t, 'eid': eid}).eid AS eid FROM fsig GROUP BY fault_id, sig, type, service) GROUP BY 1",
+    "fpairs": "SELECT DISTINCT d.fault_id, a.sig AS source_sig, b.sig AS target_sig FROM fedges d JOIN fsig a ON a.fault_id = d.fault_id AND a.eid = d.source JOIN fsig b ON b.fault_id = d.fault_id AND b.eid = d.target WHERE a.sig <> b.sig",
+    "flinks": """SELECT fault_id, count(*) AS n, '[' || string_agg('{"source_sig":"' || source_sig || '","target_sig":"' || target_sig || '"}', ',' ORDER BY source_sig, target_sig) || ']' AS js FROM fpairs GROUP BY 1""",
+    "fabs": "SELECT s.fault_id, r.root_type, sequence, coalesce(n, 0) AS n, coalesce(js, '[]') AS js FROM fseq s JOIN (SELECT fault_id, arg_min(type, {'t': t, 'eid': eid}) AS root_type FROM froots GROUP BY 1) r USING (fault_id) LEFT JOIN flinks USING (fault_id)",
+    "fstore": "SELECT root_type, sequence, js, count(*) AS frequency FROM fabs GROUP BY 1, 2, 3",
+}
+SCORED = {
+    **GRAPH,
+    "fback": """SELECT fault_id, eid, 0 AS dist FROM fev WHERE is_last UNION SELECT b.fault_id, d.source, b.dist + 1 FROM fback b JOIN fedges d ON d.fault_id = b.fault_id AND d.target = b.eid""",
+    "fdist": "SELECT fault_id, eid, min(dist) AS dist FROM fback GROUP BY 1, 2",
+    "fchain": "SELECT client_id, service, row_number() OVER (PARTITION BY client_id ORDER BY service) AS place FROM (SELECT DISTINCT client_id, service FROM episodes)",
+    "fscore0": """SELECT r.fault_id, r.eid, r.t, r.type, r.service, a.service AS other, (a.t - r.t) / CAST(1000000.0 AS DOUBLE) AS dt, d.dist, n.n, y.place - x.place AS hops
+      FROM froots r JOIN (SELECT * FROM fev WHERE is_last) a USING (fault_id) JOIN (SELECT fault_id, count(*) AS n FROM fev GROUP BY 1) n USING (fault_id)
+      LEFT JOIN fdist d ON d.fault_id = r.fault_id AND d.eid = r.eid
+      JOIN fchain x ON x.client_id = r.client_id AND x.service = r.service JOIN fchain y ON y.client_id = r.client_id AND y.service = a.service""",
+    "fscore1": """SELECT *, CASE WHEN dt < 0 THEN 0 ELSE pow(CAST(2.0 AS DOUBLE), -dt / CAST(120.0 AS DOUBLE)) END AS time_score, coalesce(CAST(1.0 AS DOUBLE) - dist / CAST(n AS DOUBLE), 0) AS graph,
+        CASE WHEN hops BETWEEN 1 AND 5 THEN CAST(1.0 AS DOUBLE) - hops / CAST(5.0 AS DOUBLE) ELSE 0 END AS near FROM fscore0""",
+    "fscores": "SELECT *, CASE WHEN service = other THEN 1 WHEN graph > 0 THEN CAST(0.7 AS DOUBLE) * graph + CAST(0.3 AS DOUBLE) * near ELSE near END AS distance_score FROM fscore1",
+    "franked": """SELECT *, row_number() OVER (PARTITION BY fault_id ORDER BY rank_score DESC, t, eid) AS rank FROM (SELECT *, CAST(0.6 AS DOUBLE) * (CAST(1.0 AS DOUBLE) - (rank() OVER (PARTITION BY fault_id ORDER BY time_score DESC) - 1) / CAST(count(*) OVER (PARTITION BY fault_id) AS DOUBLE))
+        + CAST(0.4 AS DOUBLE) * (CAST(1.0 AS DOUBLE) - (rank() OVER (PARTITION BY fault_id ORDER BY distance_score DESC) - 1) / CAST(count(*) OVER (PARTITION BY fault_id) AS DOUBLE)) AS rank_score FROM fscores)""",
+}
+
+
+@query("f1_fault_graphs", f"SELECT fault_id, source, target, relation, {r3('confidence', 6)} AS confidence, time_delta FROM fedges", GRAPH)
 def f1(x):
     return X.fpg_edges(X.build_fpg(scored(x))).withColumn("confidence", round_to(F.col("confidence"), 6))
 
 
-@query("f3_context_scores")
+@query("f3_context_scores", f"SELECT fault_id, source, target, {r3('(d.confidence - b.base) / CAST(0.15 AS DOUBLE)', 3)} AS context FROM fedges d JOIN fbase b USING (fault_id, source, target)", GRAPH)
 def f3(x):
     """What the graph context added to the base score of each chosen edge."""
     base = X.pair_scores(scored(x)).select("fault_id", "source", "target", "base")
@@ -73,12 +126,12 @@ def f3(x):
         "fault_id", "source", "target", round_to((F.col("confidence") - F.col("base")) / 0.15, 3).alias("context"))
 
 
-@query("f4_root_candidates")
+@query("f4_root_candidates", "SELECT fault_id, eid, type, service, t FROM froots", GRAPH)
 def f4(x):
     return X.root_candidates(nodes(x)).drop("client_id")
 
 
-@query("f5_propagation_paths")
+@query("f5_propagation_paths", "SELECT fault_id, eid AS alarm, recent[-1].path[1] AS root, recent[-1].depth AS depth, array_to_string(recent[-1].path, '>') AS path FROM fgraph JOIN (SELECT fault_id, pos FROM fev WHERE is_last) USING (fault_id, pos)", GRAPH)
 def f5(x):
     return X.propagation_paths(nodes(x)).withColumn("path", F.array_join("path", ">"))
 
@@ -102,17 +155,18 @@ def _scores(x):
     return X.root_scores(nodes(x), depends(x))
 
 
-@query("r1_root_scores")
+@query("r1_root_scores", f"SELECT fault_id, eid, {r3('time_score', 6)} AS time_score, {r3('distance_score', 6)} AS distance_score FROM fscores", SCORED)
 def r1(x):
     return _scores(x).select("fault_id", "eid", round_to(F.col("time_score"), 6).alias("time_score"), round_to(F.col("distance_score"), 6).alias("distance_score"))
 
 
-@query("r2_ranked_causes")
+@query("r2_ranked_causes", f"SELECT fault_id, eid, CAST(rank AS INTEGER) AS rank, {r3('rank_score', 6)} AS rank_score FROM franked WHERE rank <= 5", SCORED)
 def r2(x):
     return X.rank_root_causes(_scores(x)).select("fault_id", "eid", "rank", round_to(F.col("rank_score"), 6).alias("rank_score"))
 
 
-@query("r3_explanations")
+@query("r3_explanations", """SELECT fault_id, eid, type || ' on ' || service || ' happened ' || CASE WHEN time_score > 0.8 THEN 'very close in time to' WHEN time_score > 0.5 THEN 'shortly before' ELSE 'well before' END || ' the alarm, '
+    || CASE WHEN distance_score > 0.8 THEN 'on the same or a direct service' WHEN distance_score > 0.5 THEN 'on a near service' ELSE 'on a distant service' END AS explanation FROM franked WHERE rank = 1""", SCORED)
 def r3_(x):
     return X.rank_root_causes(_scores(x), top_n=1).select("fault_id", "eid", X.explanation().alias("explanation"))
 
@@ -142,23 +196,24 @@ def k4(x):
     return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", round_to(F.col("confidence"), 6).alias("confidence"), "matched", "missing", "extra")
 
 
-@query("c13_pattern_store")
+@query("c13_pattern_store", "SELECT md5(root_type || '|' || array_to_string(sequence, '>') || '|' || js) AS pattern_id, CASE WHEN frequency >= 2 THEN 2 * frequency ELSE frequency END AS frequency, root_type FROM fstore", SHAPES)
 def c13(x):
     """A first store of the repeated patterns, merged with the patterns of all faults."""
     merged = X.merge_patterns(patterns(x), X.pattern_store(abstract(x)))
     return merged.select("pattern_id", "frequency", "root_type")
 
 
-@query("c14_abstract_faults")
+@query("c14_abstract_faults", "SELECT fault_id, root_type, array_to_string(sequence, '>') AS sequence, n AS edges FROM fabs", SHAPES)
 def c14(x):
     return abstract(x).select("fault_id", "root_type", F.array_join("sequence", ">").alias("sequence"), F.size("edges").alias("edges"))
 
 
-@query("a31_pattern_statistics")
+@query("a31_pattern_statistics", "SELECT root_type, count(*) AS patterns, CAST(sum(frequency) AS BIGINT) AS faults, max(frequency) AS most, max(len(sequence)) AS longest FROM fstore GROUP BY 1", SHAPES)
 def a31(x):
     return X.pattern_statistics(X.pattern_store(abstract(x)))
 
 
-@query("a32_graph_statistics")
+@query("a32_graph_statistics", """SELECT *, CASE WHEN events > 1 THEN relations / CAST(events * (events - 1) AS DOUBLE) ELSE 0 END AS density FROM (SELECT fault_id, count(*) AS events, CAST(sum(len(best)) AS BIGINT) AS relations, count(*) FILTER (len(best) = 0) AS roots,
+    count(DISTINCT service) AS services, count(DISTINCT e.type) AS types, (max(t) - min(t)) / CAST(1000000.0 AS DOUBLE) AS span_seconds FROM fev e JOIN fgraph g USING (fault_id, pos) GROUP BY 1)""", GRAPH)
 def a32(x):
     return X.graph_statistics(nodes(x))

@@ -150,4 +150,5 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
             todo += _needs(TABLES[name])
     parts = [f"{n} AS MATERIALIZED ({TABLES[n]})" for n in TABLES if n in used]
     parts += [f"{n} AS MATERIALIZED ({t})" for n, t in extra.items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    recursive = any(re.search(rf"\b{n}\b", t) for n, t in extra.items())
+    return (("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" if parts else "") + body
