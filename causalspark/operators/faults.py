@@ -355,7 +355,8 @@ def match_patterns(abstract: DataFrame, patterns: DataFrame, k: int = 3,
 
     Faults of equal abstract shape are matched once. Candidates share an event type or a
     service; only a shape whose ``k``-th candidate scores no more than the structure weight can
-    have a better match outside, and gets the best patterns per structure as well.
+    have a better match outside. Outside, the score is that of the structure alone, so the ``k``
+    best patterns are found once for each (nodes, links) that occurs among such shapes.
     """
     shape_cols = ["type_sequence", "types", "services", "edges"]
     faults = abstract.withColumn("shape", F.md5(F.to_json(F.struct(*shape_cols))))
@@ -369,14 +370,21 @@ def match_patterns(abstract: DataFrame, patterns: DataFrame, k: int = 3,
     w = W.partitionBy("shape").orderBy(F.desc("similarity"), F.desc("frequency"), "pattern_id")
     best = cut_lineage(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     full = best.where((F.col("rank") == k) & (F.col("similarity") > weights[3])).select("shape")
-    open_shapes = shapes.join(full, "shape", "left_anti").select("shape", F.lit(1).alias("one"))
+    sizes = lambda: [F.size("type_sequence").cast("double").alias("nodes"), F.size("edges").cast("double").alias("links")]
+    open_shapes = shapes.join(full, "shape", "left_anti").select("shape", *sizes())
     by_structure = W.partitionBy("nodes", "links").orderBy(F.desc("frequency"), "pattern_id")
     # Outside patterns of one structure score alike, and inside ones of it score no less, so the
     # first k of every structure are enough.
-    few = patterns.select("pattern_id", "frequency", F.size("sequence").alias("nodes"), F.size("edges").alias("links"))
-    few = few.withColumn("n", F.row_number().over(by_structure)).where(F.col("n") <= k).select(
-        "pattern_id", F.lit(1).alias("one"))
-    rest = open_shapes.join(few, "one").select("shape", "pattern_id").join(pairs, ["shape", "pattern_id"], "left_anti")
+    few = patterns.select("pattern_id", "frequency", *sizes())
+    few = few.withColumn("n", F.row_number().over(by_structure)).where(F.col("n") <= k)
+    # bounded by the structures: k patterns for each number of signatures and of edges between them
+    listed = few.select(F.collect_list(F.struct("pattern_id", "frequency", F.col("nodes").alias("n2"), F.col("links").alias("m2")))).scalar()
+    asked = open_shapes.select("nodes", "links").distinct().withColumn("all", listed)
+    alike = asked.select("nodes", "links", F.explode("all").alias("p")).select("nodes", "links", "p.*")
+    like = structure_score(F.col("nodes"), F.col("links"), F.col("n2"), F.col("m2"))
+    first = W.partitionBy("nodes", "links").orderBy(F.desc("like"), F.desc("frequency"), "pattern_id")
+    alike = alike.withColumn("like", like).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+    rest = open_shapes.join(alike, ["nodes", "links"]).select("shape", "pattern_id").join(pairs, ["shape", "pattern_id"], "left_anti")
     both = best.drop("rank").unionByName(_scored_pairs(rest, shapes, patterns, weights))
     out = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return faults.select("fault_id", "shape").join(out, "shape").drop("shape")
