@@ -284,6 +284,22 @@ def _any_effect(rules, signature) -> Column:
     return out
 
 
+def rescore_links(links: DataFrame, episodes: DataFrame, edges: DataFrame, rules=None,
+                  weights=(0.4, 0.3, 0.3)) -> DataFrame:
+    """Score links that have no confidence from their events and the topology; others stay."""
+    c, e = _batch_sides(episodes)
+    holes = links.where("confidence IS NULL").select("client_id", F.col("cause").alias("c_eid"), F.col("effect").alias("e_eid"))
+    pairs = holes.join(c, ["client_id", "c_eid"]).join(e, ["client_id", "e_eid"])
+    scored = score_links_batch(with_hops(pairs, edges), rules, weights)
+    new = scored.select("client_id", F.col("c_eid").alias("cause"), F.col("e_eid").alias("effect"),
+                        *[round_to(F.col(c)).alias(f"new_{c}") for c in ("temporal_score", "distance_score", "domain_score")],
+                        round_to(F.col("conf")).alias("new_confidence"))
+    out = links.join(new, ["client_id", "cause", "effect"], "left")
+    for column in ("temporal_score", "distance_score", "domain_score", "confidence"):
+        out = out.withColumn(column, F.coalesce(column, f"new_{column}")).drop(f"new_{column}")
+    return out
+
+
 def build_causality_basic(episodes: DataFrame, min_conf: float = 0.3, window_min: int = 10
                           ) -> DataFrame:
     """Fixed window, rules that look at the resource, no topology; every link above the bar."""

@@ -104,6 +104,15 @@ def apply_updates(current: DataFrame, updates: DataFrame, keys: list[str]) -> Da
     return merge_properties(kept, fresh, keys)
 
 
+def update_counts(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """What a batch of updates does to each tenant's snapshot: rows created, changed and deleted."""
+    seen = latest_rows(updates, keys).select(*keys, "op")
+    both = seen.join(current.select(*keys, F.lit(1).alias("known")), keys, "left")
+    count = lambda test, name: F.count(F.when(test, 1)).alias(name)
+    gone, known = F.col("op") == "DELETE", F.col("known").isNotNull()
+    return both.groupBy("client_id").agg(count(~gone & ~known, "created"), count(~gone & known, "changed"), count(gone & known, "deleted"))
+
+
 INCIDENT_STATES = ["open", "acknowledged", "resolved"]
 
 
@@ -132,10 +141,3 @@ def retain_with_links(episodes: DataFrame, links: DataFrame, days: float, as_of=
 
 def drop_empty_incidents(incidents: DataFrame, members: DataFrame) -> DataFrame:
     return incidents.join(members.select("incident_id"), "incident_id", "left_semi")
-
-
-def backfill_confidence(links: DataFrame, rescored: DataFrame) -> DataFrame:
-    """Fill missing confidences from a rescoring of the same pairs."""
-    r = rescored.select("client_id", "cause", "effect", F.col("confidence").alias("_new"))
-    return links.join(r, ["client_id", "cause", "effect"], "left").withColumn(
-        "confidence", F.coalesce("confidence", "_new")).drop("_new")

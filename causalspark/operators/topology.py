@@ -275,6 +275,17 @@ def dependency_cycles(depends_on: DataFrame, max_length: int = 5) -> DataFrame:
     return out
 
 
+def neighbour_relations(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of :func:`neighbourhood` (but the roots) with the relations of the last step: types
+    with their direction, ``out`` away from the root. At most two for each type."""
+    ends = lambda a, b, way: F.struct(F.col(a).alias("node"), F.col(b).alias("next"), F.concat("type", F.lit(f":{way}")).alias("relation"))
+    step = edges.select("client_id", F.explode(F.array(ends("src", "dst", "out"), ends("dst", "src", "in"))).alias("s")).select("client_id", "s.*")
+    before = found.select("client_id", "root", "node", (F.col("depth") + 1).alias("depth"))
+    last = before.join(step, ["client_id", "node"]).select("client_id", "root", F.col("next").alias("node"), "depth", "relation")
+    return last.join(found, ["client_id", "root", "node", "depth"], "left_semi").groupBy("client_id", "root", "node", "depth").agg(
+        F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"))
+
+
 def node_failure_impact(edges: DataFrame) -> DataFrame:
     """Pods and services that a failing node would take with it."""
     m = service_map(edges)

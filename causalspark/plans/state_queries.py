@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from causalspark.operators import state as S
+from causalspark.operators import causality, state as S
 from causalspark.plans.registry import query
 
 LIVE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, rid ORDER BY at_us DESC, offset_ DESC) AS n FROM resource_changes) WHERE n = 1 AND op <> 'DELETE'"
@@ -79,6 +79,25 @@ def c8(x):
     return S.apply_updates(pods, updates, ["client_id", "rid"]).na.fill("", ["node"])
 
 
+EDGE_UPDATES = {
+    "selects": "SELECT client_id, id FROM edges WHERE type = 'SELECTS'",
+    "crcs": "SELECT DISTINCT client_id, id, op FROM (SELECT *, row_number() OVER (PARTITION BY client_id, id ORDER BY at_us DESC, offset_ DESC) AS n FROM edge_changes) WHERE n = 1",
+}
+
+
+@query("c8_apply_edge_updates", "SELECT client_id, id FROM selects ANTI JOIN crcs USING (client_id, id) UNION ALL SELECT client_id, id FROM crcs WHERE op <> 'DELETE'", EDGE_UPDATES)
+def c8e(x):
+    current = x.edges.where("type = 'SELECTS'").select("client_id", "id", "src", "dst", "type")
+    return S.apply_updates(current, x.edge_changes, ["client_id", "id"]).select("client_id", "id")
+
+
+@query("c8_update_counts", """SELECT client_id, count(*) FILTER (op <> 'DELETE' AND k IS NULL) AS created, count(*) FILTER (op <> 'DELETE' AND k IS NOT NULL) AS changed, count(*) FILTER (op = 'DELETE' AND k IS NOT NULL) AS deleted
+  FROM (SELECT *, row_number() OVER (PARTITION BY client_id, rid ORDER BY at_us DESC, offset_ DESC) AS n FROM resource_changes) LEFT JOIN (SELECT client_id, rid, 1 AS k FROM resources WHERE kind = 'Pod') USING (client_id, rid) WHERE n = 1 GROUP BY 1""")
+def c8c(x):
+    pods = x.resources.where("kind = 'Pod'").select("client_id", "rid")
+    return S.update_counts(pods, x.resource_changes, ["client_id", "rid"])
+
+
 def _incident_updates(x):
     return x.incidents.select("incident_id", F.when(F.col("severity") == "FATAL", "acknowledged").when(
         F.col("event_count") == 3, "closed?").alias("new_status"))
@@ -104,7 +123,11 @@ def c11(x):
     return S.drop_empty_incidents(x.incidents, S.retain(x.incident_members, 7)).select("incident_id")
 
 
-@query("c12_backfill_confidence", "SELECT client_id, cause, effect, confidence FROM links")
+@query("c12_backfill_confidence", "SELECT client_id, cause, effect, distance_score, domain_score, confidence FROM links")
 def c12(x):
-    holes = x.links.withColumn("confidence", F.when(F.col("rank") <= 2, F.col("confidence")))
-    return S.backfill_confidence(holes, x.links).select("client_id", "cause", "effect", "confidence")
+    """Links that have lost their scores are scored anew from their events."""
+    hole = F.col("rank") > 2
+    lost = x.links
+    for column in ("temporal_score", "distance_score", "domain_score", "confidence"):
+        lost = lost.withColumn(column, F.when(~hole, F.col(column)))
+    return causality.rescore_links(lost, x.episodes, x.edges).select("client_id", "cause", "effect", "distance_score", "domain_score", "confidence")

@@ -148,6 +148,15 @@ def t14(x):
     return T.neighbourhood(roots, x.edges, 3)
 
 
+@query("t14_neighbour_relations", """SELECT f.client_id, f.root, f.node, CAST(f.depth AS INTEGER) AS depth, array_to_string(list_sort(list_distinct(list(s.relation))), ',') AS relations
+  FROM found f JOIN steps s ON s.client_id = f.client_id AND s.b = f.node JOIN found p ON p.client_id = f.client_id AND p.root = f.root AND p.node = s.a AND p.depth = f.depth - 1 GROUP BY 1, 2, 3, 4""",
+       {"found": f"SELECT client_id, root, node, depth FROM ({NEIGHBOURS}) UNION ALL SELECT client_id, rid, rid, 0 FROM resources WHERE kind = 'Deployment'",
+        "steps": "SELECT client_id, src AS a, dst AS b, type || ':out' AS relation FROM edges UNION ALL SELECT client_id, dst, src, type || ':in' FROM edges"})
+def t14r(x):
+    roots = x.resources.where("kind = 'Deployment'").select("client_id", F.col("rid").alias("root"))
+    return T.neighbour_relations(T.neighbourhood(roots, x.edges, 3), x.edges)
+
+
 @query("t15_resource_blast_radius", f"""SELECT n.client_id, n.root, n.node, CAST(n.depth AS INTEGER) AS depth, coalesce(c.errors, 0) AS errors,
     CASE WHEN coalesce(c.errors, 0) > 10 THEN 'high' WHEN coalesce(c.errors, 0) > 0 THEN 'medium' ELSE 'low' END AS impact
   FROM ({NEIGHBOURS}) n LEFT JOIN (SELECT client_id, rid, count(*) AS errors FROM episodes, clock WHERE severity IN ('ERROR','FATAL') AND t >= now - 864000000000 GROUP BY 1, 2) c
