@@ -1,8 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the data, BENCH_CPUS (default 8) the cores.
-``prepare`` is the time to write the shared event, resource, edge and link tables; every query
-is then run to the end into a sink that keeps nothing.
+``prepare`` is the time to write the shared event, resource, edge and link tables, which most queries
+read, and is part of the total; every query is then run to the end into a sink that keeps nothing.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def main() -> None:
         run(queries[name](spark, sf_dir))
         times[name] = round(time.time() - start, 3)
     print(json.dumps({
-        "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "metric": "headline_queries_total", "value": round(prepare + sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"), "prepare": round(prepare, 3),
         "cores": int(cpus), "rows": rows}))
     spark.stop()
