@@ -27,7 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
-# Starting inside a run of digits finds nothing that starting at its head does not.
+# An address lies in one run of digits and points; starting inside a run of digits finds nothing that its head does not.
+_DOTTED = re.compile(r"[0-9][0-9.]{6,}")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -59,7 +60,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def plain_spans(text: str) -> list[Span]:
     """The spans of undisguised data: leftmost and without overlap in each kind."""
     out = [("email", s, e) for s, e in _emails(text)]
-    for m in _IP.finditer(text):
+    for m in (m for run in _DOTTED.finditer(text) for m in _IP.finditer(text, run.start(), run.end())):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
@@ -100,6 +101,13 @@ class Traced:
         return Traced("".join([*parts, self.text[at:]]), starts + self.starts[at:], ends + self.ends[at:])
 
 
+    def replace(self, table: dict[str, str]) -> Traced:
+        """Each character becomes what the table says (one character or nothing)."""
+        chars = [table.get(c, c) for c in self.text]
+        kept = [i for i, c in enumerate(chars) if c]
+        return Traced("".join(chars), [self.starts[i] for i in kept], [self.ends[i] for i in kept])
+
+
 # Letters of other scripts that look like ASCII letters.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
@@ -135,11 +143,15 @@ def _lookalike_table() -> dict[str, str]:
 
 
 _TABLE = _lookalike_table()
-_LOOKS = re.compile("[" + "".join(map(re.escape, _TABLE)) + "]")
+_LOOKS = frozenset(_TABLE)
+_NARROW = tuple(c for c in _TABLE if c < "\u0100")  # those that a text in Latin letters may hold
 _WORD = "|".join(DIGITS) + "|oh"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(plus)[\s,-]+)?(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD})){{6,}}(?![^\W_])", re.I)
 _ONE = re.compile(_WORD, re.I)
 _BRACKETED = re.compile(r"\s?[\[({<]\s?(at|dot|@|\.)\s?[\])}>]\s?", re.I)
+_BRACKETED_SIGN = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]", re.I)
+_DIGIT_WORDS = frozenset((*DIGITS, "oh"))
+_GAPS = str.maketrans(",.-", "   ")
 _SPOKEN = re.compile(r"(?<=[A-Za-z0-9_%+-])\sat\s(?=[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9-])\sdot\s(?=[A-Za-z0-9-])", re.I)
 
 
@@ -159,17 +171,34 @@ def _sign(m: re.Match) -> list[tuple[str, int, int]]:
     return [("@" if word in ("at", "@") else ".", m.start(), m.end())]
 
 
+def _has_looks(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _LOOKS.isdisjoint(text)
+    return any(c in text for c in _NARROW)
+
+
+def _has_spelled(low: str) -> bool:
+    """Whether seven digit words may follow each other: the five inner ones have only gaps beside them."""
+    if sum(map(low.count, _DIGIT_WORDS)) < 7:
+        return False
+    return b"\1" * 5 in bytes(map(_DIGIT_WORDS.__contains__, low.translate(_GAPS).split()))
+
+
 def disguised_spans(text: str) -> list[Span]:
     """Spans found after rewriting, in source offsets; none where the text shows no sign of disguise."""
-    low = text.lower() if len(text) < 1 << 20 or text.isascii() else text.casefold()
-    looks = not text.isascii() and bool(_LOOKS.search(text))
-    signs = " dot " in low or "\tdot " in low or bool(_BRACKETED.search(text))
-    spelled = looks or (sum(map(low.count, (*DIGITS, "oh"))) >= 7 and bool(_SPELLED.search(text)))
+    low = text.lower()
+    looks = _has_looks(text)
+    signs = "dot" in low and bool(re.search(r"\sdot\s", low)) or any(c in text for c in "[({<") and bool(_BRACKETED_SIGN.search(text))
+    spelled = looks or (_has_spelled(low) and bool(_SPELLED.search(text)))
     if not (looks or signs or spelled):
         return []
     traced = Traced.source(text)
     if looks:
-        traced = traced.rewrite(_LOOKS, lambda m: [(c, m.start(), m.end()) for c in _TABLE[m[0]]])
+        traced = traced.replace(_TABLE)
     runs: list[Span] = []
     if spelled:
         for m in _SPELLED.finditer(traced.text):
@@ -178,7 +207,7 @@ def disguised_spans(text: str) -> list[Span]:
                 runs.append(("phone" if len(said) <= 15 else "card", traced.starts[m.start()], traced.ends[m.end() - 1]))
         traced = traced.rewrite(_SPELLED, _digits)
     traced = traced.rewrite(_BRACKETED, _sign)
-    if " dot " in traced.text.lower():
+    if signs:
         traced = traced.rewrite(_SPOKEN, _sign)
     return runs + [(k, traced.starts[s], traced.ends[e - 1]) for k, s, e in plain_spans(traced.text)
                    if k != "email" or not signs or traced.text[s:e].rpartition(".")[2].lower() in TOP_DOMAINS]

@@ -259,6 +259,7 @@ def test_detectors_are_linear():
     ("joe at example dot com is it", "email", "joe at example dot com"), ("jоe@exаmple.com", "email", "jоe@exаmple.com"), ("ｊｏｅ＠ｅｘ．ｃｏｍ", "email", "ｊｏｅ＠ｅｘ．ｃｏｍ"),
     ("call five five five, one two three four five now", "phone", "five five five, one two three four five"),
     ("call plus one five five five one two three four", "phone", "plus one five five five one two three four"),
+    ("call (five-five-five.one two three, four oh)!", "phone", "five-five-five.one two three, four oh"),
     ("ip １９２.168.1.1 here", "ip", "１９２.168.1.1"), ("no jo​e@ex​ample.com x", "email", "jo​e@ex​ample.com"),
 ])
 def test_disguises(text, kind, part):
@@ -266,6 +267,18 @@ def test_disguises(text, kind, part):
     assert (kind, start, start + len(part)) in pii.find_pii(text)[1]
 
 
+def test_cheap_checks_miss_nothing():
+    """What the cheap checks rule out, the transducers would not find either."""
+    rng = random.Random(8)
+    pieces = ["one", "Two", "oh", "nine", "three", "plus", " ", ", ", "-", ".", "(", ")", "x", "é", "!", "\n", "５", "\u200b", "а", " dot ", " at ", "[at]", "(dot)", "com"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(10, 30)))
+        assert pii._has_spelled(text.lower()) or not pii._SPELLED.search(text), text
+        assert pii._has_looks(text) == any(c in pii._TABLE for c in text)
+    spelled = "call " + " ".join(["five"] * 9) + "!"
+    assert pii._has_spelled(spelled)
+
+
 @pytest.mark.parametrize("text", ["We met at the dot on the map, at one or two.", "one two three", "é à la carte at noon", "arrays[at] and (dot) products", "Привет, как дела?"])
 def test_clean_texts_stay_clean(text):
     assert pii.find_pii(text) == ([], [])
