@@ -12,7 +12,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE = os.path.join(TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
 PIECE_BPE = os.path.join(TOKENIZER_DIR, "piece_bpe_32k.model")
 #: Entries of one generation, and the longest segment that is remembered; together they bound the memory of a worker.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 
 # Pre-token pattern of the byte-level vocabulary (a fixed value).
 BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

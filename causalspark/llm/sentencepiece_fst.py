@@ -7,7 +7,8 @@ two neighbours that the model's merges, applied to both texts joined, keep apart
 pieces is the model's encoding exactly if all its neighbours are such. Every prefix has one such sequence, so one state
 per position is finite and the search is linear in the text.
 
-A text is cut where no piece can reach across (before white space, at line ends), and short stretches are remembered.
+A text is cut where no piece can reach across (before white space, at line ends, between letters and others, as far as
+the model's pieces allow), and short stretches are remembered.
 
 Defined cases: null and empty texts have no ids; a text that holds the white-space mark U+2581 itself is encoded as the
 model's library does, decodes to a space there and so has ``exact`` false; a null doc_id stays null; repeated rows give
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,17 +51,24 @@ class Transducer:
         if len(self.byte_ids) != 256:
             raise ValueError(f"{path}: a model with byte fallback is needed")
         self.pieces = {i: p for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.reach: dict[str, int] = {}  # by the first four characters, the longest piece; others have at most three
+        for piece in self.ids:
+            if len(piece) > 3:
+                self.reach[piece[:4]] = max(len(piece), self.reach.get(piece[:4], 0))
         self.allowed: dict[int, float] = {FALLBACK: 0.0}
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            cut = r"(?s:.+)"
-        elif any("\n" in p for p in self.ids):
-            cut = f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+"
-        else:
-            cut = f"\\n|[ {MARK}]*[^ {MARK}\\n]+|[ {MARK}]+"
-        self.cut = re.compile(cut).findall
+        self.cut = re.compile(self._stretches()).findall
         self.known = Segments(self._shortest_path)
 
+    def _stretches(self) -> str:
+        """A pattern for stretches of text whose ends no piece crosses: white space with letters or with others, if the
+        pieces keep these apart; with anything; or the whole text."""
+        bodies = [p.lstrip(MARK) for p in self.ids]
+        if any(MARK in b or "\n" in b for b in bodies):
+            return r"(?s:.+)"
+        if all(re.fullmatch(r"[^\W\d_]*|(?:[^\w]|[\d_])*", b) for b in bodies):
+            return f"\\n|[ {MARK}]*(?:[^\\W\\d_]+|(?:[^\\w \\n{MARK}]|[\\d_])+)|[ {MARK}]+"
+        return f"\\n|[ {MARK}]*[^ {MARK}\\n]+|[ {MARK}]+"
+
     def _merged(self, text: str) -> list[str]:
         """The model's merges on a short text: the best score first, the leftmost of equals."""
         parts = list(text)
@@ -81,15 +90,15 @@ class Transducer:
         return 0.0 if self._merged(a + b) == ([a, b] if a else [b]) else INFINITY
 
     def _shortest_path(self, segment: str) -> bytes:
-        """The ids of a stretch of text, as little-endian 32-bit numbers.
+        """The ids of a stretch of text, as 32-bit numbers.
 
         Arcs leave a position longest first. A position whose arcs all lead nowhere is closed for good, as every finite
         path to it ends in the same piece.
         """
-        text, n, longest = segment.replace(" ", MARK), len(segment), self.longest
-        piece_of, allowed = self.ids.get, self.allowed
+        text, n = segment.replace(" ", MARK), len(segment)
+        piece_of, allowed, reach = self.ids.get, self.allowed, self.reach.get
         path, ends, closed = [START], [0], set()
-        end = min(n, longest)  # the arc to be tried next runs from the last end to here
+        end = min(n, reach(text[:4], 3))  # the arc to be tried next runs from the last end to here
         while (begin := ends[-1]) < n:
             last = path[-1]
             while end > begin:
@@ -108,7 +117,7 @@ class Transducer:
             if end > begin:
                 path.append(piece)
                 ends.append(end)
-                end = min(n, end + longest)
+                end = min(n, end + reach(text[end:end + 4], 3))
             else:
                 closed.add(begin)
                 path.pop()
@@ -120,12 +129,12 @@ class Transducer:
                 out.append(piece)
             else:
                 out += [self.byte_ids[b] for b in text[end - 1].encode()]
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut(" " + text))), "<i4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut(" " + text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.spelling.__getitem__, ids.tolist()))[1:].decode(errors="replace")
@@ -151,7 +160,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for text in columns[1]:
                 ids = fst.encode(text)
                 back = fst.decode(ids)
-                row = [len(ids), int(byte_ids[ids].sum()), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text]
+                row = [len(ids), int(byte_ids[ids].sum()), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text]
                 out.append(row + [ids] if with_ids else row)
             return [columns[0], *map(list, zip(*out, strict=True))]
         return step
