@@ -120,7 +120,7 @@ def c10(x):
 
 @query("c11_drop_empty_incidents", "SELECT DISTINCT incident_id FROM incident_members, clock WHERE t >= now - 604800000000")
 def c11(x):
-    return S.drop_empty_incidents(x.incidents, S.retain(x.incident_members, 7)).select("incident_id")
+    return S.drop_empty_incidents(x.incidents, S.retain(x.incident_members, 7, x.episodes.select(F.max("t")).scalar())).select("incident_id")
 
 
 @query("c12_backfill_confidence", "SELECT client_id, cause, effect, distance_score, domain_score, confidence FROM links")
