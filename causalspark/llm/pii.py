@@ -188,17 +188,22 @@ def _has_spelled(low: str) -> bool:
     return b"\1" * 5 in bytes(map(_DIGIT_WORDS.__contains__, low.translate(_GAPS).split()))
 
 
+def _has_signs(text: str, low: str) -> bool:
+    return "dot" in low and bool(re.search(r"\sdot\s", low)) or any(c in text for c in "[({<") and bool(_BRACKETED_SIGN.search(text))
+
+
 def disguised_spans(text: str) -> list[Span]:
     """Spans found after rewriting, in source offsets; none where the text shows no sign of disguise."""
     low = text.lower()
     looks = _has_looks(text)
-    signs = "dot" in low and bool(re.search(r"\sdot\s", low)) or any(c in text for c in "[({<") and bool(_BRACKETED_SIGN.search(text))
+    signs = not looks and _has_signs(text, low)
     spelled = looks or (_has_spelled(low) and bool(_SPELLED.search(text)))
     if not (looks or signs or spelled):
         return []
     traced = Traced.source(text)
     if looks:
         traced = traced.replace(_TABLE)
+        signs = _has_signs(traced.text, traced.text.lower())  # "dot" and brackets may be disguised themselves
     runs: list[Span] = []
     if spelled:
         for m in _SPELLED.finditer(traced.text):

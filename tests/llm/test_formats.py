@@ -267,6 +267,16 @@ def test_disguises(text, kind, part):
     assert (kind, start, start + len(part)) in pii.find_pii(text)[1]
 
 
+@pytest.mark.parametrize("part", [
+    "joe at example dоt com", "joe at example d\u200bot com", "joe аt example dot com", "joe a\u200bt example \u200bdot\u200b com", "joe ａｔ example ｄｏｔ com", "jоe\u2003at\u2003example\u2003dot\u2003com",
+    "joe at example\u00addot com".replace("\u00ad", " \u00ad"), "joe ［at］ example ［dot］ com", "joe (аt) example (dоt) com",
+])
+def test_composed_disguises(part):
+    """Look-alikes and invisible characters inside "at", "dot" and their brackets."""
+    text = f"mail {part}, now"
+    assert ("email", 5, 5 + len(part)) in pii.find_pii(text)[1]
+
+
 def test_cheap_checks_miss_nothing():
     """What the cheap checks rule out, the transducers would not find either."""
     rng = random.Random(8)
