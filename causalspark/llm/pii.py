@@ -117,8 +117,17 @@ LOOKALIKES = {
 }
 #: Characters that are not seen: soft hyphen, zero-width ones, direction marks, joiners, byte order mark.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\ufeff"
-#: Last labels that a spelled address must end in; "at" and "dot" are words too (fixed values).
-TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io dev app ai co uk de fr es nl pl ch se no dk fi pt cz ru cn jp kr br mx au nz ca eu".split())
+#: Last labels that an address with a bare spoken "at" must end in, as "at" and "dot" are words too (fixed values): all
+#: country codes, and common longer ones.
+TOP_DOMAINS = frozenset("""
+    ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv
+    cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie
+    il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt
+    mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl
+    sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw
+    com org net edu gov mil int info biz dev app xyz online site website shop store tech club top name pro mobi jobs travel cat asia coop aero museum tel
+    post arpa blog cloud email live news page wiki work world zone agency digital media network systems solutions group company academy space host press
+    fun life link click design studio services support global center city berlin london nyc paris tokyo bank law health care school foundation""".split())
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 
@@ -152,7 +161,8 @@ _BRACKETED = re.compile(r"\s?[\[({<]\s?(at|dot|@|\.)\s?[\])}>]\s?", re.I)
 _BRACKETED_SIGN = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]", re.I)
 _DIGIT_WORDS = frozenset((*DIGITS, "oh"))
 _GAPS = str.maketrans(",.-", "   ")
-_SPOKEN = re.compile(r"(?<=[A-Za-z0-9_%+-])\sat\s(?=[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9-])\sdot\s(?=[A-Za-z0-9-])", re.I)
+_AT_HOST = re.compile(r"\sat\s[a-z0-9-]++\.[a-z0-9-]")
+_SPOKEN = re.compile(r"(?<=[A-Za-z0-9_%+-])\sat\s(?=[A-Za-z0-9-]+(?:\sdot\s|\.)[A-Za-z0-9-])|(?<=[A-Za-z0-9-])\sdot\s(?=[A-Za-z0-9-])", re.I)
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]]:
@@ -189,7 +199,8 @@ def _has_spelled(low: str) -> bool:
 
 
 def _has_signs(text: str, low: str) -> bool:
-    return "dot" in low and bool(re.search(r"\sdot\s", low)) or any(c in text for c in "[({<") and bool(_BRACKETED_SIGN.search(text))
+    return ("dot" in low and bool(re.search(r"\sdot\s", low)) or any(c in text for c in "[({<") and bool(_BRACKETED_SIGN.search(text))
+            or bool(_AT_HOST.search(low)))
 
 
 def disguised_spans(text: str) -> list[Span]:
@@ -211,11 +222,30 @@ def disguised_spans(text: str) -> list[Span]:
             if 8 <= len(said) <= 15 or (16 <= len(said) <= 19 and luhn(said)):
                 runs.append(("phone" if len(said) <= 15 else "card", traced.starts[m.start()], traced.ends[m.end() - 1]))
         traced = traced.rewrite(_SPELLED, _digits)
+    written = {traced.starts[m.start()]: m[0].strip()[0] for m in _BRACKETED.finditer(traced.text)}  # bracket of each sign, by its source
     traced = traced.rewrite(_BRACKETED, _sign)
     if signs:
+        written |= {traced.starts[m.start()]: "word" for m in _SPOKEN.finditer(traced.text)}
         traced = traced.rewrite(_SPOKEN, _sign)
     return runs + [(k, traced.starts[s], traced.ends[e - 1]) for k, s, e in plain_spans(traced.text)
-                   if k != "email" or not signs or traced.text[s:e].rpartition(".")[2].lower() in TOP_DOMAINS]
+                   if k != "email" or not written or _is_address(traced, written, s, e)]
+
+
+def _is_address(traced: Traced, written: dict[int, str], s: int, e: int) -> bool:
+    """Whether the signs of an address are no prose: bare words, and brackets of different kinds, need a known last label."""
+    at = traced.text.index("@", s, e)
+    sign = written.get(traced.starts[at], "")
+    points = {written.get(traced.starts[i], "") for i in range(at + 1, e) if traced.text[i] == "."}
+    brackets = points - {"", "word"}
+    if sign == "word":
+        sure = bool(brackets)
+    else:
+        sure = not sign or not brackets or sign in brackets
+    host = traced.text[at + 1:e]
+    label = host.rpartition(".")[2]
+    if sign == "word" and points == {""} and (host[:4].lower() == "www." or traced.text[e:e + 1] == "/" or label.istitle()):
+        return False  # "see it at www.example.com", "at example.com/page", "at home.It was"
+    return sure or label.lower() in TOP_DOMAINS
 
 
 def _order(spans) -> list[Span]:

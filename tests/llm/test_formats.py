@@ -277,6 +277,28 @@ def test_composed_disguises(part):
     assert ("email", 5, 5 + len(part)) in pii.find_pii(text)[1]
 
 
+@pytest.mark.parametrize("part", [
+    "joe [at] firma [dot] it", "joe (at) firma (dot) pizza", "joe (at) firma.pizza", "joe at firma [dot] pizza", "joe (at) firma dot pizza", "joe@firma dot pizza",
+    "joe at firma dot us", "joe at firma dot in", "joe at firma dot xyz", "joe at mail dot firma dot co dot za", "joe at example.com", "j.doe at mail.firma.at",
+    "joe at mail.firma dot it", "jоe аt firma.it",
+])
+def test_last_labels(part):
+    text = f"mail {part}, now"
+    assert ("email", 5, 5 + len(part)) in pii.find_pii(text)[1]
+
+
+@pytest.mark.parametrize("sign", ["x (at) home", "one dot two", "[at]", "look at this.thing"])
+def test_label_test_is_of_a_span(sign):
+    """Signs elsewhere in the text do not take away an address in look-alikes."""
+    text = "mail joe＠firma.pizza now; " + "words " * 50 + sign + " end"
+    assert ("email", 5, 20) in pii.find_pii(text)[1]
+
+
+@pytest.mark.parametrize("text", ["see it at www.example.com now", "read at example.com/page", "We were at home.It was late", "at 10.30 or at 1.2.3", "look at this.thing"])
+def test_hosts_in_prose(text):
+    assert pii.find_pii(text) == ([], [])
+
+
 def test_cheap_checks_miss_nothing():
     """What the cheap checks rule out, the transducers would not find either."""
     rng = random.Random(8)
