@@ -73,6 +73,9 @@ TABLES = {
         SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY q DESC, dst) AS n FROM (
           SELECT 'svc-' || CAST(l_suppkey AS STRING) AS src, 'svc-' || CAST(l_partkey % 100 AS STRING) AS dst,
                  sum(l_quantity) AS q FROM lineitem GROUP BY ALL) WHERE src <> dst) WHERE n <= 2""",
+    "service_flows": f"""SELECT DISTINCT {m.TENANT} AS client_id, src, dst FROM (
+        SELECT o_custkey AS u, 'svc-' || CAST(l_suppkey AS STRING) AS src, 'svc-' || CAST(l_partkey % 100 AS STRING) AS dst
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE src <> dst""",
     "resource_changes": f"""SELECT {m.TENANT} AS client_id,
         'pod:' || {m.NAMESPACE} || ':pod-' || CAST(u AS STRING) AS rid, at_us, offset_, op, image, phase FROM (
         SELECT o_custkey AS u, o_orderkey AS offset_, epoch_us(o_orderdate) AS at_us,

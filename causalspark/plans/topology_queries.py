@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from causalspark.operators import reach, topology as T
 from causalspark.plans.registry import query
+from causalspark.session import cut_lineage
 
 
 def _selectors(x):
@@ -174,6 +175,14 @@ def t16(x):
     return T.dependency_blast_radius(x.depends_on, services)
 
 
+@query("t16_flow_blast_radius", """SELECT client_id, root, node, CAST(min(d) AS INTEGER) AS depth FROM (
+    SELECT DISTINCT client_id, src AS root, src AS node, 0 AS d FROM service_flows UNION ALL SELECT client_id, src, dst, 1 FROM service_flows
+    UNION ALL SELECT a.client_id, a.src, b.dst, 2 FROM service_flows a JOIN service_flows b ON a.client_id = b.client_id AND a.dst = b.src) GROUP BY 1, 2, 3""")
+def t16_flows(x):
+    flows = cut_lineage(x.service_flows)
+    return T.dependency_blast_radius(flows, flows.select("client_id", F.col("src").alias("service")).distinct())
+
+
 @query("t17_service_map", """SELECT client_id, 'service:' || ns || ':svc-' || app AS service, 'pod:' || ns || ':' || name AS pod, 'node::' || node AS node,
     'replicaset:' || ns || ':' || rs AS controller FROM pods""")
 def t17(x):
@@ -207,6 +216,20 @@ def t20(x):
     return T.dependency_cycles(x.depends_on).select("length", F.array_join("path", ">").alias("path"))
 
 
+@query("t20_flow_cycle_counts", """SELECT client_id, v AS service, CAST(2 AS INTEGER) AS length, CAST(count(*) AS BIGINT) AS cycles FROM mutual GROUP BY 1, 2
+  UNION ALL SELECT f.client_id, f.dst, 3, CAST(sum(n) AS BIGINT) FROM service_flows f JOIN two ON two.client_id = f.client_id AND two.a = f.dst AND two.b = f.src GROUP BY 1, 2
+  UNION ALL SELECT * FROM c4 WHERE cycles > 0 UNION ALL SELECT * FROM c5 WHERE cycles > 0""",
+       {"mutual": "SELECT x.client_id, x.src AS v, x.dst AS w FROM service_flows x JOIN service_flows y ON x.client_id = y.client_id AND x.src = y.dst AND x.dst = y.src",
+        "two": "SELECT x.client_id, x.src AS a, y.dst AS b, count(*) AS n, list(x.dst) AS mids FROM service_flows x JOIN service_flows y ON x.client_id = y.client_id AND x.dst = y.src GROUP BY 1, 2, 3",
+        "c4": """SELECT p.client_id, p.a AS service, 4 AS length, CAST(sum(p.n * q.n - len(list_intersect(p.mids, q.mids))) AS BIGINT) AS cycles FROM two p JOIN two q
+          ON p.client_id = q.client_id AND p.a = q.b AND p.b = q.a WHERE p.a <> p.b GROUP BY 1, 2""",
+        "c5": """SELECT p.client_id, p.a AS service, 5 AS length, CAST(sum(len(list_filter(p.mids, lambda m: m <> f.dst)) * len(list_filter(q.mids, lambda m: m <> f.src))
+            - len(list_intersect(p.mids, q.mids))) AS BIGINT) AS cycles FROM two p JOIN service_flows f ON f.client_id = p.client_id AND f.src = p.b
+          JOIN two q ON q.client_id = p.client_id AND q.a = f.dst AND q.b = p.a WHERE p.a <> p.b AND f.dst <> p.a GROUP BY 1, 2"""})
+def t20_flows(x):
+    return T.dependency_cycle_counts(x.service_flows)
+
+
 @query("t21_node_failure_impact", "SELECT client_id, 'node::' || node AS node, count(DISTINCT ns || name) AS pods, count(DISTINCT ns || app) AS services FROM pods GROUP BY 1, 2")
 def t21(x):
     return T.node_failure_impact(x.edges)

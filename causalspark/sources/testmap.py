@@ -150,6 +150,14 @@ class Sample:
         return (flows.withColumn("n", F.row_number().over(w)).where("n <= 2")
                 .select(F.lit("tenant-0").alias("client_id"), "src", "dst"))
 
+    @property
+    def service_flows(self) -> DataFrame:
+        """Service dependencies: every part flow of each supplier, in the tenant of the ordering customer."""
+        orders = self.raw("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey AS u")
+        return (self.raw("lineitem").join(orders, "l_orderkey").selectExpr(
+            f"{TENANT} AS client_id", "'svc-' || CAST(l_suppkey AS STRING) AS src",
+            "'svc-' || CAST(l_partkey % 100 AS STRING) AS dst").where("src <> dst").distinct())
+
     @property
     def resource_changes(self) -> DataFrame:
         """Orders read as a keyed change log: the customer is the resource."""
