@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from causalspark.functions import rules as R
 from causalspark.functions.scalar import HOUR_US, MICROS, MINUTE_US, is_failure, round_to
-from causalspark.operators import reach
+from causalspark.operators import reach, topology
 from causalspark.operators.causality import link_causes, sequence_pairs
 from causalspark.operators.timejoin import latest, near_join, range_join, sliding, top_per
 from causalspark.session import cut_lineage
@@ -262,6 +262,31 @@ def rca_cards(episodes: DataFrame, links: DataFrame, edges: DataFrame, members:
                     "timeline_events", "incident_id", *advice))
 
 
+def rca_causes(episodes: DataFrame, links: DataFrame, min_conf: float = 0.5, max_hops: int | None = None) -> DataFrame:
+    """The causes of each failure as rows, those of at most ``max_hops`` hops if given.
+
+    Links without a topology path have hops 0 and other resources at their ends; a filter on hops leaves them out. Causes
+    on the resource itself have hops 0 too and stay.
+    """
+    ends = episodes.select("client_id", "eid", "rid")
+    fail = episodes.where(is_failure(F.col("severity"))).select("client_id", F.col("eid").alias("effect"), "rid")
+    found = (links.where(F.col("confidence") >= min_conf).join(fail, ["client_id", "effect"])
+             .join(ends.select("client_id", F.col("eid").alias("cause"), F.col("rid").alias("cause_rid")), ["client_id", "cause"]))
+    if max_hops is not None:
+        found = found.where((F.col("hops") <= max_hops) & ((F.col("hops") > 0) | (F.col("rid") == F.col("cause_rid"))))
+    return found.select("client_id", F.col("effect").alias("eid"), "cause", "cause_rid", "hops", "confidence")
+
+
+def rca_related(episodes: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
+    """The resources within ``max_hops`` of each resource that fails, as rows with the least distance.
+
+    A card meets them on (client_id, rid), so they are not repeated for each event of a resource.
+    """
+    roots = episodes.where(is_failure(F.col("severity"))).select("client_id", F.col("rid").alias("root")).distinct()
+    return topology.neighbourhood(roots, edges, max_hops).where("depth > 0").select(
+        "client_id", F.col("root").alias("rid"), F.col("node").alias("related"), F.col("depth").alias("hops"))
+
+
 def rca_by_resource(cards: DataFrame) -> DataFrame:
     return cards.groupBy("client_id", "rid").agg(
         F.count("*").alias("failures"), F.sum("causes").alias("causes"),

@@ -143,6 +143,20 @@ def g12(x):
     return P.rca_cards(x.episodes, x.links, x.edges, x.incident_members).drop("action_confidence", "priority")
 
 
+@query("g12_rca_related", """SELECT client_id, rid, related, CAST(min(h) AS INTEGER) AS hops FROM (
+    SELECT client_id, a AS rid, b AS related, 1 AS h FROM undirected
+    UNION ALL SELECT DISTINCT x.client_id, x.a, y.b, 2 FROM undirected x JOIN undirected y ON x.client_id = y.client_id AND x.b = y.a)
+  WHERE rid <> related AND (client_id, rid) IN (SELECT (client_id, rid) FROM episodes WHERE severity IN ('ERROR','FATAL')) GROUP BY 1, 2, 3""")
+def g12_related(x):
+    return P.rca_related(x.episodes, x.edges, 2)
+
+
+@query("g12_rca_causes", """SELECT client_id, effect AS eid, cause, c_rid AS cause_rid, hops, confidence FROM lk
+  WHERE e_sev IN ('ERROR','FATAL') AND confidence >= 0.5 AND hops <= 2 AND (hops > 0 OR c_rid = e_rid)""")
+def g12_causes(x):
+    return P.rca_causes(x.episodes, x.links, max_hops=2)
+
+
 @query("g13_rca_by_resource", "SELECT client_id, rid, count(*) AS failures, CAST(sum(causes) AS BIGINT) AS causes, max(top_confidence) AS best_confidence, count(DISTINCT nullif(incident_id, '')) AS incidents FROM cards GROUP BY 1, 2", {"cards": CARDS})
 def g13(x):
     return P.rca_by_resource(P.rca_cards(x.episodes, x.links, x.edges, x.incident_members))
