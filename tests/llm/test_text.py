@@ -134,3 +134,12 @@ def test_quality_edge_rows(spark):
     got = quality.quality_scores(docs(spark, rows), labels).collect()
     assert len(got) == len(rows) and all(r.predicted == int(r.doc_id < 100) for r in got if r.doc_id is not None and r.doc_id < 500)
     assert {str(r.doc_id) for r in got if not r.held_out} >= {"None"}
+
+
+def test_quality_trains_once_on_a_repeated_id(spark):
+    once = [(i, "word%d clean text goes on, as it does here. " % i * (1 + i % 5)) for i in range(40)] + [(100 + i, "W%d!! the text " % i * (1 + i % 7)) for i in range(40)]
+    labels = spark.createDataFrame([(d, int(d < 100), 0) for d, _ in once], "doc_id long, quality int, toxic int")
+    trains = {r.doc_id for r in quality.training_labels(labels).collect()}
+    copied = next(r for r in once if r[0] in trains)
+    scores = lambda rows: {r.doc_id: r.score for r in quality.quality_scores(docs(spark, rows), labels).collect()}
+    assert scores(once + [copied] * 60) == scores(once)
