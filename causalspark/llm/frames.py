@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from causalspark.session import shared_folder
+
 #: Bytes of input that one call of a batch function holds at a time (a batch of long texts is cut to that).
 SLICE_BYTES = 8 * 1024 * 1024
 
@@ -64,3 +67,10 @@ def one_of_equal(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     from pyspark.sql import Window as W
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder as it is partitioned, and read back; Catalyst then knows its size from the files."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from causalspark.llm.edited_counts import edited_counts
 from causalspark.llm.exact_dedup import exact_dedup
 from causalspark.llm.frames import table
 from causalspark.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
+from causalspark.llm.lexical_search import TOP, search
 from causalspark.llm.packing import packed_rows
 from causalspark.llm.pii import pii_spans
 from causalspark.llm.quality import quality_scores
@@ -59,6 +60,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Words as the operators take them: A-Z to lower case, runs of digits, letters and all beyond ASCII.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
@@ -117,13 +122,23 @@ _SQL = {
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM t JOIN g USING (text)""",
+    "op11_lexical_search": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+        i AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+        c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+        p AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+        t AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS wt FROM p, c GROUP BY term, n_docs),
+        m AS (SELECT r, doc_id, 10 + (90 * len(w) * n_docs) // n_terms AS m FROM d, c WHERE len(w) > 0),
+        s AS (SELECT item_id, r, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN t USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, r),
+        k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s JOIN m USING (r) WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= {TOP}""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_chat_format, op3_quality_classifier, op4_token_packing, op5_benchmark_decontamination, op6_sentencepiece,
-        op7_token_counts, op8_pii, op9_exact_dedup, op10_simhash_dedup)}
+        op7_token_counts, op8_pii, op9_exact_dedup, op10_simhash_dedup, op11_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
