@@ -15,6 +15,7 @@ from causalspark.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
 from causalspark.llm.lexical_search import TOP, search
 from causalspark.llm.packing import packed_rows
 from causalspark.llm.pii import pii_spans
+from causalspark.llm.prefix_trie import conversation_trie
 from causalspark.llm.quality import quality_scores
 from causalspark.llm.sentencepiece_fst import encode_decode
 from causalspark.llm.simhash_dedup import simhash_dedup
@@ -64,6 +65,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("source", "position")
+
+
 #: Words as the operators take them: A-Z to lower case, runs of digits, letters and all beyond ASCII.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
@@ -135,10 +140,33 @@ _SQL = {
 }
 
 
+#: CRC-32 of an ASCII string s, bit by bit.
+_CRC = """xor(list_reduce(range(0, 8 * len(s)), lambda a, i: xor((CASE WHEN i % 8 = 0 THEN xor(a, ascii(s[i // 8 + 1])) ELSE a END) >> 1,
+    ((CASE WHEN i % 8 = 0 THEN xor(a, ascii(s[i // 8 + 1])) ELSE a END) & 1) * 3988292384), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+_SQL["op12_prefix_trie"] = f"""
+    WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+        sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM conversations WHERE conv_id IS NOT NULL),
+    l AS (SELECT c, list(x ORDER BY p) AS xs, list(n ORDER BY p) AS ns FROM t GROUP BY c),
+    k AS (SELECT c, c - c % 5 AS b, {_CRC} % 9 AS h FROM (SELECT c, CAST(c AS VARCHAR) AS s FROM l)),
+    r AS (SELECT k.c, list_concat(coalesce(lb.xs[:h], []), l.xs[h + 1:]) AS xs, list_concat(coalesce(lb.ns[:h], []), l.ns[h + 1:]) AS ns
+        FROM k JOIN l ON l.c = k.c LEFT JOIN l AS lb ON lb.c = k.b),
+    m AS MATERIALIZED (SELECT c, d, len(xs) AS own, CASE WHEN d = 0 THEN '' ELSE sha256(array_to_string(xs[:d], ',')) END AS key,
+        CASE WHEN d > 1 THEN sha256(array_to_string(xs[:d - 1], ',')) WHEN d = 1 THEN '' END AS up, coalesce(ns[d], 0) AS n
+        FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM r)),
+    g AS MATERIALIZED (SELECT key, d, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS save,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (own = d), '')) AS ends_sha256 FROM m GROUP BY key, d),
+    f AS (SELECT up AS key, count(*) AS n_children FROM g WHERE d > 0 GROUP BY up),
+    below AS (SELECT m.key, CAST(sum(g.save) AS BIGINT) AS saved_tokens, CAST(count(*) FILTER (f.key IS NULL) AS BIGINT) AS n_leaves
+        FROM g LEFT JOIN f ON f.key = g.key JOIN m ON m.c = g.conv_id AND m.d <= g.d GROUP BY m.key)
+    SELECT g.conv_id, g.d AS depth, a.conv_id AS parent_conv_id, g.n_convs, coalesce(f.n_children, 0) AS n_children, n_leaves, saved_tokens, g.ends_sha256
+    FROM g JOIN below USING (key) LEFT JOIN f USING (key) LEFT JOIN g AS a ON a.key = g.up"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_chat_format, op3_quality_classifier, op4_token_packing, op5_benchmark_decontamination, op6_sentencepiece,
-        op7_token_counts, op8_pii, op9_exact_dedup, op10_simhash_dedup, op11_lexical_search)}
+        op7_token_counts, op8_pii, op9_exact_dedup, op10_simhash_dedup, op11_lexical_search, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
