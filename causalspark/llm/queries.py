@@ -13,6 +13,7 @@ from causalspark.llm.exact_dedup import exact_dedup
 from causalspark.llm.frames import table
 from causalspark.llm.licenses import LEAST_SHARE, TEMPLATES, scan_licenses
 from causalspark.llm.lexical_search import TOP, search
+from causalspark.llm.neural_lm import lm_scores
 from causalspark.llm.packing import packed_rows
 from causalspark.llm.pii import pii_spans
 from causalspark.llm.prefix_trie import conversation_trie
@@ -69,6 +70,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations")).drop("source", "position")
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 #: Words as the operators take them: A-Z to lower case, runs of digits, letters and all beyond ASCII.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
@@ -166,7 +171,8 @@ _SQL["op12_prefix_trie"] = f"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_chat_format, op3_quality_classifier, op4_token_packing, op5_benchmark_decontamination, op6_sentencepiece,
-        op7_token_counts, op8_pii, op9_exact_dedup, op10_simhash_dedup, op11_lexical_search, op12_prefix_trie)}
+        op7_token_counts, op8_pii, op9_exact_dedup, op10_simhash_dedup, op11_lexical_search, op12_prefix_trie,
+        op13_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
