@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from causalspark.functions import rules as R
 from causalspark.functions.scalar import MICROS, MINUTE_US, is_failure, round_to
 from causalspark.operators import reach
-from causalspark.operators.timejoin import (
-    near_join, nearest_earlier, range_join, slice_of, sliding)
+from causalspark.operators.latest import Scoring, best_earlier
+from causalspark.operators.timejoin import near_join, range_join, slice_of, sliding
+from causalspark.session import cut_lineage
 
 LINK_COLUMNS = ["client_id", "cause", "effect", "hops", "temporal_score", "distance_score",
                 "domain_score", "confidence"]
@@ -166,9 +168,9 @@ def build_causality(episodes: DataFrame, edges: DataFrame, rules=None, min_conf:
     rules = R.BATCH_DOMAIN_RULES if rules is None else rules
     c, e = _batch_sides(episodes)
     near = latest_candidates(c, e, edges, rules, top_m, min_conf, weights)
-    best = _best(score_links_batch(near, rules, weights), min_conf, top_m).select(
-        "client_id", "c_t", "e_t", *_C, *_E)
-    # The winners are known now; their least hop counts are looked up for them alone.
+    # The winners are known now; their least hop counts are looked up for them alone. They are read twice.
+    best = cut_lineage(_best(score_links_batch(near, rules, weights), min_conf, top_m).select(
+        "client_id", "c_t", "e_t", *_C, *_E))
     return top_causes(score_links_batch(with_hops(best, edges), rules, weights), min_conf, top_m)
 
 
@@ -178,112 +180,88 @@ def _hits(rules) -> Column:
                                      for i, (c, _, _) in enumerate(rules)]))
 
 
+def _effect_hits(rules) -> Column:
+    """Numbers of the rules whose effect part the reason matches."""
+    return F.array_compact(F.array(*[F.when(R.matches_any(F.col("e_reason"), e), F.lit(i))
+                                     for i, (_, e, _) in enumerate(rules)]))
+
+
+def _signature(hits: Column) -> Column:
+    return F.array_join(hits, ",")
+
+
 def cause_classes(causes: DataFrame, rules) -> list[tuple[int, tuple[int, ...]]]:
     """The (window, matched rules) that occur: at most as many as there are distinct reasons."""
     found = causes.select(adaptive_window_min(F.col("c_reason")).alias("w"), _hits(rules).alias("sig")).distinct().collect()
     return sorted((int(r["w"]), tuple(r["sig"])) for r in found)
 
 
+def _pass_scoring(causes: DataFrame, effects: DataFrame, rules, top_m: int, min_conf: float, weights
+                  ) -> tuple[Scoring, dict[str, int], dict[str, int]]:
+    """Scores by class and signature, and the numbers of both."""
+    classes = cause_classes(causes, rules)
+    name = lambda s: ",".join(map(str, s))
+    found = effects.select(_signature(_effect_hits(rules)).alias("s")).distinct().collect()  # bounded as the classes are
+    signatures = sorted(r["s"] for r in found)
+    domain = np.full((max(1, len(classes)), max(1, len(signatures))), float(R.BATCH_DOMAIN_DEFAULT))
+    for i, (_, hits) in enumerate(classes):
+        for j, signature in enumerate(signatures):
+            both = [r for r in hits if str(r) in signature.split(",")]
+            if both:
+                domain[i, j] = rules[both[0]][2]
+    # probe kinds: tenant, namespace and kind, name, meeting vertex at distance 0, 1, 2
+    distance, steps = np.zeros((6, 3)), np.zeros((6, 3), np.int64)
+    distance[:3, 0] = (0.20, 0.40, 0.95)
+    for e in range(3):
+        for c in range(3):
+            if 1 <= e + c <= 3:
+                distance[3 + e, c], steps[3 + e, c] = {1: 0.85, 2: 0.70, 3: 0.55}[e + c], e + c
+    scoring = Scoring(np.array([w * MINUTE_US for w, _ in classes] or [0], np.int64), domain, distance, steps, 300.0, weights, min_conf, top_m)
+    return scoring, {f"{w}|{name(s)}": i for i, (w, s) in enumerate(classes)}, {s: i for i, s in enumerate(signatures)}
+
+
+def probe_rows(causes: DataFrame, effects: DataFrame, edges: DataFrame, rules, classes: dict[str, int], signatures: dict[str, int]) -> DataFrame:
+    """Causes and probes of every group, as rows of the sorted pass.
+
+    A pair meets in the tenant's group, in that of its namespace and kind, of its name, and at vertices between its
+    resources. A group is cut into slices of four windows; a cause also goes to the next slice if that begins within
+    its window.
+    """
+    window = R.ADAPTIVE_WINDOW_MAX * MINUTE_US
+    number = lambda table, key: R.lookup(key, table, F.lit(0)) if table else F.lit(0)
+    own = F.concat(adaptive_window_min(F.col("c_reason")).cast("string"), F.lit("|"), _signature(_hits(rules)))
+    plain = lambda df, p, what: df.select("client_id", *[F.col(f"{p}_{x}").alias(x) for x in ("eid", "rid", "t", "s_kind", "s_ns", "s_name")], what.alias("what"))
+    both = plain(causes, "c", -1 - number(classes, own)).unionByName(plain(effects, "e", number(signatures, _signature(_effect_hits(rules)))))
+    group = lambda g, kind: F.struct(g.alias("g"), F.lit(kind).alias("kind"))
+    shared = both.withColumn("s", F.explode(F.array(
+        group(F.lit("*"), 0), group(F.concat(F.lit("k@"), "s_ns", F.lit("|"), "s_kind"), 1), group(F.concat(F.lit("n@"), "s_name"), 2))))
+    shared = shared.select("client_id", "eid", "t", "what", "s.g", F.when(F.col("what") < 0, 0).otherwise(F.col("s.kind")).alias("kind"))
+    met = both.select("client_id", "eid", "rid", "t", "what").join(reach.balls(edges, 3), ["client_id", "rid"]).select(
+        "client_id", "eid", "t", "what", F.concat(F.lit("v@"), "x").alias("g"), (F.col("d") + F.when(F.col("what") < 0, 0).otherwise(3)).alias("kind"))
+    at = slice_of(F.col("t"), 4 * window)
+    rows = shared.unionByName(met).where("g IS NOT NULL").withColumn("slice", F.explode(
+        F.when((F.col("what") < 0) & (slice_of(F.col("t") + window, 4 * window) > at), F.array(at, at + 1)).otherwise(F.array(at))))
+    return rows.select(F.xxhash64("client_id", "g", "slice").alias("k1"), F.xxhash64("slice", "g", "client_id").alias("k2"),
+                       "t", F.col("what").cast("int").alias("what"), F.col("kind").cast("int").alias("kind"), "client_id", "eid")
+
+
 def latest_candidates(causes: DataFrame, effects: DataFrame, edges: DataFrame, rules,
                       top_m: int = 5, min_conf: float = 0.3, weights=(0.4, 0.3, 0.3)) -> DataFrame:
     """A superset of the ``top_m`` best causes of each effect, found without forming all pairs.
 
-    Inside a class of causes that share window, matched rules and topological relation, the
-    score of a pair only falls with its age, so the ``top_m`` latest causes of every class are
-    enough. (Pairs under one second apart score differently and are probed on their own.) The
-    true top causes always come out with their best relation.
-
-    Causes without a rule below the default also share one class for each window: no other
-    member scores less there than one without a rule. Causes that match a rule below the
-    default stay out of it and are asked for by each effect in their own class.
-
-    Window classes that cannot reach ``min_conf`` are not probed, and windows that are longer
-    than the age at which a class falls below ``min_conf`` share one class.
+    Causes that share window and matched rules are a class, in which the score of a pair only falls with its age
+    (see :mod:`causalspark.operators.latest`). A pair is scored with the relation of the group it meets in, which is at
+    most its own; so what is not among the best of its best group is not among the best at all.
     """
-    wt, wd, wk = weights
-    window = adaptive_window_min(F.col("c_reason"))
-    occurring = cause_classes(causes, rules)
-    low = {s for _, s in occurring if any(rules[i][2] < R.BATCH_DOMAIN_DEFAULT for i in s)}
-    windows = sorted({w for w, s in occurring if s not in low})
-    short = [w for w in windows if w * 60 < _FLAT_AGE_S]
-
-    sig = F.array_join(_hits(rules), ",")
-    name = lambda s: ",".join(map(str, s))
-    merged = F.when(window * 60 < _FLAT_AGE_S, F.concat(F.lit("s"), window.cast("string"))).otherwise("s")
-    text = window.cast("string")
-    own = F.when(sig != "", F.concat(F.lit("w"), text, F.lit("r"), sig))
-    shares = ~sig.isin([name(s) for s in sorted(low)]) if low else F.lit(True)
-    cause_class = F.array_compact(F.array(
-        F.when(shares, merged), F.when(shares, F.concat(F.lit("w"), text)), own))
-
-    # Rule classes depend on the effect only, and are listed once per effect.
-    rule_cls = F.array_compact(F.array(*[
-        F.when(F.lit(True) if s in low else _any_effect(rules, s), F.lit(f"w{w}r{name(s)}"))
-        for w, s in occurring if s])) if any(s for _, s in occurring) else F.array().cast("array<string>")
-
-    def window_cls(temporal: float, flat: float) -> Column:
-        """Window classes worth asking, by the distance score of the group."""
-        def listed(d):
-            reachable = lambda t: wt * t + wd * d + wk * R.BATCH_DOMAIN_DEFAULT > min_conf
-            names = ([f"w{w}" for w in windows] if reachable(flat) else
-                     [f"s{w}" for w in short] + ["s"] * (len(windows) > len(short)) if reachable(temporal) else [])
-            return F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-        out = listed(0.20)
-        for d in (0.40, 0.55, 0.70, 0.85, 0.95):
-            out = F.when(F.col("dist") == d, listed(d)).otherwise(out)
-        return out
-
-    def asked() -> Column:
-        mark = lambda cls, shift: F.transform(cls, lambda x: F.struct(x.alias("cls"), F.lit(shift).alias("shift")))
-        return F.concat(mark(F.concat(window_cls(_YOUNGEST, 0.1), F.col("rule_cls")), MICROS - 1),
-                        mark(F.concat(window_cls(0.0, 0.0), F.col("rule_cls")), 0))
-
-    ball = reach.balls(edges, 3)
-    at = lambda d, x: F.concat(F.lit("d"), d.cast("string"), F.lit("@"), x)
-    met_c = ball.select("client_id", F.col("rid").alias("c_rid"), at(F.col("d"), F.col("x")).alias("g"))
-    # A probe at distance d looks for causes at every d1 with 1 <= d + d1 <= 3.
-    met_e = ball.select("client_id", F.col("rid").alias("e_rid"), "x", "d", F.explode(F.sequence(
-        F.greatest(F.lit(0), 1 - F.col("d")), F.least(F.lit(2), 3 - F.col("d")))).alias("d1"))
-    steps = F.col("d") + F.col("d1")
-    met_e = met_e.select("client_id", "e_rid", at(F.col("d1"), F.col("x")).alias("g"),
-                         F.when(steps == 1, 0.85).when(steps == 2, 0.70).otherwise(0.55).alias("dist"))
-    shared = lambda p: F.array(
-        F.struct(F.lit("*").alias("g"), F.lit(0.20).alias("dist")),
-        F.struct(F.concat(F.lit("k@"), f"{p}_s_ns", F.lit("|"), f"{p}_s_kind").alias("g"), F.lit(0.40).alias("dist")),
-        F.struct(F.concat(F.lit("n@"), f"{p}_s_name").alias("g"), F.lit(0.95).alias("dist")))
-    # Only ids travel through the sorts; the other columns are joined to the few results.
-    tagged = causes.withColumn("cls", cause_class)
-    c = tagged.select("client_id", "c_eid", "c_t", "cls", F.explode(shared("c")).alias("s")).select(
-        "client_id", "c_eid", "c_t", "cls", "s.g").unionByName(
-        tagged.join(met_c, ["client_id", "c_rid"]).select("client_id", "c_eid", "c_t", "cls", "g"))
-    c = c.withColumn("cls", F.explode("cls"))
-    ruled = effects.withColumn("rule_cls", rule_cls)
-    e = ruled.select("client_id", "e_eid", "e_t", "rule_cls", F.explode(shared("e")).alias("s")).select(
-        "client_id", "e_eid", "e_t", "rule_cls", "s.*").unionByName(
-        ruled.join(met_e, ["client_id", "e_rid"]).select("client_id", "e_eid", "e_t", "rule_cls", "g", "dist"))
-    e = e.select("client_id", "e_eid", "e_t", "g", "dist", F.explode(asked()).alias("q")).select(
-        "client_id", "e_eid", "g", "dist", "q.cls", (F.col("e_t") - F.col("q.shift")).alias("p_t"))
-    found = nearest_earlier(e, c, ["client_id", "g", "cls"], R.ADAPTIVE_WINDOW_MAX * MINUTE_US, top_m, ["c_eid"], "c_eid")
-    hops = F.min(F.when(F.col("dist") == 0.85, 1).when(F.col("dist") == 0.70, 2).when(F.col("dist") == 0.55, 3))
-    pairs = found.groupBy("client_id", "c_eid", "e_eid").agg(hops.alias("hops"))
-    gap = F.col("e_t") - F.col("c_t")
-    live = (gap > 0) & (gap < adaptive_window_min(F.col("c_reason")) * F.lit(MINUTE_US))
-    return (pairs.join(causes, ["client_id", "c_eid"]).join(effects, ["client_id", "e_eid"]).where(live)
+    scoring, classes, signatures = _pass_scoring(causes, effects, rules, top_m, min_conf, weights)
+    rows = probe_rows(causes, effects, edges, rules, classes, signatures)
+    ordered = rows.repartition("k1").sortWithinPartitions("k1", "k2", "t", F.desc("eid"))
+    found = ordered.mapInArrow(lambda batches: best_earlier(batches, scoring), "client_id string, c_eid string, e_eid string, hops int")
+    pairs = found.groupBy("client_id", "c_eid", "e_eid").agg(F.min(F.when(F.col("hops") > 0, F.col("hops"))).alias("hops"))
+    return (pairs.join(causes, ["client_id", "c_eid"]).join(effects, ["client_id", "e_eid"])
             .withColumn("hops", F.when(F.col("c_rid") != F.col("e_rid"), F.col("hops"))))
 
 
-_FLAT_AGE_S = 300  # from this age on the temporal score no longer falls
-_YOUNGEST = 1.0 - (1 / 300.0) * 0.9  # temporal score at one second
-
-
-def _any_effect(rules, signature) -> Column:
-    tests = [R.matches_any(F.col("e_reason"), rules[i][1]) for i in signature]
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
-
-
 def rescore_links(links: DataFrame, episodes: DataFrame, edges: DataFrame, rules=None,
                   weights=(0.4, 0.3, 0.3)) -> DataFrame:
     """Score links that have no confidence from their events and the topology; others stay."""

@@ -101,31 +101,6 @@ def islands(df: DataFrame, keys: list[str], gap_us: int, aggs: dict[str, Column]
                              .over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-def nearest_earlier(probes: DataFrame, causes: DataFrame, keys: list[str], width_us: int,
-                    n: int, payload: list[str], tie: str) -> DataFrame:
-    """For every probe the ``n`` latest causes with the same keys and ``c_t < p_t``.
-
-    Only causes less than ``width_us`` old are guaranteed to be seen. The work is linear in
-    the number of rows: a running list of the last ``n`` causes is carried to the probes, so
-    no pairs beyond the ``n`` results are ever formed.
-    """
-    own = slice_of(F.col("c_t"), width_us)
-    c = causes.withColumn("_slice", F.explode(F.array(own, own + 1)))
-    run = W.partitionBy(*keys, "_slice").orderBy("c_t", F.desc(tie)).rowsBetween(1 - n, 0)
-    c = c.select(*keys, "_slice", F.col("c_t").alias("_t"), F.lit(1).alias("_kind"),
-                 F.col(tie).alias("_tie"),
-                 F.collect_list(F.struct("c_t", *payload)).over(run).alias("_latest"))
-    p = (probes.withColumn("_slice", slice_of(F.col("p_t"), width_us))
-         .withColumn("_t", F.col("p_t")).withColumn("_kind", F.lit(0))
-         .withColumn("_tie", F.lit(None).cast("string")))
-    both = p.unionByName(c, allowMissingColumns=True)
-    carry = (W.partitionBy(*keys, "_slice").orderBy("_t", "_kind", F.desc("_tie"))
-             .rowsBetween(W.unboundedPreceding, 0))
-    out = (both.withColumn("_latest", F.last("_latest", ignorenulls=True).over(carry))
-           .where("_kind = 0").withColumn("_one", F.explode("_latest")))
-    return out.select(*probes.columns, "_one.*")
-
-
 def numbered(df: DataFrame, keys: list[str], order: list, width_us: int,
              name: str = "position") -> DataFrame:
     """Running number of the rows of a key by time, counted slice by slice."""
