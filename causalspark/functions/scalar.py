@@ -15,6 +15,12 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def joined(separator: str, *parts) -> Column:
+    """Parts as one key. A null is an empty part, so that no part moves to another's place."""
+    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.concat_ws(separator, *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+
+
 def round_to(c: Column, digits: int = 3) -> Column:
     """Half-up rounding spelled out, so that every engine gives the same bits."""
     scale = float(10 ** digits)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F, types as T
 
 from causalspark.functions import classify as K, rules as R
-from causalspark.functions.scalar import MICROS, MINUTE_US, round_to
+from causalspark.functions.scalar import MICROS, MINUTE_US, joined, round_to
 from causalspark.session import cut_lineage
 
 LOOKBACK = 5
@@ -24,7 +24,7 @@ LOOKBACK = 5
 
 def tumbling_faults(events: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     slot = F.floor(F.col("t") / (minutes * MINUTE_US)).cast("string")
-    return events.withColumn("fault_id", F.concat_ws("|", *keys, slot))
+    return events.withColumn("fault_id", joined("|", *keys, slot))
 
 
 def fault_events(episodes: DataFrame, keys: list[str], minutes: int) -> DataFrame:
@@ -280,7 +280,7 @@ def pattern_store(abstract: DataFrame, min_frequency: int = 1) -> DataFrame:
     """Patterns with their frequency: faults with equal root type, sequence and edges."""
     same = ["root_type", "sequence", "type_sequence", "types", "services", "edges"]
     g = abstract.groupBy(*same).agg(F.count("*").alias("frequency"), F.min("fault_id").alias("first_fault"))
-    key = F.md5(F.concat_ws("|", "root_type", F.array_join("sequence", ">"), F.to_json("edges")))
+    key = F.md5(joined("|", "root_type", F.array_join("sequence", ">"), F.to_json("edges")))
     return g.where(F.col("frequency") >= min_frequency).withColumn("pattern_id", key)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from causalspark.functions.scalar import DAY_US, HOUR_US, MINUTE_US, is_failure, round_to
+from causalspark.functions.scalar import DAY_US, HOUR_US, MINUTE_US, blank_to_null, is_failure, joined, round_to
 from causalspark.operators import reach
 from causalspark.operators.timejoin import (
     islands, latest, near_join, numbered, slice_of, sliding, top_per)
@@ -61,7 +61,7 @@ def _sessions(episodes: DataFrame, gap_min: int) -> DataFrame:
 
 def incident_id(client: Column, resource: Column, start: Column) -> Column:
     return F.concat(F.lit("inc-"), F.substring(F.md5(
-        F.concat_ws("|", client, resource, start.cast("string"))), 1, 12))
+        joined("|", client, resource, start)), 1, 12))
 
 
 def sessionize_incidents(episodes: DataFrame, gap_min: int = 15, min_events: int = 3,
@@ -259,8 +259,9 @@ def anomaly_report(episodes: DataFrame, window_min: int = 5) -> DataFrame:
 
 
 def alert_fingerprint() -> Column:
-    return F.concat_ws("::", "reason", "severity", "s_kind", "s_ns",
-                       F.substring("message", 1, 50))
+    """Lower case; a missing reason or severity is ``unknown``, other missing parts are empty."""
+    known = lambda c: F.coalesce(blank_to_null(F.col(c)), F.lit("unknown"))
+    return F.lower(joined("::", known("reason"), known("severity"), "s_kind", "s_ns", F.substring("message", 1, 50)))
 
 
 def group_alerts(alerts: DataFrame, gap_min: int = 5, max_size: int = 100) -> DataFrame:
@@ -283,9 +284,7 @@ def group_alerts(alerts: DataFrame, gap_min: int = 5, max_size: int = 100) -> Da
     placed = (fresh.withColumn("_slice", slice_of(F.col("t"), gap))
               .withColumn("_row", F.row_number().over(inside)).join(slices, keys + ["_slice"])
               .withColumn("_pos", F.col("_row") + F.col("_offset") - 1))
-    group = F.substring(F.md5(F.concat_ws(
-        "|", "client_id", "fingerprint", F.col("island").cast("string"),
-        F.floor(F.col("_pos") / max_size).cast("string"))), 1, 16)
+    group = F.substring(F.md5(joined("|", "client_id", "fingerprint", "island", F.floor(F.col("_pos") / max_size))), 1, 16)
     placed = placed.withColumn("group_id", group).withColumn(
         "action", F.when(F.col("_pos") % max_size == 0, "new").otherwise("grouped"))
     known = placed.select(*keys, "eid", "group_id")
@@ -355,7 +354,7 @@ def assign_faults(events: DataFrame, keys: list[str], gap_min: int = 30) -> Data
     gap = gap_min * MINUTE_US
     slices = islands(events, keys, gap, {"n": F.count("*")}).select(*keys, "_slice", "island")
     return (events.withColumn("_slice", slice_of(F.col("t"), gap)).join(slices, keys + ["_slice"])
-            .withColumn("fault_id", F.concat_ws("|", *keys, F.col("island").cast("string")))
+            .withColumn("fault_id", joined("|", *keys, "island"))
             .drop("_slice", "island"))
 
 

@@ -138,7 +138,8 @@ def w11(x):
 
 ALERT_ROWS = """SELECT * FROM episodes WHERE etype = 'prom.alert'
     UNION ALL SELECT * FROM episodes WHERE etype = 'prom.alert' AND severity IN ('ERROR','FATAL')"""
-FINGERPRINT = "reason || '::' || severity || '::' || s_kind || '::' || s_ns || '::' || substr(message, 1, 50)"
+FINGERPRINT = """array_to_string([CASE WHEN reason IS NULL OR reason = '' THEN 'unknown' ELSE lower(reason) END, CASE WHEN severity IS NULL OR severity = '' THEN 'unknown' ELSE lower(severity) END,
+    lower(ifnull(s_kind, '')), lower(ifnull(s_ns, '')), lower(left(ifnull(message, ''), 50))], '::')"""
 GROUPED = {
     "alert_rows": ALERT_ROWS,
     "a1": f"SELECT *, {FINGERPRINT} AS fingerprint, row_number() OVER (PARTITION BY client_id, {FINGERPRINT}, eid ORDER BY t) AS copy FROM alert_rows",

@@ -69,10 +69,6 @@ TABLES = {
         UNION ALL SELECT client_id, 'service:' || ns || ':svc-' || app, 'pod:' || ns || ':' || name, 'SELECTS' FROM pods
         UNION ALL SELECT client_id, 'replicaset:' || ns || ':' || rs, 'pod:' || ns || ':' || name, 'CONTROLS' FROM pods
         UNION ALL SELECT DISTINCT client_id, 'deployment:' || ns || ':' || deploy, 'replicaset:' || ns || ':' || rs, 'CONTROLS' FROM pods)""",
-    "depends_on": """SELECT 'tenant-0' AS client_id, src, dst FROM (
-        SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY q DESC, dst) AS n FROM (
-          SELECT 'svc-' || CAST(l_suppkey AS STRING) AS src, 'svc-' || CAST(l_partkey % 100 AS STRING) AS dst,
-                 sum(l_quantity) AS q FROM lineitem GROUP BY ALL) WHERE src <> dst) WHERE n <= 2""",
     "service_flows": f"""SELECT DISTINCT {m.TENANT} AS client_id, src, dst FROM (
         SELECT o_custkey AS u, 'svc-' || CAST(l_suppkey AS STRING) AS src, 'svc-' || CAST(l_partkey % 100 AS STRING) AS dst
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE src <> dst""",

@@ -167,14 +167,6 @@ def t15(x):
     return T.resource_blast_radius(roots, x.edges, x.episodes, 3, hours=240)
 
 
-@query("t16_dependency_blast_radius", """SELECT client_id, root, node, CAST(min(d) AS INTEGER) AS depth FROM (
-    SELECT DISTINCT client_id, src AS root, src AS node, 0 AS d FROM depends_on UNION ALL SELECT client_id, src, dst, 1 FROM depends_on
-    UNION ALL SELECT a.client_id, a.src, b.dst, 2 FROM depends_on a JOIN depends_on b ON a.client_id = b.client_id AND a.dst = b.src) GROUP BY 1, 2, 3""")
-def t16(x):
-    services = x.depends_on.select("client_id", F.col("src").alias("service")).distinct()
-    return T.dependency_blast_radius(x.depends_on, services)
-
-
 @query("t16_flow_blast_radius", """SELECT client_id, root, node, CAST(min(d) AS INTEGER) AS depth FROM (
     SELECT DISTINCT client_id, src AS root, src AS node, 0 AS d FROM service_flows UNION ALL SELECT client_id, src, dst, 1 FROM service_flows
     UNION ALL SELECT a.client_id, a.src, b.dst, 2 FROM service_flows a JOIN service_flows b ON a.client_id = b.client_id AND a.dst = b.src) GROUP BY 1, 2, 3""")
@@ -205,17 +197,6 @@ def t19(x):
     return T.orphans(x.resources, x.edges, x.episodes)
 
 
-@query("t20_dependency_cycles", """SELECT length, array_to_string(path, '>') AS path FROM walks WHERE closed""",
-       {"w2": "SELECT a.src AS root, b.src AS tip, [a.src, b.src] AS path, a.dst AS x FROM depends_on a JOIN depends_on b ON a.dst = b.src WHERE b.src > a.src",
-        "w3": "SELECT w.root, d.dst AS tip, list_append(w.path, d.dst) AS path FROM (SELECT DISTINCT root, tip, path FROM w2) w JOIN depends_on d ON d.src = w.tip WHERE d.dst > w.root AND NOT list_contains(w.path, d.dst)",
-        "w4": "SELECT w.root, d.dst AS tip, list_append(w.path, d.dst) AS path FROM w3 w JOIN depends_on d ON d.src = w.tip WHERE d.dst > w.root AND NOT list_contains(w.path, d.dst)",
-        "w5": "SELECT w.root, d.dst AS tip, list_append(w.path, d.dst) AS path FROM w4 w JOIN depends_on d ON d.src = w.tip WHERE d.dst > w.root AND NOT list_contains(w.path, d.dst)",
-        "walks": """SELECT CAST(len(path) AS INTEGER) AS length, path, EXISTS (SELECT 1 FROM depends_on d WHERE d.src = w.tip AND d.dst = w.root) AS closed FROM (
-           SELECT DISTINCT root, tip, path FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4 UNION ALL SELECT * FROM w5) w"""})
-def t20(x):
-    return T.dependency_cycles(x.depends_on).select("length", F.array_join("path", ">").alias("path"))
-
-
 @query("t20_flow_cycle_counts", """SELECT client_id, v AS service, CAST(2 AS INTEGER) AS length, CAST(count(*) AS BIGINT) AS cycles FROM mutual GROUP BY 1, 2
   UNION ALL SELECT f.client_id, f.dst, 3, CAST(sum(n) AS BIGINT) FROM service_flows f JOIN two ON two.client_id = f.client_id AND two.a = f.dst AND two.b = f.src GROUP BY 1, 2
   UNION ALL SELECT * FROM c4 WHERE cycles > 0 UNION ALL SELECT * FROM c5 WHERE cycles > 0""",

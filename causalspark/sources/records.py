@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causalspark import schemas
 from causalspark.functions import classify as K
-from causalspark.functions.scalar import blank_to_null
+from causalspark.functions.scalar import blank_to_null, joined
 from causalspark.sources.topics import tenant_column
 
 
@@ -59,7 +59,7 @@ def normalize_logs(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("line", text).withColumn("low", F.lower("line"))
     rows = rows.withColumn("severity", K.log_severity(F.col("line"), F.col("level"), F.col("severity"), F.col("low")))
     rows = rows.withColumn("reason", K.log_reason(F.col("severity"), F.col("low")))
-    eid = F.sha1(F.concat_ws("|", "key", F.col("t").cast("string"), "reason", F.substring("line", 1, 64)))
+    eid = F.sha1(joined("|", "key", "t", "reason", F.substring("line", 1, 64)))
     return rows.select(
         eid.alias("eid"), "client_id", "t", F.lit("k8s.log").alias("etype"),
         "severity", "reason", F.substring("line", 1, 1000).alias("message"),

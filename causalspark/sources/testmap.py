@@ -138,18 +138,6 @@ class Sample:
                                  "'replicaset:' || ns || ':' || rs").distinct()))
         return out.withColumn("id", F.expr("'edge:' || src || '->' || dst"))
 
-    @property
-    def depends_on(self) -> DataFrame:
-        """Service dependencies: the two heaviest part flows of each supplier."""
-        from pyspark.sql import Window as W
-        flows = self.raw("lineitem").groupBy(
-            F.expr("'svc-' || CAST(l_suppkey AS STRING)").alias("src"),
-            F.expr("'svc-' || CAST(l_partkey % 100 AS STRING)").alias("dst")
-        ).agg(F.sum("l_quantity").alias("q")).where("src <> dst")
-        w = W.partitionBy("src").orderBy(F.desc("q"), "dst")
-        return (flows.withColumn("n", F.row_number().over(w)).where("n <= 2")
-                .select(F.lit("tenant-0").alias("client_id"), "src", "dst"))
-
     @property
     def service_flows(self) -> DataFrame:
         """Service dependencies: every part flow of each supplier, in the tenant of the ordering customer."""

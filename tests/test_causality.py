@@ -214,3 +214,12 @@ def test_cause_classes_are_those_that_occur(make):
     ep = make.episodes([(f"e{i}", i, r, "p") for i, r in enumerate(["OOMKilled", "OOMKilled", "Pulled", "Strange"])])
     classes = L.cause_classes(L.side(ep, "c"), R.BATCH_DOMAIN_RULES)
     assert len(classes) == len(set(classes)) <= 3 and any(not s for _, s in classes) and any(s for _, s in classes)
+
+
+def test_alert_keys_keep_their_parts_apart(make):
+    """A missing part leaves its place; case does not matter; a missing reason or severity is named."""
+    ep = make.episodes([("a", 0, "X", "p", None, "prom.alert", "Disk FULL"), ("b", 1, "x", "p", None, "prom.alert", "disk full"),
+                        ("c", 2, None, "p", "X", "prom.alert", "disk full"), ("d", 3, "", "p", "", "prom.alert", None), ("e", 4, "X", "p", "", "prom.alert", "y" * 60)])
+    got = {r.eid: r.fingerprint for r in I.group_alerts(ep).collect()}
+    assert got == {"a": "x::unknown::pod::ns::disk full", "b": "x::unknown::pod::ns::disk full", "c": "unknown::x::pod::ns::disk full",
+                   "d": "unknown::unknown::pod::ns::", "e": "x::unknown::pod::ns::" + "y" * 50}

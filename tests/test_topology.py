@@ -44,3 +44,12 @@ def test_flow_queries_read_every_flow(spark):
     n = duck.execute("""SELECT count(DISTINCT (o_custkey % 3, l_suppkey, l_partkey % 100)) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
         WHERE l_suppkey <> l_partkey % 100""").fetchone()[0]
     assert entry.queries()["t16_flow_blast_radius"](spark, SF).where("depth = 1").count() == n
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycle_counts_are_those_of_the_list(make, seed):
+    rnd = random.Random(seed)
+    flows = make.frame([(c, f"s{i}", f"s{j}") for c in "ab" for i in range(7) for j in range(7) if rnd.random() < 0.35], "client_id string, src string, dst string")
+    listed = Counter((r.client_id, s, len(r.path)) for r in T.dependency_cycles(flows).collect() for s in r.path)
+    counted = {(r.client_id, r.service, r.length): r.cycles for r in T.dependency_cycle_counts(flows).collect() if r.cycles}
+    assert counted and counted == dict(listed)
