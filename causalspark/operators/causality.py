@@ -159,14 +159,15 @@ def top_causes(scored: DataFrame, min_conf: float = 0.3, top_m: int = 5) -> Data
 
 
 def build_causality(episodes: DataFrame, edges: DataFrame, rules=None, min_conf: float = 0.3,
-                    top_m: int = 5, weights=(0.4, 0.3, 0.3)) -> DataFrame:
-    """Best causes of every event, all tenants in one job, without forming the pairs.
+                    top_m: int = 5, weights=(0.4, 0.3, 0.3), effects: DataFrame | None = None) -> DataFrame:
+    """Best causes of every event (of ``effects``, if given), all tenants in one job, without forming the pairs.
 
     The work is linear in the events, whatever their density and whatever the rules
     (:func:`latest_candidates`).
     """
     rules = R.BATCH_DOMAIN_RULES if rules is None else rules
     c, e = _batch_sides(episodes)
+    e = e if effects is None else _batch_sides(effects)[1]
     near = latest_candidates(c, e, edges, rules, top_m, min_conf, weights)
     # The winners are known now; their least hop counts are looked up for them alone. They are read twice.
     best = cut_lineage(_best(score_links_batch(near, rules, weights), min_conf, top_m).select(

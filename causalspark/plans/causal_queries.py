@@ -1,12 +1,16 @@
 """Named queries for causal linking (L rows of the inventory)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from causalspark.functions import rules
 from causalspark.functions.scalar import DAY_US, MINUTE_US, round_to
 from causalspark.operators import causality as L
+from causalspark.operators import linktable
 from causalspark.plans.registry import query
 from causalspark.plans.sqltables import TEMPORAL, domain_case, r3
+from causalspark.session import shared_folder
 
 STREAM_PAIRS = """SELECT c.client_id, c.eid AS cause, e.eid AS effect, CAST(n.hops AS INTEGER) AS hops, e.t - c.t AS gap_us,
     c.reason AS c_reason, e.reason AS e_reason, c.message AS c_message, e.message AS e_message, c.severity AS c_sev, e.severity AS e_sev
@@ -88,6 +92,37 @@ def l7(x):
     return L.rebuild_counts(x.links.where("confidence >= 0.6"), x.links)
 
 
+NEWEST = "SELECT client_id, eid, t, rid FROM episodes, clock WHERE t > now - 86400000000"
+FIRST_NODE = "SELECT u.client_id, u.src, u.dst FROM edges u JOIN (SELECT client_id, min(dst) AS dst FROM edges WHERE type = 'RUNS_ON' GROUP BY 1) USING (client_id, dst) WHERE type = 'RUNS_ON'"
+
+
+def _link_table_after_changes(x):
+    """The link table built without the newest day's events and without the pods of each tenant's first node, then repaired."""
+    path = f"{shared_folder(x.spark)}/links/{uuid.uuid4().hex}"
+    newest = x.episodes.where(F.col("t") > x.episodes.select(F.max("t") - DAY_US).scalar())
+    first = x.edges.where("type = 'RUNS_ON'").groupBy("client_id").agg(F.min("dst").alias("dst"), F.first("type").alias("type"))
+    before = x.edges.join(first, ["client_id", "dst", "type"], "left_anti")
+    linktable.rebuild(path, x.episodes.join(newest, ["client_id", "eid"], "left_anti"), before)
+    return path, linktable.apply_changes(path, x.episodes, x.edges, newest, before)
+
+
+@query("l7_incremental_rebuild", "SELECT client_id, cause, effect, hops, temporal_score, distance_score, domain_score, confidence, time_gap_seconds, rank FROM links")
+def l7_incremental(x):
+    """The same links as a full build."""
+    path, _ = _link_table_after_changes(x)
+    return linktable.read(x.spark, path).drop("day")
+
+
+@query("l7_rewritten_slices", """SELECT DISTINCT client_id, CAST(day AS BIGINT) AS day FROM (
+    SELECT client_id, t // 86400000000 AS day FROM newest UNION ALL SELECT client_id, (t + 900000000) // 86400000000 FROM newest
+    UNION ALL SELECT e.client_id, e.t // 86400000000 FROM episodes e JOIN reached r ON r.client_id = e.client_id AND r.rid = e.rid)""",
+       {"newest": NEWEST, "first_node": FIRST_NODE, "ends": "SELECT client_id, src AS rid FROM first_node UNION SELECT client_id, dst FROM first_node",
+        "reached": "SELECT client_id, rid FROM ends UNION SELECT n.client_id, n.b FROM near n JOIN ends s ON s.client_id = n.client_id AND s.rid = n.a WHERE n.hops <= 2"})
+def l7_slices(x):
+    """The slices that the repair has written."""
+    return _link_table_after_changes(x)[1]
+
+
 @query("l8_correlated_failures", """SELECT c.client_id, c.rid, c.eid AS first_event, e.eid AS second_event, e.t - c.t AS gap_us,
     l.cause IS NOT NULL AS linked
   FROM episodes c JOIN episodes e ON c.client_id = e.client_id AND c.rid = e.rid AND e.t > c.t AND e.t <= c.t + 900000000
