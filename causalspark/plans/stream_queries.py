@@ -6,8 +6,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from causalspark.functions.scalar import round_to
-from causalspark.operators import health, topology
+from causalspark.functions.scalar import DAY_US, MINUTE_US, round_to
+from causalspark.operators import health, linktable, topology
 from causalspark.plans.causal_queries import STREAM_PAIRS, STREAM_SCORED
 from causalspark.plans.incident_queries import FINGERPRINT
 from causalspark.plans.ingest_queries import _raw_events
@@ -17,6 +17,7 @@ from causalspark.plans.sqltables import r3
 from causalspark.session import shared_folder
 from causalspark.sources import records, topics
 from causalspark.streaming import jobs
+from causalspark.streaming.store import KeyedStore
 
 
 class Run:
@@ -49,6 +50,32 @@ class Run:
             self.spark.conf.set(name, before)
 
 
+#: Micro-batches of the streams that come in several.
+BATCHES = 12
+
+
+def arriving(x, jitter_us=10 * MINUTE_US, straggler_us=0):
+    """The event table as a stream of BATCHES files, read one per trigger, in the order of arrival.
+
+    Arrival is event time plus up to ``jitter_us`` by the event's hash; alerts arrive ``straggler_us`` later still.
+    """
+    folder = "".join(c if c.isalnum() else "_" for c in x.directory)
+    path = f"{shared_folder(x.spark)}/arriving/{folder}-{jitter_us}-{straggler_us}"
+    key = (x.spark.sparkContext.applicationId, path)
+    if key not in _WRITTEN:
+        came = F.col("t") + F.pmod(F.xxhash64("eid"), F.lit(jitter_us)) + F.when(F.col("etype") == "prom.alert", straggler_us).otherwise(0)
+        rows = x.episodes.withColumn("came", came)
+        cuts = rows.agg(F.percentile_approx("came", [i / BATCHES for i in range(1, BATCHES)], 1000)).first()[0]
+        part = sum(((F.col("came") > c).cast("int") for c in cuts), F.lit(0))
+        for i in range(BATCHES):  # one after the other: a file source reads the oldest file first
+            rows.where(part == i).drop("came").coalesce(1).write.mode("append").parquet(path)
+        _WRITTEN.add(key)
+    return x.spark.readStream.schema(x.episodes.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_WRITTEN: set = set()
+
+
 def event_stream(x):
     """The stored event table as a file stream."""
     folder = "".join(c if c.isalnum() else "_" for c in x.directory)
@@ -68,11 +95,12 @@ def st1(x):
 def st2(x):
     run = Run(x)
     source = f"{run.base}/changes"
-    x.resource_changes.write.parquet(source)
-    stream = x.spark.readStream.schema(x.resource_changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run.batches(stream, jobs.to_folder(run.out))
-    live = jobs.compact(x.spark, run.out, ["client_id", "rid"], f"{run.base}/snapshot")
-    return live.select("client_id", "rid", F.col("at").alias("changed_at"), F.col("offset").alias("change"), "phase")
+    x.resource_changes.repartition(BATCHES).write.parquet(source)  # dealt out without regard to time: changes come out of order
+    schema = x.resource_changes.schema
+    stream = x.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    table = KeyedStore(run.out, ("client_id", "rid"), schema, buckets=16)
+    run.batches(stream, table.merge)
+    return table.read(x.spark).select("client_id", "rid", F.col("at").alias("changed_at"), F.col("offset").alias("change"), "phase")
 
 
 @query("st3_deduplicated", "SELECT client_id, eid FROM episodes")
@@ -91,6 +119,20 @@ def st4(x):
     return jobs.read_links(x.spark, run.out, 5).select("client_id", "cause", "effect", "hops", round_to(F.col("confidence"), 6).alias("confidence"))
 
 
+@query("st4_late_repair", "SELECT client_id, cause, effect, hops, temporal_score, distance_score, domain_score, confidence, time_gap_seconds, rank FROM links")
+def st4_late(x):
+    """Alerts come six days late. What was on time is linked first; the late events then repair the slices they reach."""
+    run = Run(x)
+    stream = arriving(x, straggler_us=6 * DAY_US)
+    run.batches(stream, jobs.split_late(run.out, 15 * MINUTE_US, jobs.to_folder(f"{run.out}/on_time")))
+    kept = x.spark.read.schema(x.episodes.schema).parquet(f"{run.out}/on_time")
+    late = jobs.read_late(x.spark, run.out, x.episodes.schema)
+    path = f"{run.base}/links"
+    linktable.rebuild(path, kept, x.edges)
+    linktable.apply_changes(path, kept.unionByName(late), x.edges, late)
+    return linktable.read(x.spark, path).drop("day")
+
+
 ALERT_STATE = {
     "s1": f"SELECT *, {FINGERPRINT} AS fingerprint FROM episodes WHERE etype = 'prom.alert'",
     "s2": "SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY client_id, fingerprint ORDER BY t, eid) <= 259200000000 THEN 0 ELSE 1 END AS new FROM s1",
@@ -147,15 +189,16 @@ def st11(x):
 
 @query("st12_periodic_validation", ATK, RANKS)
 def st12(x):
-    """Each trigger measures the links that are stored at that moment."""
+    """Each trigger measures the links that are stored at that moment, under its own version; the newest one is returned."""
     run = Run(x)
 
     def measure(batch, batch_id):
         r = health.accuracy_at_k(health.match_ranks(x.named_links, x.episodes, days=365, sample=None))
-        jobs.to_folder(run.out)(r, 0)
+        jobs.to_folder(run.out)(r, batch_id)
 
     run.batches(event_stream(x), measure)
-    return x.spark.read.parquet(run.out).drop("batch").withColumn("accuracy", round_to(F.col("accuracy"), 6)).withColumn(
+    measured = x.spark.read.parquet(run.out)
+    return measured.where(F.col("batch") == measured.select(F.max("batch")).scalar()).drop("batch").withColumn("accuracy", round_to(F.col("accuracy"), 6)).withColumn(
         "mean_rank", round_to(F.col("mean_rank"), 6))
 
 

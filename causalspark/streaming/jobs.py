@@ -1,7 +1,8 @@
 """Streaming forms of the operators: the same column logic on unbounded input.
 
-Every stream names its watermark. Late rows (older than the watermark) are left to the batch
-rebuild. Sinks are idempotent per batch id, so a restarted batch writes the same files.
+Every stream names its watermark. Late rows (older than the watermark) can be kept in a folder of
+their own (:func:`split_late`), from which the link table is repaired (``operators.linktable``).
+Sinks are idempotent per batch id, so a restarted batch writes the same files.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from causalspark.functions.scalar import MICROS, MINUTE_US, is_failure
-from causalspark.operators import reach, state
+from causalspark.operators import reach
 from causalspark.operators.causality import score_links_stream, side
 from causalspark.operators.incidents import alert_fingerprint
 from causalspark.operators.timejoin import slice_of
@@ -72,12 +73,30 @@ def split_dead_letters(normalize, ok_path: str, dead_path: str):
     return run
 
 
-def compact(spark: SparkSession, log_path: str, keys: list[str], snapshot_path: str) -> DataFrame:
-    """Merge the change batches into a new snapshot folder and read it back."""
-    log = spark.read.parquet(log_path).drop("batch")
-    live = state.latest_rows(log, keys).where(F.coalesce(F.col("op"), F.lit("DELETE")) != "DELETE")
-    live.write.mode("overwrite").parquet(snapshot_path)
-    return spark.read.parquet(snapshot_path)
+def split_late(path: str, delay_us: int, on_time: Callable[[DataFrame, int], None]):
+    """Hand rows on unless they are older than the watermark, which go to ``path``/late_events.
+
+    The watermark of a batch is the newest time of the batches before it less the delay, as Spark's own. Newest times
+    lie in the sink, one per batch id, so a restart goes on from there, and a repeated batch draws the same line.
+    """
+    clock = f"{path}/clock"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            batch.agg(F.max("t").alias("newest")).write.mode("overwrite").parquet(f"{clock}/batch={batch_id}")
+            newest = batch.sparkSession.read.schema("newest long, batch long").parquet(clock).where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+            late = F.lit(False) if newest is None else F.coalesce(F.col("t") < newest - delay_us, F.lit(False))
+            to_folder(f"{path}/late_events")(batch.where(late), batch_id)
+            on_time(batch.where(~late), batch_id)
+        finally:
+            batch.unpersist()
+    return run
+
+
+def read_late(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All rows that came too late."""
+    return spark.read.schema(schema).parquet(f"{path}/late_events")
 
 
 def every_n_messages(n: int, build: Callable[[], DataFrame], path: str):
