@@ -105,7 +105,7 @@ def st2(x):
 
 @query("st3_deduplicated", "SELECT client_id, eid FROM episodes")
 def st3(x):
-    twice = event_stream(x).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    twice = arriving(x).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return Run(x).append(jobs.deduplicated(twice)).select("client_id", "eid")
 
 
@@ -141,28 +141,30 @@ ALERT_STATE = {
 }
 
 
-@query("st5_alert_groups", "SELECT client_id, fingerprint, eid, group_start, CAST(pos // 2 AS INTEGER) AS part, CASE WHEN pos % 2 = 0 THEN 'new' ELSE 'grouped' END AS action FROM s4", ALERT_STATE)
+@query("st5_alert_groups", "SELECT client_id, fingerprint, eid, group_start, CAST(pos // 2 AS INTEGER) AS part, CASE WHEN pos % 2 = 0 THEN 'new' ELSE 'grouped' END AS action FROM s4, (SELECT max(t) AS now FROM episodes WHERE etype = 'prom.alert') WHERE (t // 60000000 + 1) * 60000 <= (now - 900000000) // 1000", ALERT_STATE)
 def st5(x):
-    alerts = event_stream(x).where("etype = 'prom.alert'")
+    """Alerts whose minute the watermark has passed; they arrive in twelve batches and out of order."""
+    alerts = arriving(x).where("etype = 'prom.alert'")
     return Run(x).append(jobs.grouped_alerts(alerts, gap_min=3 * 1440, max_size=2)).drop("t")
 
 
 @query("st6_escalations", """SELECT client_id, eid, n >= 2 AND severity IN ('WARNING','ERROR') AS escalated, CASE WHEN n >= 2 AND severity IN ('WARNING','ERROR') THEN n ELSE 0 END AS repeat_count,
     CASE WHEN n >= 2 AND severity = 'WARNING' THEN 'ERROR' WHEN n >= 2 AND severity = 'ERROR' THEN 'FATAL' ELSE severity END AS severity
-  FROM (SELECT *, count(*) OVER (PARTITION BY client_id, rid, reason ORDER BY t RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) - 1 AS n FROM episodes)""")
+  FROM (SELECT *, count(*) OVER (PARTITION BY client_id, rid, reason ORDER BY t RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) - 1 AS n FROM episodes), clock WHERE (t // 60000000 + 1) * 60000 <= (now - 900000000) // 1000""")
 def st6(x):
-    return Run(x).append(jobs.escalations(event_stream(x), window_min=7 * 1440, threshold=2))
+    """Events whose minute the watermark has passed; they arrive in twelve batches and out of order."""
+    return Run(x).append(jobs.escalations(arriving(x), window_min=7 * 1440, threshold=2))
 
 
 @query("st7_incident_sessions", "SELECT client_id, resource_id, window_start, window_end, event_count, severity FROM incidents, clock WHERE window_end + 43200000000 <= now - 900000000")
 def st7(x):
     """Sessions that the watermark has closed."""
-    return Run(x).append(jobs.incident_sessions(event_stream(x), gap="720 minutes"))
+    return Run(x).append(jobs.incident_sessions(arriving(x), gap="720 minutes"))
 
 
 @query("st8_rate_windows", "SELECT client_id, severity, reason, n, window_start FROM (SELECT client_id, severity, reason, count(*) AS n, t // 3600000000 * 3600000000 AS window_start FROM episodes WHERE severity IN ('ERROR','FATAL') GROUP BY 1, 2, 3, 5), (SELECT max(t) AS newest FROM episodes WHERE severity IN ('ERROR','FATAL')) WHERE window_start + 3600000000 <= newest - 900000000")
 def st8(x):
-    return Run(x).append(jobs.rate_windows(event_stream(x), "1 hour"))
+    return Run(x).append(jobs.rate_windows(arriving(x), "1 hour"))
 
 
 @query("st9_enriched_alerts", "SELECT a.client_id, a.eid, coalesce(r.phase, '') AS phase, coalesce(r.node, '') AS node FROM episodes a LEFT JOIN resources r ON r.client_id = a.client_id AND r.rid = a.rid WHERE a.etype = 'prom.alert'")

@@ -7,13 +7,14 @@ Sinks are idempotent per batch id, so a restarted batch writes the same files.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from causalspark.functions.scalar import MICROS, MINUTE_US, is_failure
@@ -207,46 +208,94 @@ def read_links(spark: SparkSession, path: str, top_m: int) -> DataFrame:
 
 # --- keyed state ------------------------------------------------------------------------------
 
-def _sorted_rows(frames: Iterator[pd.DataFrame]) -> list:
-    """The rows of one key in one micro-batch, in time order. Size micro-batches (offsets or files
-    per trigger) so that the busiest key of one fits in a task."""
-    rows = [r for pdf in frames for r in pdf.itertuples(index=False)]
-    return sorted(rows, key=lambda r: (r.t, r.eid))
+ORDERED_STATE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key to ``step`` in event-time order, whatever order they arrive in.
+
+    Rows wait in a map by minute. When the watermark has passed a minute, its timer takes just that minute out of the
+    map, so neither the key's history nor its other minutes are read. ``step(key, rows, kept)`` gets the sorted rows and
+    the key's small state (a tuple, or None) and returns output rows and the new state.
+    """
+
+    def __init__(self, step: Callable, waiting: str, kept: str, out: list[str], keep_us: int):
+        self.step, self.waiting_schema, self.kept_schema, self.out, self.keep_us = step, waiting, kept, out, keep_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.fields = [c.split()[0] for c in self.waiting_schema.split(", ")]
+        arrays = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in self.waiting_schema.split(", "))
+        self.waiting = handle.getMapState("waiting", "minute long", arrays)
+        self.kept = handle.getValueState("kept", self.kept_schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for minute, part in pdf.groupby(pdf["t"] // MINUTE_US):
+                at = (int(minute),)
+                held = self.waiting.getValue(at) if self.waiting.containsKey(at) else None
+                if held is None:
+                    self.handle.registerTimer((at[0] + 1) * MINUTE_US // 1000)
+                self.waiting.updateValue(at, tuple((list(held[i]) if held else []) + part[f].tolist() for i, f in enumerate(self.fields)))
+        yield pd.DataFrame(columns=self.out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        at = (end * 1000 // MINUTE_US - 1,)
+        kept = self.kept.get() if self.kept.exists() else None
+        if self.waiting.containsKey(at):
+            rows = sorted(zip(*self.waiting.getValue(at), strict=True))  # the first two fields are t and eid
+            self.waiting.removeKey(at)
+            out, kept = self.step(key, rows, kept)
+            self.kept.update(kept)
+            self.handle.registerTimer(end + -(-self.keep_us // MINUTE_US) * MINUTE_US // 1000)  # to forget the key
+            yield pd.DataFrame(out, columns=self.out)
+            return
+        if kept is not None and end * 1000 - self.keep_us > self.last(kept):
+            self.kept.clear()
+        yield pd.DataFrame(columns=self.out)
+
+    def last(self, kept) -> int:
+        """Time of the newest row that the state knows: its first field."""
+        return kept[0]
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(rows: DataFrame, keys: list[str], step: Callable, waiting: str, kept: str, output: str, keep_us: int) -> DataFrame:
+    rows.sparkSession.conf.set(ORDERED_STATE, ROCKS)  # the state store that such operators need; read when the stream starts
+    names = [c.split()[0] for c in output.split(", ")]
+    return rows.groupBy(*keys).transformWithStateInPandas(InOrder(step, waiting, kept, names, keep_us), output, "append", "eventTime")
 
 
 def grouped_alerts(alerts: DataFrame, gap_min: int = 5, max_size: int = 100, delay: str = LINK_WINDOW) -> DataFrame:
-    """Alert groups with keyed state: a group ends after a gap or at ``max_size``.
+    """Alert groups: a group ends after a gap or at ``max_size``. Alerts are grouped once the watermark has passed their minute.
 
-    The state is one small row per fingerprint and leaves when its time is over. Repeated ids
-    are dropped before (see :func:`deduplicated`).
+    The state is one small row per fingerprint and leaves after the gap. Repeated ids are dropped before (see
+    :func:`deduplicated`).
     """
     gap = gap_min * MINUTE_US
 
-    def step(key, frames, st: GroupState):
-        if st.hasTimedOut:
-            st.remove()
-            return
-        first, last, count, part = st.get if st.exists else (0, 0, 0, 0)
+    def step(key, rows, kept):
+        last, first, count, part = kept or (0, 0, 0, 0)
         out = []
-        for r in _sorted_rows(frames):
-            fresh = count == 0 or r.t - last > gap
+        for t, eid in rows:
+            fresh = count == 0 or t - last > gap
             if fresh:
-                first, part, count = r.t, 0, 0
+                first, part, count = t, 0, 0
             elif count % max_size == 0:
                 part += 1
                 fresh = True
-            count += 1
-            last = max(last, r.t)
-            out.append((key[0], key[1], r.eid, r.t, first, part, "new" if fresh else "grouped"))
-        st.update((first, last, count, part))
-        st.setTimeoutTimestamp(max(last // 1000 + gap // 1000, st.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["client_id", "fingerprint", "eid", "t", "group_start", "part", "action"])
+            count, last = count + 1, t
+            out.append((key[0], key[1], eid, t, first, part, "new" if fresh else "grouped"))
+        return out, (last, first, count, part)
 
     rows = alerts.withWatermark("event_time", delay).withColumn("fingerprint", alert_fingerprint())
-    return rows.select("client_id", "fingerprint", "eid", "t", "event_time").groupBy(
-        "client_id", "fingerprint").applyInPandasWithState(
-        step, "client_id string, fingerprint string, eid string, t long, group_start long, part int, action string",
-        "first long, last long, count long, part int", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(rows.select("client_id", "fingerprint", "t", "eid", "event_time"), ["client_id", "fingerprint"], step, "t long, eid string",
+                    "last long, first long, count long, part int",
+                    "client_id string, fingerprint string, eid string, t long, group_start long, part int, action string", gap)
 
 
 def repeats(times: list[int], t: int, width: int) -> int:
@@ -255,36 +304,28 @@ def repeats(times: list[int], t: int, width: int) -> int:
 
 
 def escalations(events: DataFrame, window_min: int = 5, threshold: int = 3, delay: str = LINK_WINDOW) -> DataFrame:
-    """Repeat counts per resource and reason, of the events that have arrived.
+    """Repeat counts per resource and reason, once the watermark has passed an event's minute.
 
-    An event counts those at most ``window_min`` older than itself; a late one does not count
-    what happened after it. The state holds the times that an event which the watermark still
-    admits can count.
+    An event counts those at most ``window_min`` older than itself, and the equally old ones. The state holds the times
+    of one window.
     """
     width = window_min * MINUTE_US
 
-    def step(key, frames, st: GroupState):
-        if st.hasTimedOut:
-            st.remove()
-            return
-        times = list(st.get[0]) if st.exists else []
+    def step(key, rows, kept):
+        times = list(kept[1]) if kept else []
+        times = times[bisect_left(times, rows[0][0] - width):] + [r[0] for r in rows]
         out = []
-        for r in _sorted_rows(frames):
-            earlier = repeats(times, r.t, width)
-            raised = earlier >= threshold and r.severity in ("WARNING", "ERROR")
-            level = {"WARNING": "ERROR", "ERROR": "FATAL"}[r.severity] if raised else r.severity
-            out.append((key[0], r.eid, level, raised, earlier if raised else 0))
-            insort(times, r.t)
-        newest = times[-1]
-        st.update((times[bisect_left(times, st.getCurrentWatermarkMs() * 1000 - width):],))
-        st.setTimeoutTimestamp(max(newest // 1000 + width // 1000, st.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["client_id", "eid", "severity", "escalated", "repeat_count"])
+        for t, eid, severity in rows:
+            earlier = repeats(times, t, width) - 1
+            raised = earlier >= threshold and severity in ("WARNING", "ERROR")
+            level = {"WARNING": "ERROR", "ERROR": "FATAL"}[severity] if raised else severity
+            out.append((key[0], eid, level, raised, earlier if raised else 0))
+        return out, (times[-1], times[bisect_left(times, times[-1] - width):])
 
     rows = events.withWatermark("event_time", delay)
-    return rows.select("client_id", "rid", "reason", "eid", "t", "severity", "event_time").groupBy(
-        "client_id", "rid", "reason").applyInPandasWithState(
-        step, "client_id string, eid string, severity string, escalated boolean, repeat_count long",
-        "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(rows.select("client_id", "rid", "reason", "t", "eid", "severity", "event_time"), ["client_id", "rid", "reason"], step,
+                    "t long, eid string, severity string", "last long, times array<long>",
+                    "client_id string, eid string, severity string, escalated boolean, repeat_count long", width)
 
 
 def liveness_changes(heartbeats: DataFrame, stale_min: int = 2, delay: str = "1 minute") -> DataFrame:
