@@ -1,11 +1,15 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model: the normaliser (a white-space map and a leading mark), the pieces together with
-byte fallback (arcs from a stretch of text to ids), and an acceptor over neighbouring pieces. They are composed lazily
-with each input, and the tropical shortest path gives the ids. For a merge model (BPE) the acceptor gives weight zero to
-two neighbours that the model's merges, applied to both texts joined, keep apart, and infinity to others; a sequence of
-pieces is the model's encoding exactly if all its neighbours are such. Every prefix has one such sequence, so one state
-per position is finite and the search is linear in the text.
+Machines are compiled from a model: the normaliser (white space to the mark U+2581, and a mark before the text), the
+pieces (a trie whose final states put out an id and go back to the start), byte fallback (an arc over one character that
+no piece spells, putting out its bytes' ids), and an acceptor that weighs each piece after the one before. Composed with
+an input, a state is a place in the text and the last piece; weights are relaxed place by place, the least sum is kept,
+and the tropical shortest path gives the ids.
+
+For a score model (unigram) the acceptor's weight is the piece's negated score, and byte fallback costs ten more than
+the worst piece. For a merge model (BPE) it is zero if the model's merges, applied to the two neighbours joined, keep
+them apart, and infinite else; a path is finite exactly if it is the model's encoding, and each place has one finite
+state. Other models, and normalisers that rewrite text, are refused.
 
 A text is cut where no piece can reach across (before white space, at line ends, between letters and others, as far as
 the model's pieces allow), and short stretches are remembered.
@@ -29,33 +33,60 @@ from causalspark.llm.frames import map_rows
 from causalspark.llm.segments import PIECE_BPE, Segments, once
 
 MARK, INFINITY, FALLBACK, START = "▁", float("inf"), -1, (1 << 24) - 1
+#: Model kinds as the model file numbers them, what an unknown character costs over the worst piece, and piece types (fixed values).
+UNIGRAM, BPE, UNKNOWN_COST = 1, 2, 10.0
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
 class Transducer:
     """The compiled machines of one model."""
 
     def __init__(self, path: str = PIECE_BPE):
-        import sentencepiece
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        from sentencepiece import sentencepiece_model_pb2
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as file:
+            model.ParseFromString(file.read())
+        self.kind, rules = model.trainer_spec.model_type, model.normalizer_spec
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError(f"{path}: only unigram and merge models are handled")
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError(f"{path}: the model's normaliser rewrites text in a way that is not handled")
         self.ids, self.score, self.byte_ids, self.spelling = {}, {}, {}, []
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
-            if model.is_byte(i):
-                self.byte_ids[int(piece[3:5], 16)] = i
-                self.spelling.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i):
+        for i, piece in enumerate(model.pieces):
+            if piece.type == BYTE:
+                self.byte_ids[int(piece.piece[3:5], 16)] = i
+                self.spelling.append(bytes([int(piece.piece[3:5], 16)]))
+            elif piece.type in (CONTROL, UNKNOWN):
                 self.spelling.append(b"")
+            elif piece.type == NORMAL:
+                self.ids[piece.piece], self.score[piece.piece] = i, piece.score
+                self.spelling.append(piece.piece.replace(MARK, " ").encode())
             else:
-                self.ids[piece], self.score[piece] = i, model.get_score(i)
-                self.spelling.append(piece.replace(MARK, " ").encode())
+                raise ValueError(f"{path}: pieces of type {piece.type} are not handled")
         if len(self.byte_ids) != 256:
             raise ValueError(f"{path}: a model with byte fallback is needed")
         self.pieces = {i: p for p, i in self.ids.items()}
-        self.reach: dict[str, int] = {}  # by the first four characters, the longest piece; others have at most three
-        for piece in self.ids:
-            if len(piece) > 3:
-                self.reach[piece[:4]] = max(len(piece), self.reach.get(piece[:4], 0))
-        self.allowed: dict[int, float] = {FALLBACK: 0.0}
+        # the normaliser: what stands before a text, and its one arc that is not the identity
+        self.before, self.rewrite = " " if rules.add_dummy_prefix else "", (" ", MARK)
+        # the piece machine: arcs by state, and the id that a state puts out (-1: none)
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final = [FALLBACK]
+        for piece, i in self.ids.items():
+            state = 0
+            for c in piece:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append(FALLBACK)
+                state = self.arcs[state][c]
+            self.final[state] = i
+        # the acceptor: known pairs of a merge model, or the weights of single pieces
+        self.allowed: dict[int, float] = {}
+        # (in single precision, as the model's library adds them up, so that equal sums are equal here too)
+        self.cost = {i: np.float32(-self.score[p]) for i, p in self.pieces.items()}
+        self.cost[FALLBACK] = np.float32(UNKNOWN_COST - min(self.score.values(), default=0.0))
+        self.weigh = self._pair if self.kind == BPE else self._single
+        self.least = 0.0 if self.kind == BPE else min(self.cost.values())
         self.cut = re.compile(self._stretches()).findall
         self.known = Segments(self._shortest_path)
 
@@ -82,51 +113,55 @@ class Transducer:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def pair_weight(self, left: int, right: int) -> float:
-        """The acceptor's weight for two neighbouring pieces: of the pair if given both, of ``right`` alone after START."""
-        if left == FALLBACK or right == FALLBACK:
+    def _pair(self, left: int, right: int) -> float:
+        """A merge model's weight of a piece after another; nothing merges across a fallback character."""
+        if right == FALLBACK:
             return 0.0
-        a, b = self.pieces.get(left, ""), self.pieces[right]
-        return 0.0 if self._merged(a + b) == ([a, b] if a else [b]) else INFINITY
+        key = left << 24 | right if left >= 0 else START << 24 | right
+        weight = self.allowed.get(key)
+        if weight is None:
+            a, b = self.pieces.get(left, ""), self.pieces[right]
+            weight = self.allowed[key] = 0.0 if self._merged(a + b) == ([a, b] if a else [b]) else INFINITY
+        return weight
+
+    def _single(self, left: int, right: int) -> float:
+        """A score model's weight of a piece."""
+        return self.cost[right]
 
     def _shortest_path(self, segment: str) -> bytes:
-        """The ids of a stretch of text, as 32-bit numbers.
-
-        Arcs leave a position longest first. A position whose arcs all lead nowhere is closed for good, as every finite
-        path to it ends in the same piece.
-        """
-        text, n = segment.replace(" ", MARK), len(segment)
-        piece_of, allowed, reach = self.ids.get, self.allowed, self.reach.get
-        path, ends, closed = [START], [0], set()
-        end = min(n, reach(text[:4], 3))  # the arc to be tried next runs from the last end to here
-        while (begin := ends[-1]) < n:
-            last = path[-1]
-            while end > begin:
-                if end not in closed:
-                    piece = piece_of(text[begin:end])
-                    if piece is None and end == begin + 1:
-                        piece = FALLBACK
-                    if piece is not None:
-                        pair = last << 24 | piece if piece >= 0 else FALLBACK
-                        weight = allowed.get(pair)
-                        if weight is None:
-                            weight = allowed[pair] = self.pair_weight(last, piece)
-                        if not weight:
-                            break
-                end -= 1
-            if end > begin:
-                path.append(piece)
-                ends.append(end)
-                end = min(n, end + reach(text[end:end + 4], 3))
-            else:
-                closed.add(begin)
-                path.pop()
-                ends.pop()
-                end = begin - 1
+        """The ids of a stretch of text, as 32-bit numbers: of each place, the least weight, its last piece and where that began."""
+        text, n = segment.replace(*self.rewrite), len(segment)
+        arcs, final, weigh, least = self.arcs, self.final, self.weigh, self.least
+        weight, last, begin = [0.0] + [INFINITY] * n, [START] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            base, left = weight[at], last[at]
+            if base == INFINITY:
+                continue
+            state, end, single = 0, at, FALLBACK
+            while end < n:
+                state = arcs[state].get(text[end])
+                if state is None:
+                    break
+                end += 1
+                piece = final[state]
+                if piece >= 0:
+                    if end == at + 1:
+                        single = piece
+                    if base + least < weight[end]:  # else no arc can better this place
+                        new = base + weigh(left, piece)
+                        if new < weight[end]:
+                            weight[end], last[end], begin[end] = new, piece, at
+            if single == FALLBACK:
+                new = base + weigh(left, FALLBACK)
+                if new < weight[at + 1]:
+                    weight[at + 1], last[at + 1], begin[at + 1] = new, FALLBACK, at
+        places = [n]
+        while places[-1]:
+            places.append(begin[places[-1]])
         out = []
-        for piece, end in zip(path[1:], ends[1:], strict=True):
-            if piece >= 0:
-                out.append(piece)
+        for end in reversed(places[:-1]):
+            if last[end] >= 0:
+                out.append(last[end])
             else:
                 out += [self.byte_ids[b] for b in text[end - 1].encode()]
         return array("i", out).tobytes()
@@ -134,10 +169,10 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut(" " + text))), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut(self.before + text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.spelling.__getitem__, ids.tolist()))[1:].decode(errors="replace")
+        return b"".join(map(self.spelling.__getitem__, ids.tolist()))[len(self.before):].decode(errors="replace")
 
 
 def transducer(path: str = PIECE_BPE) -> Transducer:

@@ -10,7 +10,7 @@ import pytest
 
 from causalspark.llm import decontaminate, quality
 from causalspark.llm.segments import PIECE_BPE, Segments
-from causalspark.llm.sentencepiece_fst import decode_ids, encode_decode, transducer
+from causalspark.llm.sentencepiece_fst import Transducer, decode_ids, encode_decode, transducer
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, row string, h long, n_words string, features string, score string, first string"
@@ -84,6 +84,44 @@ def test_transducer_is_the_models_encoding():
         assert fst.decode(ids) == text.replace("▁", " ")
 
 
+def unigram_model(path, kind=1, **normal):
+    """A small score model with byte fallback, written by hand."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    rng, model = random.Random(8), pb.ModelProto()
+    add = lambda piece, score, kind: model.pieces.add(piece=piece, score=score, type=kind)
+    for piece, of_kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(piece, 0.0, of_kind)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0.0, 6)
+    known = {"▁", *"abcde", "é", "▁a", "\n"} | {"".join(rng.choice("abcde▁"[:5 + (i % 7 == 0)]) for _ in range(rng.randrange(2, 6))) for i in range(120)}
+    for piece in sorted(known):
+        add(piece, -round(rng.uniform(1, 12), 3), 1)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = kind, True
+    rules = {"name": "identity", "add_dummy_prefix": True, "remove_extra_whitespaces": False, "escape_whitespaces": True} | normal
+    for name, value in rules.items():
+        setattr(model.normalizer_spec, name, value)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("prefix", [True, False])
+def test_transducer_of_a_score_model(tmp_path, prefix):
+    """The least sum of weights is the library's best path, with bytes for characters that no piece spells."""
+    import sentencepiece
+    path = unigram_model(tmp_path / "u.model", add_dummy_prefix=prefix)
+    library, fst, rng = sentencepiece.SentencePieceProcessor(model_file=path), Transducer(path), random.Random(9)
+    for _ in range(800):
+        text = "".join(rng.choice("aabbccddee  é\nzß日") for _ in range(rng.randrange(0, 60)))
+        assert fst.encode(text).tolist() == library.encode(text), text
+        assert fst.decode(fst.encode(text)) == text
+
+
+def test_models_that_are_not_handled_are_refused(tmp_path):
+    for k, how in enumerate(({"kind": 3}, {"remove_extra_whitespaces": True}, {"precompiled_charsmap": b"x"})):
+        with pytest.raises(ValueError, match="handled"):
+            Transducer(unigram_model(tmp_path / f"{k}.model", **how))
+
+
 def test_encode_decode(spark):
     rows = [(1, None), (2, ""), (3, " "), (4, "x" * 100_000 + " y"), (None, "The thing, é 日本\n\n"), (5, "a▁b"), (5, "a▁b")]
     got = encode_decode(docs(spark, rows)).collect()
