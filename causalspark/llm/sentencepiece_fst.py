@@ -68,18 +68,13 @@ class Transducer:
         self.pieces = {i: p for p, i in self.ids.items()}
         # the normaliser: what stands before a text, and its one arc that is not the identity
         self.before, self.rewrite = " " if rules.add_dummy_prefix else "", (" ", MARK)
-        # the piece machine: arcs by state, and the id that a state puts out (-1: none)
-        self.arcs: list[dict[str, int]] = [{}]
-        self.final = [FALLBACK]
+        # the piece machine: a state is its arcs, from a character to the next state and the id put out there (-1: none)
+        self.start: dict[str, tuple] = {}
         for piece, i in self.ids.items():
-            state = 0
-            for c in piece:
-                if c not in self.arcs[state]:
-                    self.arcs[state][c] = len(self.arcs)
-                    self.arcs.append({})
-                    self.final.append(FALLBACK)
-                state = self.arcs[state][c]
-            self.final[state] = i
+            state = self.start
+            for c in piece[:-1]:
+                state = state.setdefault(c, ({}, FALLBACK))[0]
+            state[piece[-1]] = (state.get(piece[-1], ({},))[0], i)
         # the acceptor: known pairs of a merge model, or the weights of single pieces
         self.allowed: dict[int, float] = {}
         # (in single precision, as the model's library adds them up, so that equal sums are equal here too)
@@ -117,11 +112,8 @@ class Transducer:
         """A merge model's weight of a piece after another; nothing merges across a fallback character."""
         if right == FALLBACK:
             return 0.0
-        key = left << 24 | right if left >= 0 else START << 24 | right
-        weight = self.allowed.get(key)
-        if weight is None:
-            a, b = self.pieces.get(left, ""), self.pieces[right]
-            weight = self.allowed[key] = 0.0 if self._merged(a + b) == ([a, b] if a else [b]) else INFINITY
+        a, b = self.pieces.get(left, ""), self.pieces[right]
+        weight = self.allowed[left << 24 | right] = 0.0 if self._merged(a + b) == ([a, b] if a else [b]) else INFINITY
         return weight
 
     def _single(self, left: int, right: int) -> float:
@@ -131,27 +123,22 @@ class Transducer:
     def _shortest_path(self, segment: str) -> bytes:
         """The ids of a stretch of text, as 32-bit numbers: of each place, the least weight, its last piece and where that began."""
         text, n = segment.replace(*self.rewrite), len(segment)
-        arcs, final, weigh, least = self.arcs, self.final, self.weigh, self.least
+        start, known, weigh, least = self.start, self.allowed.get, self.weigh, self.least
         weight, last, begin = [0.0] + [INFINITY] * n, [START] * (n + 1), [0] * (n + 1)
         for at in range(n):
             base, left = weight[at], last[at]
             if base == INFINITY:
                 continue
-            state, end, single = 0, at, FALLBACK
-            while end < n:
-                state = arcs[state].get(text[end])
-                if state is None:
-                    break
+            state, end, before, bound = start, at, left << 24, base + least
+            while end < n and (arc := state.get(text[end])):
+                state, piece = arc
                 end += 1
-                piece = final[state]
-                if piece >= 0:
-                    if end == at + 1:
-                        single = piece
-                    if base + least < weight[end]:  # else no arc can better this place
-                        new = base + weigh(left, piece)
-                        if new < weight[end]:
-                            weight[end], last[end], begin[end] = new, piece, at
-            if single == FALLBACK:
+                if piece >= 0 and bound < weight[end]:  # else no arc can better this place
+                    more = known(before | piece)
+                    new = base + (weigh(left, piece) if more is None else more)
+                    if new < weight[end]:
+                        weight[end], last[end], begin[end] = new, piece, at
+            if start.get(text[at], (None, FALLBACK))[1] == FALLBACK:
                 new = base + weigh(left, FALLBACK)
                 if new < weight[at + 1]:
                     weight[at + 1], last[at + 1], begin[at + 1] = new, FALLBACK, at
