@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from causalspark.functions import rules as R
 from causalspark.functions.scalar import round_to
-from causalspark.operators import search as E
+from causalspark.operators import hashing, search as E
 from causalspark.plans.ingest_queries import LINES, _lines
 from causalspark.plans.registry import query
 from causalspark.plans.sqltables import r3
@@ -75,6 +75,31 @@ def e5(x):
     return E.near_duplicates(_with_copies(x), 0.95).withColumn("similarity", round_to(F.col("similarity"), 6))
 
 
+CLASSES = {**COPIES, "classes": "SELECT min(id) AS id, vec, count(*) AS copies FROM vectors GROUP BY vec",
+           "timed": "SELECT v.id, v.vec, epoch_us(e.ts) AS t FROM vectors v JOIN events e ON e.event_id = v.id % 10000000",
+           "fresh": "SELECT min(id) AS id, vec FROM timed WHERE t >= (SELECT max(t) FROM timed) - 86400000000 GROUP BY vec"}
+
+
+@query("e5_hashed_duplicates", f"SELECT a.id AS left_id, b.id AS right_id, {r3(COS, 6)} AS similarity FROM classes a JOIN classes b ON a.id < b.id AND {COS} >= 0.95", CLASSES)
+def e5_hashed(x):
+    """Pairs between distinct vectors, found under hyperplane signatures."""
+    return hashing.near_duplicates(_with_copies(x), 0.95).withColumn("similarity", round_to(F.col("similarity"), 6))
+
+
+@query("e5_vector_classes", "SELECT v.id, c.id AS class_id FROM vectors v JOIN classes c ON c.vec = v.vec", CLASSES)
+def e5_classes(x):
+    v = _with_copies(x)
+    return hashing.members(v, hashing.distinct_vectors(v))
+
+
+@query("e5_recent_duplicates", f"SELECT a.id AS left_id, b.id AS right_id, {r3(COS, 6)} AS similarity FROM fresh a JOIN fresh b ON a.id < b.id AND {COS} >= 0.95", CLASSES)
+def e5_recent(x):
+    """As above, of the vectors of events of the last 24 hours."""
+    times = x.raw("events").select((F.col("event_id")).alias("event"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    timed = _with_copies(x).withColumn("event", F.col("id") % 10000000).join(times, "event").drop("event")
+    return hashing.near_duplicates(timed, 0.95, hours=24).withColumn("similarity", round_to(F.col("similarity"), 6))
+
+
 @query("e6_similar_items", f"SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS query_id, b.id AS item_id, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM vectors a JOIN vectors b ON a.id <> b.id AND {COS} >= 0.3) WHERE rank <= 3",
        {"vectors": "SELECT vec_id AS id, embedding AS vec FROM embeddings"})
 def e6(x):
