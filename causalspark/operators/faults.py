@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -324,18 +325,75 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+LCS_PAIRS = 2048
+
+
+def lcs_lengths(xs: list, ys: list) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, for all pairs side by side.
+
+    Row ``j`` of the table is a bit vector over ``x`` (a zero bit where the length grows), 64 places to a word; one step
+    adds and masks whole words of all pairs at once. Pairs are taken in order of their length, so few steps are padding.
+    """
+    out = np.zeros(len(xs), dtype="int64")
+    order = sorted((i for i in range(len(xs)) if len(xs[i]) and len(ys[i])), key=lambda i: (len(ys[i]), len(xs[i])))
+    at = 0
+    while at < len(order):
+        words = -(-max(len(xs[i]) for i in order[at:at + LCS_PAIRS]) // 64)
+        part = order[at:at + max(1, LCS_PAIRS // words)]
+        at += len(part)
+        out[part] = _lcs_block([xs[i] for i in part], [ys[i] for i in part])
+    return out
+
+
+def _lcs_block(xs: list, ys: list) -> np.ndarray:
+    n = len(xs)
+    x_sizes, y_sizes = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    words = int(-(-x_sizes.max() // 64))
+    codes, kinds = pd.factorize(np.concatenate([np.asarray(v, dtype=object) for v in (*xs, *ys)]), use_na_sentinel=False)
+    ends = x_sizes.sum()
+    owner = np.repeat(np.arange(n), x_sizes)
+    place = np.arange(ends) - np.repeat(np.cumsum(x_sizes) - x_sizes, x_sizes)
+    # where a kind of token stands in x, for the kinds of each pair alone
+    keys, slot = np.unique(owner * len(kinds) + codes[:ends], return_inverse=True)
+    masks = np.zeros((len(keys) + 1, words), dtype="uint64")
+    np.bitwise_or.at(masks, (slot, place // 64), np.uint64(1) << (place % 64).astype("uint64"))
+    steps = np.full((n, int(y_sizes.max())), len(keys))
+    y_owner = np.repeat(np.arange(n), y_sizes)
+    y_place = np.arange(y_sizes.sum()) - np.repeat(np.cumsum(y_sizes) - y_sizes, y_sizes)
+    asked = y_owner * len(kinds) + codes[ends:]
+    hit = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    steps[y_owner, y_place] = np.where(keys[hit] == asked, hit, len(keys))
+    row = np.full((n, words), ~np.uint64(0))
+    for j in range(steps.shape[1]):
+        mask = masks[steps[:, j]]
+        same = row & mask
+        carry = np.zeros(n, dtype="uint64")
+        for w in range(words):
+            low = row[:, w] + same[:, w]
+            total = low + carry
+            carry = ((low < same[:, w]) | (total < low)).astype("uint64")
+            row[:, w] = total | (row[:, w] & ~mask[:, w])
+    inside = np.arange(words * 64)[None, :] < x_sizes[:, None]
+    grown = np.unpackbits((~row).astype("<u8").view("uint8"), axis=1, bitorder="little").astype(bool)
+    return (grown & inside).sum(axis=1)
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * LCS / (length sum) over tokens; 0 when either side is empty."""
-    def lcs(x, y):
-        row = [0] * (len(y) + 1)
-        for i in x:
-            diagonal = 0
-            for j, token in enumerate(y, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if i == token else max(row[j], row[j - 1])
-        return row[-1]
-    return pd.Series([0.0 if len(x) == 0 or len(y) == 0 else 2.0 * lcs(x, y) / (len(x) + len(y))
-                      for x, y in zip(a, b)])
+    xs, ys = a.tolist(), b.tolist()
+    sizes = np.array([len(x) + len(y) for x, y in zip(xs, ys)], dtype="float64")
+    return pd.Series(2.0 * lcs_lengths(xs, ys) / np.maximum(sizes, 1.0))
+
+
+def shared_tokens(a: Column, b: Column) -> Column:
+    """Sum over the tokens of the smaller count, from two maps token -> count: no common subsequence is longer."""
+    return F.aggregate(F.map_keys(a), F.lit(0), lambda s, k: s + F.least(F.try_element_at(a, k), F.coalesce(F.try_element_at(b, k), F.lit(0))))
+
+
+def token_counts(tokens: Column) -> Column:
+    kinds = F.array_distinct(tokens)
+    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(tokens, lambda t: t == k))))
 
 
 def _density(nodes: Column, edges: Column) -> Column:
@@ -357,6 +415,11 @@ def match_patterns(abstract: DataFrame, patterns: DataFrame, k: int = 3,
     service; only a shape whose ``k``-th candidate scores no more than the structure weight can
     have a better match outside. Outside, the score is that of the structure alone, so the ``k``
     best patterns are found once for each (nodes, links) that occurs among such shapes.
+
+    Common subsequences are only searched for pairs that can still be among the ``k`` best: no
+    sequence shares more than its common tokens, which bounds a score from above. The ``k``
+    candidates with the highest bounds are scored first, and the ``k``-th of their scores is what
+    another candidate's bound must reach.
     """
     shape_cols = ["type_sequence", "types", "services", "edges"]
     faults = abstract.withColumn("shape", F.md5(F.to_json(F.struct(*shape_cols))))
@@ -366,7 +429,7 @@ def match_patterns(abstract: DataFrame, patterns: DataFrame, k: int = 3,
     s = shapes.select("shape", F.explode(tokens()).alias("token"))
     p = patterns.select("pattern_id", F.explode(tokens()).alias("token"))
     pairs = s.join(p, "token").select("shape", "pattern_id").distinct()
-    near = _scored_pairs(pairs, shapes, patterns, weights)
+    near = _best_pairs(pairs, shapes, patterns, weights, k)
     w = W.partitionBy("shape").orderBy(F.desc("similarity"), F.desc("frequency"), "pattern_id")
     best = cut_lineage(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     full = best.where((F.col("rank") == k) & (F.col("similarity") > weights[3])).select("shape")
@@ -390,21 +453,61 @@ def match_patterns(abstract: DataFrame, patterns: DataFrame, k: int = 3,
     return faults.select("fault_id", "shape").join(out, "shape").drop("shape")
 
 
-def _scored_pairs(pairs: DataFrame, shapes: DataFrame, patterns: DataFrame, weights) -> DataFrame:
-    wj, ws, wq, wg = weights
-    p = patterns.select("pattern_id", "frequency", "root_type", *[F.col(c).alias(f"p_{c}") for c in
-                                                      ("type_sequence", "types", "services", "edges")])
-    rows = pairs.join(shapes, "shape").join(p, "pattern_id")
-    size = lambda c: F.size(F.col(c)).cast("double")
+def _bounded_pairs(pairs: DataFrame, shapes: DataFrame, patterns: DataFrame, weights) -> DataFrame:
+    """Pairs with the scores that need no subsequence, and ``bound``, which the similarity never exceeds."""
+    side = lambda prefix: [
+        F.col("services").alias(f"{prefix}services"), F.col("types").alias(f"{prefix}types"),
+        token_counts(F.col("type_sequence")).alias(f"{prefix}counts"),
+        F.size("type_sequence").cast("double").alias(f"{prefix}nodes"), F.size("edges").cast("double").alias(f"{prefix}links")]
+    rows = (pairs.join(shapes.select("shape", *side("")), "shape")
+            .join(patterns.select("pattern_id", "frequency", *side("p_")), "pattern_id"))
     rows = (rows.withColumn("jaccard", jaccard(F.col("types"), F.col("p_types")))
             .withColumn("service", jaccard(F.col("services"), F.col("p_services")))
-            .withColumn("sequence", sequence_ratio(F.col("type_sequence"), F.col("p_type_sequence")))
-            .withColumn("structure", structure_score(size("type_sequence"), size("edges"),
-                                                     size("p_type_sequence"), size("p_edges"))))
-    similarity = (wj * F.col("jaccard") + ws * F.col("service") + wq * F.col("sequence") + wg * F.col("structure"))
+            .withColumn("structure", structure_score(F.col("nodes"), F.col("links"), F.col("p_nodes"), F.col("p_links"))))
+    most = 2.0 * shared_tokens(F.col("counts"), F.col("p_counts")) / F.greatest(F.col("nodes") + F.col("p_nodes"), F.lit(1.0))
+    return rows.select("shape", "pattern_id", "frequency", "jaccard", "service", "structure",
+                       similarity(weights, most).alias("bound"))
+
+
+def similarity(weights, sequence: Column) -> Column:
+    wj, ws, wq, wg = weights
+    return wj * F.col("jaccard") + ws * F.col("service") + wq * sequence + wg * F.col("structure")
+
+
+def _best_pairs(pairs: DataFrame, shapes: DataFrame, patterns: DataFrame, weights, k: int) -> DataFrame:
+    """Scored pairs with all of the ``k`` best of each shape among them."""
+    bounded = cut_lineage(_bounded_pairs(pairs, shapes, patterns, weights))
+    by_bound = W.partitionBy("shape").orderBy(F.desc("bound"), F.desc("frequency"), "pattern_id")
+    first = bounded.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= k).drop("n")
+    scored = cut_lineage(_scored(first, shapes, patterns, weights))
+    floor = scored.groupBy("shape").agg(F.min("similarity").alias("floor"))
+    others = bounded.join(floor, "shape").where("bound >= floor").drop("floor").join(
+        scored.select("shape", "pattern_id"), ["shape", "pattern_id"], "left_anti")
+    return scored.unionByName(_scored(others, shapes, patterns, weights))
+
+
+def _scored_pairs(pairs: DataFrame, shapes: DataFrame, patterns: DataFrame, weights) -> DataFrame:
+    return _scored(_bounded_pairs(pairs, shapes, patterns, weights), shapes, patterns, weights)
+
+
+def _ratios(pairs: DataFrame, shapes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Sequence ratio of each pair (shape, pattern_id), reckoned once for each two distinct sequences."""
+    key = lambda: F.md5(F.to_json("type_sequence"))
+    named = (pairs.select("shape", "pattern_id").join(shapes.select("shape", key().alias("a")), "shape")
+             .join(patterns.select("pattern_id", key().alias("b")), "pattern_id"))
+    text = lambda rows, name: rows.groupBy(key().alias(name)).agg(F.first("type_sequence").alias(f"{name}_sequence"))
+    ratio = named.select("a", "b").distinct().join(text(shapes, "a"), "a").join(text(patterns, "b"), "b").select(
+        "a", "b", sequence_ratio("a_sequence", "b_sequence").alias("sequence"))
+    return named.join(ratio, ["a", "b"]).select("shape", "pattern_id", "sequence")
+
+
+def _scored(bounded: DataFrame, shapes: DataFrame, patterns: DataFrame, weights) -> DataFrame:
+    rows = bounded.join(_ratios(bounded, shapes, patterns), ["shape", "pattern_id"])
     boost = F.least(F.lit(0.3), 0.1 * F.sqrt(F.col("frequency")))
-    rows = rows.withColumn("similarity", similarity).withColumn(
+    rows = rows.withColumn("similarity", similarity(weights, F.col("sequence"))).withColumn(
         "confidence", F.least(F.lit(1.0), 0.7 * F.col("similarity") + boost))
+    rows = rows.join(shapes.select("shape", "types"), "shape").join(
+        patterns.select("pattern_id", "root_type", F.col("types").alias("p_types")), "pattern_id")
     join = lambda c: F.array_join(F.array_sort(c), ",")
     return rows.select(
         "shape", "pattern_id", "frequency", "root_type", "jaccard", "service", "sequence", "structure",

@@ -98,6 +98,47 @@ def test_dependencies_stay_in_their_tenant(make):
     assert rows(X.service_distances(dep, df), "client_id", "service", "other", "hops") == [("a", "api", "auth", 1)]
 
 
+def slow_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_bit_parallel_subsequences_are_the_table_s():
+    rnd = random.Random(11)
+    side = lambda letters: [[rnd.choice(letters) for _ in range(rnd.choice([0, 1, 4, 63, 64, 65, 129]))] for _ in range(400)]
+    a, b = side("abcd"), side("abcde")
+    assert X.lcs_lengths(a, b).tolist() == [slow_lcs(x, y) for x, y in zip(a, b)]
+    assert X.lcs_lengths([], []).tolist() == [] and X.lcs_lengths([[]], [["x"]]).tolist() == [0]
+    assert X.lcs_lengths([["x", None]], [[None, "x", None]]).tolist() == [2]
+
+
+def test_bounds_leave_few_subsequences_and_lose_no_match(make):
+    """The best of every shape among all scored pairs; bounds hold for every pair."""
+    rnd = random.Random(8)
+    arrays = lambda n, letters: [rnd.choice(letters) for _ in range(n)]
+    def some(i, name):
+        types = arrays(rnd.randint(1, 9), TYPES)
+        return (f"{name}{i}", types, sorted(set(types)), sorted(set(arrays(2, "xyzw"))), [{"a": "1", "b": "2"}] * rnd.randint(0, 6))
+    cols = "type_sequence array<string>, types array<string>, services array<string>, edges array<struct<a string, b string>>"
+    shapes = make.frame([some(i, "s") for i in range(80)], f"shape string, {cols}")
+    patterns = make.frame([(*some(i, "p"), rnd.randint(1, 4), "cpu_high") for i in range(120)], f"pattern_id string, {cols}, frequency long, root_type string")
+    weights = (0.35, 0.25, 0.30, 0.10)
+    pairs = shapes.select("shape").join(patterns.select("pattern_id"), F.lit(True))
+    full = X._scored_pairs(pairs, shapes, patterns, weights)
+    bounds = {(r.shape, r.pattern_id): r.bound for r in X._bounded_pairs(pairs, shapes, patterns, weights).collect()}
+    everything = [(r.shape, -r.similarity, -r.frequency, r.pattern_id) for r in full.collect()]
+    assert all(-s <= bounds[shape, p] for shape, s, _, p in everything)
+    few = [(r.shape, -r.similarity, -r.frequency, r.pattern_id) for r in X._best_pairs(pairs, shapes, patterns, weights, 3).collect()]
+    best = lambda rows: {s: sorted(r for r in rows if r[0] == s)[:3] for s in {r[0] for r in rows}}
+    assert best(few) == best(everything)
+    print(f"{len(few)} of {len(everything)} pairs scored by their subsequence")
+    assert len(few) == len(set(few)) < 0.25 * len(everything)
+
+
 def test_pattern_matching_against_all_pairs(make):
     rnd = random.Random(4)
     events = [("a", f"f{i // 6:02d}", f"e{i:03d}", T0 + i * 7_000_000, rnd.choice(TYPES), rnd.choice(["x", "y", "z", "w"]), None, "ERROR") for i in range(120)]
