@@ -1,10 +1,13 @@
 """Named queries for health, validation and advice (H, V and N rows)."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causalspark.functions import rules as R
 from causalspark.functions.scalar import round_to
-from causalspark.operators import health as H, paths as P, topology as T
+from causalspark.operators import health as H, paths as P, sketches as S, topology as T
 from causalspark.plans.path_queries import DEGREE, REACH, chains
 from causalspark.plans.registry import query
 from causalspark.plans.sqltables import r3
@@ -74,6 +77,36 @@ def h6h(x):
     return H.latency_histogram(_latencies(x))
 
 
+def _sketched(x):
+    """Latencies with their time and resource, sketched by operation and hour."""
+    op = F.when(F.col("etype") == "k8s.event", "message_processing").when(F.col("etype") == "k8s.log", "rca_compute").otherwise("graph_query")
+    values = x.episodes.select(op.alias("operation"), "t", (F.col("value") * 5).alias("value"), F.col("rid").alias("item"))
+    return values, S.build(values, ["operation"])
+
+
+@query("h6_latency_percentiles")
+def h6p(x):
+    """Percentiles of each operation, merged from the hourly sketches (approximate, so without check SQL)."""
+    return S.percentiles(_sketched(x)[1], ["operation"])
+
+
+@query("h6_percentile_errors", f"""SELECT operation, p, count(*) AS n, true AS close FROM ({LAT}) CROSS JOIN (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS p) WHERE ms IS NOT NULL GROUP BY 1, 2""")
+def h6e(x):
+    """Whether the merged percentiles have the rank they stand for, within the sketch's bound."""
+    values, store = _sketched(x)
+    merged = S.merge(store, ["operation"])
+    estimates = reduce(DataFrame.unionByName, [merged.select("operation", F.lit(p).alias("p"), S.quantile(p).alias("estimate")) for p in (0.5, 0.9, 0.99)])
+    return S.rank_errors(values, estimates, ["operation"]).select("operation", "p", "n", (F.col("error") <= S.RANK_ERROR).alias("close"))
+
+
+@query("h6_distinct_errors", "SELECT CASE etype WHEN 'k8s.event' THEN 'message_processing' WHEN 'k8s.log' THEN 'rca_compute' ELSE 'graph_query' END AS operation, count(DISTINCT rid) AS items, true AS close FROM episodes GROUP BY 1")
+def h6d(x):
+    values, store = _sketched(x)
+    exact = values.groupBy("operation").agg(F.count_distinct("item").alias("items"))
+    near = S.merge(store, ["operation"]).select("operation", S.distinct().alias("about"))
+    return exact.join(near, "operation").select("operation", "items", (F.abs(F.col("about") - F.col("items")) <= S.DISTINCT_ERROR * F.col("items")).alias("close"))
+
+
 @query("h7_incident_sla", "SELECT incident_id, CASE WHEN s > 120 THEN 'breached' WHEN n > 10 THEN 'breaching' ELSE 'within_slo' END AS sla_status, CASE WHEN s > 120 THEN 110.0::DOUBLE WHEN n > 10 THEN 98.5::DOUBLE ELSE 95.2::DOUBLE END AS sla_percentage, CASE WHEN s > 120 THEN 0 WHEN n > 10 THEN 1 ELSE 3 END AS risk_budget FROM (SELECT i.incident_id, count(*) FILTER (contains(lower(m.reason), 'fail')) AS n, any_value((i.window_end - i.window_start) / 1000000000.0) AS s FROM incidents i JOIN incident_members m USING (incident_id) GROUP BY 1)")
 def h7(x):
     fails = x.incident_members.groupBy("incident_id").agg(F.count(F.when(F.contains(F.lower("reason"), F.lit("fail")), 1)).alias("n"))

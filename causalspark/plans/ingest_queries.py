@@ -186,6 +186,25 @@ def p12(x):
     return _lines(x).select("id", F.md5(records.unwrap(wrapped)).alias("digest"))
 
 
+WRAPPED = {"lines": LINES, "wrapped": "SELECT id, line, length(line) % 3 AS n FROM lines"}
+
+
+@query("p12_merged_fields", """SELECT id, md5(line) AS digest, CASE n WHEN 0 THEN '' WHEN 1 THEN 'attempt,level' ELSE 'attempt,level,pod' END AS names,
+    CASE n WHEN 1 THEN 'warn' WHEN 2 THEN 'error' END AS level, CASE WHEN n > 0 THEN length(line) END AS attempt, CASE WHEN n = 2 THEN 'p-' || id END AS pod_name FROM wrapped""", WRAPPED)
+def p12_merged(x):
+    """Lines inside no, one or two JSON records with fields of their own; a level occurs in both."""
+    attempt = F.length("line").cast("long").alias("attempt")
+    one = F.to_json(F.struct(F.col("line").alias("message"), F.lit("warn").alias("level"), attempt))
+    inner = F.to_json(F.struct(F.col("line").alias("message"), F.lit("error").alias("level"), F.struct(F.concat(F.lit("p-"), "id").alias("name")).alias("pod")))
+    two = F.to_json(F.struct(inner.alias("log"), F.lit("warn").alias("level"), attempt))
+    n = F.length("line") % 3
+    rows = records.merge_record(_lines(x).select("id", "line"), F.when(n == 0, F.col("line")).when(n == 1, one).otherwise(two))
+    names = F.array_join(F.array_sort(F.map_keys("fields")), ",")
+    of = lambda name, path, kind: F.try_variant_get(F.try_element_at("fields", F.lit(name)), path, kind)
+    return rows.select("id", F.md5("line").alias("digest"), F.coalesce(names, F.lit("")).alias("names"), records.field(F.col("fields"), "level").alias("level"),
+                       of("attempt", "$", "bigint").alias("attempt"), of("pod", "$.name", "string").alias("pod_name"))
+
+
 @query("p13_log_error_type", "SELECT id, coalesce(" + _sql_case([(f"regexp_matches(line, '(?i){p}')", v) for p, v in R.LOG_ERROR_PATTERNS], "NULL") + ", '') AS error_type FROM lines", {"lines": LINES})
 def p13(x):
     return _lines(x).select("id", F.coalesce(K.log_error_type(F.col("line")), F.lit("")).alias("error_type"))

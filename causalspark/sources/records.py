@@ -53,11 +53,50 @@ def unwrap(message: Column) -> Column:
     return once(once(message))
 
 
+def merged_fields(message: Column) -> Column:
+    """Fields of a JSON line as map<string, variant>, with those of a JSON text inside it, up to two levels.
+
+    The text that ``unwrap`` follows (``message``, else ``log``) is left out; of equal names the inner one stays. Values
+    keep their types. Null for a line that is no JSON object.
+    """
+    def opened(text):
+        # only lines that look like an object are parsed
+        value = F.when(F.startswith(F.ltrim(text), F.lit("{")), F.try_parse_json(text))
+        return F.try_variant_get(value, "$", "map<string,variant>")
+
+    def text_of(fields):
+        return F.coalesce(field(fields, "message"), field(fields, "log"))
+
+    def others(fields):
+        # a null message leaves the log to be followed
+        followed = F.when(field(fields, "message").isNotNull(), "message").when(field(fields, "log").isNotNull(), "log").otherwise("")
+        return F.map_filter(fields, lambda name, _: name != followed)
+    outer = opened(message)
+    inner = opened(text_of(outer))
+    kept = F.map_filter(others(outer), lambda name, _: ~F.coalesce(F.map_contains_key(inner, name), F.lit(False)))
+    return F.when(inner.isNull(), others(outer)).otherwise(F.map_concat(kept, others(inner)))
+
+
+def field(fields: Column, name: str) -> Column:
+    """A merged field as text; null if it is not there or null. Objects and lists come as their JSON."""
+    value = F.try_element_at(fields, F.lit(name))
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
+
+
+def merge_record(raw: DataFrame, message: Column | None = None) -> DataFrame:
+    """Log records with ``line`` (the innermost text) and ``fields`` (what else the JSON around it holds)."""
+    text = F.coalesce("message", "log", F.lit("")) if message is None else message
+    return raw.withColumn("line", unwrap(text)).withColumn("fields", merged_fields(text))
+
+
 def normalize_logs(raw: DataFrame) -> DataFrame:
-    """Log records (columns of the LOG schema plus ``key`` and ``t``) to normalized rows."""
-    text = unwrap(F.coalesce("message", "log", F.lit("")))
-    rows = raw.withColumn("line", text).withColumn("low", F.lower("line"))
-    rows = rows.withColumn("severity", K.log_severity(F.col("line"), F.col("level"), F.col("severity"), F.col("low")))
+    """Log records (columns of the LOG schema plus ``key`` and ``t``) to normalized rows.
+
+    A level or severity inside the JSON of the line counts before that of the record.
+    """
+    rows = merge_record(raw).withColumn("low", F.lower("line"))
+    given = lambda name: F.coalesce(field(F.col("fields"), name), F.col(name))
+    rows = rows.withColumn("severity", K.log_severity(F.col("line"), given("level"), given("severity"), F.col("low")))
     rows = rows.withColumn("reason", K.log_reason(F.col("severity"), F.col("low")))
     eid = F.sha1(joined("|", "key", "t", "reason", F.substring("line", 1, 64)))
     return rows.select(

@@ -39,6 +39,28 @@ def test_unwrap_two_levels(make):
     assert [r[0] for r in df.select(records.unwrap(F.col("m"))).collect()] == ["plain", "deep", "deep", '{"other": 1}']
 
 
+def test_fields_of_inner_records_are_merged(make):
+    inner = json.dumps({"message": "deep", "level": "error", "trace": {"id": 7}, "list": [1, 2], "none": None})
+    lines = [("plain",), (json.dumps({"log": inner, "level": "info", "stream": "stderr"}),), ('{"other": 1}',), ("{broken",), ("[1]",), ("",), (None,),
+             (json.dumps({"message": "m", "log": "kept too", "n": 1.5}),), (json.dumps({"message": None, "log": "l"}),), ("{}",),
+             (json.dumps({"message": "{\"message\": \"{\\\"message\\\": 1}\"}"}),)]
+    df = records.merge_record(make.frame(lines, "message string").withColumn("log", F.lit(None).cast("string")))
+    got = [(r.line, None if r.text is None else json.loads(r.text)) for r in df.select("line", F.to_json("fields").alias("text")).collect()]
+    assert got == [
+        ("plain", None), ("deep", {"level": "error", "trace": {"id": 7}, "list": [1, 2], "none": None, "stream": "stderr"}),
+        ('{"other": 1}', {"other": 1}), ("{broken", None), ("[1]", None), ("", None), ("", None),
+        ("m", {"log": "kept too", "n": 1.5}), ("l", {"message": None}), ("{}", {}), ('{"message": 1}', {})]
+
+
+def test_level_inside_the_line_counts(make):
+    raw = make.frame([("k1", 1, "a", json.dumps({"message": "all good", "level": "error"}), "info"), ("k2", 1, "a", "all good", "warn"),
+                      ("k3", 1, "a", json.dumps({"message": "all good"}), "warn")], "key string, t long, client_id string, message string, level string")
+    for c in ("log", "severity", "pod_uid", "pod_namespace", "pod_name"):
+        raw = raw.withColumn(c, F.lit(None).cast("string"))
+    raw = raw.withColumn("kubernetes", F.struct(F.lit("u").alias("pod_uid")))
+    assert [r[0] for r in records.normalize_logs(raw).select("severity").collect()] == ["ERROR", "WARNING", "WARNING"]
+
+
 def test_dead_letters_leave_good_rows_alone(make):
     good = {"client_id": "a", "metadata": {"uid": "u1"}, "reason": "OOMKilled", "type": "Warning",
             "eventTime": "2024-01-01T00:00:00Z", "involvedObject": {"kind": "Pod", "namespace": "n", "name": "p"}}
