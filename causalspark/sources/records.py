@@ -53,40 +53,42 @@ def unwrap(message: Column) -> Column:
     return once(once(message))
 
 
-def merged_fields(message: Column) -> Column:
-    """Fields of a JSON line as map<string, variant>, with those of a JSON text inside it, up to two levels.
+def field(fields: Column, name: str) -> Column:
+    """A merged field as text; null if it is not there or null. Objects and lists come as their JSON."""
+    value = F.try_element_at(fields, F.lit(name))
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
+
 
-    The text that ``unwrap`` follows (``message``, else ``log``) is left out; of equal names the inner one stays. Values
-    keep their types. Null for a line that is no JSON object.
+def merge_record(raw: DataFrame, message: Column | None = None) -> DataFrame:
+    """Log records with ``line``, the innermost text, and ``fields``, what else the JSON around it holds.
+
+    ``fields`` is map<string, variant>, so values keep their types: the fields of a JSON line and of a JSON text inside
+    it, up to two levels. The text that was followed (``message``, else ``log``) is left out; of equal names the inner one
+    stays. It is null, and the line is the text, for a text that is no JSON object or repeats a name in one.
+
+    Each step is a column of its own, so that a line is parsed once a level.
     """
     def opened(text):
         # only lines that look like an object are parsed
         value = F.when(F.startswith(F.ltrim(text), F.lit("{")), F.try_parse_json(text))
         return F.try_variant_get(value, "$", "map<string,variant>")
 
-    def text_of(fields):
-        return F.coalesce(field(fields, "message"), field(fields, "log"))
-
-    def others(fields):
-        # a null message leaves the log to be followed
-        followed = F.when(field(fields, "message").isNotNull(), "message").when(field(fields, "log").isNotNull(), "log").otherwise("")
+    def others(fields, message, log):
+        followed = F.when(F.col(message).isNotNull(), "message").when(F.col(log).isNotNull(), "log").otherwise("")
         return F.map_filter(fields, lambda name, _: name != followed)
-    outer = opened(message)
-    inner = opened(text_of(outer))
-    kept = F.map_filter(others(outer), lambda name, _: ~F.coalesce(F.map_contains_key(inner, name), F.lit(False)))
-    return F.when(inner.isNull(), others(outer)).otherwise(F.map_concat(kept, others(inner)))
 
-
-def field(fields: Column, name: str) -> Column:
-    """A merged field as text; null if it is not there or null. Objects and lists come as their JSON."""
-    value = F.try_element_at(fields, F.lit(name))
-    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
-
-
-def merge_record(raw: DataFrame, message: Column | None = None) -> DataFrame:
-    """Log records with ``line`` (the innermost text) and ``fields`` (what else the JSON around it holds)."""
-    text = F.coalesce("message", "log", F.lit("")) if message is None else message
-    return raw.withColumn("line", unwrap(text)).withColumn("fields", merged_fields(text))
+    def open_level(rows, text, level):
+        rows = rows.withColumn(f"__o{level}", opened(F.col(text)))
+        both = [field(F.col(f"__o{level}"), n).alias(f"__{n}{level}") for n in ("message", "log")]
+        return rows.select("*", *both).withColumn(f"__t{level}", F.coalesce(f"__message{level}", f"__log{level}"))
+    rows = raw.withColumn("__t0", F.coalesce("message", "log", F.lit("")) if message is None else message)
+    rows = open_level(open_level(rows, "__t0", 1), "__t1", 2)
+    outer, inner = others(F.col("__o1"), "__message1", "__log1"), others(F.col("__o2"), "__message2", "__log2")
+    rows = rows.withColumns({"__a": outer, "__b": inner})
+    kept = F.map_filter("__a", lambda name, _: ~F.map_contains_key("__o2", name))
+    fields = F.when(F.col("__o2").isNull(), F.col("__a")).otherwise(F.map_concat(kept, F.col("__b")))
+    own = [c for c in raw.columns if c not in ("line", "fields")]
+    return rows.select(*own, F.coalesce("__t2", "__t1", "__t0").alias("line"), fields.alias("fields"))
 
 
 def normalize_logs(raw: DataFrame) -> DataFrame:
