@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from causalspark.functions import rules as R
 from causalspark.functions.scalar import round_to
-from causalspark.operators import hashing, search as E
+from causalspark.operators import hashing, search as E, vectorindex
 from causalspark.plans.ingest_queries import LINES, _lines
 from causalspark.plans.registry import query
 from causalspark.plans.sqltables import r3
+from causalspark.session import shared_folder
 
 COS = "list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[]))"
 
@@ -63,7 +64,10 @@ def e3(x):
     return E.keyword_vectors(_lines(x), "id", "line").withColumn("dim", F.col("dim").cast("int")).withColumn("value", round_to(F.col("value"), 6))
 
 
-@query("e4_similar_vectors", f"SELECT query_id, item_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS query_id, b.id AS item_id, {r3(COS, 6)} AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM vectors a JOIN vectors b ON b.id < 10000000 AND {COS} >= 0.2 WHERE a.id >= 10000000) WHERE rank <= 5", COPIES)
+SIMILAR = f"SELECT query_id, item_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS query_id, b.id AS item_id, {r3(COS, 6)} AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM vectors a JOIN vectors b ON b.id < 10000000 AND {COS} >= 0.2 WHERE a.id >= 10000000) WHERE rank <= 5"
+
+
+@query("e4_similar_vectors", SIMILAR, COPIES)
 def e4(x):
     queries = _with_copies(x).where("id >= 10000000")
     out = E.similar(queries, _vectors(x), k=5, min_sim=0.2)
@@ -100,7 +104,10 @@ def e5_recent(x):
     return hashing.near_duplicates(timed, 0.95, hours=24).withColumn("similarity", round_to(F.col("similarity"), 6))
 
 
-@query("e6_similar_items", f"SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS query_id, b.id AS item_id, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM vectors a JOIN vectors b ON a.id <> b.id AND {COS} >= 0.3) WHERE rank <= 3",
+ITEMS = f"SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS query_id, b.id AS item_id, row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS rank FROM vectors a JOIN vectors b ON a.id <> b.id AND {COS} >= 0.3) WHERE rank <= 3"
+
+
+@query("e6_similar_items", ITEMS,
        {"vectors": "SELECT vec_id AS id, embedding AS vec FROM embeddings"})
 def e6(x):
     v = _vectors(x)
@@ -113,7 +120,10 @@ def e7(x):
     return E.missing_vectors(x.raw("documents").select(F.col("doc_id").alias("id")), index, "keywords")
 
 
-@query("e8_filtered_vectors", f"SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS.replace('.vec', '.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.label IN (1, 3) AND a.vec_id <> b.vec_id AND {COS.replace('.vec', '.embedding')} >= 0.1) WHERE rank <= 3 AND query_id IS NOT NULL".replace("a.label = b.label AND a.label IN (1, 3)", "a.label = 1 AND b.label = 3"))
+FILTERED = f"SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS.replace('.vec', '.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.label IN (1, 3) AND a.vec_id <> b.vec_id AND {COS.replace('.vec', '.embedding')} >= 0.1) WHERE rank <= 3 AND query_id IS NOT NULL".replace("a.label = b.label AND a.label IN (1, 3)", "a.label = 1 AND b.label = 3")
+
+
+@query("e8_filtered_vectors", FILTERED)
 def e8(x):
     """Filters apply to both sides before the top-k: label 1 searched in label 3."""
     rows = x.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
@@ -121,6 +131,43 @@ def e8(x):
     return out.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("item_id"), "rank")
 
 
+def _index(x, name):
+    """An index over the sample's vectors: trained on and filled with the even ids, then given all, the last batch twice."""
+    rows = x.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    path = f"{shared_folder(x.spark)}/vectors/{name}-{''.join(c if c.isalnum() else '_' for c in x.directory)}"
+    vectorindex.train(path, rows.where("id % 2 = 0"))
+    vectorindex.append(path, rows.where("id % 2 = 0"), 0)
+    for _ in range(2):
+        vectorindex.append(path, rows, 1)
+    return path, rows
+
+
+@query("e4_indexed_vectors", SIMILAR, COPIES)
+def e4_indexed(x):
+    path, _ = _index(x, "e4")
+    found, _ = vectorindex.search(path, _with_copies(x).where("id >= 10000000"), k=5, min_sim=0.2)
+    return found.withColumn("similarity", round_to(F.col("similarity"), 6))
+
+
+@query("e6_indexed_items", ITEMS, {"vectors": "SELECT vec_id AS id, embedding AS vec FROM embeddings"})
+def e6_indexed(x):
+    path, rows = _index(x, "e6")
+    return vectorindex.search(path, rows, k=3, min_sim=0.3)[0].select("query_id", "item_id", "rank")
+
+
+@query("e7_indexed_batches", "SELECT vec_id AS id, CAST(vec_id % 2 AS INTEGER) AS batch FROM embeddings")
+def e7_batches(x):
+    """What each batch has added: only rows that no other batch holds, a repeated batch nothing."""
+    return vectorindex.read(x.spark, _index(x, "e7")[0]).select("id", F.col("batch").cast("int").alias("batch"))
+
+
+@query("e8_indexed_filtered", FILTERED)
+def e8_indexed(x):
+    path, rows = _index(x, "e8")
+    found, _ = vectorindex.search(path, rows.where("label = 1"), k=3, min_sim=0.1, keep=F.col("label") == 3)
+    return found.select("query_id", "item_id", "rank")
+
+
 NOTE = " || ".join(f"CASE WHEN contains(lower(reason), '{w}') THEN '''{w}'' in reason, ' WHEN contains(lower(message), '{w}') THEN '''{w}'' in message, ' ELSE '' END" for w in ["killed", "memory"])
 
 
