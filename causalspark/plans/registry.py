@@ -34,7 +34,7 @@ def _bind(fn):
 def load() -> None:
     from causalspark.plans import (  # noqa: F401
         causal_queries, fault_queries, health_queries, incident_queries, ingest_queries,
-        path_queries, report_queries, search_queries, state_queries, stream_queries,
+        path_queries, policy_queries, report_queries, search_queries, state_queries, stream_queries,
         topology_queries)
 
 
