@@ -292,6 +292,26 @@ def merge_patterns(store: DataFrame, found: DataFrame) -> DataFrame:
     return both.groupBy("pattern_id").agg(F.sum("frequency").alias("frequency"), *[F.min(c).alias(c) for c in cols])
 
 
+def read_patterns(store: DataFrame, root_types=None, limit: int | None = None) -> DataFrame:
+    """Patterns with their ``rank`` in their root type: the most frequent first, equal ones by id.
+
+    All of them, those of the root types, or the ``limit`` first of each root type.
+    """
+    rows = store.where(F.col("root_type").isin(list(root_types))) if root_types else store
+    w = W.partitionBy("root_type").orderBy(F.desc("frequency"), "pattern_id")
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= limit) if limit else ranked
+
+
+def pattern_events(store: DataFrame) -> DataFrame:
+    """(pattern_id, position, event, causes, effects): the events of each pattern with their numbers of edges in and out."""
+    events = store.select("pattern_id", F.posexplode("sequence").alias("position", "event"))
+    edges = store.select("pattern_id", F.explode("edges").alias("e"))
+    side = lambda end, name: edges.groupBy("pattern_id", F.col(f"e.{end}").alias("event")).agg(F.count("*").alias(name))
+    return (events.join(side("target_sig", "causes"), ["pattern_id", "event"], "left")
+            .join(side("source_sig", "effects"), ["pattern_id", "event"], "left").na.fill(0, ["causes", "effects"]))
+
+
 def pattern_statistics(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("root_type").agg(
         F.count("*").alias("patterns"), F.sum("frequency").alias("faults"), F.max("frequency").alias("most"),

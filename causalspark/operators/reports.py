@@ -219,6 +219,18 @@ def resource_catalogue(resources: DataFrame, episodes: DataFrame, depends: DataF
     return top_per(rows, ["client_id"], [F.desc("events"), "rid"], limit, offset).join(total, "client_id")
 
 
+def catalogue_dependencies(page: DataFrame, edges: DataFrame) -> DataFrame:
+    """(client_id, rid, position, dependency, type): what each resource of a page points to, as rows, once per relation.
+
+    ``position`` counts from 1 by dependency and type; a resource without dependencies has no row. A page holds a
+    bounded number of resources for each tenant, so only their edges are sorted.
+    """
+    ends = edges.select("client_id", F.col("src").alias("rid"), F.col("dst").alias("dependency"), "type").join(
+        page.select("client_id", "rid"), ["client_id", "rid"], "left_semi").distinct()
+    w = W.partitionBy("client_id", "rid").orderBy("dependency", "type")
+    return ends.withColumn("position", F.row_number().over(w))
+
+
 def node_distribution(pods: DataFrame) -> DataFrame:
     return pods.groupBy("client_id", "node").agg(
         _count().alias("pods"), F.array_join(F.array_sort(F.collect_set("ns")), "|").alias("namespaces"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalspark.functions.scalar import DAY_US
+from causalspark.functions.scalar import DAY_US, parse_rid
 from causalspark.operators.timejoin import latest
 
 
@@ -50,6 +50,21 @@ def with_endpoint_stubs(resources: DataFrame, edges: DataFrame) -> DataFrame:
             .unionByName(stubs.withColumn("stub", F.lit(True)), allowMissingColumns=True))
 
 
+def with_endpoint_properties(resources: DataFrame, edges: DataFrame) -> DataFrame:
+    """As :func:`with_endpoint_stubs`, and kind, ns, name and uid of every edge end are read from its id where they are null.
+
+    Of a resource that is no edge end nothing is filled. An id that is neither ``kind:uid`` nor ``kind:ns:name`` gives no properties.
+    """
+    ends = (edges.select("client_id", F.col("src").alias("rid"))
+            .unionByName(edges.select("client_id", F.col("dst").alias("rid"))).where("rid IS NOT NULL").distinct())
+    rows = with_endpoint_stubs(resources, edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    for name in ("kind", "ns", "name", "uid"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    rows = rows.join(ends.withColumn("_end", F.lit(True)), ["client_id", "rid"], "left")
+    return rows.withColumns({name: F.coalesce(name, F.when(F.col("_end"), part)) for name, part in parse_rid(F.col("rid")).items()}).drop("_end")
+
+
 def merge_properties(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Upsert that keeps an old property where the new value is null."""
     cols = [c for c in old.columns if c not in keys]

@@ -203,6 +203,23 @@ def c13(x):
     return merged.select("pattern_id", "frequency", "root_type")
 
 
+STORED = {**SHAPES, "fids": "SELECT md5(root_type || '|' || array_to_string(sequence, '>') || '|' || js) AS pattern_id, root_type, sequence, js, frequency FROM fstore"}
+
+
+@query("c13_patterns_by_root", "SELECT pattern_id, root_type, frequency, CAST(row_number() OVER (PARTITION BY root_type ORDER BY frequency DESC, pattern_id) AS INTEGER) AS rank FROM fids QUALIFY rank <= 5", STORED)
+def c13_by_root(x):
+    """The five most frequent patterns of each root type."""
+    return X.read_patterns(X.pattern_store(abstract(x)), limit=5).select("pattern_id", "root_type", "frequency", "rank")
+
+
+@query("c13_pattern_events", """SELECT p.pattern_id, p.position, p.event, (SELECT count(*) FROM arcs a WHERE a.pattern_id = p.pattern_id AND a.target = p.event) AS causes,
+    (SELECT count(*) FROM arcs a WHERE a.pattern_id = p.pattern_id AND a.source = p.event) AS effects
+  FROM (SELECT pattern_id, unnest(sequence) AS event, CAST(unnest(range(len(sequence))) AS INTEGER) AS position FROM fids) p""",
+       {**STORED, "arcs": "SELECT pattern_id, e ->> 'source_sig' AS source, e ->> 'target_sig' AS target FROM (SELECT pattern_id, unnest(CAST(js AS JSON[])) AS e FROM fids)"})
+def c13_events(x):
+    return X.pattern_events(X.pattern_store(abstract(x)))
+
+
 @query("c14_abstract_faults", "SELECT fault_id, root_type, array_to_string(sequence, '>') AS sequence, n AS edges FROM fabs", SHAPES)
 def c14(x):
     return abstract(x).select("fault_id", "root_type", F.array_join("sequence", ">").alias("sequence"), F.size("edges").alias("edges"))

@@ -35,7 +35,7 @@ def load() -> None:
     from causalspark.plans import (  # noqa: F401
         causal_queries, fault_queries, health_queries, incident_queries, ingest_queries,
         path_queries, policy_queries, report_queries, search_queries, state_queries, stream_queries,
-        topology_queries)
+        topology_queries, typed_queries)
 
 
 def queries() -> dict[str, Callable]:

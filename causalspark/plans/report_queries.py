@@ -159,6 +159,13 @@ def a23(x):
     return A.resource_catalogue(x.resources, x.episodes, x.edges, hours=168, offset=20, limit=50)
 
 
+@query("a23_catalogue_dependencies", """SELECT client_id, rid, dependency, type, CAST(row_number() OVER (PARTITION BY client_id, rid ORDER BY dependency, type) AS INTEGER) AS position FROM (
+    SELECT DISTINCT e.client_id, e.src AS rid, e.dst AS dependency, e.type FROM edges e JOIN (SELECT r.client_id, r.rid FROM resources r LEFT JOIN (SELECT client_id, rid, count(*) AS n FROM episodes, clock WHERE t >= now - 604800000000 GROUP BY 1, 2) v USING (client_id, rid)
+      QUALIFY row_number() OVER (PARTITION BY r.client_id ORDER BY coalesce(v.n, 0) DESC, r.rid) BETWEEN 21 AND 70) p ON p.client_id = e.client_id AND p.rid = e.src)""")
+def a23_dependencies(x):
+    return A.catalogue_dependencies(a23(x), x.edges)
+
+
 @query("a24_node_distribution", "SELECT client_id, node, count(*) AS pods, string_agg(DISTINCT ns, '|' ORDER BY ns) AS namespaces FROM pods GROUP BY 1, 2")
 def a24(x):
     return A.node_distribution(x.resources.where("kind = 'Pod'"))

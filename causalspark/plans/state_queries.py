@@ -27,6 +27,17 @@ def c2s(x):
                                  ).select("client_id", "rid", "stub")
 
 
+@query("c2_endpoint_properties", """SELECT e.client_id, e.rid, NOT coalesce(l.live, false) AS stub, split_part(e.rid, ':', 2) AS ns, CASE WHEN e.rid[1:4] = 'pod:' THEN coalesce(CASE WHEN l.phase = 'F' THEN l.image END, 'Pod') ELSE 'Service' END AS kind,
+    split_part(e.rid, ':', 3) AS name FROM ends e LEFT JOIN live l ON l.client_id = e.client_id AND l.rid = e.rid
+  UNION ALL SELECT client_id, rid, false, NULL, CASE WHEN phase = 'F' THEN image END, NULL FROM live l WHERE NOT EXISTS (SELECT 1 FROM ends e WHERE e.client_id = l.client_id AND e.rid = l.rid)""",
+       {"live": f"SELECT client_id, rid, image, phase, true AS live FROM ({LIVE})",
+        "ends": f"SELECT client_id, src AS rid FROM ({LIVE_EDGES}) UNION SELECT client_id, dst FROM ({LIVE_EDGES})"})
+def c2p(x):
+    """Resources that know their kind only in part: the edges' ends tell the rest."""
+    known = S.current_resources(x.resource_changes).select("client_id", "rid", F.when(F.col("phase") == "F", F.col("image")).alias("kind"))
+    return S.with_endpoint_properties(known, S.current_edges(x.edge_changes)).select("client_id", "rid", "stub", "ns", "kind", "name")
+
+
 @query("c3_detach_edges", f"""SELECT e.client_id, e.id FROM ({LIVE_EDGES}) e JOIN ({LIVE}) l ON l.client_id = e.client_id AND l.rid = e.dst""")
 def c3(x):
     live = S.current_resources(x.resource_changes)

@@ -32,3 +32,5 @@ ALERT_WEBHOOK = _struct(
 LOG = _struct(client_id=_S, timestamp=_S, message=_S, log=_S, level=_S, severity=_S, pod_uid=_S,
               pod_namespace=_S, pod_name=_S, kubernetes=_struct(pod_uid=_S))
 HEARTBEAT = _struct(client_id=_S, t=_L, status=_S)
+TARGET_CHANGE = _struct(op=_S, at=_S, client_id=_S, cluster=_S, labels=STRING_MAP, scrapeUrl=_S, health=_S, lastScrape=_S, lastError=_S)
+RULE_CHANGE = _struct(op=_S, at=_S, client_id=_S, cluster=_S, group=_S, rule=_S, type=_S, labels=STRING_MAP, annotations=STRING_MAP, expr=_S)
