@@ -1,8 +1,8 @@
 """Named queries for fault graphs, ranking and patterns (F, R, K rows and C13, C14, A31, A32).
 
 The choice of edges feeds back into later scores; the check SQL follows it event by event with a
-recursive table. Pattern matches and expected paths are compared with plain re-derivations in the
-tests.
+recursive table. Pattern matches are compared with all shapes scored against all patterns, expected paths with all
+shortest ways.
 """
 
 from pyspark.sql import Window as W
@@ -96,6 +96,40 @@ SHAPES = {
     "fabs": "SELECT s.fault_id, r.root_type, sequence, coalesce(n, 0) AS n, coalesce(js, '[]') AS js FROM fseq s JOIN (SELECT fault_id, arg_min(type, {'t': t, 'eid': eid}) AS root_type FROM froots GROUP BY 1) r USING (fault_id) LEFT JOIN flinks USING (fault_id)",
     "fstore": "SELECT root_type, sequence, js, count(*) AS frequency FROM fabs GROUP BY 1, 2, 3",
 }
+ID = "md5(root_type || '|' || array_to_string(sequence, '>') || '|' || js)"
+STORED = {**SHAPES, "fids": f"SELECT {ID} AS pattern_id, root_type, sequence, js, frequency FROM fstore"}
+PATHS = {
+    **STORED,
+    "kpattern": "SELECT * FROM fids WHERE frequency >= 2",
+    "karc": "SELECT pattern_id, e ->> 'source_sig' AS source, e ->> 'target_sig' AS target FROM (SELECT pattern_id, unnest(CAST(js AS JSON[])) AS e FROM kpattern)",
+    "kroot": "SELECT DISTINCT pattern_id, node FROM (SELECT pattern_id, unnest(sequence) AS node FROM kpattern) n WHERE NOT EXISTS (SELECT 1 FROM karc a WHERE a.pattern_id = n.pattern_id AND a.target = n.node)",
+    "kreach": """SELECT pattern_id, node AS root, node, 0 AS d FROM kroot UNION SELECT r.pattern_id, r.root, a.target, r.d + 1 FROM kreach r JOIN karc a ON a.pattern_id = r.pattern_id AND a.source = r.node
+        JOIN kpattern p ON p.pattern_id = r.pattern_id AND r.d < len(p.sequence)""",
+    "kleast": "SELECT pattern_id, root, node, min(d) AS d FROM kreach GROUP BY 1, 2, 3",
+    "kway": """SELECT pattern_id, node AS root, node, [node] AS path FROM kroot UNION ALL SELECT w.pattern_id, w.root, a.target, list_append(w.path, a.target) FROM kway w JOIN karc a ON a.pattern_id = w.pattern_id AND a.source = w.node
+        JOIN kleast l ON l.pattern_id = w.pattern_id AND l.root = w.root AND l.node = a.target AND l.d = len(w.path)""",
+}
+# All shapes with all patterns, and the common subsequence by the plain table of prefixes, one row of it in each round.
+MATCHES = {
+    **STORED,
+    "kfirst": "SELECT fault_id, sig, type, regexp_replace(regexp_replace(service, '-[^-]{9,}$', '-*'), '-\\*$', '') AS family, min({'t': t, 'eid': eid}) AS seen FROM fsig GROUP BY fault_id, sig, type, service",
+    "kfault": """SELECT f.*, ts, types, services FROM fabs f JOIN (SELECT fault_id, list(type ORDER BY seen) AS ts, list_sort(list_distinct(list(type))) AS types, list_sort(list_distinct(list(family))) AS services FROM kfirst GROUP BY 1) USING (fault_id)""",
+    "kshape": "SELECT DISTINCT ts, types, services, js, CAST(n AS DOUBLE) AS m FROM kfault",
+    "kpattern": f"SELECT {ID} AS pattern_id, count(*) AS frequency, ts, types, services, CAST(n AS DOUBLE) AS m FROM kfault GROUP BY root_type, sequence, js, ts, types, services, n HAVING count(*) >= 2",
+    "klcs": """SELECT a, b, 0 AS i, list_transform(b, lambda y: 0) AS dp FROM (SELECT DISTINCT s.ts AS a, p.ts AS b FROM kshape s, kpattern p)
+        UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda q: greatest(dp[q],
+          CASE WHEN b[q] = a[i + 1] THEN 1 + CASE WHEN q = 1 THEN 0 ELSE dp[q - 1] END ELSE 0 END)))) FROM klcs WHERE i < len(a)""",
+    "kratio": "SELECT a, b, 2.0 * CAST(dp[len(b)] AS DOUBLE) / CAST(len(a) + len(b) AS DOUBLE) AS sequence_score FROM klcs WHERE i = len(a)",
+    "kpair": """SELECT *, CASE WHEN m1 = 0 AND m2 = 0 THEN 1.0 ELSE (CAST(least(m1, m2) AS DOUBLE) / greatest(m1, m2, 1) + CASE WHEN d1 = 0 AND d2 = 0 THEN CAST(1 AS DOUBLE) ELSE 1 - abs(d1 - d2) END) / CAST(2 AS DOUBLE) END AS structure FROM (
+        SELECT s.ts, s.types, s.services, s.js, p.pattern_id, p.frequency, p.types AS p_types, s.m AS m1, p.m AS m2, r.sequence_score,
+          CASE WHEN len(s.ts) > 1 THEN s.m / CAST(len(s.ts) * (len(s.ts) - 1) AS DOUBLE) ELSE 0 END AS d1, CASE WHEN len(p.ts) > 1 THEN p.m / CAST(len(p.ts) * (len(p.ts) - 1) AS DOUBLE) ELSE 0 END AS d2,
+          len(list_intersect(s.types, p.types)) / CAST(len(list_distinct(list_concat(s.types, p.types))) AS DOUBLE) AS jt,
+          len(list_intersect(s.services, p.services)) / CAST(len(list_distinct(list_concat(s.services, p.services))) AS DOUBLE) AS js_
+        FROM kshape s, kpattern p JOIN kratio r ON r.a = s.ts AND r.b = p.ts)""",
+    "kscored": """SELECT *, CAST(0.35 AS DOUBLE) * jt + CAST(0.25 AS DOUBLE) * js_ + CAST(0.30 AS DOUBLE) * sequence_score + CAST(0.10 AS DOUBLE) * structure AS similarity FROM kpair""",
+    "kbest": """SELECT *, CAST(row_number() OVER (PARTITION BY ts, types, services, js ORDER BY similarity DESC, frequency DESC, pattern_id) AS INTEGER) AS rank FROM kscored QUALIFY rank <= 3""",
+    "kmatch": "SELECT f.fault_id, k.* FROM kfault f JOIN kbest k ON k.ts = f.ts AND k.types = f.types AND k.services = f.services AND k.js = f.js",
+}
 SCORED = {
     **GRAPH,
     "fback": """SELECT fault_id, eid, 0 AS dist FROM fev WHERE is_last UNION SELECT b.fault_id, d.source, b.dist + 1 FROM fback b JOIN fedges d ON d.fault_id = b.fault_id AND d.target = b.eid""",
@@ -136,7 +170,8 @@ def f5(x):
     return X.propagation_paths(nodes(x)).withColumn("path", F.array_join("path", ">"))
 
 
-@query("f6_expected_paths")
+@query("f6_expected_paths", """SELECT p.pattern_id, array_to_string(coalesce(w.path, p.sequence), '>') AS path FROM kpattern p LEFT JOIN (
+    SELECT pattern_id, path FROM kway QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY len(path) DESC, path) = 1) w USING (pattern_id)""", PATHS)
 def f6(x):
     return X.expected_paths(patterns(x)).withColumn("path", F.array_join("path", ">"))
 
@@ -176,22 +211,24 @@ def r4(x):
     return X.analyse(nodes(x), depends(x), abstract(x), patterns(x))
 
 
-@query("k1_pattern_matches")
+@query("k1_pattern_matches", f"SELECT fault_id, pattern_id, rank, {r3('similarity', 6)} AS similarity FROM kmatch", MATCHES)
 def k1(x):
     return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", "rank", round_to(F.col("similarity"), 6).alias("similarity"))
 
 
-@query("k2_sequence_similarity")
+@query("k2_sequence_similarity", f"SELECT fault_id, pattern_id, {r3('sequence_score', 6)} AS sequence FROM kmatch", MATCHES)
 def k2(x):
     return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", round_to(F.col("sequence"), 6).alias("sequence"))
 
 
-@query("k3_structure_similarity")
+@query("k3_structure_similarity", f"SELECT fault_id, pattern_id, {r3('structure', 6)} AS structure FROM kmatch", MATCHES)
 def k3(x):
     return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", round_to(F.col("structure"), 6).alias("structure"))
 
 
-@query("k4_match_confidence")
+@query("k4_match_confidence", f"""SELECT fault_id, pattern_id, {r3('least(CAST(1 AS DOUBLE), CAST(0.7 AS DOUBLE) * similarity + least(CAST(0.3 AS DOUBLE), CAST(0.1 AS DOUBLE) * sqrt(frequency)))', 6)} AS confidence,
+    array_to_string(list_sort(list_intersect(types, p_types)), ',') AS matched, array_to_string(list_filter(p_types, lambda p: NOT list_contains(types, p)), ',') AS missing,
+    array_to_string(list_filter(types, lambda p: NOT list_contains(p_types, p)), ',') AS extra FROM kmatch""", MATCHES)
 def k4(x):
     return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", round_to(F.col("confidence"), 6).alias("confidence"), "matched", "missing", "extra")
 
@@ -203,9 +240,6 @@ def c13(x):
     return merged.select("pattern_id", "frequency", "root_type")
 
 
-STORED = {**SHAPES, "fids": "SELECT md5(root_type || '|' || array_to_string(sequence, '>') || '|' || js) AS pattern_id, root_type, sequence, js, frequency FROM fstore"}
-
-
 @query("c13_patterns_by_root", "SELECT pattern_id, root_type, frequency, CAST(row_number() OVER (PARTITION BY root_type ORDER BY frequency DESC, pattern_id) AS INTEGER) AS rank FROM fids QUALIFY rank <= 5", STORED)
 def c13_by_root(x):
     """The five most frequent patterns of each root type."""
