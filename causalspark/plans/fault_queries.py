@@ -109,6 +109,10 @@ PATHS = {
     "kway": """SELECT pattern_id, node AS root, node, [node] AS path FROM kroot UNION ALL SELECT w.pattern_id, w.root, a.target, list_append(w.path, a.target) FROM kway w JOIN karc a ON a.pattern_id = w.pattern_id AND a.source = w.node
         JOIN kleast l ON l.pattern_id = w.pattern_id AND l.root = w.root AND l.node = a.target AND l.d = len(w.path)""",
 }
+STATISTICS = """SELECT *, CASE WHEN events > 1 THEN relations / CAST(events * (events - 1) AS DOUBLE) ELSE 0 END AS density FROM (SELECT fault_id, count(*) AS events, CAST(sum(len(best)) AS BIGINT) AS relations, count(*) FILTER (len(best) = 0) AS roots,
+    count(DISTINCT service) AS services, count(DISTINCT e.type) AS types, (max(t) - min(t)) / CAST(1000000.0 AS DOUBLE) AS span_seconds FROM fev e JOIN fgraph g USING (fault_id, pos) GROUP BY 1)"""
+EXPLANATION = """type || ' on ' || service || ' happened ' || CASE WHEN time_score > 0.8 THEN 'very close in time to' WHEN time_score > 0.5 THEN 'shortly before' ELSE 'well before' END || ' the alarm, '
+    || CASE WHEN distance_score > 0.8 THEN 'on the same or a direct service' WHEN distance_score > 0.5 THEN 'on a near service' ELSE 'on a distant service' END"""
 # All shapes with all patterns, and the common subsequence by the plain table of prefixes, one row of it in each round.
 MATCHES = {
     **STORED,
@@ -200,15 +204,22 @@ def r2(x):
     return X.rank_root_causes(_scores(x)).select("fault_id", "eid", "rank", round_to(F.col("rank_score"), 6).alias("rank_score"))
 
 
-@query("r3_explanations", """SELECT fault_id, eid, type || ' on ' || service || ' happened ' || CASE WHEN time_score > 0.8 THEN 'very close in time to' WHEN time_score > 0.5 THEN 'shortly before' ELSE 'well before' END || ' the alarm, '
-    || CASE WHEN distance_score > 0.8 THEN 'on the same or a direct service' WHEN distance_score > 0.5 THEN 'on a near service' ELSE 'on a distant service' END AS explanation FROM franked WHERE rank = 1""", SCORED)
+@query("r3_explanations", f"SELECT fault_id, eid, {EXPLANATION} AS explanation FROM franked WHERE rank = 1", SCORED)
 def r3_(x):
     return X.rank_root_causes(_scores(x), top_n=1).select("fault_id", "eid", X.explanation().alias("explanation"))
 
 
-@query("r4_fault_analysis")
+CONFIDENCE = r3('least(CAST(1 AS DOUBLE), CAST(0.7 AS DOUBLE) * similarity + least(CAST(0.3 AS DOUBLE), CAST(0.1 AS DOUBLE) * sqrt(frequency)))', 6)
+
+
+@query("r4_fault_analysis", f"""SELECT s.*, p.alarm, p.depth, r.eid AS root_cause, {r3('r.rank_score', 6)} AS rank_score, r.explanation, k.pattern_id, k.confidence AS pattern_confidence FROM fstats s
+  JOIN (SELECT fault_id, eid AS alarm, recent[-1].depth AS depth FROM fgraph JOIN (SELECT fault_id, pos FROM fev WHERE is_last) USING (fault_id, pos)) p USING (fault_id)
+  JOIN (SELECT fault_id, eid, rank_score, {EXPLANATION} AS explanation FROM franked WHERE rank = 1) r USING (fault_id)
+  LEFT JOIN (SELECT fault_id, pattern_id, {CONFIDENCE} AS confidence FROM kmatch WHERE rank = 1) k USING (fault_id)""",
+       {**SCORED, **MATCHES, "fstats": STATISTICS})
 def r4(x):
-    return X.analyse(nodes(x), depends(x), abstract(x), patterns(x))
+    found = X.analyse(nodes(x), depends(x), abstract(x), patterns(x))
+    return found.withColumns({c: round_to(F.col(c), 6) for c in ("rank_score", "pattern_confidence")})
 
 
 @query("k1_pattern_matches", f"SELECT fault_id, pattern_id, rank, {r3('similarity', 6)} AS similarity FROM kmatch", MATCHES)
@@ -226,7 +237,7 @@ def k3(x):
     return X.match_patterns(abstract(x), patterns(x)).select("fault_id", "pattern_id", round_to(F.col("structure"), 6).alias("structure"))
 
 
-@query("k4_match_confidence", f"""SELECT fault_id, pattern_id, {r3('least(CAST(1 AS DOUBLE), CAST(0.7 AS DOUBLE) * similarity + least(CAST(0.3 AS DOUBLE), CAST(0.1 AS DOUBLE) * sqrt(frequency)))', 6)} AS confidence,
+@query("k4_match_confidence", f"""SELECT fault_id, pattern_id, {CONFIDENCE} AS confidence,
     array_to_string(list_sort(list_intersect(types, p_types)), ',') AS matched, array_to_string(list_filter(p_types, lambda p: NOT list_contains(types, p)), ',') AS missing,
     array_to_string(list_filter(types, lambda p: NOT list_contains(p_types, p)), ',') AS extra FROM kmatch""", MATCHES)
 def k4(x):
@@ -264,7 +275,6 @@ def a31(x):
     return X.pattern_statistics(X.pattern_store(abstract(x)))
 
 
-@query("a32_graph_statistics", """SELECT *, CASE WHEN events > 1 THEN relations / CAST(events * (events - 1) AS DOUBLE) ELSE 0 END AS density FROM (SELECT fault_id, count(*) AS events, CAST(sum(len(best)) AS BIGINT) AS relations, count(*) FILTER (len(best) = 0) AS roots,
-    count(DISTINCT service) AS services, count(DISTINCT e.type) AS types, (max(t) - min(t)) / CAST(1000000.0 AS DOUBLE) AS span_seconds FROM fev e JOIN fgraph g USING (fault_id, pos) GROUP BY 1)""", GRAPH)
+@query("a32_graph_statistics", STATISTICS, GRAPH)
 def a32(x):
     return X.graph_statistics(nodes(x))
