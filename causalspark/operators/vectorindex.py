@@ -115,17 +115,23 @@ def append(path: str, vectors: DataFrame, batch: int) -> None:
      .coalesce(1).write.mode("overwrite").parquet(f"{path}/cells/batch={int(batch)}"))
 
 
-def _cells(spark: SparkSession, path: str) -> pd.DataFrame:
-    """(list, ring, n, low, high) over all batches: at most lists times rings (1,024 times 49) rows."""
+def _cells(spark: SparkSession, path: str, block_rows: int) -> pd.DataFrame:
+    """(list, ring, n, low, high, page) over all batches: at most lists times rings (1,024 times 49) rows.
+
+    Neighbouring cells make a page of about ``block_rows`` rows, so that a query is sent to pages, not to each small cell.
+    """
     found = _batches(spark, path, "cells").groupBy("list", "ring").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return found.orderBy("list", "ring").toPandas()
+    cells = found.orderBy("list", "ring").toPandas()
+    return cells.assign(page=((cells["n"].cumsum() - cells["n"]) // block_rows).astype("int64"))
 
 
 def _ask(queries: DataFrame, centres: np.ndarray, cells: pd.DataFrame, min_sim: float, probes: int, first: bool) -> DataFrame:
-    """(query_id, vec, cell): cells of the nearest lists, or else the others that can hold a match of at least ``floor``."""
-    lists, low, high = (cells[c].to_numpy() for c in ("list", "low", "high"))
+    """(query_id, vec, page, cells): cells of the nearest lists, or else the others that can hold a match of at least ``floor``."""
+    lists, low, high, pages = (cells[c].to_numpy() for c in ("list", "low", "high", "page"))
     filled = np.unique(lists)
-    step = max(1, 2_000_000 // max(1, len(cells)))
+    # so many queries at once that neither the bounds nor the copies of the vectors grow large
+    width = len(cells) + len(np.unique(pages)) * centres.shape[1]
+    step = max(1, 500_000 // max(1, width))
 
     def ask(frames):
         for pdf in frames:
@@ -140,45 +146,65 @@ def _ask(queries: DataFrame, centres: np.ndarray, cells: pd.DataFrame, min_sim:
                 floor = np.full(len(part), min_sim) if first else np.maximum(min_sim, part["floor"].fillna(-1.0).to_numpy())
                 wanted = (near if first else ~near)[:, lists] & (bound >= floor[:, None] - 1e-7)
                 i, j = np.nonzero(wanted)
-                yield pd.DataFrame({"query_id": part["id"].to_numpy()[i], "vec": part["vec"].to_numpy()[i], "cell": j.astype("int32")})
+                if len(i):
+                    starts = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(pages[j]) != 0)])
+                    yield pd.DataFrame({"query_id": part["id"].to_numpy()[i[starts]], "vec": part["vec"].to_numpy()[i[starts]],
+                                        "page": pages[j[starts]], "cells": np.split(j.astype("int32"), starts[1:])})
+
+    return queries.mapInPandas(ask, "query_id long, vec array<double>, page long, cells array<int>")
 
-    return queries.mapInPandas(ask, "query_id long, vec array<double>, cell int")
+
+def _k_best(names, items, sims, k: int) -> pd.DataFrame:
+    """The ``k`` best of each name, equal similarities by item."""
+    order = np.lexsort((items, -sims, names))
+    names, items, sims = names[order], items[order], sims[order]
+    place = np.arange(len(names)) - np.searchsorted(names, names)
+    keep = place < k
+    return pd.DataFrame({"query_id": names[keep], "item_id": items[keep], "similarity": sims[keep]})
 
 
 def _compare(asked: DataFrame, rows: DataFrame, cells: pd.DataFrame, k: int, min_sim: float, block_rows: int) -> DataFrame:
-    """The k best of each asked (query, block of a cell): both sides of a task have about ``block_rows`` rows at most."""
+    """The k best of each asked (query, part of a page), its asked cells only: both sides of a task have about ``block_rows`` rows."""
     spark = asked.sparkSession
-    counts = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    counts = {r["page"]: r["n"] for r in asked.groupBy("page").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return spark.createDataFrame([], MATCHES)
     blocks = lambda n: int(-(-n // block_rows))
-    used = cells.loc[sorted(counts)]
-    plan = F.broadcast(spark.createDataFrame(
-        [(int(c), int(r.list), int(r.ring), blocks(r.n), blocks(counts[c])) for c, r in zip(used.index, used.itertuples())],
-        "cell int, list int, ring int, parts int, query_parts int"))
+    used = cells[cells["page"].isin(list(counts))]
+    sizes = used.groupby("page")["n"].sum()
+    plan = F.broadcast(spark.createDataFrame([(int(p), blocks(sizes[p]), blocks(counts[p])) for p in sizes.index], "page long, parts int, query_parts int"))
+    where = F.broadcast(spark.createDataFrame([(int(c), int(r.list), int(r.ring), int(r.page)) for c, r in zip(used.index, used.itertuples())],
+                                              "c int, list int, ring int, page long"))
     shelves = sorted({int(n) // SHELF for n in used["list"]})
     block = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
-    left = asked.join(plan, "cell").select("query_id", "vec", "cell", block("query_id", "query_parts").alias("qb"),
+    left = asked.join(plan, "page").select("query_id", "vec", "cells", "page", block("query_id", "query_parts").alias("qb"),
                                            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ib"))
-    right = rows.where(F.col("shelf").isin(shelves)).select("id", F.col("vec").alias("item"), "list", "ring").join(plan, ["list", "ring"]).select(
-        "id", "item", F.col("cell").alias("c"), block("id", "parts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("q"))
+    right = rows.where(F.col("shelf").isin(shelves)).select("id", F.col("vec").alias("item"), "list", "ring").join(where, ["list", "ring"]).join(plan, "page").select(
+        "id", "item", "c", F.col("page").alias("p"), block("id", "parts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("q"))
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        found = []
         if len(a) and len(b):
             x, y = _normalized(a["vec"]), _normalized(b["item"])
             names, items = a["query_id"].to_numpy(), b["id"].to_numpy()
-            for start in range(0, len(x), 512):
-                sims = np.round(x[start:start + 512] @ y.T, 12)
-                sims[names[start:start + 512, None] == items[None, :]] = -2.0
-                keep = sims >= min_sim
-                for i in np.nonzero(keep.any(axis=1))[0]:
-                    j = np.nonzero(keep[i])[0]
-                    best = j[np.lexsort((items[j], -sims[i, j]))[:k]]
-                    parts.append(pd.DataFrame({"query_id": names[start + i], "item_id": items[best], "similarity": sims[i, best]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-
-    return left.groupBy("cell", "qb", "ib").cogroup(right.groupBy("c", "q", "i")).applyInPandas(match, MATCHES)
+            cell, owner = np.concatenate(a["cells"].tolist()), np.repeat(np.arange(len(a)), a["cells"].map(len))
+            order = np.argsort(cell, kind="stable")
+            cell, owner = cell[order], owner[order]
+            at = np.argsort(b["c"].to_numpy(), kind="stable")
+            here, starts = np.unique(b["c"].to_numpy()[at], return_index=True)
+            for c, members in zip(here, np.split(at, starts[1:])):
+                asking = owner[np.searchsorted(cell, c):np.searchsorted(cell, c, "right")]
+                for start in range(0, len(asking), 256):
+                    part = asking[start:start + 256]
+                    sims = np.round(x[part] @ y[members].T, 12)
+                    i, j = np.nonzero((sims >= min_sim) & (names[part][:, None] != items[members][None, :]))
+                    found.append(_k_best(names[part][i], items[members][j], sims[i, j], k))
+        if not found:
+            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+        every = pd.concat(found)
+        return _k_best(*(every[c].to_numpy() for c in ("query_id", "item_id", "similarity")), k)
+
+    return left.groupBy("page", "qb", "ib").cogroup(right.groupBy("p", "q", "i")).applyInPandas(match, MATCHES)
 
 
 def _best(matches: DataFrame, k: int) -> DataFrame:
@@ -196,7 +222,7 @@ def search(path: str, queries: DataFrame, k: int = 10, min_sim: float = 0.6, kee
     queries without id or vector have no rows in either result.
     """
     spark = queries.sparkSession
-    centres, cells, rows = _centres(spark, path), _cells(spark, path), read(spark, path)
+    centres, cells, rows = _centres(spark, path), _cells(spark, path, block_rows), read(spark, path)
     rows = rows if keep is None else rows.where(keep)
     asked = cut_lineage(queries.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec"))
     near = cut_lineage(_ask(asked, centres, cells, min_sim, probes, True))
@@ -206,7 +232,8 @@ def search(path: str, queries: DataFrame, k: int = 10, min_sim: float = 0.6, kee
     more = _compare(far, rows, cells, k, min_sim, block_rows)
     matches = _best(found.drop("rank").unionByName(more), k)
     sizes = F.broadcast(spark.createDataFrame([(int(c), int(n)) for c, n in cells["n"].items()], "cell int, n long"))
-    both = near.select("query_id", "cell", F.lit(1).alias("first")).unionByName(far.select("query_id", "cell", F.lit(0).alias("first")))
+    both = near.select("query_id", F.explode("cells").alias("cell"), F.lit(1).alias("first")).unionByName(
+        far.select("query_id", F.explode("cells").alias("cell"), F.lit(0).alias("first")))
     reads = both.join(sizes, "cell").groupBy("query_id").agg(
         F.sum("first").alias("near_cells"), F.sum(1 - F.col("first")).alias("far_cells"), F.sum("n").alias("rows_read"))
     total = int(cells["n"].sum())
