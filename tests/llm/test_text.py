@@ -164,6 +164,24 @@ def test_quality_without_both_classes(spark, labels):
     assert quality.quality_scores(docs(spark, []), table).count() == 0
 
 
+def test_quality_learns_from_every_label(spark):
+    """The block size bounds no training rows: all labelled documents outside the held-out part are in the blocks."""
+    n = 24_000
+    d = docs(spark, [(i, "x y z" if i % 3 else "| | #") for i in range(n)])
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 3 > 0 AS INT) AS quality")
+    seen = quality.training_labels(labels).count()
+    blocks = []
+    made = quality._blocks
+    quality._blocks = lambda once, m: blocks.append(made(once, m)) or blocks[0]
+    try:
+        quality.quality_scores(d, labels)
+    finally:
+        quality._blocks = made
+    width = len(quality.features(b"")) + 1
+    sizes = [len(r.rows) // 8 // width for r in blocks[0].collect()]
+    assert sum(sizes) == seen > 2 * quality.BLOCK and len(sizes) > 2
+
+
 def test_quality_edge_rows(spark):
     good = [(i, "The plain words of a clean text number %d go on and on, as they do here." % i) for i in range(40)]
     bad = [(100 + i, "W%d!! " % i * 30) for i in range(40)]
