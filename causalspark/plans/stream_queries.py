@@ -50,12 +50,12 @@ class Run:
             self.spark.conf.set(name, before)
 
 
-#: Micro-batches of the streams that come in several.
-BATCHES = 12
+#: Micro-batches of the streams that come in several, and rows that a file of theirs holds at least, if there is more than one.
+BATCHES, FILE_ROWS = 12, 500_000
 
 
 def arriving(x, jitter_us=10 * MINUTE_US, straggler_us=0):
-    """The event table as a stream of BATCHES files, read one per trigger, in the order of arrival.
+    """The event table as a stream of BATCHES equal sets of files, read one per trigger, in the order of arrival.
 
     Arrival is event time plus up to ``jitter_us`` by the event's hash; alerts arrive ``straggler_us`` later still.
     """
@@ -67,13 +67,16 @@ def arriving(x, jitter_us=10 * MINUTE_US, straggler_us=0):
         rows = x.episodes.withColumn("came", came)
         cuts = rows.agg(F.percentile_approx("came", [i / BATCHES for i in range(1, BATCHES)], 1000)).first()[0]
         part = sum(((F.col("came") > c).cast("int") for c in cuts), F.lit(0))
+        counts = {r["part"]: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}
+        files = max(1, min(counts.get(i, 0) for i in range(BATCHES)) // FILE_ROWS)  # so that none is empty, and a trigger takes one set
         for i in range(BATCHES):  # one after the other: a file source reads the oldest file first
-            rows.where(part == i).drop("came").coalesce(1).write.mode("append").parquet(path)
-        _WRITTEN.add(key)
-    return x.spark.readStream.schema(x.episodes.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            rows.where(part == i).drop("came").repartition(files).write.mode("append").parquet(path)
+        _WRITTEN[key] = files
+    return x.spark.readStream.schema(x.episodes.schema).option("maxFilesPerTrigger", _WRITTEN[key]).parquet(path)
 
 
-_WRITTEN: set = set()
+#: Files of a set, by application and folder.
+_WRITTEN: dict[tuple[str, str], int] = {}
 
 
 def event_stream(x):

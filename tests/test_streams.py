@@ -123,3 +123,22 @@ def test_repaired_links_equal_a_full_build(spark, make, tmp_path):
     fewer = edges.join(lost_edge, "id", "left_anti").select(*edges.columns)
     linktable.apply_changes(path, now, fewer, edges_before=edges)
     assert rows(linktable.read(spark, path), *columns) == rows(L.build_causality(now, fewer), *columns)
+
+
+def test_arriving_sets_of_files(spark, monkeypatch):
+    """Every trigger's set of files grows with the rows, holds its part of the arrivals, and no task reads the table whole."""
+    from causalspark.plans import stream_queries as S
+    from causalspark.plans.engine import Engine
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no sample data")
+    x = Engine(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(S, "FILE_ROWS", 20)
+    jitter = 7 * MINUTE_US
+    stream = S.arriving(x, jitter)
+    path, files = next((k[1], n) for k, n in S._WRITTEN.items() if k[1].endswith(f"-{jitter}-0"))
+    found = sorted(_partition_files(path.removeprefix("file:")), key=os.path.getmtime)
+    assert files > 1 and len(found) == S.BATCHES * files
+    came = F.col("t") + F.pmod(F.xxhash64("eid"), F.lit(jitter))
+    ends = [spark.read.parquet(*found[i:i + files]).agg(F.min(came), F.max(came)).first() for i in range(0, len(found), files)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert rows(S.Run(x).append(stream.select("eid"))) == rows(x.episodes.select("eid"))
