@@ -300,3 +300,36 @@ def test_alert_keys_keep_their_parts_apart(make):
     got = {r.eid: r.fingerprint for r in I.group_alerts(ep).collect()}
     assert got == {"a": "x::unknown::pod::ns::disk full", "b": "x::unknown::pod::ns::disk full", "c": "unknown::x::pod::ns::disk full",
                    "d": "unknown::unknown::pod::ns::", "e": "x::unknown::pod::ns::" + "y" * 50}
+
+
+def test_reach_pairs_are_found_in_the_slices_of_links(make):
+    """Chains over the ends of slices, many roots at a time or one; pairs are not shuffled, joined or grouped by Spark."""
+    rng = random.Random(7)
+    times = {f"e{i:03d}": i * 150 for i in range(150)}
+    ep = make.episodes([(e, t, "X", f"p{i % 5}", "ERROR", "k8s.event", "m", "ab"[i % 2]) for i, (e, t) in enumerate(times.items())])
+    ids = [list(times)[k::2] for k in (0, 1)]
+    links = [("ab"[k], c, e, rng.choice([0.5, 0.7, 0.9])) for k in (0, 1) for c, e in itertools.combinations(ids[k], 2)
+             if times[e] - times[c] <= 900 and rng.random() < 0.6]
+    best = {}
+    for client, root, eid, conf in links:
+        walks = [(root, eid, conf, conf, 1)]
+        while walks:
+            r, at, product, first, h = walks.pop()
+            old = best.get((client, r, at), (9, 0.0, 0.0))
+            best[client, r, at] = (min(old[0], h), max(old[1], product), max(old[2], first))
+            if h < 3:
+                walks += [(r, e2, product * c2, first, h + 1) for cl, c1, e2, c2 in links if cl == client and c1 == at]
+    frame = make.frame(links, "client_id string, cause string, effect string, confidence double")
+    name = {e: f"p{i % 5}" for i, e in enumerate(times)}
+    for at_once in (1, 2_000_000):
+        pairs = P.reach_pairs(frame, ep, 3, carry=("s_name", "t"), at_once=at_once)
+        got = {(r.client_id, r.root, r.eid): (r.hops, round(r.product, 9), r.first, r.s_name) for r in pairs.collect()}
+        assert got == {k: (h, round(p, 9), f, name[k[2]]) for k, (h, p, f) in best.items()}
+    some = ep.where("eid < 'e040'")
+    assert {(r.client_id, r.root, r.eid) for r in P.reach_pairs(frame, ep, 3, some).collect()} == {k for k in best if k[1] < "e040"}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("MapInArrow")]
+    assert "Exchange" not in above and "Aggregate" not in above and "Join" not in above
+    late = make.frame([("a", "e000", "e148", 0.5)], "client_id string, cause string, effect string, confidence double")
+    with pytest.raises(Exception, match="spans more than the window"):
+        P.reach_pairs(late, ep).collect()
