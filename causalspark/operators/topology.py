@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,11 +159,51 @@ def coverage_by_topology(named_links: DataFrame) -> DataFrame:
 # --- graph questions ----------------------------------------------------------------------
 
 
+#: Roots whose next vertices are found in one group, and steps that are followed at once.
+BLOCK_ROOTS, STEPS = 256, 2_000_000
+
+
+def _stepped(frontier: DataFrame, step: DataFrame, blocks: int) -> DataFrame:
+    """(client_id, root, node): the distinct vertices one step from those of the frontier.
+
+    Many vertices of a root lead to the same next ones. A block of roots meets the edges that it needs in one group, and
+    follows a bounded number at once, so what leads to the same vertex is neither shuffled nor held.
+    """
+    f = frontier.select("client_id", F.pmod(F.xxhash64("root"), F.lit(blocks)).alias("block"), "root", "node")
+    e = f.select("client_id", "block", "node").distinct().join(step, ["client_id", "node"])
+    e = e.select(*[F.col(c).alias(f"e_{c}") for c in ("client_id", "block", "node", "next")])
+
+    def follow(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"client_id": [], "root": [], "node": []}, dtype="object")
+        nodes, known = pd.factorize(b["e_node"])
+        nexts, names = pd.factorize(b["e_next"])
+        order = np.argsort(nodes, kind="stable")
+        nodes, nexts = nodes[order], nexts[order]
+        roots, root_names = pd.factorize(a["root"])
+        at = pd.Index(known).get_indexer(a["node"])
+        order = np.argsort(roots, kind="stable")
+        order = order[at[order] >= 0]
+        roots, at = roots[order], at[order]
+        first, n = np.searchsorted(nodes, at), np.bincount(nodes)[at]
+        found, start, sums = [], 0, np.r_[0, np.cumsum(n)]
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(sums, sums[start] + STEPS, side="right")) - 1)
+            m = n[start:stop]
+            place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[start:stop], m)
+            found.append(np.unique(np.repeat(roots[start:stop], m) * len(names) + nexts[place]))
+            start = stop
+        key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pd.DataFrame({"client_id": a["client_id"].iat[0], "root": np.asarray(root_names)[key // len(names)], "node": np.asarray(names)[key % len(names)]})
+
+    return f.groupBy("client_id", "block").cogroup(e.groupBy("e_client_id", "e_block")).applyInPandas(follow, "client_id string, root string, node string")
+
+
 def neighbourhood(roots: DataFrame, edges: DataFrame, depth: int = 3, directed: bool = False,
                   types=None) -> DataFrame:
     """Everything within ``depth`` of the roots (client_id, root), with the least distance.
 
-    Breadth-first: a round joins only the vertices found in the round before.
+    Breadth-first: a round follows only the vertices found in the round before.
     """
     e = edges.where(F.col("type").isin(*types)) if types else edges
     step = e.select("client_id", F.col("src").alias("node"), F.col("dst").alias("next"))
@@ -170,10 +212,12 @@ def neighbourhood(roots: DataFrame, edges: DataFrame, depth: int = 3, directed:
     step = step.distinct()
     seen = roots.select("client_id", "root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
+    blocks = -(-roots.count() // BLOCK_ROOTS) if depth > 1 else 0
     for d in range(1, depth + 1):
-        found = (frontier.join(step, ["client_id", "node"])
-                 .select("client_id", "root", F.col("next").alias("node")).distinct()
-                 .join(seen.select("client_id", "root", "node"), ["client_id", "root", "node"],
+        # From the roots themselves no two edges lead to one vertex.
+        found = frontier.join(step, ["client_id", "node"]).select("client_id", "root", F.col("next").alias("node")).distinct() if d == 1 else _stepped(
+            frontier, step, max(1, blocks))
+        found = (found.join(seen.select("client_id", "root", "node"), ["client_id", "root", "node"],
                        "left_anti").withColumn("depth", F.lit(d)))
         if d % 3 == 0 and d < depth:
             found = cut_lineage(found)

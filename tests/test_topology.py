@@ -53,3 +53,17 @@ def test_cycle_counts_are_those_of_the_list(make, seed):
     listed = Counter((r.client_id, s, len(r.path)) for r in T.dependency_cycles(flows).collect() for s in r.path)
     counted = {(r.client_id, r.service, r.length): r.cycles for r in T.dependency_cycle_counts(flows).collect() if r.cycles}
     assert counted and counted == dict(listed)
+
+
+def test_next_vertices_of_roots_are_found_once_in_their_block(spark, monkeypatch):
+    """Twenty ways from each root to each last vertex give one row, and the ways themselves are not aggregated by Spark."""
+    edges = spark.sql("""SELECT 'a' client_id, concat('r', r.id) src, concat('m', m.id) dst, 'X' type FROM range(9) r, range(20) m
+        UNION ALL SELECT 'a', concat('m', m.id), concat('e', e.id), 'X' FROM range(20) m, range(5) e""")
+    roots = spark.sql("SELECT 'a' client_id, concat('r', id) root FROM range(9)")
+    for size, steps in ((256, 2_000_000), (2, 3)):
+        monkeypatch.setattr(T, "BLOCK_ROOTS", size)
+        monkeypatch.setattr(T, "STEPS", steps)
+        got = T.neighbourhood(roots, edges, 2, directed=True)
+        assert sorted((r.root, r.node, r.depth) for r in got.collect()) == sorted(
+            (f"r{r}", *x) for r in range(9) for x in [(f"r{r}", 0)] + [(f"m{m}", 1) for m in range(20)] + [(f"e{e}", 2) for e in range(5)])
+    assert "CoGroup" in got._jdf.queryExecution().executedPlan().toString()
