@@ -213,5 +213,5 @@ def n5r(x):
        {**REACH, **chains("links", 3), "ranked": f"SELECT client_id, eid, down, row_number() OVER (PARTITION BY client_id ORDER BY down DESC, eid) - 1 AS rank FROM ({DEGREE}) WHERE up = 0 AND down > 0"})
 def n6(x):
     d = P.degrees(x.links).where("upstream = 0 AND downstream > 0").select("client_id", "eid", F.col("downstream").alias("blast_radius"))
-    steps = P.best_chains(x.links, 3).select("client_id", F.get("path", F.lit(0)).alias("root"))
+    steps = P.best_chains(x.links, 3, episodes=x.episodes).select("client_id", F.get("path", F.lit(0)).alias("root"))
     return H.typed_findings(d, steps, P.reach_pairs(x.links, x.episodes, 3, d), x.named_links.where("c_rid <> e_rid AND hops BETWEEN 1 AND 3"))

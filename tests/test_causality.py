@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,3 +334,24 @@ def test_reach_pairs_are_found_in_the_slices_of_links(make):
     late = make.frame([("a", "e000", "e148", 0.5)], "client_id string, cause string, effect string, confidence double")
     with pytest.raises(Exception, match="spans more than the window"):
         P.reach_pairs(late, ep).collect()
+
+
+def test_chains_in_slices_equal_rounds_of_joins(spark, make):
+    rng = np.random.default_rng(5)
+    at = np.sort(rng.integers(0, 6 * 3600, 300))
+    names = [f"e{i}" for i in rng.permutation(300)]
+    episodes = make.episodes([(e, float(t), "Failed", "p") for e, t in zip(names, at, strict=True)])
+    pairs = [(i, j) for j in range(300) for i in range(j) if 0 < at[j] - at[i] < 900]
+    kept = [pairs[k] for k in rng.choice(len(pairs), 700, replace=False)]
+    links = make.frame([("a", names[i], names[j], float(rng.integers(1, 5)) / 4, int(at[j] - at[i])) for i, j in kept],
+                       "client_id string, cause string, effect string, confidence double, time_gap_seconds long")
+    for hops, conf, roots in [(1, 0.0, False), (3, 0.0, False), (3, 0.5, False), (6, 0.0, True), (2, 0.5, True)]:
+        want = rows(P.best_chains(links, hops, conf, roots).withColumn("path", F.array_join("path", ">")).withColumn("confidences", F.col("confidences").cast("string")))
+        for given in (links, links.drop("time_gap_seconds")):
+            got = P.best_chains(given, hops, conf, roots, episodes=episodes)
+            assert rows(got.withColumn("path", F.array_join("path", ">")).withColumn("confidences", F.col("confidences").cast("string"))) == want
+    shuffles = lambda hops: P.best_chains(links, hops, episodes=episodes)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert shuffles(3) == shuffles(9)
+    long = make.frame([("a", names[0], names[-1], 0.5)], "client_id string, cause string, effect string, confidence double")
+    with pytest.raises(Exception, match="spans the window"):
+        P.best_chains(long, 3, episodes=episodes).collect()
