@@ -224,23 +224,30 @@ def memory_leaks(episodes: DataFrame, hours: int = 6, as_of=None, min_ooms: int
 
 def cascading_failures(episodes: DataFrame, edges: DataFrame, window_min: int = 15, as_of=None,
                        min_errors: int = 5, min_related: int = 3) -> DataFrame:
-    """Resources with many failures whose neighbours within two hops fail as well."""
+    """Resources with many failures whose neighbours within two hops fail as well.
+
+    Distances are followed between sets of twins, resources with the same neighbours: pods alike under a node, a service
+    and a controller are one vertex, so their pairs are not formed. Without twins the pairs within two hops are.
+    """
     now = latest(episodes, as_of)
     counts = episodes.where(is_failure(F.col("severity"))
                             & (F.col("t") >= now - window_min * MINUTE_US)).groupBy(
         *RESOURCE).agg(F.count("*").alias("error_count"))
-    ball = reach.balls(edges, 2)
-    hot = counts.where(F.col("error_count") >= min_errors)
-    met = hot.join(ball.select("client_id", "rid", "x"), RESOURCE)
-    other = counts.select("client_id", F.col("rid").alias("other"), F.col("error_count").alias("n")
-                          ).join(ball.select("client_id", F.col("rid").alias("other"), "x"),
-                                 ["client_id", "other"])
-    pairs = (met.join(other, ["client_id", "x"]).where("rid <> other")
-             .groupBy("client_id", "rid", "other").agg(F.first("error_count").alias("error_count"),
-                                                       F.first("n").alias("n")))
-    return (pairs.groupBy(*RESOURCE).agg(F.first("error_count").alias("error_count"),
-                                         F.sum("n").alias("related_errors"))
-            .where(F.col("related_errors") >= min_related))
+    und = reach.undirected(edges)
+    twin = reach.twins(und)
+    known = counts.join(twin, RESOURCE)
+    errors = known.groupBy("client_id", F.col("twin").alias("other")).agg(F.sum("error_count").alias("n"))
+    step = (und.join(twin.select("client_id", F.col("rid").alias("a"), "twin"), ["client_id", "a"])
+            .join(twin.select("client_id", F.col("rid").alias("b"), F.col("twin").alias("other")), ["client_id", "b"])
+            .select("client_id", "twin", "other").distinct())
+    two = step.select("client_id", "twin", F.col("other").alias("mid")).join(
+        step.select("client_id", F.col("twin").alias("mid"), "other"), ["client_id", "mid"]).select("client_id", "twin", "other")
+    # A resource is two steps from itself, so the sum within two steps has its own errors too.
+    around = step.unionByName(two).distinct().join(errors, ["client_id", "other"]).groupBy("client_id", "twin").agg(F.sum("n").alias("n"))
+    return (known.where(F.col("error_count") >= min_errors).join(around, ["client_id", "twin"])
+            .withColumn("related_errors", F.col("n") - F.col("error_count"))
+            .where((F.col("related_errors") > 0) & (F.col("related_errors") >= min_related))
+            .select(*RESOURCE, "error_count", "related_errors"))
 
 
 def anomaly_report(episodes: DataFrame, window_min: int = 5) -> DataFrame:

@@ -66,6 +66,19 @@ def labels(edges: DataFrame, k: int = 3, types=TOPOLOGY_TYPES) -> DataFrame:
     return out.groupBy("client_id", "rid", "x").agg(F.min("d").alias("d"))
 
 
+def twins(und: DataFrame) -> DataFrame:
+    """(client_id, rid, twin): resources with the same neighbours in :func:`undirected` edges share a twin, the least of them.
+
+    Twins have equal distances to all others. A neighbour set is known by its size, ends and a 128-bit digest, so that no
+    hub's neighbours are put into one row.
+    """
+    digest = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "b"))
+    sets = und.groupBy("client_id", F.col("a").alias("rid")).agg(
+        F.count("*").alias("s0"), F.min("b").alias("s1"), F.max("b").alias("s2"), digest("x").alias("s3"), digest("y").alias("s4"))
+    keys = ["client_id", "s0", "s1", "s2", "s3", "s4"]
+    return sets.join(sets.groupBy(*keys).agg(F.min("rid").alias("twin")), keys).select("client_id", "rid", "twin")
+
+
 def hops(pairs: DataFrame, edges: DataFrame, k: int = 3, types=TOPOLOGY_TYPES) -> DataFrame:
     """Smallest distance 1..k of the given (client_id, src, dst) pairs; others are left out."""
     if not 1 <= k <= 3:

@@ -393,3 +393,28 @@ def test_trigger_cascades_count_pairs_where_they_are_formed(spark, make, monkeyp
     assert rows(L.later_near(episodes, edges, 5, causes=failing)) == want
     out = {r.eid: (r.near_events, r.nearest) for r in P.trigger_cascades(episodes, edges, 5).collect()}
     assert {k: v for k, v in out.items() if v[0]} == {eid: (n, h) for _, eid, n, h in want}
+
+
+def test_cascading_failures_sum_over_twins(spark, make):
+    rng = random.Random(12)
+    pairs = {(f"pod:ns:p{i}", f"node::{i % 4}") for i in range(80)} | {(f"service:ns:s{i % 3}", f"pod:ns:p{i}") for i in range(80)}
+    pairs |= {(f"pod:ns:q{rng.randrange(15)}", f"pod:ns:q{rng.randrange(15)}") for _ in range(14)}
+    edges = make.edges([(a, b, "RUNS_ON") for a, b in sorted(pairs)])
+    names = [f"p{i}" for i in range(80)] + [f"q{i}" for i in range(15)] + ["alone"]
+    said = [rng.choice(names) for _ in range(400)]
+    episodes = make.episodes([(f"e{i}", float(i % 60), "Failed", p) for i, p in enumerate(said)])
+    near: dict[str, set] = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    n = {f"pod:ns:{p}": said.count(p) for p in set(said)}
+    want = []
+    for a in near:
+        others = (near[a] | {c for b in near[a] for c in near[b]}) - {a}
+        related = sum(n.get(b, 0) for b in others)
+        if n.get(a, 0) >= 5 and related >= 3:
+            want.append(("a", a, n[a], related))
+    assert rows(I.cascading_failures(episodes, edges), "client_id", "rid", "error_count", "related_errors") == sorted(want)
+    twins = reach.twins(reach.undirected(edges))
+    assert twins.where("rid LIKE 'pod:ns:p%'").select("twin").distinct().count() == 12  # 80 pods, 12 pairs of node and service
