@@ -43,8 +43,7 @@ def detach(edges: DataFrame, live_resources: DataFrame) -> DataFrame:
 
 def with_endpoint_stubs(resources: DataFrame, edges: DataFrame) -> DataFrame:
     """Resources plus a stub row for each edge end that has no resource record."""
-    ends = (edges.select("client_id", F.col("src").alias("rid"))
-            .unionByName(edges.select("client_id", F.col("dst").alias("rid"))).distinct())
+    ends = edges.select("client_id", F.explode(F.array("src", "dst")).alias("rid")).distinct()
     stubs = ends.join(resources.select("client_id", "rid"), ["client_id", "rid"], "left_anti")
     return (resources.withColumn("stub", F.lit(False))
             .unionByName(stubs.withColumn("stub", F.lit(True)), allowMissingColumns=True))
@@ -55,13 +54,14 @@ def with_endpoint_properties(resources: DataFrame, edges: DataFrame) -> DataFram
 
     Of a resource that is no edge end nothing is filled. An id that is neither ``kind:uid`` nor ``kind:ns:name`` gives no properties.
     """
-    ends = (edges.select("client_id", F.col("src").alias("rid"))
-            .unionByName(edges.select("client_id", F.col("dst").alias("rid"))).where("rid IS NOT NULL").distinct())
-    rows = with_endpoint_stubs(resources, edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    whole = F.col("src").isNotNull() & F.col("dst").isNotNull()  # only ends of whole edges become stubs
+    ends = (edges.select("client_id", F.explode(F.array("src", "dst")).alias("rid"), whole.alias("_whole")).where("rid IS NOT NULL")
+            .groupBy("client_id", "rid").agg(F.max("_whole").alias("_whole"), F.lit(True).alias("_end")))
+    rows = (resources.withColumn("stub", F.lit(False)).join(ends, ["client_id", "rid"], "full_outer").where("stub IS NOT NULL OR _whole")
+            .withColumn("stub", F.coalesce("stub", F.lit(True))).select(*resources.columns, "stub", "_end"))
     for name in ("kind", "ns", "name", "uid"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
-    rows = rows.join(ends.withColumn("_end", F.lit(True)), ["client_id", "rid"], "left")
     return rows.withColumns({name: F.coalesce(name, F.when(F.col("_end"), part)) for name, part in parse_rid(F.col("rid")).items()}).drop("_end")
 
 

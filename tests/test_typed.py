@@ -68,3 +68,11 @@ def test_dependencies_of_a_page(spark, make):
     edges = make.edges([("x", "n2", "RUNS_ON"), ("x", "n1", "RUNS_ON"), ("x", "n1", "RUNS_ON"), ("x", "n1", "USES"), ("y", "n1", "RUNS_ON")])
     assert rows(A.catalogue_dependencies(page, edges), "rid", "position", "dependency", "type") == [
         ("x", 1, "n1", "RUNS_ON"), ("x", 2, "n1", "USES"), ("x", 3, "n2", "RUNS_ON")]
+
+
+def test_endpoint_properties_read_the_edges_once(spark, make):
+    known = make.frame([("a", "pod:ns:p", None), ("a", "pod:ns:only", None)], "client_id string, rid string, kind string")
+    edges = make.frame([("a", "service:ns:s", "pod:ns:p"), ("a", "pod:ns:half", None), ("a", "pod:ns:p", "node:n1")], "client_id string, src string, dst string")
+    out = S.with_endpoint_properties(known, edges.hint("rebalance"))
+    assert rows(out, "rid", "stub", "name") == [("node:n1", True, None), ("pod:ns:only", False, None), ("pod:ns:p", False, "p"), ("service:ns:s", True, "s")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RebalancePartitions") == 1
