@@ -142,3 +142,29 @@ def test_arriving_sets_of_files(spark, monkeypatch):
     ends = [spark.read.parquet(*found[i:i + files]).agg(F.min(came), F.max(came)).first() for i in range(0, len(found), files)]
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
     assert rows(S.Run(x).append(stream.select("eid"))) == rows(x.episodes.select("eid"))
+
+
+def test_ordered_state_is_by_shard(spark, make, tmp_path, monkeypatch):
+    """Many keys and minutes in three batches: few rows of state, the groups of the batch operator, and the minute that ends at the watermark is out."""
+    rnd = random.Random(3)
+    times = sorted(rnd.sample(range(60, 7200), 600))
+    ep = make.episodes([(f"e{i:03d}", s, f"R{rnd.randrange(40)}", "p", "ERROR", "prom.alert") for i, s in enumerate(times)])
+    end = (T0 // MINUTE_US + 200) * MINUTE_US  # the watermark comes to stand at the end of a minute
+    last = make.episodes([("last", 0, "X", "p", "ERROR", "prom.alert"), ("edge", 0, "X", "q", "ERROR", "prom.alert")]).withColumn(
+        "t", F.when(F.col("eid") == "last", end + 15 * MINUTE_US).otherwise(end - 1)).withColumn("event_time", F.timestamp_micros("t"))
+    ep = ep.unionByName(last)
+    came = sorted(range(600), key=lambda i: times[i] + rnd.randrange(600))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _files(spark, ep, folder, [[f"e{i:03d}" for i in came[:300]], [f"e{i:03d}" for i in came[300:]] + ["edge"], ["last"]])
+    monkeypatch.setattr(jobs, "SHARDS", 8, raising=False)
+    stream = spark.readStream.schema(ep.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = (jobs.grouped_alerts(stream, gap_min=5, max_size=3).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 8 * 6
+    got = spark.read.parquet(out)
+    want = I.group_alerts(ep, gap_min=5, max_size=3).where("eid <> 'last'")
+    assert rows(got, "client_id", "eid", "action") == rows(want, "client_id", "eid", "action")
+    keys = ["client_id", "fingerprint"]
+    names = lambda df, *ids: rows(df.groupBy(*keys, *ids).agg(F.min("eid").alias("a"), F.max("eid").alias("b"), F.count("*").alias("n")), "a", "b", "n")
+    assert names(got, "group_start", "part") == names(want, "group_id") and got.where("part > 0").count() > 0
