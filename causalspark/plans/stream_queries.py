@@ -117,9 +117,8 @@ def st3(x):
        {"stream_pairs": STREAM_PAIRS, "stream_scored": STREAM_SCORED})
 def st4(x):
     run = Run(x)
-    pairs = jobs.link_stream(event_stream(x), event_stream(x), x.edges)
-    run.batches(pairs, jobs.write_links(run.out, x.episodes, top_m=5))
-    return jobs.read_links(x.spark, run.out, 5).select("client_id", "cause", "effect", "hops", round_to(F.col("confidence"), 6).alias("confidence"))
+    run.batches(event_stream(x), jobs.write_links(run.out, x.edges, top_m=5))
+    return jobs.read_links(x.spark, run.out).select("client_id", "cause", "effect", "hops", round_to(F.col("confidence"), 6).alias("confidence"))
 
 
 @query("st4_late_repair", "SELECT client_id, cause, effect, hops, temporal_score, distance_score, domain_score, confidence, time_gap_seconds, rank FROM links")

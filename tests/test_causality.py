@@ -418,3 +418,16 @@ def test_cascading_failures_sum_over_twins(spark, make):
     assert rows(I.cascading_failures(episodes, edges), "client_id", "rid", "error_count", "related_errors") == sorted(want)
     twins = reach.twins(reach.undirected(edges))
     assert twins.where("rid LIKE 'pod:ns:p%'").select("twin").distinct().count() == 12  # 80 pods, 12 pairs of node and service
+
+
+@pytest.mark.parametrize("at_once", [1, 7])
+def test_events_of_one_time_are_linked_whatever_the_batches(make, monkeypatch, at_once):
+    from causalspark.operators import latest
+    _, edges = _burst(make, 32, 1)
+    ep = make.episodes([(f"e{i:02d}", 60 * (i // 9), "X", f"p{i % 9}", "ERROR", "k8s.event", "m", "a", "Pod", "n1") for i in range(36)])
+    width = 15 * 60 * 1_000_000
+    table = L.sorted_rows(L._stream_rows(ep, edges, 3, F.lit(0), F.lit(0)), width).coalesce(1).sortWithinPartitions("client_id", "slice", "t", F.desc("eid")).toArrow()
+    want = rows(L.link_causes(ep, edges), "client_id", "cause", "effect", "hops")
+    assert any(r[1] > r[2] for r in want)
+    monkeypatch.setattr(latest, "ROWS", at_once)
+    assert sorted(tuple(r.values())[:4] for b in latest.all_earlier(iter(table.to_batches(2)), width, 3) for r in b.to_pylist()) == want

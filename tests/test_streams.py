@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from causalspark.functions.scalar import DAY_US, MINUTE_US
@@ -168,3 +169,37 @@ def test_ordered_state_is_by_shard(spark, make, tmp_path, monkeypatch):
     keys = ["client_id", "fingerprint"]
     names = lambda df, *ids: rows(df.groupBy(*keys, *ids).agg(F.min("eid").alias("a"), F.max("eid").alias("b"), F.count("*").alias("n")), "a", "b", "n")
     assert names(got, "group_start", "part") == names(want, "group_id") and got.where("part > 0").count() > 0
+
+
+def test_streamed_links_over_batches(spark, make, tmp_path, monkeypatch):
+    """Bursts on one resource, in batches out of order with a repeated event and a repeated batch: the best of all pairs. No pair is formed."""
+    from causalspark.operators import latest
+    ep, edges = _burst(make, 31, 400, 2500)
+    texts = F.element_at(F.array(*[F.lit(m) for m in ("connection refused", "Database gone", "api down", "quiet")]), (F.crc32("eid") % 4 + 1).cast("int"))
+    ep = ep.withColumn("message", texts).withColumn("severity", F.when(F.crc32(F.concat("eid", F.lit("s"))) % 3 == 0, "INFO").otherwise("ERROR")).cache()
+    scored = L.score_links_stream(L.link_causes(ep, edges), ep)
+    w = W.partitionBy("client_id", "effect").orderBy(F.desc("confidence"), "gap_us", "cause")
+    want = scored.withColumn("rank", F.row_number().over(w)).where("rank <= 5").drop("gap_us")
+    columns = ["client_id", "effect", "rank", "cause", "hops", "confidence"]
+    assert scored.count() > 3 * want.count()
+    # small batches of rows, so that causes are carried on
+    marks, domain, cause, effect = L._stream_marks(ep, L.R.STREAM_REASON_RULES)
+    table = L.sorted_rows(L._stream_rows(marks, edges, 3, cause, effect), 15 * MINUTE_US).coalesce(1).sortWithinPartitions("client_id", "slice", "t", F.desc("eid")).toArrow()
+    for at_once in (1, 40):
+        monkeypatch.setattr(latest, "ROWS", at_once)
+        found = latest.best_elsewhere(iter(table.to_batches(3)), latest.Elsewhere(15 * MINUTE_US, domain, 3, (0.3, 0.3, 0.4), 5))
+        assert sorted(tuple(r[c] for c in columns[:5]) for b in found for r in b.to_pylist()) == rows(want, *columns[:5])
+
+    def pairs_formed(*_, **__):
+        raise AssertionError("all pairs are formed")
+    for name in ("link_stream", "score_links_stream"):
+        monkeypatch.setattr(jobs, name, pairs_formed, raising=False)
+    path = str(tmp_path / "links")
+    write = jobs.write_links(path, edges, top_m=5)
+    late = F.col("eid").isin("e0005", "e0100", "e0200")
+    parts = [ep.where((F.col("t") < T0 + 1200 * 1_000_000) & ~late), ep.where((F.col("t") >= T0 + 1200 * 1_000_000) & ~late), ep.where(late | (F.col("eid") == "e0007"))]
+    for i, part in enumerate(parts):
+        write(part, i)
+    write(parts[2], 2)
+    write(parts[0].limit(0), 3)
+    assert rows(jobs.read_links(spark, path), *columns) == rows(want, *columns)
